@@ -118,3 +118,18 @@ def components(links: DataFrame, shuffle: int | None = None) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+
+
+def frequent(counts: DataFrame, n: str, most: int) -> int:
+    """The least count c such that about ``most`` rows at most have ``n`` >= c: a size bound for what is collected or broadcast.
+
+    Counts are binned on a log scale first, so at most about a thousand rows reach the driver whatever the table's size."""
+    step = 16
+    bins = counts.where(F.col(n) > 0).groupBy(F.floor(F.log2(F.col(n)) * step).alias("bin")).agg(F.count("*").alias("k"), F.min(n).alias("least")).orderBy(F.desc("bin")).collect()
+    total, cut = 0, None
+    for row in bins:
+        total += row.k
+        if total > most:
+            break
+        cut = row.least
+    return int(cut) if cut is not None else (int(bins[0].least) + 1 if bins else 1)

@@ -1,6 +1,6 @@
 """Quality: regularised quadratic discriminant analysis over transformed document statistics.
 
-Each class has a Gaussian over the statistics; its covariance is shrunk towards its diagonal and then towards a scaled identity. The
+Each class has a Gaussian over the statistics; its covariance is shrunk towards the pooled one, its diagonal and a scaled identity. The
 score is the logistic of the log-density difference plus the class log odds; Mahalanobis distances come from Cholesky factors that are
 computed once and kept in the model. Means and covariances are summed over all labelled training rows.
 
@@ -73,8 +73,8 @@ def moments(rows: DataFrame, text_col: str, label_col: str) -> DataFrame:
     return rows.select(F.col(text_col).cast("string").alias("t"), F.col(label_col).cast("int").alias("y")).mapInArrow(run, "y long, i long, j long, total double").groupBy("y", "i", "j").agg(F.sum("total").alias("total"))
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", diagonal: float = 0.1, identity: float = 0.02) -> dict | None:
-    """``diagonal`` and ``identity`` are the shrinkage shares of the class covariance's diagonal and of the mean variance."""
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", pooled: float = 0.3, diagonal: float = 0.02, identity: float = 0.02) -> dict | None:
+    """``pooled``, ``diagonal`` and ``identity``: shares of the pooled covariance, of the own diagonal and of the mean variance."""
     k = len(STATS)
     sums = np.zeros((2, k + 1, k + 1))
     for row in moments(labelled.where(F.col(label_col).isin(0, 1)), text_col, label_col).collect():  # 2 (k+1)^2 rows
@@ -82,16 +82,18 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality",
     n = sums[:, 0, 0]
     if min(n) < 1:
         return None
-    pooled = sums.sum(0)
-    spread = np.sqrt(np.maximum(np.diag(pooled)[1:] / n.sum() - (pooled[0, 1:] / n.sum()) ** 2, 1e-6))
+    total = sums.sum(0)
+    spread = np.sqrt(np.maximum(np.diag(total)[1:] / n.sum() - (total[0, 1:] / n.sum()) ** 2, 1e-6))
+    means = [sums[y, 0, 1:] / n[y] / spread for y in (0, 1)]
+    covs = [sums[y, 1:, 1:] / n[y] / np.outer(spread, spread) - np.outer(means[y], means[y]) for y in (0, 1)]
+    both = (n[0] * covs[0] + n[1] * covs[1]) / n.sum()
     model = {"scale": spread, "mean": [], "chol": [], "const": []}
     for y in (0, 1):
-        mean = sums[y, 0, 1:] / n[y] / spread
-        cov = sums[y, 1:, 1:] / n[y] / np.outer(spread, spread) - np.outer(mean, mean)
+        cov = (1 - pooled) * covs[y] + pooled * both
         cov = (1 - diagonal) * cov + diagonal * np.diag(np.diag(cov))
         cov = (1 - identity) * cov + identity * max(np.trace(cov) / k, 1e-3) * np.eye(k) + 1e-6 * np.eye(k)
         chol = np.linalg.cholesky(cov)
-        model["mean"].append(mean)
+        model["mean"].append(means[y])
         model["chol"].append(np.linalg.inv(chol))
         model["const"].append(math.log(n[y] / n.sum()) - np.log(np.diag(chol)).sum())
     return model
