@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fold, map_text, table
+from graphloom.llm.common import fold, map_text, materialize, table
 
 STATS = ("log_words", "word_length", "distinct_words", "upper", "symbols", "stops", "digits", "top_word", "repeats", "repeated_lines", "line_words", "compression")
 _KIND = np.zeros(256, np.int64)  # 0 other, 1 upper, 2 lower or non-ASCII, 3 digit, 4 space, 5 sentence marks, 6 other marks
@@ -57,28 +57,25 @@ def statistics(text: bytes | None) -> list[float]:
     ]
 
 
-def moments(rows: DataFrame, text_col: str, label_col: str) -> DataFrame:
-    """(y, i, j, total): sums of products of statistics per class; index -1 stands for one."""
-    k = len(STATS)
+def measure(docs: DataFrame, keep: dict, text_col: str = "text") -> DataFrame:
+    """``keep`` columns plus stats: the statistics of the whole text, in the order of STATS."""
+    return map_text(docs, F.col(text_col), lambda: lambda texts: [pa.array([statistics(t) for t in texts], pa.list_(pa.float64()))], "stats array<double>", keep)
 
-    def run(batches):
-        sums = np.zeros((2, k + 1, k + 1))
-        for batch in batches:
-            for text, label in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.array([1.0, *statistics(text)])
-                sums[label] += np.outer(x, x)
-        y, i, j = np.indices(sums.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(v.ravel()) for v in (y, i - 1, j - 1, sums)], names=["y", "i", "j", "total"])
 
-    return rows.select(F.col(text_col).cast("string").alias("t"), F.col(label_col).cast("int").alias("y")).mapInArrow(run, "y long, i long, j long, total double").groupBy("y", "i", "j").agg(F.sum("total").alias("total"))
+def moments(rows: DataFrame, label_col: str) -> DataFrame:
+    """(y, i, j, total): sums of products of statistics per class; index -1 stands for one."""
+    one = F.concat(F.array(F.lit(1.0)), F.col("stats"))
+    wide = rows.select(F.col(label_col).cast("int").alias("y"), one.alias("x"))
+    first = wide.select("y", "x", F.posexplode("x").alias("i", "a"))
+    return first.select("y", "i", "a", F.posexplode("x").alias("j", "b")).where("j >= i").groupBy("y", "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("total"))
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", pooled: float = 0.3, diagonal: float = 0.02, identity: float = 0.02) -> dict | None:
+def fit(measured: DataFrame, label_col: str = "quality", pooled: float = 0.3, diagonal: float = 0.02, identity: float = 0.02) -> dict | None:
     """``pooled``, ``diagonal`` and ``identity``: shares of the pooled covariance, of the own diagonal and of the mean variance."""
     k = len(STATS)
     sums = np.zeros((2, k + 1, k + 1))
-    for row in moments(labelled.where(F.col(label_col).isin(0, 1)), text_col, label_col).collect():  # 2 (k+1)^2 rows
-        sums[row.y, row.i + 1, row.j + 1] = row.total
+    for row in moments(measured.where(F.col(label_col).isin(0, 1)), label_col).collect():  # (k+1)(k+2) rows
+        sums[row.y, row.i, row.j] = sums[row.y, row.j, row.i] = row.total
     n = sums[:, 0, 0]
     if min(n) < 1:
         return None
@@ -99,31 +96,30 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality",
     return model
 
 
-def score(docs: DataFrame, model: dict | None, keep: dict, text_col: str = "text") -> DataFrame:
-    """``keep`` columns plus score: the probability of label 1 (good) from the whole text."""
+def score(measured: DataFrame, model: dict | None) -> DataFrame:
+    """Replace stats by score, the probability of label 1 (good): the logistic of the difference of log densities."""
     if model is None:
-        return docs.select(*(c.alias(n) for n, c in keep.items()), F.lit(0.0).alias("score"))
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def make():
-        m = held.value
-
-        def run(texts):
-            x = np.array([statistics(t) for t in texts]).reshape(len(texts), len(STATS)) / m["scale"]
-            log = [m["const"][y] - 0.5 * (((x - m["mean"][y]) @ m["chol"][y].T) ** 2).sum(1) for y in (0, 1)]
-            return [pa.array(1 / (1 + np.exp(-np.clip(log[1] - log[0], -700, 700))))]
-
-        return run
-
-    return map_text(docs, F.col(text_col), make, "score double", keep)
-
-
-def learnt(spark: SparkSession, docs: DataFrame, sf_dir: str) -> dict | None:
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where("quality is not null").dropDuplicates(["doc_id"])
-    return fit(docs.select("doc_id", "text").where(fold(F.col("doc_id"), 4) != 2).join(labels, "doc_id"))
+        return measured.withColumn("score", F.lit(0.0)).drop("stats")
+    log = []
+    for mean, factor, const in zip(model["mean"], model["chol"], model["const"], strict=True):
+        scaled = factor / model["scale"]  # one product a statistic: the inverse Cholesky factor on the unscaled statistics
+        shift = factor @ mean
+        distance = sum((F.pow(sum((F.element_at("stats", j + 1) * float(scaled[i, j]) for j in range(i + 1)), F.lit(-float(shift[i]))), F.lit(2.0)) for i in range(len(STATS))), F.lit(0.0))
+        log.append(F.lit(float(const)) - distance / 2)
+    return measured.withColumn("score", 1 / (1 + F.exp(log[0] - log[1]))).drop("stats")
+
+
+def scored(spark: SparkSession, docs: DataFrame, sf_dir: str, keep: dict) -> DataFrame:
+    """Each text is measured once; the written statistics, a few bytes a document, feed both the fit and the scores. Only they meet
+    the labels in a shuffle, never the texts."""
+    keep = {**keep, "__id": F.col("doc_id"), "__train": fold(F.col("doc_id"), 4) != 2}
+    measured = materialize(measure(docs, keep))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("__id"), "quality").where("quality is not null").dropDuplicates(["__id"])
+    model = fit(measured.where("__train").select("__id", "stats").join(labels, "__id"))
+    return score(measured.drop("__id", "__train"), model)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = score(docs, learnt(spark, docs, sf_dir), {"doc_id": F.col("doc_id"), "held_out": fold(F.col("doc_id"), 4) == 2})
-    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+    out = scored(spark, docs, sf_dir, {"doc_id": F.col("doc_id"), "held_out": fold(F.col("doc_id"), 4) == 2})
+    return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))

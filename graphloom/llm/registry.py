@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from graphloom.llm import langid, quality, toxicity
+from graphloom.llm import langid, lm, quality, sentencepiece, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.query,
         "op2_language_id": langid.query,
+        "op5_sentencepiece": sentencepiece.query,
         "op8_quality": quality.query,
+        "op9_lm_score": lm.query,
     }
 
 
