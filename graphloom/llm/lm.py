@@ -1,8 +1,9 @@
 """Language-model scores: a document's marginal probability over all subword segmentations.
 
-Tokens are the words between ASCII white space, A-Z lower-cased, and one end a text. The existing vocabulary's scores weigh the
-pieces of a lattice over each word; the forward recursion in log space sums all its segmentations. No piece spans two words, so a
-text's marginal is the product of its words'. What is learnt adds a whole-word arc to each lattice, weighted by the discounted count:
+Tokens are the words between ASCII white space, A-Z lower-cased, and one end a text. The existing vocabulary's scores weigh
+all segmentations of the distinct training words; the expected pieces under those weights, one pass over all training rows, give the
+arcs of the scoring lattice, and the forward recursion in log space sums all segmentations of each word. No piece spans two words, so
+a text's marginal is the product of its words'. The vocabulary itself is never changed. What is learnt adds a whole-word arc to each lattice, weighted by the discounted count:
 
     P(w) = max(c - D, 0) / N  +  (D V / N) * P_lattice(w),   D = n1 / (n1 + 2 n2)
 
@@ -64,13 +65,30 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return docs.select("train", "text").mapInArrow(run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def with_lattice(counts: DataFrame, model_path: str) -> DataFrame:
-    """Add lat: log10 of the lattice's marginal of each distinct token."""
+def expected_pieces(counts: DataFrame, model_path: str) -> dict[int, float]:
+    """Expected pieces over the distinct training tokens, each once, under the vocabulary's own weights; a row a piece at most."""
     held = counts.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
 
     def run(batches):
         pieces = Pieces.of(held.value)
         pieces.weighted()
+        into: dict[int, float] = {}
+        for batch in batches:
+            for w in batch.column(0).to_pylist():
+                pieces.expect(w, 1.0, into)
+        yield pa.RecordBatch.from_arrays([pa.array(list(into), pa.int32()), pa.array(list(into.values()), pa.float64())], names=["piece", "n"])
+
+    rows = counts.where("c > 0 and token != ''").select("token").mapInArrow(run, "piece int, n double")
+    return {r.piece: r.n for r in rows.groupBy("piece").agg(F.sum("n").alias("n")).collect()}
+
+
+def with_lattice(counts: DataFrame, expected: dict[int, float], model_path: str) -> DataFrame:
+    """Add lat: log10 of the lattice's marginal of each distinct token."""
+    held = counts.sparkSession.sparkContext.broadcast((Path(model_path).read_bytes(), expected))
+
+    def run(batches):
+        pieces = Pieces.of(held.value[0])
+        pieces.weighted(held.value[1])
         for batch in batches:
             lat = [pieces.marginal(w) if w else pieces.end_log / math.log(10) for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lat, pa.float64())], names=["token", "c", "lat"])
@@ -82,7 +100,8 @@ def score(docs: DataFrame, train, keep: dict, text_col: str = "text", model_path
     """``keep`` columns plus n_tokens, n_known, train_tokens, base_score and score; ``train`` is the column that marks training rows."""
     spark = docs.sparkSession
     rows = docs.select(F.struct(*(c.alias(n) for n, c in keep.items())).alias("kept"), train.alias("train"), F.col(text_col).cast("string").alias("text"))
-    vocabulary = materialize(with_lattice(count_tokens(rows), model_path))
+    counted = materialize(count_tokens(rows))
+    vocabulary = materialize(with_lattice(counted, expected_pieces(counted, model_path), model_path))
     n, v, n1, n2 = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
     floor = n + 0.1 * (v + 1)

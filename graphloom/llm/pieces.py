@@ -94,7 +94,6 @@ class Pieces:
         self.byte_cost = UNKNOWN_PENALTY - least
         self.spell = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() if k in (NORMAL, USER) else b"" for p, k in zip(self.text, self.kind, strict=True)]
         self._ids: dict[str, bytes] = {}
-        self._log: list | None = None
 
     @classmethod
     def of(cls, model: bytes) -> Pieces:
@@ -162,32 +161,31 @@ class Pieces:
 
     # -- sums over all paths
 
-    def weighted(self) -> None:
-        """Log weights for sums over paths. Scores of this kind of file are negated ranks, not log probabilities: rank r weighs
-        1 / (r + 3); ranks beyond the vocabulary and bytes weigh as the last rank. The weights sum to one over pieces, bytes and end."""
-        if self._log is not None:
-            return
+    def weighted(self, counts: dict[int, float] | None = None) -> None:
+        """Set the log weights for sums over paths; they sum to one over pieces, bytes and end.
+
+        Scores of this kind of file are negated ranks, not log probabilities: rank r weighs 1 / (r + 3); ranks beyond the vocabulary,
+        bytes and the end weigh as the last rank. ``counts``, expected pieces under those weights, replace all but a share of them."""
         size = len(self.text)
         weight = [1 / (min(-s, size) + 3) if k in (NORMAL, USER) else 1 / (size + 3) if k == BYTE else 0.0 for s, k in zip(self.score, self.kind, strict=True)]
         end = 1 / (size + 3)
-        log_sum = math.log(sum(weight) + end)
-        self._log = [math.log(w) - log_sum if w else -math.inf for w in weight]
-        self.end_log = math.log(end) - log_sum
-        self.byte_log = math.log(1 / (size + 3)) - log_sum
-
-    def marginal(self, word: str) -> float:
-        """log10 of the summed probability of all segmentations of a word with its space in front: forward recursion in log space."""
-        self.weighted()
+        total = sum(weight) + end
+        weight, end = [w / total for w in weight], end / total
+        if counts:
+            seen, share = sum(counts.values()), 0.01
+            weight = [share * w + (1 - share) * counts.get(i, 0.0) / seen for i, w in enumerate(weight)]
+            end *= share
+        self.log = [math.log(w) if w else -math.inf for w in weight]
+        self.end_log = math.log(end)
+
+    def lattice(self, word: str) -> list[list[tuple[int, float, int]]]:
+        """For each position of the word with its space in front, the arcs that end there: (from, log weight, piece or -1 for bytes)."""
         s = SPACE + word.replace(SPACE, ESCAPED).replace(" ", SPACE)
-        n, log = len(s), self._log
-        incoming: list[list[float] | None] = [None] * (n + 1)
-        a = 0.0
+        n, log = len(s), self.log
+        arcs: list = [[] for _ in range(n + 1)]
         for i in range(n):
-            if i:
-                v = incoming[i]
-                incoming[i] = None
-                top = max(v)
-                a = top if len(v) == 1 else top + math.log(sum([math.exp(x - top) for x in v]))
+            if i and not arcs[i]:
+                continue
             node, j, single = self.trie, i, False
             while j < n:
                 node = node.get(s[j])
@@ -197,16 +195,41 @@ class Pieces:
                 arc = node.get("")
                 if arc is not None:
                     single |= j == i + 1
-                    if incoming[j] is None:
-                        incoming[j] = [a + log[arc[1]]]
-                    else:
-                        incoming[j].append(a + log[arc[1]])
+                    arcs[j].append((i, log[arc[1]], arc[1]))
             if not single:
-                x = a + self.byte_log * len((SPACE if s[i] == ESCAPED else s[i]).encode("utf-8", "replace"))
-                if incoming[i + 1] is None:
-                    incoming[i + 1] = [x]
-                else:
-                    incoming[i + 1].append(x)
-        v = incoming[n]
-        top = max(v)
-        return (top + math.log(sum([math.exp(x - top) for x in v]))) / math.log(10)
+                arcs[i + 1].append((i, sum(log[self.byte_id[b]] for b in (SPACE if s[i] == ESCAPED else s[i]).encode("utf-8", "replace")), -1))
+        return arcs
+
+    def forward(self, arcs: list) -> list[float]:
+        """Log of the summed weight of all paths to each position: the forward recursion, in log space."""
+        exp, log = math.exp, math.log
+        a = [0.0]
+        for incoming in arcs[1:]:
+            if len(incoming) == 1:
+                i, w, _ = incoming[0]
+                a.append(a[i] + w)
+            elif incoming:
+                v = [a[i] + w for i, w, _ in incoming]
+                top = max(v)
+                a.append(top + log(sum([exp(x - top) for x in v])))
+            else:
+                a.append(-math.inf)
+        return a
+
+    def marginal(self, word: str) -> float:
+        """log10 of the summed probability of all segmentations of a word with its space in front."""
+        return self.forward(self.lattice(word))[-1] / math.log(10)
+
+    def expect(self, word: str, times: float, into: dict[int, float]) -> None:
+        """Add the expected pieces of a word, over all segmentations by their weights."""
+        arcs = self.lattice(word)
+        a = self.forward(arcs)
+        share = [0.0] * len(arcs)  # posterior of passing each position
+        share[-1] = times
+        for j in range(len(arcs) - 1, 0, -1):
+            if share[j] > 0:
+                for i, w, k in arcs[j]:
+                    p = share[j] * math.exp(a[i] + w - a[j])
+                    share[i] += p
+                    if k >= 0:
+                        into[k] = into.get(k, 0.0) + p
