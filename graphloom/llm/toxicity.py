@@ -1,8 +1,8 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Presence of each hashed 3- to 5-gram of the lower-cased text is counted per class over *all* labelled training rows; the log ratio
-of the smoothed class rates scales the feature. Logistic weights on those scaled features are fitted on a bounded, class-balanced
-sample (``sample`` rows, the smallest by hash of the id) and the intercept is moved back to the true class odds.
+Presence of each hashed 3- to 5-gram of the lower-cased text is counted per class over a bounded sample of labelled rows
+(``per_class`` a class); the log ratio of the smoothed class rates scales the feature. Logistic weights on those scaled features are
+fitted on ``sample`` of these rows, balanced, and the intercept is moved back to the odds of all labels.
 
 Defined results: null and empty texts score the intercept alone; without labelled rows of both classes every score is 0.0; repeated
 rows are scored each on its own; columns other than the id and the text are ignored; an empty table gives an empty result.
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fold, map_text, table
+from graphloom.llm.common import fold, map_text, materialize, table
 
 BITS, NS = 20, (3, 4, 5)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -55,20 +55,32 @@ def count_classes(labelled: DataFrame, text_col: str, label_col: str) -> DataFra
         u = np.flatnonzero(counts.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[u, -1]), pa.array(np.r_[counts[0, u], docs[0]]), pa.array(np.r_[counts[1, u], docs[1]])], names=["bucket", "n0", "n1"])
 
-    rows = labelled.select(F.col(text_col).cast("string").alias("t"), F.col(label_col).cast("int").alias("y"))
+    rows = labelled.select(F.col(text_col).cast("string").alias("t"), F.col(label_col).cast("int").alias("y")).repartition(16)  # a bounded sample
     return rows.mapInArrow(run, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", features: int = 16384, sample: int = 4000, min_docs: int = 3, l2: float = 1e-3, rounds: int = 80) -> dict | None:
+def picked(docs: DataFrame, labels: DataFrame, odds: dict, id_col: str, text_col: str, label_col: str, per_class: int) -> DataFrame:
+    """(i, t, y) of at most ``per_class`` labelled ids a class, the smallest by hash. The ids are broadcast, so no text is shuffled.
+    The hash is cut near the quantile first, so the ordering sees about ``per_class`` ids whatever the number of labels."""
+    ids = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y in (0, 1)").dropDuplicates(["i"])
+    span = 1 << 30
+    near = {y: min(span, int(span * (1.2 * per_class + 1000) / odds.get(y, 1))) for y in (0, 1)}
+    one = [ids.where((F.col("y") == y) & (F.pmod(F.xxhash64("i"), F.lit(span)) < near[y])).orderBy(F.pmod(F.xxhash64("i"), F.lit(span)), "i").limit(per_class) for y in (0, 1)]
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
+    return texts.join(F.broadcast(one[0].union(one[1])), "i")
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 12_000, features: int = 16384, sample: int = 4000, min_docs: int = 3, l2: float = 1e-3, rounds: int = 80) -> dict | None:
     """The model: a bucket-to-feature table, a weight a feature and an intercept; None without rows of both classes.
 
-    ``features`` buckets with the largest chi-square-like weight are kept: the model's size is bounded. ``sample`` bounds the rows of
-    the weight fit; the ratios are counted over all rows."""
-    rows = labelled.where(F.col(label_col).isin(0, 1))
-    counts = count_classes(rows, text_col, label_col).persist()
+    The fit takes a bounded sample of the labelled rows: ``per_class`` ids a class for the ratios, ``sample`` of those rows, half a
+    class, for the weights. The ``features`` buckets of largest gain are kept, which bounds the model's size."""
+    spark = docs.sparkSession
+    odds = {r.y: r.n for r in labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(label_col).alias("y")).agg(F.count("*").alias("n")).collect()}
+    rows = materialize(picked(docs, labels, odds, id_col, text_col, label_col, per_class))
+    counts = materialize(count_classes(rows, "t", "y"))
     totals = counts.where("bucket = -1").collect()
     if not totals or not totals[0].n0 or not totals[0].n1:
-        counts.unpersist()
         return None
     d0, d1 = totals[0].n0, totals[0].n1
     ratio = F.log((F.col("n1") + 1.0) / (d1 + 2.0)) - F.log((F.col("n0") + 1.0) / (d0 + 2.0))
@@ -79,17 +91,10 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
         .limit(features)
         .collect()
     )
-    counts.unpersist()
     index = np.zeros(1 << BITS, np.int32)  # 0: not a feature
     r = np.zeros(len(best) + 1)
     for k, row in enumerate(best, 1):
         index[row.bucket], r[k] = k, row.r
-    spark = labelled.sparkSession
-    per_class = [
-        rows.where(F.col(label_col) == y).select(F.col(id_col).alias("i")).distinct().orderBy(F.xxhash64("i"), "i").limit(sample // 2)
-        for y in (0, 1)
-    ]
-    chosen = per_class[0].union(per_class[1])  # at most ``sample`` ids
     held = spark.sparkContext.broadcast(index)
 
     def make():
@@ -104,13 +109,13 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
 
         return run
 
-    picked = rows.join(F.broadcast(chosen), F.col(id_col).eqNullSafe(F.col("i")), "left_semi")
-    got = map_text(picked, F.col(text_col), make, "f binary", {"y": F.col(label_col).cast("int")}).collect()
+    per = [rows.where(F.col("y") == y).orderBy(F.xxhash64("i", F.lit(1)), "i").limit(sample // 2) for y in (0, 1)]
+    got = map_text(per[0].union(per[1]), F.col("t"), make, "f binary", {"y": F.col("y")}).collect()
     sets = [np.frombuffer(row.f, np.int32) for row in got]
     y = np.array([row.y for row in got], float)
     w, b = _logistic(sets, y, r, l2, rounds)
-    held.unpersist()
-    return {"index": index, "weight": (w * r).astype(np.float64), "bias": b + np.log(d1 / d0) - np.log(max(y.sum(), 0.5) / max(len(y) - y.sum(), 0.5))}
+    shift = np.log(odds[1] / odds[0]) - np.log(max(y.sum(), 0.5) / max(len(y) - y.sum(), 0.5))
+    return {"index": index, "weight": w * r, "bias": float(b + shift)}
 
 
 def _logistic(sets: list[np.ndarray], y: np.ndarray, r: np.ndarray, l2: float, rounds: int) -> tuple[np.ndarray, float]:
@@ -158,8 +163,8 @@ def score(docs: DataFrame, model: dict | None, keep: dict, text_col: str = "text
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic is not null").dropDuplicates(["doc_id"])
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic is not null")
     held_out = fold(F.col("doc_id"), 5) == 0
-    model = fit(docs.where(~held_out).join(labels, "doc_id"))
+    model = fit(docs, labels.where(~held_out))
     scored = score(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out})
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
