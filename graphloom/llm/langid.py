@@ -13,17 +13,19 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark import StorageLevel
 
-from graphloom.llm.common import fold, frequent, map_text, table
+from graphloom.llm.common import by_bytes, fold, frequent, map_text, table
 
 LETTERS = re.compile(r"[^\W\d_]+")
-ORDER, FLUSH, PIECE = 4, 300_000, 1 << 20
+#: Longest grams; entries that a task holds before it hands its counts on or forgets its scores.
+ORDER, FLUSH = 4, 100_000
 
 
 def words_of(text: bytes | None) -> list[str]:
@@ -31,43 +33,47 @@ def words_of(text: bytes | None) -> list[str]:
 
 
 def grams_of(word: str) -> list[str]:
-    """For each letter, the grams that start at it, longest first, are cut from the word with its edges marked."""
-    marked = f"<{word[:64]}>" if len(word) > 64 else f"<{word}>"
-    return [marked[i : i + n] for i in range(len(marked)) for n in range(1, ORDER + 1) if i + n <= len(marked)]
+    """All grams of the word with its edges marked."""
+    marked = f"<{word}>"
+    return [marked[i : i + n] for i in range(len(marked)) for n in range(1, min(ORDER, len(marked) - i) + 1)]
 
 
-def _emit(counts: dict, names: tuple) -> pa.RecordBatch:
-    keys = list(counts)
-    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], names=list(names))
+def _emit(by: dict[str, dict[str, int]]) -> Iterator[pa.RecordBatch]:
+    """One batch a language; empties the counts."""
+    for lang, counts in by.items():
+        keys = pa.array(list(counts), pa.string())
+        n = pa.array(list(counts.values()), pa.int64())
+        counts.clear()
+        yield pa.RecordBatch.from_arrays([keys, pa.array([lang] * len(keys), pa.string()), n], names=["key", "lang", "n"])
+    by.clear()
 
 
 def count_words(train: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     def run(batches):
         by: dict[str, Counter] = {}
         for batch in batches:
-            for text, lang in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by.setdefault(lang, Counter()).update(words_of(text))
-            if sum(map(len, by.values())) > FLUSH:
-                yield _emit({(w, lang): n for lang, c in by.items() for w, n in c.items()}, ("key", "lang", "n"))
-                by = {}
-        yield _emit({(w, lang): n for lang, c in by.items() for w, n in c.items()}, ("key", "lang", "n"))
-
-    rows = train.where(F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"))
+            for part in by_bytes(batch):
+                for lang, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                    by.setdefault(lang, Counter()).update(words_of(text))
+                if sum(map(len, by.values())) > FLUSH:
+                    yield from _emit(by)
+        yield from _emit(by)
+
+    rows = train.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t"))
     return rows.mapInArrow(run, "key string, lang string, n long").groupBy("key", "lang").agg(F.sum("n").alias("n"))
 
 
 def count_grams(words: DataFrame) -> DataFrame:
     def run(batches):
-        counts: dict[tuple, int] = {}
+        by: dict[str, dict[str, int]] = {}
         for batch in batches:
             for w, lang, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                counts = by.setdefault(lang, {})
                 for g in grams_of(w):
-                    k = (g, lang)
-                    counts[k] = counts.get(k, 0) + n
-            if len(counts) > FLUSH:
-                yield _emit(counts, ("key", "lang", "n"))
-                counts = {}
-        yield _emit(counts, ("key", "lang", "n"))
+                    counts[g] = counts.get(g, 0) + n
+            if sum(map(len, by.values())) > FLUSH:
+                yield from _emit(by)
+        yield from _emit(by)
 
     return words.mapInArrow(run, "key string, lang string, n long").groupBy("key", "lang").agg(F.sum("n").alias("n"))
 
@@ -95,21 +101,20 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", words:
         back[g] = [math.log((n + 0.5) / (t + 0.5 * v + 1)) for n, (t, v) in zip(c, of, strict=True)]
     counted.unpersist()
     counted_grams.unpersist()
-    return {"langs": langs, "known": known, "back": back}
+    return {"langs": langs, "known": known, "back": {g: i for i, g in enumerate(back)}, "rows": np.array(list(back.values())).reshape(len(back), len(langs))}
 
 
-def backed_off(word: str, model: dict) -> list[float]:
-    """Mean over the letters of the log frequency of the longest known gram that starts there; letters never seen count nothing."""
-    back, marked = model["back"], f"<{word}>"
-    total, n = [0.0] * len(model["langs"]), 0
+def backed_off(word: str, index: dict[str, int]) -> list[int]:
+    """For each letter of the word with its edges marked, the row of the longest known gram that starts there, if any."""
+    marked, out = f"<{word}>", []
+    get = index.get
     for i in range(len(marked)):
-        for k in range(ORDER, 0, -1):
-            s = back.get(marked[i : i + k]) if i + k <= len(marked) else None
-            if s is not None:
-                total = [a + b for a, b in zip(total, s, strict=True)]
-                n += 1
+        for k in (4, 3, 2, 1):
+            row = get(marked[i : i + k])
+            if row is not None:
+                out.append(row)
                 break
-    return [x / n for x in total] if n else total
+    return out
 
 
 def predict(docs: DataFrame, model: dict, keep: dict, text_col: str = "text") -> DataFrame:
@@ -118,29 +123,30 @@ def predict(docs: DataFrame, model: dict, keep: dict, text_col: str = "text") ->
 
     def make():
         m = held.value
-        langs = m["langs"]
+        langs, known = m["langs"], m["known"]
         index: dict[str, int] = {}
-        rows: list = []
+        rows = np.empty((FLUSH, len(langs)))
 
         def scores(words: list[str]) -> np.ndarray:
             """Sum over the words; new ones are scored once and remembered, up to a bound."""
-            nonlocal rows
-            if len(rows) > FLUSH:
-                index.clear()
-                rows = []
-            ids = []
+            total = np.zeros(len(langs))
+            ids, times = [], []
             for w, n in Counter(words).items():
                 k = index.get(w)
                 if k is None:
-                    k = index[w] = len(rows)
-                    rows.append(m["known"].get(w) or backed_off(w, m))
-                ids.append((k, n))
-            out = np.zeros(len(langs))
-            for k, n in ids:
-                r = rows[k]
-                for j in range(len(langs)):
-                    out[j] += n * r[j]
-            return out
+                    if len(index) == FLUSH:
+                        total += np.array(times, float) @ rows[ids]
+                        ids, times = [], []
+                        index.clear()
+                    k = index[w] = len(index)
+                    row = known.get(w)
+                    if row is None:
+                        back = backed_off(w, m["back"])
+                        row = m["rows"][back].mean(0) if back else 0.0
+                    rows[k] = row
+                ids.append(k)
+                times.append(n)
+            return total + np.array(times, float) @ rows[ids] if ids else total
 
         def run(texts):
             pred, score = [], []
