@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from graphloom.llm import langid, lm, quality, sentencepiece, toxicity
+import corpus_pipeline
+from graphloom.llm import decontaminate, egojoin, langid, licenses, lm, minhash, quality, sentencepiece, sharding, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.query,
         "op2_language_id": langid.query,
+        "op3_embedding_near_dedup": egojoin.query,
+        "op4_decontamination": decontaminate.query,
         "op5_sentencepiece": sentencepiece.query,
+        "op6_sharding": sharding.query,
+        "op7_license_scan": licenses.query,
         "op8_quality": quality.query,
         "op9_lm_score": lm.query,
+        "op10_minhash_near_dedup": minhash.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_license_scan": licenses.oracle()}
