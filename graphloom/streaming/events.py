@@ -33,7 +33,9 @@ def debounced(events: DataFrame, gap: str = "200 milliseconds", watermark: str |
     Works on a batch or, with a watermark, on a stream."""
     source = events.withWatermark("ts", watermark) if watermark else events
     bursts = source.groupBy("path", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.max_by("event_type", F.struct("ts", "event_type")).alias("last_type"))
-    return bursts.select("path", F.col("w.start").alias("started"), F.col("w.end").alias("released"), "n", "last_type")
+    # sessions merge only beside an aggregate, so the ends read the count: pruning must not take it away
+    end = lambda c: F.when(F.col("n") > 0, F.col(f"w.{c}"))
+    return bursts.select("path", end("start").alias("started"), end("end").alias("released"), "n", "last_type")
 
 
 def batches(released: DataFrame, seconds: int = 60, most: int = 50) -> DataFrame:
