@@ -132,7 +132,7 @@ LANGUAGES: dict[str, Language] = {
         ],
         [(r"\brequire\s*\(?\s*(?P<module>['\"][^'\"]+['\"])", "require")],
         (r"--\[\[.*?\]\]", r"--[^\n]*"), (DQ, SQ, r"\[\[.*?\]\]"), "end", r"\bfunction\b|\bdo\b|(?<!else)\bif\b",
-        call=r"([A-Za-z_]\w*(?:[.:][A-Za-z_]\w*)*)\s*\(", method=False,
+        call=r"(?<!\w)([A-Za-z_]\w*+(?:[.:][A-Za-z_]\w*+)*+)\s*\(", method=False,
     ),
     "swift": Language(
         [
@@ -172,7 +172,7 @@ LANGUAGES: dict[str, Language] = {
             Rule(r"^[ \t]*defp\s+(?P<name>\w+[?!]?)", "function", "private {name}", scope="function"),
         ],
         [(r"^[ \t]*(?:alias|import)\s+(?P<module>[\w.]+)", "import"), (r"^[ \t]*require\s+(?P<module>[\w.]+)", "require"), (r"^[ \t]*use\s+(?P<module>[\w.]+)", "use")],
-        HASH, (r'"""(?:\\.|[^\\])*?"""', DQ, SQ), "end", r"\bdo\b(?!:)|\bfn\b", call=r"([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*[?!]?)\(", caller="none", method=False,
+        HASH, (r'"""(?:\\.|[^\\])*?"""', DQ, SQ), "end", r"\bdo\b(?!:)|\bfn\b", call=r"(?<!\w)([A-Za-z_]\w*+(?:\.[A-Za-z_]\w*+)*+[?!]?)\(", caller="none", method=False,
         keywords=KEYWORDS | frozenset({"def", "defp", "defmodule", "defmacro"}),
     ),
     "dart": Language(

@@ -40,7 +40,7 @@ class Language:
     strings: tuple[str, ...] = (r'"(?:\\.|[^"\\\n])*"', r"'(?:\\.|[^'\\\n])*'")
     blocks: str = "brace"  # brace, end, indent, line
     openers: str = ""  # words that an ``end`` closes
-    call: str = rf"({NAME}(?:(?:\.|::|->|\?\.){NAME})*)!?\s*\("
+    call: str = rf"(?<![\w$])({NAME}+(?:(?:\.|::|->|\?\.){NAME}+)*+)!?\s*\("
     caller: str = "function"  # function, type or none
     method: bool = True  # functions inside a type are methods
     doc: str = r"(?://+|/\*\*?|#+|--+|\*)\s?(.*?)\s*(?:\*/)?$"
