@@ -173,24 +173,26 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent
 
 
 def blocks(large: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int, text_col: str) -> DataFrame:
-    """Links across components inside large buckets: (bucket, id, comp, n) -> (a, b), a spanning forest a pair of blocks."""
+    """Links across components inside large buckets: (bucket, id, comp, n) -> (a, b), a spanning forest a pair of blocks.
+
+    Members outside a bucket's largest component are few after the star step; they alone meet all members, block by block."""
     least = least_matches(percent)
+    sizes = large.groupBy("bucket", "comp").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), (F.sum("m") - F.max("m")).alias("others"))
     wanted = materialize(large.select("id").distinct().join(reps, "id").select("uid", "id", "sig"))
     sets = materialize(sets_of(docs, wanted.select("uid", "id"), k, text_col))
-    n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = (
-        large.withColumn("blocks", n_blocks)
-        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "comp")
-        .join(wanted.select("id", "sig"), "id")
-        .join(sets, "id")
-    )
+    block = lambda n: F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int") - 1))
+    placed = large.join(main, "bucket")
+    members = placed.select("bucket", "id", "comp", F.lit(False).alias("other"), block(F.col("n")).alias("p"), every(F.col("others")).alias("q"))
+    others = placed.where("comp != main").select("bucket", "id", "comp", F.lit(True).alias("other"), every(F.col("n")).alias("p"), block(F.col("others")).alias("q"))
+    rows = members.unionByName(others).join(wanted.select("id", "sig"), "id").join(sets, "id")
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(group.sig), np.uint32).reshape(-1, BANDS * ROWS)
         items = [np.frombuffer(x, np.uint64) for x in group["items"]]
-        ids, own, comp = group.id.to_numpy(), group.own.to_numpy(), group.comp.to_numpy()
+        ids, comp, side = group.id.to_numpy(), group.comp.to_numpy(), group.other.to_numpy()
+        inside = np.flatnonzero(~side)
         root = {c: c for c in comp.tolist()}
 
         def find(c):
@@ -199,10 +201,9 @@ def blocks(large: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent:
                 c = root[c]
             return c
 
-        cross = group.p.iloc[0] != group.q.iloc[0]
         links = []
-        for i in range(len(ids)):
-            other = np.flatnonzero((np.arange(len(ids)) > i) & ((own != own[i]) | (not cross)) & (comp != comp[i]))
+        for i in np.flatnonzero(side).tolist():
+            other = inside[comp[inside] != comp[i]]
             for step, m in enumerate(least, 1):
                 if len(other):
                     other = other[(sig[other, : step * BATCH] == sig[i, : step * BATCH]).sum(1) >= m]
