@@ -30,13 +30,21 @@ UNITS = (
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
 
 
-def tokens(text: Column) -> Column:
-    """Lower-cased words and marked slots."""
-    plain = F.translate(text, NAME + NUMBER + UNIT, "   ")
-    named = F.regexp_replace(plain, r"(?<=[^.!?:\s] )(?=\p{Lu}\p{Ll})", NAME)
-    numbered = F.regexp_replace(named, r"(?<![\p{L}\d.,])(?=\d)", NUMBER)
+def tokenised(rows: DataFrame, text: str) -> DataFrame:
+    """Replace the text column by tokens, lower-cased words and marked slots, and marked (there may be slots).
+
+    Each step is a column of its own, read by more than one other, so that none is computed twice; texts without digits skip the
+    expressions for numbers and units."""
+    others = [c for c in rows.columns if c != text]
+    foreign = F.contains(F.col(text), F.lit(NAME)) | F.contains(F.col(text), F.lit(NUMBER)) | F.contains(F.col(text), F.lit(UNIT))
+    plain = rows.select(*others, F.when(foreign, F.translate(text, NAME + NUMBER + UNIT, "   ")).otherwise(F.col(text)).alias("t"))
+    named = plain.select(*others, F.regexp_replace("t", r"([^.!?:\s]) (?=\p{Lu}\p{Ll})", "$1 " + NAME).alias("t"), F.col("t").rlike("[0-9]").alias("digits"))
+    numbered = F.regexp_replace("t", r"(?<![\p{L}\d.,])(?=\d)", NUMBER)
     united = F.regexp_replace(numbered, rf"(?<=\d ?)(?=(?:{'|'.join(UNITS)})(?![\p{{L}}\d]))", UNIT)
-    return F.regexp_extract_all(F.lower(united), F.lit(rf"{NUMBER}\d+(?:[.,]\d+)*|[{NAME}{UNIT}]?[\p{{L}}\d]+"), F.lit(0))
+    low = named.select(*others, "digits", F.lower(F.when(F.col("digits"), united).otherwise(F.col("t"))).alias("t"))
+    found = F.regexp_extract_all("t", F.lit(rf"{NUMBER}\d+(?:[.,]\d+)*|[{NAME}{UNIT}]?[\p{{L}}\d]+"), F.lit(0))
+    words = F.array_remove(F.split("t", rf"[^\p{{L}}{NAME}]+"), "")
+    return low.select(*others, F.when(F.col("digits"), found).otherwise(words).alias("tokens"), (F.col("digits") | F.contains("t", F.lit(NAME))).alias("marked"))
 
 
 def _typed(t: Column) -> Column:
@@ -49,30 +57,31 @@ def _slot(t: Column) -> Column:
 
 
 def windows(rows: DataFrame, size: int) -> DataFrame:
-    """Add pos, hash, and the slots (or null) at the window's first and last token, one row a window of ``size`` tokens."""
-    hashed = rows.withColumn("h", F.transform("tokens", lambda t: F.xxhash64(_typed(t)))).where(F.size("tokens") >= size)
-    each = F.transform(
-        F.sequence(F.lit(0), F.size("tokens") - size),
-        lambda i: F.struct(F.xxhash64(*(F.get("h", i + k) for k in range(size))).alias("hash"), _slot(F.get("tokens", i)).alias("first"), _slot(F.get("tokens", i + size - 1)).alias("last")),
-    )
-    kept = [c for c in rows.columns if c != "tokens"]
+    """Add pos, hash, and the slots (or null) at the window's first and last token, one row a window of ``size`` tokens. Texts without
+    slots take shorter expressions to the same hashes. No filter reads the tokens, as it would be pushed below them and compute them again."""
+    kept = [c for c in rows.columns if c not in ("tokens", "marked")]
+    typed = F.transform("tokens", lambda t: F.xxhash64(_typed(t)))
+    hashed = rows.withColumn("h", F.when(F.col("marked"), typed).otherwise(F.transform("tokens", lambda t: F.xxhash64(t))))
+    none = F.lit(None).cast("string")
+    window = lambda i, first, last: F.struct(F.xxhash64(*(F.get("h", i + k) for k in range(size))).alias("hash"), first.alias("first"), last.alias("last"))
+    starts = F.sequence(F.lit(0), F.size("h") - size)
+    slotted = F.transform(starts, lambda i: window(i, _slot(F.get("tokens", i)), _slot(F.get("tokens", i + size - 1))))
+    each = F.when(F.size("h") < size, None).when(F.col("marked"), slotted).otherwise(F.transform(starts, lambda i: window(i, none, none)))
     return hashed.select(*kept, F.posexplode(each).alias("pos", "w")).select(*kept, "pos", "w.hash", "w.first", "w.last")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(uid, item_id, n_windows, exact): each document (by its uid column) and item that it leaks."""
-    items = materialize(
-        benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.monotonically_increasing_id().alias("row"), tokens(F.col(item_text).cast("string")).alias("tokens"))
-        .where(F.size("tokens") > 0)
-        .withColumn("size", F.least(F.size("tokens"), F.lit(WINDOW)))
-    )
+    named = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.monotonically_increasing_id().alias("row"), F.col(item_text).cast("string").alias("t"))
+    items = materialize(tokenised(named.where("t is not null"), "t").withColumn("size", F.least(F.size("tokens"), F.lit(WINDOW)))).where("size > 0")
     pieces = docs.select("uid", F.col(text_col).cast("string").alias("t")).where("t is not null and t != ''")
     starts = F.when(F.length("t") > PIECE, F.sequence(F.lit(0), F.length("t"), F.lit(PIECE))).otherwise(F.array(F.lit(0)))
-    cut = pieces.select("uid", "t", F.explode(starts).alias("piece")).select("uid", "piece", tokens(F.when(F.length("t") > PIECE, F.substring(F.col("t"), F.col("piece") + 1, F.lit(PIECE + OVERLAP))).otherwise(F.col("t"))).alias("tokens"))
+    whole = pieces.select("uid", "t", F.explode(starts).alias("piece"))
+    cut = tokenised(whole.select("uid", "piece", F.when(F.length("t") > PIECE, F.substring(F.col("t"), F.col("piece") + 1, F.lit(PIECE + OVERLAP))).otherwise(F.col("t")).alias("t")), "t")
     hits = None
     for size in sorted(r.size for r in items.select("size").distinct().collect()):  # 1 to WINDOW
         literal = F.size(F.filter("tokens", lambda t: F.ascii(t) > 3))
-        of = items.where(F.col("size") == size).select("item_id", "row", "tokens", (F.size("tokens") - size + 1).alias("of"))
+        of = items.where(F.col("size") == size).select("item_id", "row", "tokens", "marked", (F.size("tokens") - size + 1).alias("of"))
         index = windows(of, size).select("hash", "item_id", "row", "of", F.col("pos").alias("item_pos"), F.col("first").alias("item_first"), F.col("last").alias("item_last"))
         words = of.select("row", "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - size)).alias("item_pos")).withColumn("tokens", F.slice("tokens", F.col("item_pos") + 1, size)).where(2 * literal >= size).select("row", "item_pos")
         index = materialize(index.join(words, ["row", "item_pos"], "left_semi"))
