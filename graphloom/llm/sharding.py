@@ -108,9 +108,17 @@ def best_fit(sizes: list[int], capacity: int, most: int) -> list[int] | None:
 
 
 def pack(sizes: list[int], shards: int) -> list[int]:
-    """Bins 0 to shards - 1 for sizes in falling order, at about the least capacity that needs no more bins."""
+    """Bins 0 to shards - 1 for sizes in falling order, at about the least capacity that needs no more bins.
+
+    A size above the mean of what is left has a bin of its own, so that it doesn't raise the capacity of the others."""
     if not sizes:
         return []
+    left, own = sum(sizes), 0
+    while own < shards - 1 and own < len(sizes) and sizes[own] * (shards - own) > left:
+        left -= sizes[own]
+        own += 1
+    if own:
+        return [*range(own), *(own + b for b in pack(sizes[own:], shards - own))]
     low = max(sizes[0], -(-sum(sizes) // shards))
     high = low + sizes[0]
     found = best_fit(sizes, high, shards)
