@@ -206,3 +206,15 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def oracle() -> str:
+    """The same by brute force in SQL."""
+    return """
+with recursive v as (select vec_id, max(cast(embedding as double[])) as e from embeddings where vec_id is not null group by vec_id),
+u as (select vec_id, e from v where e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and list_sum(list_transform(e, lambda x: x * x)) > 0),
+l as (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.95),
+reach as (select a, b from l union select reach.a, l.b from reach join l on reach.b = l.a)
+select v.vec_id, coalesce(n, 0) as n_links, least(v.vec_id, coalesce(c, v.vec_id)) as component_id, least(v.vec_id, coalesce(c, v.vec_id)) = v.vec_id as kept
+from v left join (select a as vec_id, count(*) as n from l group by a) using (vec_id) left join (select a as vec_id, min(b) as c from reach group by a) using (vec_id)
+union all select null, 0, null, false from embeddings where vec_id is null"""

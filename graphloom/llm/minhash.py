@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import components, map_text, materialize, table
 
 BANDS, ROWS, BATCH, MISS = 26, 5, 26, 1e-5
-#: Members of a bucket whose open pairs are listed; members of a block beyond that; ids that may be broadcast (32 MB).
-SMALL, BLOCK, MOST_IDS = 48, 256, 4_000_000
+#: Members of a bucket whose open pairs are listed; members of a block beyond that; pairs of ids that may be broadcast (32 MB).
+SMALL, BLOCK, MOST_IDS = 48, 256, 2_000_000
 _SEED = np.random.default_rng(20240229)
 _A = (_SEED.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _SEED.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -257,3 +257,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs, k=2).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def oracle() -> str:
+    """The query's rows by brute force in SQL: all pairs of shingle sets that share a shingle."""
+    return r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) < 2 then w else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as g from d),
+keyed as (select doc_id, g, len(g) as n, md5(array_to_string(list_sort(g), chr(10))) as k from s),
+rep as (select k, min(doc_id) as r, any_value(g) as g, any_value(n) as n from keyed where n > 0 group by k),
+sh as (select r, n, unnest(g) as h from rep),
+common as (select h from sh group by h having count(*) > 1),
+held as (select sh.* from sh semi join common using (h)),
+p as (select a.r as a, b.r as b, count(*) as i, any_value(a.n) as na, any_value(b.n) as nb from held a join held b on a.h = b.h and a.r < b.r and 100 * a.n >= 80 * b.n and 100 * b.n >= 80 * a.n group by a.r, b.r),
+l as (select a, b from p where 100 * i >= 80 * (na + nb - i)),
+both_ as (select a, b from l union all select b, a from l),
+reach as (select a, b from both_ union select reach.a, both_.b from reach join both_ on reach.b = both_.a),
+c as (select r, least(r, coalesce(m, r)) as c from rep left join (select a as r, min(b) as m from reach group by a) using (r))
+select doc_id, cast(keyed.n as bigint) as n_shingles, coalesce(c, doc_id) as component_id, coalesce(coalesce(c, doc_id) = doc_id, true) as kept
+from keyed left join rep using (k) left join c using (r)"""

@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_license_scan": licenses.oracle()}
+    return {"op3_embedding_near_dedup": egojoin.oracle(), "op7_license_scan": licenses.oracle(), "op10_minhash_near_dedup": minhash.oracle()}

@@ -180,3 +180,22 @@ def test_decontamination_across_a_cut(spark):
         docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
         bench = spark.createDataFrame([(5, ITEM)], "item_id long, text string")
         assert decontaminate.scan(docs, bench, {"doc_id": F.col("doc_id")}).first().contaminated
+
+
+def test_pair_sql(spark, tmp_path):
+    """The SQL of the joins on planted links."""
+    import duckdb
+
+    docs = spark.createDataFrame(near_copies(random.Random(5), 6, 20), "doc_id long, text string").unionByName(edges.documents(spark).select("doc_id", "text").where("doc_id is null or doc_id > 1000"))
+    x = vectors(np.random.default_rng(1), 200, 8, 15)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(500, None), (501, [0.0] * 8)], "vec_id long, embedding array<float>")
+    at = edges.sf_dir(spark, tmp_path, documents=docs, embeddings=df)
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{at}/{t}.parquet/*.parquet'")
+    for module, links in ((minhash, None), (egojoin, 1)):
+        want = sorted(map(repr, con.execute(module.oracle()).fetchall()))
+        rows = [tuple(r) for r in module.query(spark, at).collect()]
+        assert sorted(map(repr, rows)) == want
+        assert len({r[2] for r in rows}) < len(rows)
+        assert links is None or any(r[1] for r in rows)
