@@ -59,6 +59,7 @@ def map_text(df: DataFrame, text: Column, make: Callable[[], Callable[[list], li
                 values = part.column(len(names)).cast(pa.binary()).to_pylist()
                 out = fn(values)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), *out], names=[*names, *out_names])
+            pa.default_memory_pool().release_unused()  # workers are kept; what a large batch took goes back
 
     out_names = [f.strip().split(" ")[0] for f in split_top(schema)]
     return source.mapInArrow(run, f"{kept}, {schema}" if kept else schema)

@@ -25,7 +25,7 @@ from graphloom.llm.common import by_bytes, fold, frequent, map_text, table
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Longest grams; entries that a task holds before it hands its counts on or forgets its scores.
-ORDER, FLUSH = 4, 100_000
+ORDER, FLUSH, HELD = 4, 100_000, 200_000
 
 
 def words_of(text: bytes | None) -> list[str]:
@@ -123,30 +123,43 @@ def predict(docs: DataFrame, model: dict, keep: dict, text_col: str = "text") ->
 
     def make():
         m = held.value
-        langs, known = m["langs"], m["known"]
+        langs, known, back = m["langs"], m["known"], m["back"]
         index: dict[str, int] = {}
-        rows = np.empty((FLUSH, len(langs)))
+        rows = np.empty((HELD, len(langs)))
+
+        def fill(at: list[int], of: np.ndarray, picked: list[list[int]]) -> None:
+            """Means of the picked rows of ``of``, one list a place."""
+            sizes = np.array([len(p) for p in picked])
+            sums = np.add.reduceat(of[np.fromiter((i for p in picked for i in p), np.int64, sizes.sum())], np.r_[0, np.cumsum(sizes)[:-1]], axis=0)
+            rows[at] = sums / sizes[:, None]
 
         def scores(words: list[str]) -> np.ndarray:
-            """Sum over the words; new ones are scored once and remembered, up to a bound."""
-            total = np.zeros(len(langs))
-            ids, times = [], []
-            for w, n in Counter(words).items():
+            """Sum over the words; new ones are scored once, those of a text together, and remembered, up to a bound."""
+            counts = Counter(words)
+            if len(index) + len(counts) > HELD:
+                index.clear()
+            if len(counts) > HELD:  # a text of more distinct words than are held goes in parts
+                half = list(counts.elements())  # equal words side by side
+                return scores(half[: len(half) // 2]) + scores(half[len(half) // 2 :])
+            ids, at, picked = [], [], []
+            for w in counts:
                 k = index.get(w)
                 if k is None:
-                    if len(index) == FLUSH:
-                        total += np.array(times, float) @ rows[ids]
-                        ids, times = [], []
-                        index.clear()
                     k = index[w] = len(index)
                     row = known.get(w)
-                    if row is None:
-                        back = backed_off(w, m["back"])
-                        row = m["rows"][back].mean(0) if back else 0.0
-                    rows[k] = row
+                    if row is not None:
+                        rows[k] = row
+                    else:
+                        found = backed_off(w, back)
+                        if found:
+                            at.append(k)
+                            picked.append(found)
+                        else:
+                            rows[k] = 0.0
                 ids.append(k)
-                times.append(n)
-            return total + np.array(times, float) @ rows[ids] if ids else total
+            if at:
+                fill(at, m["rows"], picked)
+            return np.fromiter(counts.values(), float, len(counts)) @ rows[ids]
 
         def run(texts):
             pred, score = [], []
