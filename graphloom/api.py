@@ -58,6 +58,9 @@ class CodeGraph:
         self.tables["ranks"] = graph.combined_rank(self.symbols, self.refs, found)
         return relational.top_ranks(self.ranks)
 
+    def call_ranks(self, n: int = 20) -> list:
+        return relational.top_ranks(self.ranks, n).collect()
+
     def stats(self) -> DataFrame:
         return relational.stats(self.files, self.symbols, self.refs)
 
@@ -83,6 +86,7 @@ class CodeGraph:
         return graph.edit_plan(self.symbols, self.refs, symbol, changes)
 
     def dead_code_verify(self, symbol: str, stages: tuple[str, ...] = STAGES, commits: DataFrame | None = None) -> DataFrame:
+        """``commits`` comes from ``sources.commits``; without it the history stage gives nothing."""
         return graph.dead_code(self.symbols, self.refs, symbol, tuple(stages), commits)
 
     def cross_module_move(self, symbol: str, module: str, update_imports: bool = True) -> DataFrame:

@@ -144,3 +144,36 @@ def test_service(code):
     assert ask("tools/call", name="stats", arguments={"preferredFormat": "toon"})["result"]["content"].startswith("results[1]{files,symbols,refs}:")
     assert ask("impact_deep", symbol="parse")["result"]["content"]["layers"][0]["symbols"] == ["load"]
     assert ask("nonsense")["error"]["code"] == -32008
+
+
+def test_command_line(spark, code, tmp_path, capsys):
+    from graphloom import cli
+
+    _, root = code
+    at = str(tmp_path / "index")
+    run = lambda *a: (cli.main(["--index", at, *a], spark), capsys.readouterr().out)
+    code_, said = run("init", root)
+    assert code_ == 0 and json.loads(said)["results"][0]["files"] == 3
+    assert json.loads(run("search", "load", "--limit", "2")[1])["count"] == 2
+    assert json.loads(run("neighbors", "parse")[1])["results"][0]["caller_symbol"] == "load"
+    assert "digraph" in run("graph", "parse")[1] and "digraph" in run("graph")[1]
+    assert len(json.loads(run("rank")[1])["results"]) >= 4
+    assert run("--format", "text", "stats")[1].split() == ["3", "6", "5"] or run("--format", "text", "stats")[1].split()[0] == "3"
+    assert json.loads(run("reindex", root)[1])["results"][0]["files"] == 3
+    with pytest.raises(SystemExit):
+        cli.main(["unknown"], spark)
+
+
+def test_commits(spark, tmp_path):
+    import subprocess
+
+    from graphloom.sources.commits import last_commits
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@example.com", *a], check=True, capture_output=True)
+    assert last_commits(spark, str(tmp_path / "none")).count() == 0
+    git("init", "-q")
+    for i, name in enumerate(("a.py", "b.py", "a.py")):
+        (tmp_path / name).write_text(str(i))
+        git("add", ".")
+        git("commit", "-qm", f"Change {i}")
+    assert {(r.path, r.message) for r in last_commits(spark, str(tmp_path)).collect()} == {("a.py", "Change 2"), ("b.py", "Change 1")}
