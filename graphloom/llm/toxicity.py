@@ -2,7 +2,7 @@
 
 Presence of each hashed 3- to 5-gram of the lower-cased text is counted per class over a bounded sample of labelled rows
 (``per_class`` a class); the log ratio of the smoothed class rates scales the feature. Logistic weights on those scaled features are
-fitted on ``sample`` of these rows, balanced, and the intercept is moved back to the odds of all labels.
+fitted on about ``sample`` of these rows, balanced, and the intercept is moved back to the odds of all labels.
 
 Defined results: null and empty texts score the intercept alone; without labelled rows of both classes every score is 0.0; repeated
 rows are scored each on its own; columns other than the id and the text are ignored; an empty table gives an empty result.
@@ -70,11 +70,12 @@ def picked(docs: DataFrame, labels: DataFrame, odds: dict, id_col: str, text_col
     return texts.join(F.broadcast(one[0].union(one[1])), "i")
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 12_000, features: int = 16384, sample: int = 4000, min_docs: int = 3, l2: float = 1e-3, rounds: int = 80) -> dict | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 12_000, features: int = 16384, sample: int = 4000, min_docs: int = 3, least_ratio: float = 1.5, l2: float = 1e-3, rounds: int = 80) -> dict | None:
     """The model: a bucket-to-feature table, a weight a feature and an intercept; None without rows of both classes.
 
-    The fit takes a bounded sample of the labelled rows: ``per_class`` ids a class for the ratios, ``sample`` of those rows, half a
-    class, for the weights. The ``features`` buckets of largest gain are kept, which bounds the model's size."""
+    The fit takes a bounded sample of the labelled rows: ``per_class`` ids a class for the ratios, about ``sample`` of those rows, half
+    a class, for the weights. The ``features`` buckets of largest gain are kept, which bounds the model's size, and of them those whose
+    log ratio is at least ``least_ratio``: thousands of weak n-grams would add up in very long texts."""
     spark = docs.sparkSession
     odds = {r.y: r.n for r in labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(label_col).alias("y")).agg(F.count("*").alias("n")).collect()}
     rows = materialize(picked(docs, labels, odds, id_col, text_col, label_col, per_class))
@@ -87,6 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     best = (
         counts.where((F.col("bucket") >= 0) & (F.col("n0") + F.col("n1") >= min_docs))
         .select("bucket", ratio.alias("r"), (F.abs(ratio) * F.sqrt(F.col("n0") / d0 + F.col("n1") / d1)).alias("gain"))
+        .where(F.abs("r") >= least_ratio)
         .orderBy(F.desc("gain"), "bucket")
         .limit(features)
         .collect()
@@ -109,8 +111,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         return run
 
-    per = [rows.where(F.col("y") == y).orderBy(F.xxhash64("i", F.lit(1)), "i").limit(sample // 2) for y in (0, 1)]
-    got = map_text(per[0].union(per[1]), F.col("t"), make, "f binary", {"y": F.col("y")}).collect()
+    span = 1 << 30
+    share = F.when(F.col("y") == 1, F.lit(sample / 2 / d1)).otherwise(F.lit(sample / 2 / d0))
+    chosen = rows.where(F.pmod(F.xxhash64("i", F.lit(1)), F.lit(span)) < share * span)
+    got = map_text(chosen, F.col("t"), make, "f binary", {"y": F.col("y")}).collect()
     sets = [np.frombuffer(row.f, np.int32) for row in got]
     y = np.array([row.y for row in got], float)
     w, b = _logistic(sets, y, r, l2, rounds)
