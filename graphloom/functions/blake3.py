@@ -39,28 +39,68 @@ def _compress(cv: np.ndarray, words: np.ndarray, counter: np.ndarray, length: np
     return np.stack([v[i] ^ v[i + 8] for i in range(8)], 1)
 
 
-def blake3_hex(data: bytes) -> str:
-    chunks = max(1, -(-len(data) // CHUNK))
-    words = np.frombuffer(data.ljust(chunks * CHUNK, b"\0"), "<u4").reshape(chunks, CHUNK // BLOCK, 16)
-    sizes = np.full(chunks, CHUNK)
-    sizes[-1] = len(data) - (chunks - 1) * CHUNK
+def blake3_many(texts: list[bytes]) -> list[str]:
+    """Hex hashes of many texts. The chunks of all texts are compressed side by side, then their trees level by level."""
+    if not texts:
+        return []
+    n = np.array([max(1, -(-len(t) // CHUNK)) for t in texts])
+    words = np.frombuffer(b"".join(t.ljust(k * CHUNK, b"\0") for t, k in zip(texts, n, strict=True)), "<u4").reshape(-1, CHUNK // BLOCK, 16)
+    first = np.r_[0, np.cumsum(n)[:-1]]
+    sizes = np.full(len(words), CHUNK)
+    sizes[first + n - 1] = [len(t) - (k - 1) * CHUNK for t, k in zip(texts, n, strict=True)]
+    counter = (np.arange(len(words)) - np.repeat(first, n)).astype(np.uint64)
+    alone = np.repeat(n == 1, n)
     last = np.maximum(1, -(-sizes // BLOCK)) - 1  # each chunk's last block
-    cv = np.tile(IV, (chunks, 1))
-    counter = np.arange(chunks, dtype=np.uint64)
+    cv = np.tile(IV, (len(words), 1))
     with np.errstate(over="ignore"):
         for b in range(int(last.max()) + 1):
             at = np.flatnonzero(last >= b)
-            flags = (CHUNK_START if b == 0 else 0) + CHUNK_END * (last[at] == b) + ROOT * ((last[at] == b) & (chunks == 1))
+            flags = (CHUNK_START if b == 0 else 0) + CHUNK_END * (last[at] == b) + ROOT * ((last[at] == b) & alone[at])
             cv[at] = _compress(cv[at], words[at, b], counter[at], np.clip(sizes[at] - b * BLOCK, 0, BLOCK), flags)
-        while len(cv) > 1:  # parents pair up from the left; an odd one waits, which gives the tree of the specification
-            pairs = len(cv) // 2
-            top = len(cv) == 2
-            up = _compress(np.tile(IV, (pairs, 1)), cv[: 2 * pairs].reshape(pairs, 16), np.zeros(pairs, np.uint64), np.full(pairs, BLOCK), np.full(pairs, PARENT + ROOT * top))
-            cv = np.concatenate([up, cv[2 * pairs :]])
-    return cv[0].astype("<u4").tobytes().hex()
+        while int(n.max()) > 1:  # parents pair up from the left; an odd one waits, which gives the tree of the specification
+            first = np.r_[0, np.cumsum(n)[:-1]]
+            pairs = n // 2
+            inner = np.arange(pairs.sum()) - np.repeat(np.r_[0, np.cumsum(pairs)[:-1]], pairs)
+            left = np.repeat(first, pairs) + 2 * inner
+            top = np.repeat(n == 2, pairs)
+            up = _compress(np.tile(IV, (len(left), 1)), np.concatenate([cv[left], cv[left + 1]], 1), np.zeros(len(left), np.uint64), np.full(len(left), BLOCK), PARENT + ROOT * top)
+            after = pairs + n % 2
+            start = np.r_[0, np.cumsum(after)[:-1]]
+            new = np.empty((after.sum(), 8), np.uint32)
+            new[np.repeat(start, pairs) + inner] = up
+            odd = np.flatnonzero(n % 2)
+            new[start[odd] + pairs[odd]] = cv[first[odd] + n[odd] - 1]
+            cv, n = new, after
+    return [c.tobytes().hex() for c in cv.astype("<u4")]
+
+
+def blake3_hex(data: bytes) -> str:
+    return blake3_many([data])[0]
+
+
+#: Bytes hashed side by side.
+BATCH = 4_000_000
 
 
 @F.pandas_udf(T.StringType())
 def content_hash(text: pd.Series) -> pd.Series:
     """Hex BLAKE3 of the UTF-8 text; null stays null."""
-    return text.map(lambda t: blake3_hex(t.encode() if isinstance(t, str) else bytes(t)) if t is not None else None)
+    out: list = [None] * len(text)
+    held, size = [], 0
+
+    def flush() -> None:
+        for i, h in zip([i for i, _ in held], blake3_many([t for _, t in held]), strict=True):
+            out[i] = h
+        held.clear()
+
+    for i, t in enumerate(text):
+        if t is None:
+            continue
+        data = t.encode() if isinstance(t, str) else bytes(t)
+        held.append((i, data))
+        size += max(len(data), CHUNK)
+        if size >= BATCH:
+            flush()
+            size = 0
+    flush()
+    return pd.Series(out, dtype=object)

@@ -69,7 +69,8 @@ def impact_layers(symbols: DataFrame, refs: DataFrame, symbol: str, depth: int =
     spark = symbols.sparkSession
     by_qualified = symbols.groupBy(F.col("qualified_name").alias("asked")).agg(F.min_by("name", "id").alias("of"))
     edges = refs.where("caller_symbol is not null").select("callee_symbol", "caller_symbol").distinct()
-    visited = spark.createDataFrame([(0, symbol, 0)], "depth int, name string, pos long")
+    # a name's place is the path of ids by which it was first seen: layers sort by it without being numbered in one task
+    visited = spark.createDataFrame([(0, symbol, [])], "depth int, name string, pos array<bigint>")
     frontier = visited
     for d in range(1, depth + 1):
         asked = frontier.select(F.col("name").alias("asked"), "pos")
@@ -82,12 +83,10 @@ def impact_layers(symbols: DataFrame, refs: DataFrame, symbol: str, depth: int =
         if not include_tests:
             rows = rows.where(~scoring.is_test_path(F.col("file_path")))
         found = rows.groupBy("name").agg(F.min(F.struct("pos", "id")).alias("at")).join(visited, "name", "left_anti")
-        # the place in the layer: by the caller's place, then by id
-        found = written(found.select(F.lit(d).alias("depth"), "name", (F.col("at.pos") * 100_000_000 + F.col("at.id")).alias("pos")))
-        if not found.limit(1).count():
+        frontier = written(found.select(F.lit(d).alias("depth"), "name", F.concat("at.pos", F.array("at.id")).alias("pos")))
+        if not frontier.limit(1).count():
             break
-        visited = visited.unionByName(found)
-        frontier = found.select("depth", "name", F.row_number().over(Window.partitionBy("depth").orderBy("pos", "name")).cast("long").alias("pos")) if cap else found.withColumn("pos", F.lit(0).cast("long"))
+        visited = visited.unionByName(frontier)
     return visited.where("depth > 0")
 
 

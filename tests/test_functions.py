@@ -236,3 +236,12 @@ def test_language_names():
 @pytest.mark.parametrize(("module", "lang", "path"), [("a.b", "python", "a/b/b.py"), ("a.b", "rust", "src/a/b/mod.rs"), ("a.b", "go", "a/b/b.go"), ("a.b", "c", "include/a/b.h"), ("a.b", "cpp", "src/a/b/b.cpp"), ("m", "java", "m/m.java"), ("m", "auto", "m/m.py")])
 def test_target_path(spark, module, lang, path):
     assert one(spark, language.target_path(F.col("m"), F.col("l")), m=module, l=lang) == path
+
+
+def test_blake3_side_by_side():
+    from graphloom.functions.blake3 import blake3_many
+
+    data = bytes(i % 251 for i in range(20_000))
+    texts = [data[:n] for n in (0, 1, 64, 65, 1023, 1024, 1025, 2048, 3073, 5 * 1024, 6 * 1024 + 1, 7 * 1024, 20_000)]
+    assert blake3_many(texts) == [blake3_hex(t) for t in texts] and blake3_many([]) == []
+    assert blake3_hex(data[:7168]) == "61da957ec2499a95d6b8023e2b0e604ec7f6b50e80a9678b89d2628e99ada77a"
