@@ -180,3 +180,30 @@ class ResultCache:
 
     def listing(self) -> list[tuple[str, int]]:
         return sorted(((k, e["hit_count"]) for k, e in self.held.items()), key=lambda x: (-x[1], x[0]))
+
+
+def file_hash(files: DataFrame, path: str) -> DataFrame:
+    """The stored hash of one file; no row if it isn't known."""
+    return files.where(F.col("path") == path).select("path", "hash")
+
+
+def file_hashes(files: DataFrame) -> DataFrame:
+    return files.select("path", "hash").orderBy("path")
+
+
+def checksums_with_files(checksums: DataFrame, files: DataFrame) -> DataFrame:
+    """Checksums of known files, by path."""
+    return checksums.join(files.select("path", F.col("hash").alias("file_hash")), "path").orderBy("path")
+
+
+def dirty_with_files(queue: DataFrame, files: DataFrame) -> DataFrame:
+    """Pending queue entries of known files: high priority first, then old ones."""
+    return queue.where("status = 'pending'").join(files.select("path"), "path", "left_semi").orderBy(F.desc("priority"), "enqueued_at", "id")
+
+
+def schema_version(versions: DataFrame) -> DataFrame:
+    return versions.agg(F.coalesce(F.max("schema_version"), F.lit(0)).alias("schema_version"))
+
+
+def symbol_like_literals(literals: DataFrame) -> DataFrame:
+    return literals.where("is_symbol_like")

@@ -580,6 +580,111 @@ def grep_context(spark, sf):
     return scan.grep(view(spark, sf, "files"), "License")
 
 
+# -- further lookups, plans and maintenance
+
+
+@register("file_hash_lookup", _with(_HASHED, "SELECT path, hash FROM s WHERE path = 'f5'", "stored", "disk"))
+def file_hash_lookup(spark, sf):
+    return incremental.file_hash(_hashed(spark, sf, "stored"), "f5")
+
+
+@register("file_hashes", _with(_HASHED, "SELECT path, hash FROM s", "stored", "disk"))
+def file_hashes(spark, sf):
+    return incremental.file_hashes(_hashed(spark, sf, "stored"))
+
+
+@register("checksum_join", _with(_HASHED, "SELECT path, s.hash = d.hash AS same FROM s JOIN d USING (path)", "stored", "disk"))
+def checksum_join(spark, sf):
+    joined = incremental.checksums_with_files(_hashed(spark, sf, "stored"), _hashed(spark, sf, "disk"))
+    return joined.select("path", (F.col("hash") == F.col("file_hash")).alias("same"))
+
+
+@register("dirty_join", sql("SELECT id, path, priority FROM dirty WHERE id % 3 <> 0 AND path IN (SELECT DISTINCT path FROM file_events)", "dirty", "file_events"))
+def dirty_join(spark, sf):
+    queue = view(spark, sf, "dirty").withColumn("status", F.when(F.col("id") % 3 == 0, "processed").otherwise("pending"))
+    return incremental.dirty_with_files(queue, view(spark, sf, "file_events")).select("id", "path", "priority")
+
+
+@register("schema_version", "SELECT max(r_regionkey) AS schema_version FROM region")
+def schema_version(spark, sf):
+    versions = spark.read.parquet(f"{sf}/region.parquet").select(F.col("r_regionkey").alias("schema_version"))
+    return incremental.schema_version(versions)
+
+
+@register("symbol_like_literals", sql("SELECT id FROM literals WHERE NOT regexp_matches(string_value, '[ /:-]') AND NOT regexp_matches(string_value, '^[0-9vV].*\\.') AND regexp_matches(string_value, '^([A-Za-z_][A-Za-z0-9_]*(\\.[A-Za-z_][A-Za-z0-9_]*)+|[A-Z][A-Za-z0-9_]*)$')", "literals"))
+def symbol_like_literals(spark, sf):
+    literals = view(spark, sf, "literals").withColumn("is_symbol_like", scoring.is_symbol_like(F.col("string_value")))
+    return incremental.symbol_like_literals(literals).select("id")
+
+
+@register("cross_language_refs", sql(f"SELECT a.name, a.id AS id_a, b.id AS id_b FROM symbols a JOIN symbols b ON a.name = b.name AND a.language < b.language ORDER BY CASE WHEN {_COMPAT} THEN 0.7e0 ELSE 0.4e0 END DESC, a.name, a.id, b.id LIMIT 20", "symbols"))
+def cross_language_refs(spark, sf):
+    return matching.cross_language_refs(matching.cross_language(view(spark, sf, "symbols")), 20).select("name", "id_a", "id_b")
+
+
+@register("edit_plan_summary", _with(_USED, f"SELECT (SELECT count(*) FROM (SELECT name FROM used UNION SELECT callee_symbol FROM near UNION SELECT {TARGET})) AS affected, (SELECT count(DISTINCT file_path) FROM used) AS files, (SELECT count(*) FROM used) AS breaking, (SELECT count(*) FROM used) = 0 AS safe_to_proceed, 50 * (SELECT count(*) FROM (SELECT name FROM used UNION SELECT callee_symbol FROM near UNION SELECT {TARGET})) AS estimated_tokens", "symbols", "refs"))
+def edit_plan_summary(spark, sf):
+    return graph.edit_plan_summary(edit_plan(spark, sf))
+
+
+@register("safe_to_delete", _with(_USED, "SELECT count(*) = 0 AS safe_to_delete, CASE WHEN count(*) > 0 THEN 'Do not delete. Mark as deprecated and monitor for 1 release cycle.' ELSE 'Safe to delete. No references found.' END AS suggestion FROM used", "symbols", "refs"))
+def safe_to_delete(spark, sf):
+    return graph.safe_to_delete(graph.dead_code(view(spark, sf, "symbols"), view(spark, sf, "refs"), _target(spark, sf)))
+
+
+@register("move_summary", _with(f"{_USED}, t AS (SELECT (SELECT count(*) FROM used) + 2 AS files, (SELECT count(*) FROM near WHERE is_dynamic) AS open_)", "SELECT 50 * files + 30 * open_ AS estimated_tokens, open_ = 0 AS safe_to_execute, CASE WHEN open_ = 0 THEN 'All references can be automatically updated.' ELSE open_ || ' unresolved references require manual review' END AS reason FROM t", "symbols", "refs"))
+def move_summary(spark, sf):
+    return graph.move_summary(module_move(spark, sf))
+
+
+@register("queue_drain", sql("SELECT DISTINCT path, CASE WHEN path IN (SELECT path FROM file_events) THEN 'reindex' ELSE 'remove' END AS action FROM dirty", "dirty", "file_events"))
+def queue_drain(spark, sf):
+    return incremental.drain(view(spark, sf, "dirty"), view(spark, sf, "file_events").select("path").distinct())
+
+
+@register("clear_dirty", sql("SELECT id, CASE WHEN path IN (SELECT path FROM dirty WHERE reason = 'error' AND id % 50 = 0) THEN 'processed' ELSE 'pending' END AS status FROM dirty", "dirty"))
+def clear_dirty(spark, sf):
+    queue = view(spark, sf, "dirty").withColumn("status", F.lit("pending"))
+    return incremental.clear_dirty(queue, queue.where("reason = 'error' and id % 50 = 0")).select("id", "status")
+
+
+@register("recover", _with(_HASHED, "SELECT s.path, CASE WHEN d.hash IS NULL THEN 'skip_missing' WHEN d.hash = s.hash THEN 'skip_same' ELSE 'reindex' END AS action FROM s LEFT JOIN d USING (path)", "stored", "disk"))
+def recover(spark, sf):
+    journal = _hashed(spark, sf, "stored").select(F.col("path").alias("file_path"), F.col("doc_id").alias("seq"), F.col("hash").alias("file_hash"), F.lit("Pending").alias("status"))
+    return incremental.recover(journal, _hashed(spark, sf, "disk"))
+
+
+@register("search_batch")
+def search_batch(spark, sf):
+    """A query a part: the ten best symbols for each of all part names."""
+    queries = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("qid"), F.translate("p_name", " ", "_").alias("query"))
+    return relational.search_batch(view(spark, sf, "symbols"), _ranks(spark, sf), queries).select("qid", "place", "id")
+
+
+@register("extract_files")
+def extract_files(spark, sf):
+    """What the extractors of all languages give for the bound files."""
+    from graphloom.sources.extract import registry
+
+    found = registry.parsed(_files(spark, sf))
+    return found.select("path", "language", *(F.size(c).alias(f"n_{c}") for c in ("symbols", "refs", "imports", "literals")))
+
+
+@register("ego_dot")
+def ego_dot(spark, sf):
+    from graphloom.output import ego_dot as dot
+
+    target = _target(spark, sf)
+    return dot(relational.neighbors(view(spark, sf, "refs"), target), target)
+
+
+@register("full_dot")
+def full_dot(spark, sf):
+    from graphloom.output import full_dot as dot
+
+    return dot(view(spark, sf, "symbols"), stats(spark, sf)).select("part", "line")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Ranked, fuzzy symbol search."""
     return search_fuzzy(spark, sf)
