@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,7 +14,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees; a temporary one is set only where the session names none, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="graphloom-")
+        own = tempfile.mkdtemp(prefix="graphloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        at = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
