@@ -18,7 +18,7 @@ from graphloom.sources.extract.rules import LANGUAGES
 EXTRACTORS: dict[str, Callable[[str], Result]] = {name: (lambda s, n=name: scanner.extract(s, n)) for name in LANGUAGES}
 EXTRACTORS |= {"python": python.extract, "markdown": documents.markdown, "sql": documents.sql, "graphql": documents.graphql, "vue": documents.vue, "css": documents.css, "bash": documents.bash}
 
-_SYMBOL = "array<struct<name:string,kind:string,start_line:int,end_line:int,start_col:int,end_col:int,signature:string,docstring:string,parent:string>>"
+_SYMBOL = "array<struct<name:string,kind:string,start_line:int,end_line:int,start_col:int,end_col:int,signature:string,docstring:string,parent:string,token_count:int>>"
 _REFERENCE = "array<struct<callee:string,kind:string,line:int,caller:string>>"
 _IMPORT = "array<struct<module:string,name:string,kind:string>>"
 _LITERAL = "array<struct<value:string,line:int,col:int,context:string,parent_fn:string>>"
@@ -41,25 +41,27 @@ def run(source: str, language: str) -> Result:
 def parsed(files: DataFrame) -> DataFrame:
     """One row a file of a known language: its symbols, references, imports and literals as arrays."""
 
+    def counted(source: str, symbols: list) -> list[dict]:
+        """Symbols with the tokens of their lines: the text is cut once, here, where it is at hand."""
+        lines = source.split("\n")
+        return [vars(s) | {"token_count": text.estimate_tokens("\n".join(lines[s.start_line - 1 : s.end_line]))} for s in symbols]
+
     def batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = lambda xs: [vars(x) for x in xs]
         for frame in frames:
-            out = [(p, lang, run(t or "", lang)) for p, t, lang in zip(frame.path, frame.text, frame.language, strict=True)]
-            yield pd.DataFrame([(p, lang, rows(r.symbols), rows(r.references), rows(r.imports), rows(r.literals), r.error) for p, lang, r in out], columns=["path", "language", "symbols", "refs", "imports", "literals", "error"])
+            out = [(p, lang, t or "", run(t or "", lang)) for p, t, lang in zip(frame.path, frame.text, frame.language, strict=True)]
+            yield pd.DataFrame([(p, lang, counted(t, r.symbols), rows(r.references), rows(r.imports), rows(r.literals), r.error) for p, lang, t, r in out], columns=["path", "language", "symbols", "refs", "imports", "literals", "error"])
 
     known = files.where(F.col("language").isin(*EXTRACTORS)).select("path", "text", "language")
     return known.mapInPandas(batch, SCHEMA)
 
 
-def tables(parsed_: DataFrame, files: DataFrame | None = None) -> dict[str, DataFrame]:
+def tables(parsed_: DataFrame) -> dict[str, DataFrame]:
     """The index tables of parsed files. Ids are hashes of natural keys, so a file that is indexed again keeps its ids."""
     symbols = parsed_.select("path", "language", F.posexplode("symbols").alias("pos", "s")).select(
         F.xxhash64("path", "s.kind", "s.name", "s.start_line", "s.start_col", "pos").alias("id"), F.col("path").alias("file_path"), "s.name", "s.kind", "s.start_line", "s.end_line", "s.start_col", "s.end_col", "s.signature",
-        "s.docstring", F.col("s.parent").alias("parent_symbol"), scoring.qualified_name(F.col("path"), F.col("s.parent"), F.col("s.name")).alias("qualified_name"), "language",
+        "s.docstring", F.col("s.parent").alias("parent_symbol"), scoring.qualified_name(F.col("path"), F.col("s.parent"), F.col("s.name")).alias("qualified_name"), "language", "s.token_count",
     )
-    if files is not None:
-        counted = symbols.join(files.select(F.col("path").alias("file_path"), "text"), "file_path")
-        symbols = counted.withColumn("token_count", text.token_count(text.body(F.col("text"), F.col("start_line"), F.col("end_line")))).drop("text")
     refs = parsed_.select("path", F.posexplode("refs").alias("pos", "r")).select(
         F.xxhash64("path", "r.caller", "r.callee", "r.kind", "r.line", "pos").alias("id"), F.col("path").alias("caller_file"), F.col("path").alias("callee_file"), F.col("r.caller").alias("caller_symbol"),
         F.col("r.callee").alias("callee_symbol"), F.col("r.kind").alias("ref_kind"), "r.line", scoring.reference_confidence(F.col("r.kind")).alias("confidence"), (scoring.reference_confidence(F.col("r.kind")) < 1).alias("is_dynamic"),
@@ -77,7 +79,7 @@ def index(files: DataFrame) -> dict[str, DataFrame]:
     from graphloom.operators.relational import deduplicated
     from graphloom.plans.storage import written
 
-    out = tables(written(parsed(files)), files)
+    out = tables(written(parsed(files)))
     return out | {"refs": deduplicated(out["refs"]), "files": files.withColumn("hash", content_hash(F.col("text")))}
 
 
