@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,7 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees. A temporary one is set only where the session names none, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="graphloom-")
+        own = tempfile.mkdtemp(prefix="graphloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        at = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
@@ -59,7 +63,6 @@ def map_text(df: DataFrame, text: Column, make: Callable[[], Callable[[list], li
                 values = part.column(len(names)).cast(pa.binary()).to_pylist()
                 out = fn(values)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), *out], names=[*names, *out_names])
-            pa.default_memory_pool().release_unused()  # workers are kept; what a large batch took goes back
 
     out_names = [f.strip().split(" ")[0] for f in split_top(schema)]
     return source.mapInArrow(run, f"{kept}, {schema}" if kept else schema)

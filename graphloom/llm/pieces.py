@@ -93,7 +93,6 @@ class Pieces:
             raise ValueError("the vocabulary has no byte fallback")
         self.byte_cost = UNKNOWN_PENALTY - least
         self.spell = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() if k in (NORMAL, USER) else b"" for p, k in zip(self.text, self.kind, strict=True)]
-        self._ids: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, model: bytes) -> Pieces:
@@ -138,9 +137,8 @@ class Pieces:
             j = i
         return out[::-1]
 
-    def encode(self, text: str, most: int = 200_000) -> bytes:
-        """Ids as little-endian 32-bit integers. Segments seen before are looked up; ``most`` of them are kept."""
-        held = self._ids
+    def encode(self, text: str, held: dict[str, bytes], most: int = 200_000) -> bytes:
+        """Ids as little-endian 32-bit integers. ``held``, a task's own, remembers the segments seen, up to ``most``."""
         if len(held) > most:
             held.clear()
         parts = []

@@ -35,8 +35,8 @@ def encode(docs: DataFrame, keep: dict, text_col: str = "text", model_path: str
     held = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
 
     def make():
-        pieces = Pieces.of(held.value)
-        return lambda texts: [_lists([pieces.encode(t.decode("utf-8", "replace")) if t is not None else None for t in texts])]
+        pieces, seen = Pieces.of(held.value), {}
+        return lambda texts: [_lists([pieces.encode(t.decode("utf-8", "replace"), seen) if t is not None else None for t in texts])]
 
     return map_text(docs, F.col(text_col), make, "ids array<int>", keep)
 
@@ -62,7 +62,7 @@ def digest(docs: DataFrame, keep: dict, text_col: str = "text", model_path: str
     held = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
 
     def make():
-        pieces = Pieces.of(held.value)
+        pieces, seen = Pieces.of(held.value), {}
         low, high = min(pieces.byte_id), max(pieces.byte_id)
 
         def run(texts):
@@ -72,7 +72,7 @@ def digest(docs: DataFrame, keep: dict, text_col: str = "text", model_path: str
                     row = (None,) * 4
                 else:
                     text = t.decode("utf-8", "replace")
-                    raw = pieces.encode(text)
+                    raw = pieces.encode(text, seen)
                     ids = np.frombuffer(raw, np.int32)
                     row = (len(ids), int(((ids >= low) & (ids <= high)).sum()), zlib.crc32(raw), pieces.decode(ids.tolist()) == text)
                 for column, v in zip(out, row, strict=True):

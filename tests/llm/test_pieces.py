@@ -31,7 +31,7 @@ def test_shortest_paths_match_the_library(library):
 
     pieces = Pieces(RAW)
     for word in "the with hello nterti unbelievable Größe straße éléphant ciónmente x1y2 a.b,c lower_case Thnt".split():
-        raw = pieces.encode(word)
+        raw = pieces.encode(word, {})
         ids = list(struct.unpack(f"<{len(raw) // 4}i", raw))
         score = lambda xs: sum(pieces.score[i] for i in xs)
         best = [library.piece_to_id(p) for p in library.nbest_encode(word, nbest_size=2, out_type=str)[0]]
