@@ -2,10 +2,12 @@
 
 Unit vectors at cosine >= c are at Euclidean distance <= eps = sqrt(2 - 2c), and so in any orthonormal projection. Vectors are rotated
 onto leading principal dimensions and sorted by their grid cells of width eps there, first dimension first. The sequence is cut into
-blocks of a fixed size; two blocks meet unless their boxes are provably more than eps apart. Inside a task the two intervals are halved
+blocks of bounded size; two blocks meet unless their boxes are provably more than eps apart. Inside a task the two intervals are halved
 recursively, skipping distant halves, down to leaves that are compared in double precision. A task hands on a count a vector and a
 spanning forest of its links, never its pairs.
 
+Equal vectors are folded into the one of least id first, which carries their number: copies cost nothing beyond a group-by.
+
 The principal dimensions are fitted on a bounded sample (``SAMPLE`` vectors); any rotation gives the same links, a good one skips more.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of different
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import components, materialize, table
 
 BLOCK, LEAF, LEADING, SAMPLE = 4096, 128, 16, 4096
+#: Components in a block: longer vectors make shorter blocks.
+CELLS = 1 << 18
 
 
 def rotation(vectors: DataFrame, dim: int, count: int) -> np.ndarray:
@@ -40,54 +44,52 @@ def rotation(vectors: DataFrame, dim: int, count: int) -> np.ndarray:
 
 
 def projected(vectors: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
-    """(id, u, y, cells): the unit vector and its leading coordinates as bytes, and its grid cells."""
+    """(id, m, u, y, cells): the unit vector and its leading coordinates as bytes, and its grid cells."""
     held = vectors.sparkSession.sparkContext.broadcast(axes)
 
     def run(batches):
         for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, len(held.value))
+            x = np.array(batch.column(2).to_pylist(), float).reshape(batch.num_rows, len(held.value))
             x /= np.linalg.norm(x, axis=1)[:, None]
             y = x @ held.value
             cells = np.floor(y / eps).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x]), pa.array([v.tobytes() for v in y]), pa.array(cells.tolist(), pa.list_(pa.int32()))], names=["id", "u", "y", "cells"])
-
-    return vectors.mapInArrow(run, "id long, u binary, y binary, cells array<int>")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([v.tobytes() for v in x]), pa.array([v.tobytes() for v in y]), pa.array(cells.tolist(), pa.list_(pa.int32()))], names=["id", "m", "u", "y", "cells"])
 
+    return vectors.select("id", "m", "v").mapInArrow(run, "id long, m long, u binary, y binary, cells array<int>")
 
-def cut(ordered: DataFrame, width: int) -> DataFrame:
-    """(block, ids, u, y, lo, hi): intervals of the sorted sequence, each in one row of bounded size."""
 
-    def pack(ids, u, y, at):
-        c = np.frombuffer(b"".join(y), float).reshape(-1, width)
-        return [at, np.array(ids, np.int64).tobytes(), b"".join(u), b"".join(y), c.min(0).tolist(), c.max(0).tolist()]
+def cut(ordered: DataFrame, width: int, block: int) -> DataFrame:
+    """(block, ids, m, u, y, lo, hi): intervals of the sorted sequence (id, m, u, y), each in one row of bounded size."""
+    types = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()))
 
     def run(batches):
         from pyspark import TaskContext
 
-        at = TaskContext.get().partitionId() << 32
-        ids, u, y = [], [], []
+        at, held = TaskContext.get().partitionId() << 32, [[], [], [], []]
 
         def out(k):
-            nonlocal ids, u, y, at
-            row = pack(ids[:k], u[:k], y[:k], at)
-            ids, u, y, at = ids[k:], u[k:], y[k:], at + 1
-            types = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()))
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=["block", "ids", "u", "y", "lo", "hi"])
+            nonlocal at, held
+            ids, m, u, y = (c[:k] for c in held)
+            held = [c[k:] for c in held]
+            c = np.frombuffer(b"".join(y), float).reshape(-1, width)
+            row = [at, np.array(ids, np.int64).tobytes(), np.array(m, np.int64).tobytes(), b"".join(u), b"".join(y), c.min(0).tolist(), c.max(0).tolist()]
+            at += 1
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=["block", "ids", "m", "u", "y", "lo", "hi"])
 
         for batch in batches:
-            ids += batch.column(0).to_pylist()
-            u += batch.column(1).to_pylist()
-            y += batch.column(2).to_pylist()
-            while len(ids) >= BLOCK:
-                yield out(BLOCK)
-        if ids:
-            yield out(len(ids))
+            for i in range(4):
+                held[i] += batch.column(i).to_pylist()
+            while len(held[0]) >= block:
+                yield out(block)
+        if held[0]:
+            yield out(len(held[0]))
 
-    return ordered.mapInArrow(run, "block long, ids binary, u binary, y binary, lo array<double>, hi array<double>")
+    return ordered.mapInArrow(run, "block long, ids binary, m binary, u binary, y binary, lo array<double>, hi array<double>")
 
 
-def meet(ids: tuple, u: tuple, y: tuple, least: float, eps: float) -> tuple[np.ndarray, list]:
-    """Two intervals, or one with itself: links counted a vector of each, and a spanning forest of the links."""
+def meet(ids: tuple, m: tuple, u: tuple, y: tuple, least: float, eps: float) -> tuple[np.ndarray, list]:
+    """Two intervals, or one with itself: links counted a vector of each, by the numbers ``m`` of vectors that they stand for, and a
+    spanning forest of the links."""
     same = len(ids) == 1
     ids_a, ids_b = ids[0], ids[-1]
     a, b = u[0], u[-1]
@@ -96,6 +98,7 @@ def meet(ids: tuple, u: tuple, y: tuple, least: float, eps: float) -> tuple[np.n
     root = label.copy()
     counts = np.zeros(len(label), np.int64)
     every = ids_a if same else np.concatenate([ids_a, ids_b])
+    weight = m[0] if same else np.concatenate(m)
     forest = []
 
     def find(i):
@@ -127,7 +130,8 @@ def meet(ids: tuple, u: tuple, y: tuple, least: float, eps: float) -> tuple[np.n
             p, q = np.nonzero(hit)
             if len(p):
                 p, q = p + i0, q + j0 + shift
-                counts += np.bincount(p, minlength=len(counts)) + np.bincount(q, minlength=len(counts))
+                np.add.at(counts, p, weight[q])
+                np.add.at(counts, q, weight[p])
                 fresh = label[p] != label[q]
                 for s, t in zip(p[fresh].tolist(), q[fresh].tolist(), strict=True):
                     x, z = find(s), find(t)
@@ -153,10 +157,11 @@ def links(vectors: DataFrame, dim: int, count: int, least: float) -> DataFrame:
     eps = math.sqrt(2 - 2 * least) + 1e-9
     axes = rotation(vectors, dim, count)
     width = axes.shape[1]
-    parts = max(1, -(-count // BLOCK))
+    block = max(LEAF, min(BLOCK, CELLS // dim))
+    parts = max(1, -(-count // block))
     # the id ends the key, so that a vector that fills many rows is still dealt out
-    ordered = projected(vectors, axes, eps).repartitionByRange(parts, "cells", "id").sortWithinPartitions("cells", "id").select("id", "u", "y")
-    blocks = materialize(cut(ordered, width))
+    ordered = projected(vectors, axes, eps).repartitionByRange(parts, "cells", "id").sortWithinPartitions("cells", "id").select("id", "m", "u", "y")
+    blocks = materialize(cut(ordered, width, block))
     boxes = blocks.select("block", "lo", "hi")
     cell = lambda c: F.floor(F.element_at(c, 1) / eps)
     near = boxes.select(F.col("block").alias("p"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.explode(F.sequence(cell("lo") - 1, cell("hi") + 1)).alias("cell"))
@@ -164,14 +169,14 @@ def links(vectors: DataFrame, dim: int, count: int, least: float) -> DataFrame:
     gaps = F.transform(F.arrays_zip("lo1", "hi1", "lo2", "hi2"), lambda x: F.greatest(F.lit(0.0), x["lo1"] - x["hi2"], x["lo2"] - x["hi1"]))
     pairs = near.join(own, "cell").where("p <= q").where(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x * x) <= eps * eps).select("p", "q").distinct()
     sides = pairs.select("p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("block"))
-    rows = sides.join(blocks.select("block", "ids", "u", "y"), "block")
+    rows = sides.join(blocks.select("block", "ids", "m", "u", "y"), "block")
 
     def task(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("block")
-        ids = tuple(np.frombuffer(x, np.int64) for x in group.ids)
+        ids, m = (tuple(np.frombuffer(x, np.int64) for x in group[c]) for c in ("ids", "m"))
         u = tuple(np.frombuffer(x, float).reshape(-1, dim) for x in group.u)
         y = tuple(np.frombuffer(x, float).reshape(-1, width) for x in group.y)
-        counts, forest = meet(ids, u, y, least, eps)
+        counts, forest = meet(ids, m, u, y, least, eps)
         every = np.concatenate(ids)
         some = counts > 0
         return pd.DataFrame({"a": np.r_[every[some], np.array([x for x, _ in forest], np.int64)].astype("int64"), "b": pd.array([None] * int(some.sum()) + [x for _, x in forest], dtype="Int64"), "n": np.r_[counts[some], np.zeros(len(forest), np.int64)].astype("int64")})
@@ -187,18 +192,21 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     usable = unique.where(F.col("v").isNotNull() & fine).where((square > 0) & (square != float("inf")))
+    reps = materialize(usable.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("m")))
     found = None
-    for r in usable.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy("dim").collect():
-        one = links(usable.where(F.size("v") == r.dim), r.dim, r.n, least)
+    for r in reps.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy("dim").collect():
+        one = links(reps.where(F.size("v") == r.dim), r.dim, r.n, least)
         found = one if found is None else found.union(one)
-    every = unique.select("id")
     if found is None:
-        counted = every.select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("component"))
+        counted = unique.select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("component"))
     else:
         found = materialize(found)
         n = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
         comps = components(found.where("b is not null").select("a", "b"))
-        counted = every.join(n, "id", "left").join(comps.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("component", "id").alias("component"))
+        linked = reps.join(n, "id", "left").join(comps.withColumnRenamed("node", "id"), "id", "left")
+        linked = linked.select("v", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n"), F.coalesce("component", "id").alias("component"))
+        back = usable.join(linked, "v").select("id", "n", "component")
+        counted = unique.select("id").join(back, "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("component", "id").alias("component"))
     out = counted.select(F.col("id").alias("vec_id"), F.col("n").alias("n_links"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
     nameless = rows.where("id is null").select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"), F.lit(False).alias("kept"))
     return out.union(nameless)

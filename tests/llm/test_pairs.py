@@ -102,6 +102,7 @@ def test_ego_join(spark, monkeypatch, n, dim, groups, block):
     monkeypatch.setattr(egojoin, "BLOCK", block)
     monkeypatch.setattr(egojoin, "LEAF", 16)
     x = vectors(np.random.default_rng(n + dim), n, dim, groups)
+    x[n // 2 : n // 2 + n // 5] = x[3]  # copies
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     got = {r.vec_id: r for r in egojoin.near_duplicates(df).collect()}
     u = x.astype(float)
