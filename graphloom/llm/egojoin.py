@@ -43,24 +43,29 @@ def rotation(vectors: DataFrame, dim: int, count: int) -> np.ndarray:
     return axes[:, np.argsort(values)[::-1][: min(dim, LEADING)]]
 
 
-def projected(vectors: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
-    """(id, m, u, y, cells): the unit vector and its leading coordinates as bytes, and its grid cells."""
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows as unit vectors in double precision."""
+    x = x.astype(float)
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def projected(vectors: DataFrame, axes: np.ndarray, eps: float, kind: str) -> DataFrame:
+    """(id, m, x, y, cells): the vector in its own precision and its leading coordinates as bytes, and its grid cells."""
     held = vectors.sparkSession.sparkContext.broadcast(axes)
 
     def run(batches):
         for batch in batches:
-            x = np.array(batch.column(2).to_pylist(), float).reshape(batch.num_rows, len(held.value))
-            x /= np.linalg.norm(x, axis=1)[:, None]
-            y = x @ held.value
+            x = np.array(batch.column(2).to_pylist(), kind).reshape(batch.num_rows, len(held.value))
+            y = unit(x) @ held.value
             cells = np.floor(y / eps).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([v.tobytes() for v in x]), pa.array([v.tobytes() for v in y]), pa.array(cells.tolist(), pa.list_(pa.int32()))], names=["id", "m", "u", "y", "cells"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([v.tobytes() for v in x]), pa.array([v.tobytes() for v in y]), pa.array(cells.tolist(), pa.list_(pa.int32()))], names=["id", "m", "x", "y", "cells"])
 
-    return vectors.select("id", "m", "v").mapInArrow(run, "id long, m long, u binary, y binary, cells array<int>")
+    return vectors.select("id", "m", "v").mapInArrow(run, "id long, m long, x binary, y binary, cells array<int>")
 
 
 def cut(ordered: DataFrame, width: int, block: int) -> DataFrame:
-    """(block, ids, m, u, y, lo, hi): intervals of the sorted sequence (id, m, u, y), each in one row of bounded size."""
-    types = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+    """(block, ids, m, x, lo, hi): intervals of the sorted sequence (id, m, x, y), each in one row of bounded size."""
+    types = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()))
 
     def run(batches):
         from pyspark import TaskContext
@@ -69,12 +74,12 @@ def cut(ordered: DataFrame, width: int, block: int) -> DataFrame:
 
         def out(k):
             nonlocal at, held
-            ids, m, u, y = (c[:k] for c in held)
+            ids, m, x, y = (c[:k] for c in held)
             held = [c[k:] for c in held]
             c = np.frombuffer(b"".join(y), float).reshape(-1, width)
-            row = [at, np.array(ids, np.int64).tobytes(), np.array(m, np.int64).tobytes(), b"".join(u), b"".join(y), c.min(0).tolist(), c.max(0).tolist()]
+            row = [at, np.array(ids, np.int64).tobytes(), np.array(m, np.int64).tobytes(), b"".join(x), c.min(0).tolist(), c.max(0).tolist()]
             at += 1
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=["block", "ids", "m", "u", "y", "lo", "hi"])
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=["block", "ids", "m", "x", "lo", "hi"])
 
         for batch in batches:
             for i in range(4):
@@ -84,7 +89,7 @@ def cut(ordered: DataFrame, width: int, block: int) -> DataFrame:
         if held[0]:
             yield out(len(held[0]))
 
-    return ordered.mapInArrow(run, "block long, ids binary, m binary, u binary, y binary, lo array<double>, hi array<double>")
+    return ordered.mapInArrow(run, "block long, ids binary, m binary, x binary, lo array<double>, hi array<double>")
 
 
 def meet(ids: tuple, m: tuple, u: tuple, y: tuple, least: float, eps: float) -> tuple[np.ndarray, list]:
@@ -151,7 +156,7 @@ def meet(ids: tuple, m: tuple, u: tuple, y: tuple, least: float, eps: float) ->
     return counts, forest
 
 
-def links(vectors: DataFrame, dim: int, count: int, least: float) -> DataFrame:
+def links(vectors: DataFrame, dim: int, count: int, least: float, kind: str) -> DataFrame:
     """(a, b, n): rows with b null count n links of vector a; the others are spanning links."""
     spark = vectors.sparkSession
     eps = math.sqrt(2 - 2 * least) + 1e-9
@@ -160,7 +165,7 @@ def links(vectors: DataFrame, dim: int, count: int, least: float) -> DataFrame:
     block = max(LEAF, min(BLOCK, CELLS // dim))
     parts = max(1, -(-count // block))
     # the id ends the key, so that a vector that fills many rows is still dealt out
-    ordered = projected(vectors, axes, eps).repartitionByRange(parts, "cells", "id").sortWithinPartitions("cells", "id").select("id", "m", "u", "y")
+    ordered = projected(vectors, axes, eps, kind).repartitionByRange(parts, "cells", "id").sortWithinPartitions("cells", "id").select("id", "m", "x", "y")
     blocks = materialize(cut(ordered, width, block))
     boxes = blocks.select("block", "lo", "hi")
     cell = lambda c: F.floor(F.element_at(c, 1) / eps)
@@ -169,13 +174,14 @@ def links(vectors: DataFrame, dim: int, count: int, least: float) -> DataFrame:
     gaps = F.transform(F.arrays_zip("lo1", "hi1", "lo2", "hi2"), lambda x: F.greatest(F.lit(0.0), x["lo1"] - x["hi2"], x["lo2"] - x["hi1"]))
     pairs = near.join(own, "cell").where("p <= q").where(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x * x) <= eps * eps).select("p", "q").distinct()
     sides = pairs.select("p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("block"))
-    rows = sides.join(blocks.select("block", "ids", "m", "u", "y"), "block")
+    rows = sides.join(blocks.select("block", "ids", "m", "x"), "block")
+    held = spark.sparkContext.broadcast(axes)
 
     def task(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("block")
         ids, m = (tuple(np.frombuffer(x, np.int64) for x in group[c]) for c in ("ids", "m"))
-        u = tuple(np.frombuffer(x, float).reshape(-1, dim) for x in group.u)
-        y = tuple(np.frombuffer(x, float).reshape(-1, width) for x in group.y)
+        u = tuple(unit(np.frombuffer(x, kind).reshape(-1, dim)) for x in group.x)
+        y = tuple(v @ held.value for v in u)
         counts, forest = meet(ids, m, u, y, least, eps)
         every = np.concatenate(ids)
         some = counts > 0
@@ -187,6 +193,8 @@ def links(vectors: DataFrame, dim: int, count: int, least: float) -> DataFrame:
 def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row a vector."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    # vectors travel in their own precision; all arithmetic is in double
+    kind = "f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "f8"
     unique = materialize(rows.where("id is not null").groupBy("id").agg(F.max("v").alias("v")))
     # a finite number is equal to itself times zero plus itself; sums of squares catch overflow
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
@@ -195,7 +203,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
     reps = materialize(usable.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("m")))
     found = None
     for r in reps.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy("dim").collect():
-        one = links(reps.where(F.size("v") == r.dim), r.dim, r.n, least)
+        one = links(reps.where(F.size("v") == r.dim), r.dim, r.n, least, kind)
         found = one if found is None else found.union(one)
     if found is None:
         counted = unique.select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("component"))
