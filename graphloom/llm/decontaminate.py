@@ -4,21 +4,28 @@ Names, numbers and units become typed slots: capitalised words inside a sentence
 are lower-cased. Windows of eight tokens, slots by type and words by themselves, are hashed and joined with those of the benchmark. A
 document leaks an item if, along one alignment, seven windows of the item match (all, if it has fewer) and the slot values are
 consistent: an item's value always stands for the same value of the document and the other way round. Values may differ, which catches
-questions asked again with other numbers or names.
+questions asked again with other numbers or names. Windows of the plain words, slots by their values, are joined besides: seven of them (all,
+if there are fewer) are a leak whatever is a slot in the one text and a word in the other.
 
-Defined results: null and empty texts, of documents or items, match nothing; items of fewer than eight tokens match as one window;
-windows with fewer than half literal words are left out; texts over ``PIECE`` characters are cut with an overlap that holds any usual
+Defined results: null and empty texts, of documents or items, match nothing; items of fewer than eight tokens match as one window.
+Windows with fewer than half literal words don't count to the seven. An item that has too few others is matched whole: by all its windows that
+hold a literal word, if it has four literal words, or else by its plain words alone. Texts over ``PIECE`` characters are cut with an overlap that holds any usual
 window; repeated rows are judged each on its own; empty tables give no leaks.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import materialize, table
 
 WINDOW, RUN, PIECE, OVERLAP = 8, 7, 100_000, 2_000
+#: Literal words of an item that is matched whole.
+WORDS = 4
 #: Benchmark windows that may be broadcast.
 MOST_WINDOWS = 500_000
 UNITS = (
@@ -56,18 +63,27 @@ def _slot(t: Column) -> Column:
     return F.when(F.ascii(t) <= 3, t)
 
 
+def _plain(t: Column) -> Column:
+    """A slot's value, or the word."""
+    return F.when(F.ascii(t) <= 3, F.substring(t, 2, 1 << 30)).otherwise(t)
+
+
 def windows(rows: DataFrame, size: int) -> DataFrame:
-    """Add pos, hash, and the slots (or null) at the window's first and last token, one row a window of ``size`` tokens. Texts without
+    """Add pos, hash, and the slots (or null) at the window's first and last token, one row a window of ``size`` tokens, and another one of
+    its plain words, without slots, if it has any. Texts without
     slots take shorter expressions to the same hashes. No filter reads the tokens, as it would be pushed below them and compute them again."""
     kept = [c for c in rows.columns if c not in ("tokens", "marked")]
     typed = F.transform("tokens", lambda t: F.xxhash64(_typed(t)))
+    plain = F.transform("tokens", lambda t: F.xxhash64(_plain(t)))
     hashed = rows.withColumn("h", F.when(F.col("marked"), typed).otherwise(F.transform("tokens", lambda t: F.xxhash64(t))))
+    hashed = hashed.withColumn("p", F.when(F.col("marked"), plain)).withColumn("m", F.when(F.col("marked"), F.transform("tokens", lambda t: F.ascii(t) <= 3)))
     none = F.lit(None).cast("string")
-    window = lambda i, first, last: F.struct(F.xxhash64(*(F.get("h", i + k) for k in range(size))).alias("hash"), first.alias("first"), last.alias("last"))
+    window = lambda h, i, first, last: F.struct(i.alias("pos"), F.xxhash64(*(F.get(h, i + k) for k in range(size))).alias("hash"), first.alias("first"), last.alias("last"))
     starts = F.sequence(F.lit(0), F.size("h") - size)
-    slotted = F.transform(starts, lambda i: window(i, _slot(F.get("tokens", i)), _slot(F.get("tokens", i + size - 1))))
-    each = F.when(F.size("h") < size, None).when(F.col("marked"), slotted).otherwise(F.transform(starts, lambda i: window(i, none, none)))
-    return hashed.select(*kept, F.posexplode(each).alias("pos", "w")).select(*kept, "pos", "w.hash", "w.first", "w.last")
+    slotted = F.transform(starts, lambda i: window("h", i, _slot(F.get("tokens", i)), _slot(F.get("tokens", i + size - 1))))
+    valued = F.transform(F.filter(starts, lambda i: reduce(or_, (F.get("m", i + k) for k in range(size)))), lambda i: window("p", i, none, none))
+    each = F.when(F.size("h") < size, None).when(F.col("marked"), F.concat(slotted, valued)).otherwise(F.transform(starts, lambda i: window("h", i, none, none)))
+    return hashed.select(*kept, F.explode(each).alias("w")).select(*kept, "w.pos", "w.hash", "w.first", "w.last")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -80,11 +96,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id
     cut = tokenised(whole.select("uid", "piece", F.when(F.length("t") > PIECE, F.substring(F.col("t"), F.col("piece") + 1, F.lit(PIECE + OVERLAP))).otherwise(F.col("t")).alias("t")), "t")
     hits = None
     for size in sorted(r.size for r in items.select("size").distinct().collect()):  # 1 to WINDOW
-        literal = F.size(F.filter("tokens", lambda t: F.ascii(t) > 3))
+        literal = lambda tokens: F.size(F.filter(tokens, lambda t: F.ascii(t) > 3))
         of = items.where(F.col("size") == size).select("item_id", "row", "tokens", "marked", (F.size("tokens") - size + 1).alias("of"))
+        words = of.select("row", "of", literal("tokens").alias("words"), F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda i: literal(F.slice("tokens", i + 1, size))).alias("literals"))
+        few = F.size(F.filter("literals", lambda n: 2 * n >= size)) < F.least(F.lit(RUN), F.col("of"))  # the item can't be found by such windows
+        words = words.select("row", F.posexplode("literals").alias("item_pos", "n"), F.when(few & (F.col("words") >= WORDS), F.size(F.filter("literals", lambda n: n > 0))).alias("whole"))
         index = windows(of, size).select("hash", "item_id", "row", "of", F.col("pos").alias("item_pos"), F.col("first").alias("item_first"), F.col("last").alias("item_last"))
-        words = of.select("row", "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - size)).alias("item_pos")).withColumn("tokens", F.slice("tokens", F.col("item_pos") + 1, size)).where(2 * literal >= size).select("row", "item_pos")
-        index = materialize(index.join(words, ["row", "item_pos"], "left_semi"))
+        # a window's plain words are the second of its rows, or the only one
+        valued = windows(of.select("item_id", "row", "of", F.transform("tokens", _plain).alias("tokens"), F.lit(False).alias("marked")), size).select("row", F.col("pos").alias("item_pos"), "hash", F.lit(True).alias("plain"))
+        index = index.join(words, ["row", "item_pos"]).join(valued, ["row", "item_pos", "hash"], "left").withColumn("plain", F.col("plain").isNotNull())
+        typed = ~F.col("plain") | (F.col("n") == size)
+        index = index.withColumn("most", typed & (2 * F.col("n") >= size)).withColumn("any", typed & (F.col("most") | (F.col("whole").isNotNull() & (F.col("n") > 0)))).drop("n")
+        index = materialize(index.where(F.col("plain") | F.col("any")))
         small = index.count() <= MOST_WINDOWS
         one = windows(cut, size).join(F.broadcast(index) if small else index, "hash")
         hits = one if hits is None else hits.union(one)
@@ -92,12 +115,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id
         return docs.sparkSession.createDataFrame([], "uid long, item_id long, n_windows long, exact boolean")
     # at most the item's windows a group, whatever the document
     pair = lambda a, b: F.when(F.col(a).isNotNull(), F.struct(F.col(a).alias("of_item"), F.col(b).alias("of_doc")))
-    aligned = hits.groupBy("uid", "piece", "row", "item_id", "of", (F.col("pos") - F.col("item_pos")).alias("at")).agg(
-        F.count_distinct("item_pos").alias("n"), F.array_compact(F.array_union(F.collect_set(pair("item_first", "first")), F.collect_set(pair("item_last", "last")))).alias("slots")
+    places = lambda c: F.count_distinct(F.when(F.col(c), F.col("item_pos")))
+    aligned = hits.groupBy("uid", "piece", "row", "item_id", "of", "whole", (F.col("pos") - F.col("item_pos")).alias("at")).agg(
+        places("most").alias("n"), places("any").alias("n_any"), places("plain").alias("n_plain"), F.array_compact(F.array_union(F.collect_set(pair("item_first", "first")), F.collect_set(pair("item_last", "last")))).alias("slots")
     )
     side = lambda c: F.size(F.array_distinct(F.transform("slots", lambda s: s[c])))
-    good = aligned.where((F.col("n") >= F.least(F.lit(RUN), F.col("of"))) & (side("of_item") == F.size("slots")) & (side("of_doc") == F.size("slots")))
-    return good.groupBy("uid", "item_id").agg(F.max("n").alias("n_windows"), F.max(F.forall("slots", lambda s: s["of_item"] == s["of_doc"])).alias("exact"))
+    run = F.least(F.lit(RUN), F.col("of"))
+    consistent = (side("of_item") == F.size("slots")) & (side("of_doc") == F.size("slots"))
+    judged = aligned.withColumn("typed", ((F.col("n") >= run) | F.coalesce(F.col("n_any") >= F.col("whole"), F.lit(False))) & consistent).withColumn("valued", F.col("n_plain") >= run)
+    same = (F.col("typed") & F.forall("slots", lambda s: s["of_item"] == s["of_doc"])) | (F.col("valued") & (F.col("n_plain") >= F.col("n_any")))
+    return judged.where("typed or valued").groupBy("uid", "item_id").agg(F.max(F.greatest("n_any", "n_plain")).alias("n_windows"), F.max(same).alias("exact"))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, keep: dict, text_col: str = "text") -> DataFrame:

@@ -163,6 +163,32 @@ def test_reparameterised_items(spark, text, found, exact):
     assert (row.contaminated, row.exact) == (found, exact)
 
 
+PAID = "Ann Lee paid 3 dollars and Bob Ray paid 5 dollars for it in all"
+CONVERT = "Convert 5 km 30 m and 7 km 80 m to cm"
+
+
+@pytest.mark.parametrize(
+    ("item", "text", "found", "exact"),
+    [
+        (PAID, PAID, True, True),
+        (PAID, f"it was asked: {PAID}, and so on", True, True),
+        (PAID, PAID.replace("3", "4").replace("5", "9").replace("Bob Ray", "Tom Fox"), True, False),
+        (PAID, PAID.replace("for it in all", "for two of them"), False, False),
+        (CONVERT, CONVERT, True, True),
+        (CONVERT, CONVERT.replace("5", "6").replace("30", "40"), True, False),
+        (CONVERT, CONVERT.replace("and", "or"), False, False),
+        ("1 2 3 4 5 6 7 8 9 10", "count 1 2 3 4 5 6 7 8 9 10 and on", True, True),
+        ("1 2 3 4 5 6 7 8 9 10", "count 1 2 3 4 5 6 7 8 9 11 and on", False, False),
+    ],
+)
+def test_items_dense_in_slots(spark, item, text, found, exact):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = decontaminate.scan(docs, spark.createDataFrame([(5, item)], "item_id long, text string"), {"doc_id": F.col("doc_id")}).first()
+    assert (row.contaminated, row.exact) == (found, exact)
+
+
 def test_decontamination_edges(spark, tmp_path):
     bench = spark.createDataFrame([(1, "the small dog went over the hill and saw a large bird"), (2, "word")], "item_id long, text string")
     rows = decontaminate.query(spark, edges.sf_dir(spark, tmp_path / "a", documents=edges.documents(spark), benchmark=bench)).collect()
