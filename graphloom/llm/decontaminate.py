@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions alone.
 
-Names, numbers and units become typed slots: capitalised words inside a sentence, digit runs, and unit words after a number. Other words
-are lower-cased. Windows of eight tokens, slots by type and words by themselves, are hashed and joined with those of the benchmark. A
+Names, numbers and units become typed slots: capitalised words inside a sentence, digit runs, and unit words after a number, whatever
+white space is before them. An item's first word, if capitalised, is read both as a name and as a word. Other words are lower-cased. Windows of eight tokens, slots by type and words by themselves, are hashed and joined with those of the benchmark. A
 document leaks an item if, along one alignment, seven windows of the item match (all, if it has fewer) and the slot values are
 consistent: an item's value always stands for the same value of the document and the other way round. Values may differ, which catches
 questions asked again with other numbers or names. Windows of the plain words, slots by their values, are joined besides: seven of them (all,
@@ -33,6 +33,8 @@ UNITS = (
     "seconds sec day days week weeks month months year years dollar dollars euro euros cent cents pound pounds percent liter liters litre "
     "litres ml degree degrees meter meters metre metres"
 ).split()
+#: White space, of a character class.
+BLANK = r"\s\p{Z}"
 #: Marks put in front of names, numbers and units.
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
 
@@ -45,9 +47,10 @@ def tokenised(rows: DataFrame, text: str) -> DataFrame:
     others = [c for c in rows.columns if c != text]
     foreign = F.contains(F.col(text), F.lit(NAME)) | F.contains(F.col(text), F.lit(NUMBER)) | F.contains(F.col(text), F.lit(UNIT))
     plain = rows.select(*others, F.when(foreign, F.translate(text, NAME + NUMBER + UNIT, "   ")).otherwise(F.col(text)).alias("t"))
-    named = plain.select(*others, F.regexp_replace("t", r"([^.!?:\s]) (?=\p{Lu}\p{Ll})", "$1 " + NAME).alias("t"), F.col("t").rlike("[0-9]").alias("digits"))
+    named = plain.select(*others, F.regexp_replace("t", rf"([^.!?:{BLANK}])[{BLANK}]+(?=\p{{Lu}}\p{{Ll}})", "$1 " + NAME).alias("t"), F.col("t").rlike("[0-9]").alias("digits"))
     numbered = F.regexp_replace("t", r"(?<![\p{L}\d.,])(?=\d)", NUMBER)
-    united = F.regexp_replace(numbered, rf"(?<=\d ?)(?=(?:{'|'.join(UNITS)})(?![\p{{L}}\d]))", UNIT)
+    spaced = F.regexp_replace(numbered, rf"(?<=\d)[{BLANK}]+", " ")
+    united = F.regexp_replace(spaced, rf"(?<=\d ?)(?=(?:{'|'.join(UNITS)})(?![\p{{L}}\d]))", UNIT)
     low = named.select(*others, "digits", F.lower(F.when(F.col("digits"), united).otherwise(F.col("t"))).alias("t"))
     found = F.regexp_extract_all("t", F.lit(rf"{NUMBER}\d+(?:[.,]\d+)*|[{NAME}{UNIT}]?[\p{{L}}\d]+"), F.lit(0))
     words = F.array_remove(F.split("t", rf"[^\p{{L}}{NAME}]+"), "")
@@ -89,7 +92,7 @@ def windows(rows: DataFrame, size: int) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(uid, item_id, n_windows, exact): each document (by its uid column) and item that it leaks."""
     named = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.monotonically_increasing_id().alias("row"), F.col(item_text).cast("string").alias("t"))
-    items = materialize(tokenised(named.where("t is not null"), "t").withColumn("size", F.least(F.size("tokens"), F.lit(WINDOW)))).where("size > 0")
+    items = materialize(tokenised(named.where("t is not null").withColumn("title", F.col("t").rlike(r"^[^\p{L}\d]*\p{Lu}\p{Ll}")), "t").withColumn("size", F.least(F.size("tokens"), F.lit(WINDOW)))).where("size > 0")
     pieces = docs.select("uid", F.col(text_col).cast("string").alias("t")).where("t is not null and t != ''")
     starts = F.when(F.length("t") > PIECE, F.sequence(F.lit(0), F.length("t"), F.lit(PIECE))).otherwise(F.array(F.lit(0)))
     whole = pieces.select("uid", "t", F.explode(starts).alias("piece"))
@@ -97,11 +100,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id
     hits = None
     for size in sorted(r.size for r in items.select("size").distinct().collect()):  # 1 to WINDOW
         literal = lambda tokens: F.size(F.filter(tokens, lambda t: F.ascii(t) > 3))
-        of = items.where(F.col("size") == size).select("item_id", "row", "tokens", "marked", (F.size("tokens") - size + 1).alias("of"))
+        of = items.where(F.col("size") == size).select("item_id", "row", "tokens", "marked", "title", (F.size("tokens") - size + 1).alias("of"))
         words = of.select("row", "of", literal("tokens").alias("words"), F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda i: literal(F.slice("tokens", i + 1, size))).alias("literals"))
         few = F.size(F.filter("literals", lambda n: 2 * n >= size)) < F.least(F.lit(RUN), F.col("of"))  # the item can't be found by such windows
         words = words.select("row", F.posexplode("literals").alias("item_pos", "n"), F.when(few & (F.col("words") >= WORDS), F.size(F.filter("literals", lambda n: n > 0))).alias("whole"))
-        index = windows(of, size).select("hash", "item_id", "row", "of", F.col("pos").alias("item_pos"), F.col("first").alias("item_first"), F.col("last").alias("item_last"))
+        # the first word as a name stands in the first window alone
+        titled = of.where("title").withColumn("tokens", F.concat(F.array(F.concat(F.lit(NAME), F.get("tokens", F.lit(0)))), F.slice("tokens", 2, 1 << 30))).withColumn("marked", F.lit(True))
+        index = windows(of, size).union(windows(titled, size).where("pos = 0")).distinct().select("hash", "item_id", "row", "of", F.col("pos").alias("item_pos"), F.col("first").alias("item_first"), F.col("last").alias("item_last"))
         # a window's plain words are the second of its rows, or the only one
         valued = windows(of.select("item_id", "row", "of", F.transform("tokens", _plain).alias("tokens"), F.lit(False).alias("marked")), size).select("row", F.col("pos").alias("item_pos"), "hash", F.lit(True).alias("plain"))
         index = index.join(words, ["row", "item_pos"]).join(valued, ["row", "item_pos", "hash"], "left").withColumn("plain", F.col("plain").isNotNull())

@@ -189,6 +189,31 @@ def test_items_dense_in_slots(spark, item, text, found, exact):
     assert (row.contaminated, row.exact) == (found, exact)
 
 
+WHO = "Who wrote the novel about the large white whale"
+
+
+@pytest.mark.parametrize(
+    ("item", "text", "exact"),
+    [
+        (ITEM, ITEM.replace(" Tom", "\nTom").replace(" Ann", "  Ann"), True),
+        (ITEM, ITEM.replace(" kg", "\n kg").replace("Tom", "Bob").replace(" Bob", "\n\tBob").replace(" Ann", "\u00a0Eve"), False),
+        (ITEM, ITEM.lower(), True),
+        (ITEM, ITEM.upper(), True),
+        (ITEM, ITEM.replace("Tom", '"Tom"'), True),
+        ("The old man sold Tom a boat and a net so that he could fish in it", "the old man sold\nTom a boat and a net so that he could fish in it", True),
+        (WHO, f"Question {WHO}", True),
+        (WHO, WHO.lower(), True),
+        ("Who gave the large white whale to Ann", "Question Who gave the large white whale to\nEve", False),
+    ],
+)
+def test_rewrapped_items(spark, item, text, exact):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = decontaminate.scan(docs, spark.createDataFrame([(5, item)], "item_id long, text string"), {"doc_id": F.col("doc_id")}).first()
+    assert (row.contaminated, row.exact) == (True, exact)
+
+
 def test_decontamination_edges(spark, tmp_path):
     bench = spark.createDataFrame([(1, "the small dog went over the hill and saw a large bird"), (2, "word")], "item_id long, text string")
     rows = decontaminate.query(spark, edges.sf_dir(spark, tmp_path / "a", documents=edges.documents(spark), benchmark=bench)).collect()
