@@ -3,8 +3,8 @@
 A text's lines, cut into blocks of at most ``BLOCK`` words that overlap by half, are joined with license templates: a block matches a
 template if it holds at least ``PERCENT`` of the template's distinct words. Template words are ordered by their document frequency
 over all texts, rarest first. Prefix filter: a match shares one of the template's first |T| - need + 1 words. Length filter: the block
-holds at least ``need`` template words. Positional filter: the words left behind the shared one suffice. Survivors are counted exactly; of the templates
-that a block meets, those of largest containment give it their labels.
+holds at least ``need`` template words. Positional filter: the words left behind the shared one suffice. Survivors are counted exactly; every
+template that a block meets gives it a label, but one whose words in the block all belong to another of larger containment that it meets too.
 
 Besides, every place is found where the words of a base phrase stand consecutively.
 
@@ -64,7 +64,7 @@ def _follows(words: Column, i: Column, phrase: list[str]) -> Column:
 
 
 def matches(docs: DataFrame, templates=TEMPLATES, percent: int = PERCENT) -> DataFrame:
-    """(uid, label, containment): the templates that some block of the text (columns uid, t) holds best of all that it holds."""
+    """(uid, label, containment): the templates that some block of the text (columns uid, t) holds, but those explained by a better one."""
     spark = docs.sparkSession
     sets = [(label, sorted(set(_plain(text)))) for label, text in templates]
     universe = F.array(*(F.lit(w) for w in sorted({w for _, s in sets for w in s})))
@@ -85,10 +85,11 @@ def matches(docs: DataFrame, templates=TEMPLATES, percent: int = PERCENT) -> Dat
     blocks = worded.select("uid", F.explode(F.transform(starts, lambda i: F.array_sort(F.transform(F.array_intersect(F.slice("words", i + 1, BLOCK), universe), lambda w: rank[w])))).alias("held"))
     probes = blocks.select("uid", "held", F.posexplode("held").alias("held_at", "rank"))
     candidates = probes.join(F.broadcast(index), "rank").where((F.size("held") >= F.col("need")) & (1 + F.least(F.size("held") - F.col("held_at"), F.size("ranks") - F.col("at")) - 1 + F.least("held_at", "at") >= F.col("need")))
-    shared = F.size(F.array_intersect("held", "ranks"))
-    met = candidates.where(shared >= F.col("need")).select("uid", "held", F.struct((shared / F.size("ranks")).alias("c"), "label").alias("m"))
-    best = met.groupBy("uid", "held").agg(F.max("m.c").alias("c"), F.collect_set("m").alias("ms"))  # a template each at most
-    return best.select("uid", "c", F.explode(F.filter("ms", lambda m: m["c"] == F.col("c"))).alias("m")).groupBy("uid", F.col("m.label").alias("label")).agg(F.max("c").alias("containment"))
+    shared = F.array_intersect("held", "ranks")
+    met = candidates.where(F.size(shared) >= F.col("need")).select("uid", "held", F.struct((F.size(shared) / F.size("ranks")).alias("c"), "label", shared.alias("shared")).alias("m"))
+    block = met.groupBy("uid", "held").agg(F.collect_set("m").alias("ms"))  # a template each at most
+    explained = lambda m: F.exists("ms", lambda b: (b["c"] > m["c"]) & (F.size(F.array_except(m["shared"], b["shared"])) == 0))
+    return block.select("uid", F.explode(F.filter("ms", lambda m: ~explained(m))).alias("m")).groupBy("uid", F.col("m.label").alias("label")).agg(F.max("m.c").alias("containment"))
 
 
 def scan(docs: DataFrame, keep: dict, text_col: str = "text") -> DataFrame:

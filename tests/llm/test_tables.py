@@ -112,6 +112,22 @@ def test_license_scan(spark):
         assert got[i] == pytest.approx(brute_scan(t)), t
 
 
+@pytest.mark.parametrize(
+    ("text", "labels", "score"),
+    [
+        ("Licensed under the Apache License 2.0 or released under the MIT License", "apache,apache-2.0,mit", 1.0),
+        ("Licensed under CC BY-NC 4.0, or released under the mit-like license", "cc-by,cc-by-nc-4.0,mit", 1.0),
+        ("Licensed under CC BY-NC 4.0", "cc-by,cc-by-nc-4.0", 1.0),
+        ("This library is licensed under the GNU Lesser General Public License, version 2.1", "lgpl-2.1", 1.0),
+    ],
+)
+def test_licenses_side_by_side(spark, text, labels, score):
+    from pyspark.sql import functions as F
+
+    row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), {"doc_id": F.col("doc_id")}).first()
+    assert (row.labels, row.score) == (labels, score)
+
+
 def test_license_edges(spark, tmp_path):
     rows = licenses.query(spark, edges.sf_dir(spark, tmp_path, documents=edges.documents(spark))).collect()
     assert len(rows) == 12 and {r.doc_id: r.labels for r in rows}[None] == "mit"
