@@ -1,6 +1,6 @@
 """License scans by an exact set-similarity join, with DataFrame functions alone.
 
-A text's lines, cut into blocks of at most ``BLOCK`` words that overlap by half, are joined with license templates: a block matches a
+A text and each of its lines, cut into blocks of at most ``BLOCK`` words that overlap by half, are joined with license templates: a block matches a
 template if it holds at least ``PERCENT`` of the template's distinct words. Template words are ordered by their document frequency
 over all texts, rarest first. Prefix filter: a match shares one of the template's first |T| - need + 1 words. Length filter: the block
 holds at least ``need`` template words. Positional filter: the words left behind the shared one suffice. Survivors are counted exactly; every
@@ -63,8 +63,9 @@ def _follows(words: Column, i: Column, phrase: list[str]) -> Column:
     return out
 
 
-def matches(docs: DataFrame, templates=TEMPLATES, percent: int = PERCENT) -> DataFrame:
-    """(uid, label, containment): the templates that some block of the text (columns uid, t) holds, but those explained by a better one."""
+def matches(docs: DataFrame, templates=TEMPLATES, percent: int = PERCENT, across: bool = False) -> DataFrame:
+    """(uid, label, containment): the templates that some block of the text (columns uid, t) holds, but those explained by a better one.
+    Blocks stay within lines, unless ``across``."""
     spark = docs.sparkSession
     sets = [(label, sorted(set(_plain(text)))) for label, text in templates]
     universe = F.array(*(F.lit(w) for w in sorted({w for _, s in sets for w in s})))
@@ -79,7 +80,8 @@ def matches(docs: DataFrame, templates=TEMPLATES, percent: int = PERCENT) -> Dat
     index = spark.createDataFrame(rows, "label string, ranks array<int>, need int, at int, rank int")  # prefixes of the templates
     prefix = F.array(*(F.lit(w) for w in sorted({w for w, k in order.items() if any(k == r[4] for r in rows)})))
     rank = F.create_map(*(x for w, k in order.items() for x in (F.lit(w), F.lit(k))))
-    lines = docs.where(F.arrays_overlap(words_of(F.col("t")), prefix)).select("uid", F.explode(F.split("t", "\n")).alias("t"))
+    parts = F.split("t", "\n")
+    lines = docs.where(F.arrays_overlap(words_of(F.col("t")), prefix)).select("uid", F.explode(F.array_distinct(F.concat(parts, F.array("t"))) if across else parts).alias("t"))
     worded = lines.select("uid", words_of(F.col("t")).alias("words")).where(F.arrays_overlap("words", prefix))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - BLOCK // 2 - 1), F.lit(BLOCK // 2))
     blocks = worded.select("uid", F.explode(F.transform(starts, lambda i: F.array_sort(F.transform(F.array_intersect(F.slice("words", i + 1, BLOCK), universe), lambda w: rank[w])))).alias("held"))
@@ -92,11 +94,12 @@ def matches(docs: DataFrame, templates=TEMPLATES, percent: int = PERCENT) -> Dat
     return block.select("uid", F.explode(F.filter("ms", lambda m: ~explained(m))).alias("m")).groupBy("uid", F.col("m.label").alias("label")).agg(F.max("m.c").alias("containment"))
 
 
-def scan(docs: DataFrame, keep: dict, text_col: str = "text") -> DataFrame:
-    """``keep`` columns plus n_words, n_base, first_word, last_word, base_labels, labels and score, the largest containment found."""
+def scan(docs: DataFrame, keep: dict, text_col: str = "text", across: bool = False) -> DataFrame:
+    """``keep`` columns plus n_words, n_base, first_word, last_word, base_labels, labels and score, the largest containment found.
+    Statements that run over line breaks are found if ``across``, as the query does."""
     numbered = docs.select(*(c.alias(n) for n, c in keep.items()), F.monotonically_increasing_id().alias("uid"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     # the labels are few, so a text's matches are a short list
-    found = matches(numbered.select("uid", "t")).groupBy("uid").agg(F.collect_set("label").alias("own"), F.max("containment").alias("score"))
+    found = matches(numbered.select("uid", "t"), across=across).groupBy("uid").agg(F.collect_set("label").alias("own"), F.max("containment").alias("score"))
     based = numbered.withColumn("words", words_of(F.col("t"))).select(*keep, "uid", F.size("words").cast("long").alias("n_words"), _places(F.col("words")).alias("places"))
     at, label = F.col("places.at"), F.col("places.label")
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
@@ -113,11 +116,12 @@ def scan(docs: DataFrame, keep: dict, text_col: str = "text") -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"), {"doc_id": F.col("doc_id")})
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"), {"doc_id": F.col("doc_id")}, across=True)
 
 
 def oracle() -> str:
-    """The same by brute force in SQL: every block against every template."""
+    """Brute force in SQL: every block against every template. It is narrower than the query: it knows blocks within lines alone, and
+    the best templates of a block."""
     words = lambda t: f"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     sets = ", ".join(f"('{label}', [{', '.join(repr(w) for w in sorted(set(_plain(text))))}])" for label, text in TEMPLATES)
     phrase = " union all ".join(f"select rid, unnest(list_filter(range(1, len(w) + 1), lambda i: {' and '.join(f'coalesce(w[i + {k}], %s) = %s' % (repr(''), repr(x)) for k, x in enumerate(p.split()))})) - 1 as at_, '{label}' as label from d" for p, label in PHRASES.items())

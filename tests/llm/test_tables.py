@@ -128,6 +128,14 @@ def test_licenses_side_by_side(spark, text, labels, score):
     assert (row.labels, row.score) == (labels, score)
 
 
+def test_licenses_across_lines(spark, tmp_path):
+    bsd, mpl = dict(licenses.TEMPLATES)["bsd-3-clause"], dict(licenses.TEMPLATES)["mpl-2.0"]
+    texts = [bsd.replace("BSD-style ", "BSD-style\n"), "# " + mpl.replace("subject", "subject\n#").replace("Public", "Public\r\n#"), edges.LONG + "Released under\nthe MIT-like\nLicense. " + edges.LONG, "a\nb " * 30 + bsd + "\nx" * 90]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = licenses.query(spark, edges.sf_dir(spark, tmp_path, documents=docs)).collect()
+    assert {r.doc_id: (r.labels, r.score) for r in rows} == {0: ("bsd-3-clause", 1.0), 1: ("mpl-2.0", 1.0), 2: ("mit", 1.0), 3: ("bsd-3-clause", 1.0)}
+
+
 def test_license_edges(spark, tmp_path):
     rows = licenses.query(spark, edges.sf_dir(spark, tmp_path, documents=edges.documents(spark))).collect()
     assert len(rows) == 12 and {r.doc_id: r.labels for r in rows}[None] == "mit"
