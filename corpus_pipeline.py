@@ -10,7 +10,7 @@ from graphloom.llm.common import materialize, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document is rejected below these scores.
-QUALITY, LANGUAGE = 0.5, 0.5
+QUALITY, LANGUAGE = quality.GOOD, 0.5
 
 
 

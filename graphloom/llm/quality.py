@@ -109,6 +109,10 @@ def score(measured: DataFrame, model: dict | None) -> DataFrame:
     return measured.withColumn("score", 1 / (1 + F.exp(log[0] - log[1]))).drop("stats")
 
 
+#: The least score of a text predicted good.
+GOOD = 0.7
+
+
 def scored(spark: SparkSession, docs: DataFrame, sf_dir: str, keep: dict) -> DataFrame:
     """Each text is measured once; the written statistics, a few bytes a document, feed both the fit and the scores. Only they meet
     the labels in a shuffle, never the texts."""
@@ -122,4 +126,4 @@ def scored(spark: SparkSession, docs: DataFrame, sf_dir: str, keep: dict) -> Dat
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = scored(spark, docs, sf_dir, {"doc_id": F.col("doc_id"), "held_out": fold(F.col("doc_id"), 4) == 2})
-    return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+    return out.withColumn("predicted", (F.col("score") >= GOOD).cast("int"))

@@ -176,6 +176,14 @@ def test_pipeline_stages(spark, stages):
     assert back == {r.doc_id: r.text for r in clean.collect()}
 
 
+def test_pipeline_keeps_what_op8_calls_good(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(quality, "scored", lambda spark, docs, sf_dir, keep: docs.select(*(c.alias(n) for n, c in keep.items()), (F.col("doc_id") / 10).alias("score")))
+    docs = spark.createDataFrame([(i, "text", "en", "src0", 4) for i in range(10)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_quality(spark, docs, SF).collect()) == [7, 8, 9]
+
+
 def test_pipeline_edges(spark, tmp_path):
     bench = spark.createDataFrame([(1, "the small dog went over the hill and saw a large bird")], "item_id long, text string")
     at = edges.sf_dir(spark, tmp_path / "a", documents=edges.documents(spark), benchmark=bench)
