@@ -10,7 +10,8 @@ finished exactly: small ones by their remaining pairs across components, large o
 that hand on a spanning forest of the verified links only.
 
 Defined results: null, empty and blank texts have the empty set, link with nothing and are their own component; rows that repeat a
-doc_id are one document; a row without doc_id takes the component of the rows of equal set that have one, and is kept if there is none;
+doc_id are one document; rows without doc_id are compared like all others, take the component of the rows they are linked with, which is named
+by the least doc_id, and have none and are kept if no such row has a doc_id;
 an empty table gives an empty result.
 """
 
@@ -222,8 +223,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     sketched = materialize(sketch(docs, k, id_col, text_col))
     some = sketched.where("key is not null")
     # the struct's order puts rows without an id last
-    by_key = materialize(some.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("m"), F.min_by("sig", F.struct(F.col("id").isNull(), "id", "uid")).alias("sig")).select("key", "m.id", "m.uid", "sig"))
-    reps = by_key.where("id is not null")
+    by_key = materialize(some.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("m"), F.min_by("sig", F.struct(F.col("id").isNull(), "id", "uid")).alias("sig")).select("key", F.col("m.id").alias("doc"), "m.uid", "sig"))
+    reps = by_key.select(F.col("uid").alias("id"), "uid", "sig")  # rows are linked by their numbers
 
     def cut(batches):
         for batch in batches:
@@ -246,8 +247,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     many = open_.where(F.col("n") > SMALL)
     if many.limit(1).count():
         links = links.union(materialize(blocks(many, docs, reps, k, percent, text_col)))
-    comps = components(links)
-    roots = by_key.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("key", F.coalesce("component", "id").alias("component_id"), F.col("uid").alias("first_uid"))
+    ids = by_key.where("doc is not null").select("doc", "uid")
+    repeated = ids.join(ids.groupBy("doc").agg(F.min("uid").alias("b"), F.count("*").alias("n")).where("n > 1"), "doc")
+    comps = components(links.union(repeated.where("uid != b").select(F.col("uid").alias("a"), "b")))
+    # a component is named by its least doc_id, of whose rows the first of each set is kept, or the first of all if it has none
+    linked = materialize(by_key.select("key", "doc", "uid").join(comps.select(F.col("node").alias("uid"), "component"), "uid"))
+    named = materialize(linked.groupBy("component").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "uid")).alias("m")).select("component", F.col("m.doc").alias("component_id"), F.col("m.uid").alias("first_uid")))
+    of_key = linked.join(F.broadcast(named) if named.count() <= MOST_IDS else named, "component").select("key", "component_id", F.when(F.col("component_id").isNull(), F.col("first_uid")).otherwise(F.col("uid")).alias("first_uid"))
+    roots = by_key.join(of_key, "key", "left").select("key", F.when(F.col("first_uid").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("first_uid", "uid").alias("first_uid"))
     joined = some.join(roots, "key").select("uid", "id", "n", "component_id", "first_uid")
     alone = sketched.where("key is null").select("uid", "id", "n", F.col("id").alias("component_id"), F.col("uid").alias("first_uid"))
     kept = F.col("component_id").isNull() | F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))

@@ -91,6 +91,23 @@ def test_minhash_edges(spark, tmp_path):
     assert minhash.query(spark, edges.sf_dir(spark, tmp_path / "none")).count() == 0
 
 
+def test_minhash_without_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = lambda k: " ".join([*words[:-1], f"x{k}"])
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(None, near(0)), (7, near(1)), (5, near(2)), (None, near(0)), (None, other), (None, other + " u"), (9, "apart from all the others here")]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    near_rows = [r for r in out if r.n_shingles == 56 and r.component_id is not None]
+    assert len(near_rows) == 4 and {r.component_id for r in near_rows} == {5}
+    assert [r.doc_id for r in near_rows if r.first] == [5] and [r.doc_id for r in near_rows if r.kept] == [5]
+    rest = [r for r in out if r.component_id is None]
+    assert len(rest) == 2 and all(r.kept for r in rest) and sum(r.first for r in rest) == 1
+    repeats = [(6, near(0)), (6, other), (8, near(1)), (9, other + " u")]
+    again = minhash.near_duplicates(spark.createDataFrame(repeats, "doc_id long, text string")).collect()
+    assert {r.component_id for r in again} == {6} and sorted(r.doc_id for r in again if r.first) == [6, 6]
+    assert [(r.component_id, r.kept, r.first) for r in out if r.doc_id == 9] == [(9, True, True)]
+
+
 def vectors(rng, n, dim, groups):
     centers = rng.normal(size=(groups, dim))
     x = centers[rng.integers(0, groups, n)] + rng.choice([0.05, 0.12, 0.2], (n, 1)) * rng.normal(size=(n, dim))
