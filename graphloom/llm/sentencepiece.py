@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer: the shortest path in the tropical semiring.
 
-The vocabulary file is a parameter and is read on the driver. Its weights are the pieces' stored scores. Decoding gives back every
-text exactly: U+2581 of the input itself goes by the byte fallback, where the original library would turn it into a space.
+The vocabulary file is a parameter and is read on the driver. Its weights are the pieces' stored scores, its rewriting rules are the
+normaliser. Decoding gives back every text exactly under a normaliser without rules that keeps all spaces, as that of the default
+file: U+2581 of the input itself goes by the byte fallback, where the original library would turn it into a space.
 
 Defined results: a null text has null ids, an empty text has none; texts of any length are encoded whole; repeated rows are encoded
 each on its own; an empty table gives an empty result.
@@ -23,11 +24,10 @@ from graphloom.llm.pieces import Pieces
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
-def _lists(parts: list[bytes | None]) -> pa.Array:
-    lengths = [len(p) // 4 if p is not None else 0 for p in parts]
-    values = pa.array(np.frombuffer(b"".join(p for p in parts if p), np.int32))
-    offsets = np.r_[0, np.cumsum(lengths)].astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array([p is None for p in parts]))
+def _lists(parts: list[list[bytes] | None]) -> pa.Array:
+    raw = [b"".join(p) if p is not None else b"" for p in parts]
+    offsets = np.r_[0, np.cumsum([len(r) // 4 for r in raw])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), np.int32)), mask=pa.array([p is None for p in parts]))
 
 
 def encode(docs: DataFrame, keep: dict, text_col: str = "text", model_path: str = MODEL) -> DataFrame:
@@ -36,7 +36,7 @@ def encode(docs: DataFrame, keep: dict, text_col: str = "text", model_path: str
 
     def make():
         pieces, seen = Pieces.of(held.value), {}
-        return lambda texts: [_lists([pieces.encode(t.decode("utf-8", "replace"), seen) if t is not None else None for t in texts])]
+        return lambda texts: [_lists([x[0] if x is not None else None for x in pieces.encode([t.decode("utf-8", "replace") if t is not None else None for t in texts], seen)])]
 
     return map_text(docs, F.col(text_col), make, "ids array<int>", keep)
 
@@ -63,21 +63,20 @@ def digest(docs: DataFrame, keep: dict, text_col: str = "text", model_path: str
 
     def make():
         pieces, seen = Pieces.of(held.value), {}
-        low, high = min(pieces.byte_id), max(pieces.byte_id)
+        low, high = int(pieces.byte_id.min()), int(pieces.byte_id.max())
 
         def run(texts):
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for t in texts:
-                if t is None:
-                    row = (None,) * 4
+            strings = [t.decode("utf-8", "replace") if t is not None else None for t in texts]
+            rows = []
+            for text, found in zip(strings, pieces.encode(strings, seen), strict=True):
+                if found is None:
+                    rows.append((None,) * 4)
                 else:
-                    text = t.decode("utf-8", "replace")
-                    raw = pieces.encode(text, seen)
+                    raw = b"".join(found[0])
                     ids = np.frombuffer(raw, np.int32)
-                    row = (len(ids), int(((ids >= low) & (ids <= high)).sum()), zlib.crc32(raw), pieces.decode(ids.tolist()) == text)
-                for column, v in zip(out, row, strict=True):
-                    column.append(v)
-            return [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.bool_())]
+                    rows.append((len(ids), int(((ids >= low) & (ids <= high)).sum()), zlib.crc32(raw), pieces.decoded(found[1]) == text))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]
 
         return run
 
