@@ -26,10 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def agreed(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """One row a labelled id, of labels 0 and 1; ids without label, or labelled both ways, are left out."""
+    some = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
+    return some.groupBy(id_col).agg(F.min(label_col).alias(label_col), F.max(label_col).alias("__most")).where(F.col(label_col) == F.col("__most")).drop("__most")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees. A temporary one is set only where the session names none, as in tests."""
+    """The folder that every executor sees. A temporary one is set only where a local session names none, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="graphloom-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         at = f"file://{own}"
@@ -124,16 +132,51 @@ def components(links: DataFrame, shuffle: int | None = None) -> DataFrame:
     )
 
 
-def frequent(counts: DataFrame, n: str, most: int) -> int:
-    """The least count c such that about ``most`` rows at most have ``n`` >= c: a size bound for what is collected or broadcast.
+def most_frequent(counts: DataFrame, n: str, most: int, key: str) -> Column:
+    """A condition that about ``most`` rows at most meet, those of largest ``n``: a size bound for what is collected or broadcast.
 
-    Counts are binned on a log scale first, so at most about a thousand rows reach the driver whatever the table's size."""
-    step = 16
-    bins = counts.where(F.col(n) > 0).groupBy(F.floor(F.log2(F.col(n)) * step).alias("bin")).agg(F.count("*").alias("k"), F.min(n).alias("least")).orderBy(F.desc("bin")).collect()
-    total, cut = 0, None
-    for row in bins:
-        total += row.k
-        if total > most:
-            break
-        cut = row.least
-    return int(cut) if cut is not None else (int(bins[0].least) + 1 if bins else 1)
+    Counts are binned on a log scale, so at most about a thousand rows reach the driver whatever the table's size. Whole bins are taken
+    from the top; of the bin that the bound cuts, the rows whose key has the least hash."""
+    bins = counts.where(F.col(n) > 0).groupBy(_bin(n).alias("bin")).agg(F.count("*").alias("k")).orderBy(F.desc("bin")).collect()
+    return _condition([(r.bin, r.k) for r in bins], n, most, key)
+
+
+def _bin(n: str) -> Column:
+    return F.floor(F.log2(F.col(n)) * 16)
+
+
+def _condition(bins: list[tuple[int, int]], n: str, most: int, key: str) -> Column:
+    left, span = most, 1 << 30
+    for bin_, k in bins:
+        if k > left:
+            at, some = _bin(n), F.pmod(F.xxhash64(key), F.lit(span)) < int(span * left / k)
+            return F.coalesce((F.col(n) > 0) & ((at > bin_) | ((at == bin_) & some)), F.lit(False))
+        left -= k
+    return F.coalesce(F.col(n) > 0, F.lit(False))
+
+
+def most_frequent_each(counts: DataFrame, n: str, most: int, key: str, group: str) -> Column:
+    """``most_frequent`` within each value of ``group``, of which there are few."""
+    bins: dict = {}
+    for r in counts.where(F.col(n) > 0).groupBy(group, _bin(n).alias("bin")).agg(F.count("*").alias("k")).orderBy(F.desc("bin")).collect():
+        bins.setdefault(r[group], []).append((r.bin, r.k))
+    out = F.lit(False)
+    for value, b in sorted(bins.items()):
+        out = F.when(F.col(group) == value, _condition(b, n, most, key)).otherwise(out)
+    return out
+
+
+#: Plans of these nodes alone give each row the same number at every run: files and their splits are fixed.
+_FIXED = {"LogicalRelation", "LocalRelation", "Project", "Filter", "SubqueryAlias", "View"}
+
+
+def numbered(df: DataFrame, name: str = "uid") -> DataFrame:
+    """Add a row number that separate plans agree on. Rows of a scan get theirs in place; any other plan is written first, as a shuffle may
+    deal its rows otherwise when a task is run again."""
+    plans, fixed = [df._jdf.queryExecution().analyzed()], True
+    while plans:
+        plan = plans.pop()
+        fixed = fixed and plan.nodeName() in _FIXED
+        plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    numbered_ = df.withColumn(name, F.monotonically_increasing_id())
+    return numbered_ if fixed else materialize(numbered_)

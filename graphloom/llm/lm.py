@@ -1,19 +1,21 @@
 """Language-model scores: a document's marginal probability over all subword segmentations.
 
-Tokens are the words between ASCII white space, A-Z lower-cased, and one end a text. The existing vocabulary's scores weigh
-all segmentations of the distinct training words; the expected pieces under those weights, one pass over all training rows, give the
-arcs of the scoring lattice, and the forward recursion in log space sums all segmentations of each word. No piece spans two words, so
-a text's marginal is the product of its words'. The vocabulary itself is never changed. What is learnt adds a whole-word arc to each lattice, weighted by the discounted count:
+Tokens are the words between ASCII white space, A-Z lower-cased, and one end a text. The existing vocabulary's scores weigh all
+segmentations, and the forward recursion in log space sums those of each word. No piece spans two words, so a text's marginal is the
+product of its words' and the end's: that is ``score``. The vocabulary and its scores are never changed.
+
+``adapted_score`` is a second model on top, which learns from the training rows: each word's lattice gets a whole-word arc weighted by
+the discounted count,
 
     P(w) = max(c - D, 0) / N  +  (D V / N) * P_lattice(w),   D = n1 / (n1 + 2 n2)
 
 with N, V, n1 and n2 the training tokens, distinct tokens, and those seen once and twice. This sums to one over all words.
 
-Counts cover all training rows. The most frequent tokens (``frequent_tokens`` at most) are resolved in place; each of the others is
-rare, so joining on the token meets no hot key; every token of every text is counted exactly.
+Counts cover all training rows. The tokens that occur most in all rows (about ``frequent_tokens`` at most) are resolved in place; each
+of the others is rare, in training rows or not, so joining on the token meets no hot key; every token of every text is counted exactly.
 
-Defined results: null and empty texts have the end token alone; with nothing to learn from, base_score is 0.0 and the score is the
-bare lattice's; repeated rows are scored each on its own; an empty table gives an empty result.
+Defined results: null and empty texts have the end token alone; with nothing to learn from, base_score is 0.0 and the adapted score is
+the lattice's; repeated rows are scored each on its own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,11 +24,12 @@ import math
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import by_bytes, fold, frequent, materialize, table
+from graphloom.llm.common import by_bytes, fold, materialize, most_frequent, numbered, table
 from graphloom.llm.pieces import Pieces
 from graphloom.llm.sentencepiece import MODEL
 
@@ -41,114 +44,97 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
-    """docs: text, train boolean -> (token, c): occurrences in training rows, 0 for tokens of other rows alone."""
+    """docs: text, train boolean -> (token, c, t): occurrences in training rows and in all rows."""
 
     def run(batches):
-        counts: Counter = Counter()
+        counts: tuple[Counter, Counter] = (Counter(), Counter())  # of other rows, of training rows
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], names=["token", "c"])
+            words = list(counts[0].keys() | counts[1].keys())
+            c = np.fromiter((counts[1][w] for w in words), np.int64, len(words))
+            other = np.fromiter((counts[0][w] for w in words), np.int64, len(words))
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(c), pa.array(c + other)], names=["token", "c", "t"])
 
         for batch in batches:
             for part in by_bytes(batch):
                 for train, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                    if train:
-                        counts.update(tokens(text))
-                    else:
-                        for w in tokens(text):
-                            counts.setdefault(w, 0)
-                if len(counts) > FLUSH:
+                    counts[bool(train)].update(tokens(text))
+                if len(counts[0]) + len(counts[1]) > FLUSH:
                     yield out()
-                    counts.clear()
+                    for held in counts:
+                        held.clear()
         yield out()
 
-    return docs.select("train", "text").mapInArrow(run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    return docs.select("train", "text").mapInArrow(run, "token string, c long, t long").groupBy("token").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
 
 
-def expected_pieces(counts: DataFrame, model_path: str) -> dict[int, float]:
-    """Expected pieces over the distinct training tokens, each once, under the vocabulary's own weights; a row a piece at most."""
+def with_lattice(counts: DataFrame, model_path: str) -> DataFrame:
+    """Add lat: log10 of the lattice's marginal of each distinct token."""
     held = counts.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
 
     def run(batches):
         pieces = Pieces.of(held.value)
-        pieces.weighted()
-        into: dict[int, float] = {}
-        for batch in batches:
-            for w in batch.column(0).to_pylist():
-                pieces.expect(w, 1.0, into)
-        yield pa.RecordBatch.from_arrays([pa.array(list(into), pa.int32()), pa.array(list(into.values()), pa.float64())], names=["piece", "n"])
-
-    rows = counts.where("c > 0 and token != ''").select("token").mapInArrow(run, "piece int, n double")
-    return {r.piece: r.n for r in rows.groupBy("piece").agg(F.sum("n").alias("n")).collect()}
-
-
-def with_lattice(counts: DataFrame, expected: dict[int, float], model_path: str) -> DataFrame:
-    """Add lat: log10 of the lattice's marginal of each distinct token."""
-    held = counts.sparkSession.sparkContext.broadcast((Path(model_path).read_bytes(), expected))
-
-    def run(batches):
-        pieces = Pieces.of(held.value[0])
-        pieces.weighted(held.value[1])
         for batch in batches:
-            lat = [pieces.marginal(w) if w else pieces.end_log / math.log(10) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lat, pa.float64())], names=["token", "c", "lat"])
+            words = batch.column(0).to_pylist()
+            lat = pieces.marginals([w or "" for w in words])
+            lat[[not w for w in words]] = pieces.end_log / math.log(10)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lat)], names=["token", "c", "t", "lat"])
 
-    return counts.mapInArrow(run, "token string, c long, lat double")
+    return counts.mapInArrow(run, "token string, c long, t long, lat double")
 
 
 def score(docs: DataFrame, train, keep: dict, text_col: str = "text", model_path: str = MODEL, frequent_tokens: int = 60_000) -> DataFrame:
-    """``keep`` columns plus n_tokens, n_known, train_tokens, base_score and score; ``train`` is the column that marks training rows."""
+    """``keep`` columns plus n_tokens, n_known, train_tokens, base_score, score and adapted_score; ``train`` marks training rows."""
     spark = docs.sparkSession
     rows = docs.select(F.struct(*(c.alias(n) for n, c in keep.items())).alias("kept"), train.alias("train"), F.col(text_col).cast("string").alias("text"))
-    counted = materialize(count_tokens(rows))
-    vocabulary = materialize(with_lattice(counted, expected_pieces(counted, model_path), model_path))
+    vocabulary = materialize(with_lattice(count_tokens(rows), model_path))
     n, v, n1, n2 = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
     floor = n + 0.1 * (v + 1)
     weight = math.log10(discount * v / n) if n else 0.0
-    cut = frequent(vocabulary, "c", frequent_tokens)
-    common = {r.token.encode(): (int(r.c), r.lat) for r in vocabulary.where(F.col("c") >= cut).collect()}  # frequent_tokens rows at most
+    often = most_frequent(vocabulary, "t", frequent_tokens, "token")
+    common = {r.token.encode(): (int(r.c), r.lat) for r in vocabulary.where(often).collect()}  # about frequent_tokens rows at most
 
-    def both(c: int, lat: float) -> tuple[float, float]:
-        model = weight + lat if c <= discount else math.log10((c - discount) / n + 10 ** max(weight + lat, -320.0))
-        return math.log10((c + 0.1) / floor), model
+    def both(c: int, lat: float) -> tuple[float, float, float]:
+        adapted = weight + lat if c <= discount else math.log10((c - discount) / n + 10 ** max(weight + lat, -320.0))
+        return math.log10((c + 0.1) / floor), lat, adapted
 
-    held = spark.sparkContext.broadcast({w: both(*x) for w, x in common.items()})
+    held = spark.sparkContext.broadcast({w: (*both(*x), int(x[0] > 0)) for w, x in common.items()})
 
     def run(batches):
         known = held.value
         for batch in batches:
             for part in by_bytes(batch):
-                uid, word, times, n_tokens, n_known, base, model = [], [], [], [], [], [], []
+                uid, word, times, n_tokens, n_known, base, model, adapted = [], [], [], [], [], [], [], []
 
-                def put(*x, to=(uid, word, times, n_tokens, n_known, base, model)):
+                def put(*x, to=(uid, word, times, n_tokens, n_known, base, model, adapted)):
                     for column, value in zip(to, x, strict=True):
                         column.append(value)
 
                 for u, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                    b = m = 0.0
+                    b = m = a = 0.0
                     k = 0
                     words = tokens(text)
                     for w, times_ in Counter(words).items():
                         of = known.get(w)
                         if of is None:
-                            put(u, w, times_, 0, 0, 0.0, 0.0)
+                            put(u, w, times_, 0, 0, 0.0, 0.0, 0.0)
                         else:
-                            k += times_
+                            k += times_ * of[3]
                             b += times_ * of[0]
                             m += times_ * of[1]
+                            a += times_ * of[2]
                     # a text's own row has a token that no text holds, so it joins nothing and is dealt out evenly
-                    put(u, b" %d" % u, 0, len(words), k, b, m)
-                arrays = [pa.array(uid, pa.int64()), pa.array(word, pa.binary()).cast(pa.string()), *(pa.array(x, pa.int64()) for x in (times, n_tokens, n_known)), pa.array(base, pa.float64()), pa.array(model, pa.float64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["uid", "token", "times", "n_tokens", "n_known", "base", "model"])
-
-    # the scan's rows get the same numbers in each run of the plan, as files and their splits are fixed
-    numbered = rows.withColumn("uid", F.monotonically_increasing_id())
-    parts = numbered.select("uid", "text").mapInArrow(run, "uid long, token string, times long, n_tokens long, n_known long, base double, model double")
-    rare = vocabulary.where(F.col("c") < cut)
+                    put(u, b" %d" % u, 0, len(words), k, b, m, a)
+                arrays = [pa.array(uid, pa.int64()), pa.array(word, pa.binary()).cast(pa.string()), *(pa.array(x, pa.int64()) for x in (times, n_tokens, n_known)), *(pa.array(x, pa.float64()) for x in (base, model, adapted))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["uid", "token", "times", "n_tokens", "n_known", "base", "model", "adapted"])
+
+    numbered_ = numbered(rows)
+    parts = numbered_.select("uid", "text").mapInArrow(run, "uid long, token string, times long, n_tokens long, n_known long, base double, model double, adapted double")
+    rare = vocabulary.where(~often)
     c, lat = F.coalesce("c", F.lit(0)), F.coalesce("lat", F.lit(0.0))
     rare_base = F.log10((c + 0.1) / F.lit(floor))
-    rare_model = F.when(c <= discount, F.lit(weight) + lat).otherwise(F.log10((c - F.lit(discount)) / F.lit(float(max(n, 1))) + F.pow(F.lit(10.0), F.lit(weight) + lat)))
+    rare_adapted = F.when(c <= discount, F.lit(weight) + lat).otherwise(F.log10((c - F.lit(discount)) / F.lit(float(max(n, 1))) + F.pow(F.lit(10.0), F.lit(weight) + lat)))
     summed = (
         parts.join(rare, "token", "left")
         .groupBy("uid")
@@ -156,10 +142,11 @@ def score(docs: DataFrame, train, keep: dict, text_col: str = "text", model_path
             F.sum("n_tokens").alias("n_tokens"),
             F.sum(F.col("n_known") + F.when(c > 0, F.col("times")).otherwise(0)).alias("n_known"),
             F.sum(F.col("base") + F.col("times") * rare_base).alias("base_score"),
-            F.sum(F.col("model") + F.col("times") * rare_model).alias("score"),
+            F.sum(F.col("model") + F.col("times") * lat).alias("score"),
+            F.sum(F.col("adapted") + F.col("times") * rare_adapted).alias("adapted_score"),
         )
     )
-    return numbered.select("uid", "kept").join(summed, "uid").select("kept.*", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    return numbered_.select("uid", "kept").join(summed, "uid").select("kept.*", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "adapted_score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,11 +38,26 @@ def test_components_of_nothing(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_frequent(spark):
-    df = spark.createDataFrame([(i, 1 + i % 50) for i in range(1000)], "k long, n long")
-    cut = common.frequent(df, "n", 300)
-    assert 100 <= df.where(f"n >= {cut}").count() <= 300
-    assert common.frequent(df.limit(0), "n", 10) == 1
+def test_most_frequent(spark):
+    df = spark.createDataFrame([(i, 1 + i % 50, f"g{i % 2}") for i in range(1000)], "k long, n long, g string")
+    kept = df.where(common.most_frequent(df, "n", 300, "k")).collect()
+    assert 250 <= len(kept) <= 350 and min(r.n for r in kept) >= 30
+    equal = df.withColumn("n", common.F.lit(7))  # ties: those of least hash, about as many as the bound says
+    assert 240 <= equal.where(common.most_frequent(equal, "n", 300, "k")).count() <= 360
+    assert df.limit(0).where(common.most_frequent(df.limit(0), "n", 10, "k")).count() == 0
+    skewed = df.where("g = 'g0' or k < 20")
+    per = skewed.where(common.most_frequent_each(skewed, "n", 100, "k", "g")).groupBy("g").count().collect()
+    assert {r.g: r["count"] for r in per}["g1"] == 10 and 70 <= {r.g: r["count"] for r in per}["g0"] <= 130
+
+
+def test_row_numbers_hold_for_any_plan(spark, tmp_path):
+    df = spark.range(1000).withColumn("v", common.F.col("id") % 7)
+    df.write.parquet(f"{tmp_path}/t")
+    scan = common.numbered(spark.read.parquet(f"{tmp_path}/t").where("v < 5"))
+    assert "Repartition" not in scan._jdf.queryExecution().analyzed().toString()
+    mixed = common.numbered(df.repartition(5))
+    assert "Repartition" not in mixed._jdf.queryExecution().analyzed().toString()  # written and read again
+    assert mixed.select("uid").distinct().count() == 1000
 
 
 def test_by_bytes():

@@ -1,6 +1,8 @@
 """The piece transducers against the original library and brute force; the language model against sums over all segmentations."""
 
 import math
+import random
+import struct
 import zlib
 from collections import Counter
 
@@ -8,7 +10,7 @@ import pytest
 
 pytest.importorskip("graphloom.llm")
 from graphloom.llm import lm, sentencepiece as own  # noqa: E402
-from graphloom.llm.pieces import SPACE, Pieces  # noqa: E402
+from graphloom.llm.pieces import SPACE, UNKNOWN_PENALTY, Normaliser, Pieces, _fields  # noqa: E402
 from tests.llm import edges  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -27,54 +29,74 @@ def library():
 
 
 def test_shortest_paths_match_the_library(library):
-    import struct
-
     pieces = Pieces(RAW)
-    for word in "the with hello nterti unbelievable Größe straße éléphant ciónmente x1y2 a.b,c lower_case Thnt".split():
-        raw = pieces.encode(word, {})
+    words = "the with hello nterti unbelievable Größe straße éléphant ciónmente x1y2 a.b,c lower_case Thnt".split()
+    for word, raw in zip(words, pieces.paths([" " + w for w in words]), strict=True):
         ids = list(struct.unpack(f"<{len(raw) // 4}i", raw))
         score = lambda xs: sum(pieces.score[i] for i in xs)
         best = [library.piece_to_id(p) for p in library.nbest_encode(word, nbest_size=2, out_type=str)[0]]
         assert ids == best or score(ids) == score(best), word
 
 
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc", "nmt_nfkc_cf"])
+def test_normaliser_matches_the_library(rule):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    n = sentencepiece.SentencePieceNormalizer(rule_name=rule)
+    m = sentencepiece_model_pb2.ModelProto()
+    m.ParseFromString(n.serialized_model_proto())
+    own_ = Normaliser(dict(_fields(m.normalizer_spec.SerializeToString())))
+    rng = random.Random(1)
+    for _ in range(2000):
+        x = "".join(rng.choice("aÀ①ﬁＡ　\t\n é ｶﾞ が㍿Ωſ ½²  Ⅷ​ ßİ") for _ in range(rng.randrange(12)))
+        assert own_(x).replace(" ", SPACE) == n.normalize(x), x
+
+
 def enumerate_paths(pieces, s, at=0):
-    """All segmentations of s as lists of (piece or None, text)."""
+    """All segmentations of s as lists of ids: pieces, and the bytes of characters that are no piece."""
     if at == len(s):
         yield []
         return
     known = {p: i for i, p in enumerate(pieces.text)}
-    for end in range(at + 1, len(s) + 1):
-        i = known.get(s[at:end])
-        if i is not None and pieces.kind[i] == 1:
-            for rest in enumerate_paths(pieces, s, end):
-                yield [i, *rest]
+    arcs = [(end, [known[s[at:end]]]) for end in range(at + 1, len(s) + 1) if s[at:end] in known and pieces.kind[known[s[at:end]]] == 1]
+    if not any(end == at + 1 for end, _ in arcs):
+        arcs.append((at + 1, [known[f"<0x{b:02X}>"] for b in s[at].encode()]))
+    for end, ids in arcs:
+        for rest in enumerate_paths(pieces, s, end):
+            yield [*ids, *rest]
+
+
+WORDS = ("the", "with", "cat", "ende", "is", "a\u0e01b", "😀x", "日x")
 
 
 def test_shortest_path_and_marginal_by_brute_force():
     pieces = Pieces(RAW)
-    pieces.weighted()
-    for word in ("the", "with", "cat", "ende", "is"):
+    fallback = UNKNOWN_PENALTY - min(s for s, k in zip(pieces.score, pieces.kind) if k == 1)
+    for word, raw, marginal in zip(WORDS, pieces.paths([" " + w for w in WORDS]), pieces.marginals(list(WORDS)), strict=True):
         paths = list(enumerate_paths(pieces, SPACE + word))
-        best = max(sum(pieces.score[i] for i in p) for p in paths)
-        assert sum(pieces.score[i] for i in pieces.path(" " + word)) == best
-        total = sum(math.exp(sum(pieces.log[i] for i in p)) for p in paths)
-        assert pieces.marginal(word) == pytest.approx(math.log10(total))
-        counts = {}
-        pieces.expect(word, 2.0, counts)
-        want = Counter()
-        for p in paths:
-            share = math.exp(sum(pieces.log[i] for i in p)) / total
-            for i in p:
-                want[i] += 2 * share
-        assert counts == pytest.approx({k: v for k, v in want.items()})
+
+        def cost(path):
+            chars = sum(1 for i in path if pieces.kind[i] == 6 and int(pieces.text[i][3:5], 16) & 0xC0 != 0x80)
+            return sum(-pieces.score[i] for i in path if pieces.kind[i] == 1) + chars * fallback
+
+        assert cost(list(struct.unpack(f"<{len(raw) // 4}i", raw))) == min(map(cost, paths))
+        assert marginal == pytest.approx(math.log10(sum(math.exp(sum(pieces.log[i] for i in p)) for p in paths)))
+
+
+def test_paths_do_not_depend_on_chunks(monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcde thé▁😀").replace(" ", "x") for _ in range(rng.choice([3, 40, 700]))) for _ in range(40)]
+    whole = Pieces(RAW)
+    paths, marginals = whole.paths([" " + w for w in words]), whole.marginals(words)
+    monkeypatch.setattr("graphloom.llm.pieces.CHUNK", 64)
+    assert whole.paths([" " + w for w in words]) == paths
+    assert whole.marginals(words) == pytest.approx(marginals)
 
 
 def test_weights_sum_to_one():
     pieces = Pieces(RAW)
-    for counts in (None, {300: 2.0, 400: 1.0}):
-        pieces.weighted(counts)
-        assert sum(math.exp(x) for x in pieces.log if x > -math.inf) + math.exp(pieces.end_log) == pytest.approx(1.0)
+    assert sum(math.exp(x) for x in pieces.log if x > -math.inf) + math.exp(pieces.end_log) == pytest.approx(1.0)
 
 
 def test_round_trip(spark):
@@ -109,15 +131,12 @@ def test_lm_base_and_model_by_brute_force(spark):
         if zlib.crc32(str(d.doc_id).encode()) % 10:
             counts.update(lm.tokens(d.text.encode()))
     n, v = sum(counts.values()), len(counts)
-    pieces, expected = Pieces(RAW), {}
-    pieces.weighted()
-    for w in counts:
-        if w:
-            pieces.expect(w.decode(), 1.0, expected)
-    pieces.weighted(expected)
+    pieces = Pieces(RAW)
     n1, n2 = (sum(c == k for c in counts.values()) for k in (1, 2))
     discount = n1 / (n1 + 2 * n2)
-    lattice = {w: 10 ** (pieces.marginal(w.decode()) if w else pieces.end_log / math.log(10)) for w in vocabulary}
+    words = [w for w in vocabulary if w]
+    logs = dict(zip(words, pieces.marginals([w.decode() for w in words]), strict=True)) | {b"": pieces.end_log / math.log(10)}
+    lattice = {w: 10**x for w, x in logs.items()}
     prob = {w: max(counts[w] - discount, 0) / n + discount * v / n * lattice[w] for w in vocabulary}
     rows = {r.doc_id: r for r in lm.score(spark.read.parquet(f"{SF}/documents.parquet"), lm.fold(lm.F.col("doc_id"), 10) != 0, {"doc_id": lm.F.col("doc_id")}, frequent_tokens=500).collect()}
     assert len(rows) == len(docs)
@@ -125,7 +144,31 @@ def test_lm_base_and_model_by_brute_force(spark):
         words, r = lm.tokens(d.text.encode()), rows[d.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words), sum(counts[w] > 0 for w in words), n)
         assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words))
-        assert r.score == pytest.approx(sum(math.log10(prob[w]) for w in words))
+        assert r.score == pytest.approx(sum(logs[w] for w in words))
+        assert r.adapted_score == pytest.approx(sum(math.log10(prob[w]) for w in words))
+
+
+def test_lm_score_by_enumeration(spark):
+    """Short texts: all segmentations of all words, listed one by one."""
+    texts = ["the cat", "is  with\tende", "😀x is", "", None]
+    pieces, ln10 = Pieces(RAW), math.log(10)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r.score for r in lm.score(df, lm.F.lit(True), {"doc_id": lm.F.col("doc_id")}).collect()}
+    for i, t in enumerate(texts):
+        total = pieces.end_log / ln10
+        for w in (t or "").split():
+            total += math.log10(sum(math.exp(sum(pieces.log[k] for k in p)) for p in enumerate_paths(pieces, SPACE + w)))
+        assert rows[i] == pytest.approx(total)
+
+
+def test_lm_hot_token_of_held_out_rows(spark):
+    """A token of no training row is resolved in place too if it is frequent."""
+    df = spark.createDataFrame([(i, "seen here" if i % 2 else "unseen there") for i in range(200)], "doc_id long, text string")
+    rows = lm.score(df, lm.F.col("doc_id") % 2 == 1, {"doc_id": lm.F.col("doc_id")}, frequent_tokens=3).collect()
+    assert len(rows) == 200 and all(r.n_known == (3 if r.doc_id % 2 else 1) for r in rows)
+    few = lm.score(df, lm.F.col("doc_id") % 2 == 1, {"doc_id": lm.F.col("doc_id")}, frequent_tokens=100).collect()
+    flat = lambda rs: [x for r in sorted(rs) for x in r]
+    assert flat(rows) == pytest.approx(flat(few))
 
 
 def test_lm_edges(spark, tmp_path):
