@@ -1,35 +1,58 @@
 """Language identification, words first: a known word scores its log frequency in each language; an unseen word backs off to the
 longest known character n-grams, four letters down to one.
 
-Words are runs of letters of the lower-cased text. Counts cover all training rows; the model keeps the most frequent words and
-n-grams, ``words`` and ``grams`` at most, so its size is bounded whatever the corpus.
+Words are a letter and the letters and marks that follow it (Unicode categories L and M), lower-cased. Counts cover all training rows.
+The model keeps each language's most frequent words and n-grams, about ``words`` and ``grams`` of them, fewer if there are more
+languages than ``total`` allows, so its size is bounded whatever the corpus and no language is crowded out by others. At the bound, of
+entries equally frequent those of least hash are kept. Words beyond it are scored like unseen ones.
 
-Defined results: ``und`` with score 0.0 where the text is null, empty or holds no letter, or nothing could be learnt; ties go to the
-first language in sorted order; repeated rows are predicted each on its own; an empty table gives an empty result.
+Defined results: ``und`` with score and known 0.0 where the text is null, empty or holds no letter, or nothing could be learnt; ties go
+to the first language in sorted order; repeated rows are predicted each on its own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import by_bytes, fold, frequent, map_text, table
+from graphloom.llm.common import by_bytes, fold, map_text, materialize, most_frequent_each, table
+from graphloom.llm.pieces import Automaton, codepoints
 
-LETTERS = re.compile(r"[^\W\d_]+")
-#: Longest grams; entries that a task holds before it hands its counts on or forgets its scores.
-ORDER, FLUSH, HELD = 4, 100_000, 200_000
+#: Longest grams; entries that a task holds before it hands its counts on; characters whose grams are looked up at once.
+ORDER, FLUSH, CHUNK = 4, 100_000, 200_000
+
+
+@functools.cache
+def letters() -> re.Pattern:
+    """A letter, then letters and marks."""
+    kinds = [unicodedata.category(chr(c))[0] for c in range(0x110000)]
+
+    def ranges(of: str) -> str:
+        out, begin = [], None
+        for c in range(0x110001):
+            inside = c < 0x110000 and kinds[c] in of
+            if inside and begin is None:
+                begin = c
+            elif not inside and begin is not None:
+                out.append(f"\\U{begin:08x}-\\U{c - 1:08x}")
+                begin = None
+        return "".join(out)
+
+    return re.compile(f"[{ranges('L')}][{ranges('LM')}]*")
 
 
 def words_of(text: bytes | None) -> list[str]:
-    return LETTERS.findall(text.decode("utf-8", "replace").lower()) if text else []
+    return letters().findall(text.decode("utf-8", "replace").lower()) if text else []
 
 
 def grams_of(word: str) -> list[str]:
@@ -78,106 +101,104 @@ def count_grams(words: DataFrame) -> DataFrame:
     return words.mapInArrow(run, "key string, lang string, n long").groupBy("key", "lang").agg(F.sum("n").alias("n"))
 
 
-def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", words: int = 60_000, grams: int = 60_000) -> dict:
-    counted = count_words(train, text_col, lang_col).persist(StorageLevel.DISK_ONLY)
-    counted_grams = count_grams(counted).persist(StorageLevel.DISK_ONLY)
+def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", words: int = 60_000, grams: int = 30_000, total: int = 600_000) -> dict:
+    """The model: languages; rows of log frequencies, one a known word and gram."""
+    counted = materialize(count_words(train, text_col, lang_col))
+    counted_grams = materialize(count_grams(counted))
     totals = {r.lang: (r.n, r.v) for r in counted.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     of_order = {(r.lang, r.o): (r.n, r.v) for r in counted_grams.groupBy("lang", F.length("key").alias("o")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     langs = sorted(totals)
     at = {lang: i for i, lang in enumerate(langs)}
 
-    def gathered(rows: DataFrame, most: int) -> dict[str, list]:
-        cut = frequent(rows, "n", most)
-        out: dict[str, list] = {}
-        kept = rows.where(F.col("n") >= cut).select("key").distinct()
+    def gathered(rows: DataFrame, most: int, of) -> tuple[list[str], np.ndarray]:
+        """Kept keys and their rows; ``of(key, language)``: (tokens, types) that the counts are shares of."""
+        kept = rows.where(most_frequent_each(rows, "n", min(most, total // max(1, len(langs))), "key", "lang")).select("key").distinct()
+        counts: dict[str, list] = {}
         for r in rows.join(kept, "key", "left_semi").collect():  # a row a kept key and language
-            out.setdefault(r.key, [0] * len(langs))[at[r.lang]] = r.n
+            counts.setdefault(r.key, [0] * len(langs))[at[r.lang]] = r.n
+        keys = sorted(counts)
+        log = np.empty((len(keys), len(langs)))
+        for i, k in enumerate(keys):
+            for j, lang in enumerate(langs):
+                n, v = of(k, lang)
+                log[i, j] = math.log((counts[k][j] + 0.5) / (n + 0.5 * v + 1))
+        return keys, log
+
+    known, known_rows = gathered(counted, words, lambda _, lang: totals[lang])
+    back, back_rows = gathered(counted_grams, grams, lambda g, lang: of_order.get((lang, len(g)), (0, 0)))
+    return {"langs": langs, "known": known, "known_rows": known_rows, "back": back, "back_rows": back_rows}
+
+
+class Scorer:
+    """A model at hand: log frequencies of words in each language."""
+
+    def __init__(self, model: dict) -> None:
+        self.langs, self.known_rows, self.back_rows = model["langs"], model["known_rows"], model["back_rows"]
+        self.known = {w: i for i, w in enumerate(model["known"])}
+        self.grams = Automaton(model["back"], list(range(len(model["back"]))))
+
+    def backed_off(self, words: list[str]) -> np.ndarray:
+        """For each word the mean row of its longest known grams, one from each letter of the word with its edges marked where there is
+        any; zeros if there is none."""
+        out = np.zeros((len(words), len(self.langs)))
+        if not words or not len(self.back_rows):
+            return out
+        classes = self.grams.classes[codepoints("".join([f"<{w}>" for w in words]))]  # no gram spans two words
+        row = np.full(len(classes), -1, np.int32)
+        for i in range(0, len(classes), CHUNK):
+            begin, _, value = self.grams.matches(classes[i : i + CHUNK + ORDER], min(CHUNK, len(classes) - i))
+            row[begin + i] = value  # longer grams come later
+        starts = np.r_[0, np.cumsum([len(w) + 2 for w in words])[:-1]]
+        found = np.add.reduceat((row >= 0).astype(np.int64), starts)
+        for j in range(len(self.langs)):
+            column = np.r_[self.back_rows[:, j], 0.0]  # -1 reads the last one
+            out[:, j] = np.add.reduceat(column[row], starts) / np.maximum(found, 1)
         return out
 
-    known = {w: [math.log((n + 0.5) / (totals[lang][0] + 0.5 * totals[lang][1] + 1)) for n, lang in zip(c, langs, strict=True)] for w, c in gathered(counted, words).items()}
-    back = {}
-    for g, c in gathered(counted_grams, grams).items():
-        of = [of_order.get((lang, len(g)), (0, 0)) for lang in langs]
-        back[g] = [math.log((n + 0.5) / (t + 0.5 * v + 1)) for n, (t, v) in zip(c, of, strict=True)]
-    counted.unpersist()
-    counted_grams.unpersist()
-    return {"langs": langs, "known": known, "back": {g: i for i, g in enumerate(back)}, "rows": np.array(list(back.values())).reshape(len(back), len(langs))}
-
-
-def backed_off(word: str, index: dict[str, int]) -> list[int]:
-    """For each letter of the word with its edges marked, the row of the longest known gram that starts there, if any."""
-    marked, out = f"<{word}>", []
-    get = index.get
-    for i in range(len(marked)):
-        for k in (4, 3, 2, 1):
-            row = get(marked[i : i + k])
-            if row is not None:
-                out.append(row)
-                break
-    return out
+    def rows_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A row a word, and whether it is known."""
+        at = np.array([self.known.get(w, -1) for w in words], np.int64).reshape(-1)
+        rows = np.zeros((len(words), len(self.langs)))
+        rows[at >= 0] = self.known_rows[at[at >= 0]]
+        new = np.flatnonzero(at < 0)
+        rows[new] = self.backed_off([words[i] for i in new.tolist()])
+        return rows, at >= 0
+
+    def __call__(self, texts: list[bytes | None]) -> tuple[list[str], list[float], list[float]]:
+        """(language, its probability, share of known words) of each text. Distinct words are scored once for all of them."""
+        cut = [words_of(t) for t in texts]
+        index = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(cut)))}
+        rows, is_known = self.rows_of(list(index))
+        pred, score, known = [], [], []
+        for words in cut:
+            if not words or not self.langs:
+                pred.append("und")
+                score.append(0.0)
+                known.append(0.0)
+                continue
+            at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+            s = sum(rows[at[i : i + CHUNK]].sum(0) for i in range(0, len(at), CHUNK))
+            k = int(s.argmax())
+            pred.append(self.langs[k])
+            score.append(float(1 / np.exp(s - s[k]).sum()))
+            known.append(float(is_known[at].mean()))
+        return pred, score, known
 
 
 def predict(docs: DataFrame, model: dict, keep: dict, text_col: str = "text") -> DataFrame:
-    """``keep`` columns plus lang_pred and score, the probability of that language among those learnt."""
+    """``keep`` columns plus lang_pred, score, the probability of that language among those learnt, and known, the share of the text's
+    words that the model knows."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        m = held.value
-        langs, known, back = m["langs"], m["known"], m["back"]
-        index: dict[str, int] = {}
-        rows = np.empty((HELD, len(langs)))
-
-        def fill(at: list[int], of: np.ndarray, picked: list[list[int]]) -> None:
-            """Means of the picked rows of ``of``, one list a place."""
-            sizes = np.array([len(p) for p in picked])
-            sums = np.add.reduceat(of[np.fromiter((i for p in picked for i in p), np.int64, sizes.sum())], np.r_[0, np.cumsum(sizes)[:-1]], axis=0)
-            rows[at] = sums / sizes[:, None]
-
-        def scores(words: list[str]) -> np.ndarray:
-            """Sum over the words; new ones are scored once, those of a text together, and remembered, up to a bound."""
-            counts = Counter(words)
-            if len(index) + len(counts) > HELD:
-                index.clear()
-            if len(counts) > HELD:  # a text of more distinct words than are held goes in parts
-                half = list(counts.elements())  # equal words side by side
-                return scores(half[: len(half) // 2]) + scores(half[len(half) // 2 :])
-            ids, at, picked = [], [], []
-            for w in counts:
-                k = index.get(w)
-                if k is None:
-                    k = index[w] = len(index)
-                    row = known.get(w)
-                    if row is not None:
-                        rows[k] = row
-                    else:
-                        found = backed_off(w, back)
-                        if found:
-                            at.append(k)
-                            picked.append(found)
-                        else:
-                            rows[k] = 0.0
-                ids.append(k)
-            if at:
-                fill(at, m["rows"], picked)
-            return np.fromiter(counts.values(), float, len(counts)) @ rows[ids]
+        scorer = Scorer(held.value)
 
         def run(texts):
-            pred, score = [], []
-            for t in texts:
-                words = words_of(t)
-                if not words or not langs:
-                    pred.append("und")
-                    score.append(0.0)
-                    continue
-                s = scores(words)
-                k = int(s.argmax())
-                pred.append(langs[k])
-                score.append(float(1 / np.exp(s - s[k]).sum()))
-            return [pa.array(pred, pa.string()), pa.array(score, pa.float64())]
+            return [pa.array(c, t) for c, t in zip(scorer(texts), (pa.string(), pa.float64(), pa.float64()), strict=True)]
 
         return run
 
-    return map_text(docs, F.col(text_col), make, "lang_pred string, score double", keep)
+    return map_text(docs, F.col(text_col), make, "lang_pred string, score double, known double", keep)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
