@@ -2,9 +2,11 @@
 
 Presence of each hashed 3- to 5-gram of the lower-cased text is counted per class over a bounded sample of labelled rows
 (``per_class`` a class); the log ratio of the smoothed class rates scales the feature. Logistic weights on those scaled features are
-fitted on about ``sample`` of these rows, balanced, and the intercept is moved back to the odds of all labels.
+fitted on about ``sample`` of these rows, balanced, and the intercept is moved back to the odds of all labels. N-grams of weak log ratio
+are left out, as thousands of them add up in very long texts: the least ratio is the one of ``RATIOS`` with the least log loss on an
+inner fold, a fifth of the sampled training rows by hash, that the ratios and weights for this choice leave out.
 
-Defined results: null and empty texts score the intercept alone; without labelled rows of both classes every score is 0.0; repeated
+Defined results: an id labelled both ways teaches nothing, and of a labelled id's texts the least one teaches; null and empty texts score the intercept alone; without labelled rows of both classes every score is 0.0; repeated
 rows are scored each on its own; columns other than the id and the text are ignored; an empty table gives an empty result.
 """
 
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fold, map_text, materialize, table
+from graphloom.llm.common import agreed, fold, map_text, materialize, table
 
 BITS, NS = 20, (3, 4, 5)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -38,48 +40,47 @@ def buckets(text: bytes):
                 yield ((g * _MULT) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def count_classes(labelled: DataFrame, text_col: str, label_col: str) -> DataFrame:
-    """(bucket, n0, n1): documents of each class that hold the bucket; bucket -1 counts the documents."""
+#: Least absolute log ratios tried.
+RATIOS = (0.5, 1.0, 1.5, 2.0)
+
+
+def count_classes(labelled: DataFrame) -> DataFrame:
+    """(inner, y, t) -> (inner, bucket, n0, n1): documents of each fold and class that hold the bucket; bucket -1 counts the documents."""
 
     def run(batches):
-        counts = np.zeros((2, 1 << BITS), np.int64)
-        docs, seen = [0, 0], np.zeros(1 << BITS, bool)
+        counts = np.zeros((2, 2, (1 << BITS) + 1), np.int32)  # the last place counts documents
+        seen = np.zeros((1 << BITS) + 1, bool)
         for batch in batches:
-            for text, label in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                docs[label] += 1
+            for inner, label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 for b in buckets(text or b""):
                     seen[b] = True
+                seen[-1] = True
                 u = np.flatnonzero(seen)
-                counts[label, u] += 1
+                counts[int(inner), label, u] += 1
                 seen[u] = False
-        u = np.flatnonzero(counts.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[u, -1]), pa.array(np.r_[counts[0, u], docs[0]]), pa.array(np.r_[counts[1, u], docs[1]])], names=["bucket", "n0", "n1"])
+        for inner in (0, 1):
+            u = np.flatnonzero(counts[inner].any(0))
+            bucket = np.where(u == 1 << BITS, -1, u)
+            yield pa.RecordBatch.from_arrays([pa.array([bool(inner)] * len(u), pa.bool_()), pa.array(bucket), *(pa.array(counts[inner, y, u].astype(np.int64)) for y in (0, 1))], names=["inner", "bucket", "n0", "n1"])
 
-    rows = labelled.select(F.col(text_col).cast("string").alias("t"), F.col(label_col).cast("int").alias("y")).repartition(16)  # a bounded sample
-    return rows.mapInArrow(run, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    rows = labelled.select("inner", "y", "t").repartition(16)  # a bounded sample
+    return rows.mapInArrow(run, "inner boolean, bucket long, n0 long, n1 long").groupBy("inner", "bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def picked(docs: DataFrame, labels: DataFrame, odds: dict, id_col: str, text_col: str, label_col: str, per_class: int) -> DataFrame:
-    """(i, t, y) of at most ``per_class`` labelled ids a class, the smallest by hash. The ids are broadcast, so no text is shuffled.
-    The hash is cut near the quantile first, so the ordering sees about ``per_class`` ids whatever the number of labels."""
-    ids = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y in (0, 1)").dropDuplicates(["i"])
+def picked(docs: DataFrame, labels: DataFrame, odds: dict, id_col: str, text_col: str, per_class: int) -> DataFrame:
+    """(i, y, t, inner) of at most ``per_class`` labelled ids a class, the smallest by hash, one row an id. The ids are broadcast, so no other
+    text is shuffled. The hash is cut near the quantile first, so the ordering sees about ``per_class`` ids whatever the number of labels."""
     span = 1 << 30
     near = {y: min(span, int(span * (1.2 * per_class + 1000) / odds.get(y, 1))) for y in (0, 1)}
-    one = [ids.where((F.col("y") == y) & (F.pmod(F.xxhash64("i"), F.lit(span)) < near[y])).orderBy(F.pmod(F.xxhash64("i"), F.lit(span)), "i").limit(per_class) for y in (0, 1)]
+    hashed = F.pmod(F.xxhash64("i"), F.lit(span))
+    one = [labels.where((F.col("y") == y) & (hashed < near[y])).orderBy(hashed, "i").limit(per_class) for y in (0, 1)]
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
-    return texts.join(F.broadcast(one[0].union(one[1])), "i")
+    held = texts.join(F.broadcast(one[0].union(one[1])), "i").groupBy("i", "y").agg(F.min("t").alias("t"))
+    return held.withColumn("inner", F.pmod(F.xxhash64("i", F.lit(2)), F.lit(5)) == 0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 12_000, features: int = 16384, sample: int = 4000, min_docs: int = 3, least_ratio: float = 1.5, l2: float = 1e-3, rounds: int = 80) -> dict | None:
-    """The model: a bucket-to-feature table, a weight a feature and an intercept; None without rows of both classes.
-
-    The fit takes a bounded sample of the labelled rows: ``per_class`` ids a class for the ratios, about ``sample`` of those rows, half
-    a class, for the weights. The ``features`` buckets of largest gain are kept, which bounds the model's size, and of them those whose
-    log ratio is at least ``least_ratio``: thousands of weak n-grams would add up in very long texts."""
-    spark = docs.sparkSession
-    odds = {r.y: r.n for r in labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(label_col).alias("y")).agg(F.count("*").alias("n")).collect()}
-    rows = materialize(picked(docs, labels, odds, id_col, text_col, label_col, per_class))
-    counts = materialize(count_classes(rows, "t", "y"))
+def features_of(counts: DataFrame, features: int, min_docs: int, least: float) -> tuple[np.ndarray, np.ndarray, tuple[int, int]] | None:
+    """(a feature a bucket or 0, its log ratio, documents a class): the ``features`` buckets of largest gain with a log ratio of ``least``."""
     totals = counts.where("bucket = -1").collect()
     if not totals or not totals[0].n0 or not totals[0].n1:
         return None
@@ -88,40 +89,79 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     best = (
         counts.where((F.col("bucket") >= 0) & (F.col("n0") + F.col("n1") >= min_docs))
         .select("bucket", ratio.alias("r"), (F.abs(ratio) * F.sqrt(F.col("n0") / d0 + F.col("n1") / d1)).alias("gain"))
-        .where(F.abs("r") >= least_ratio)
+        .where(F.abs("r") >= least)
         .orderBy(F.desc("gain"), "bucket")
         .limit(features)
         .collect()
     )
-    index = np.zeros(1 << BITS, np.int32)  # 0: not a feature
-    r = np.zeros(len(best) + 1)
+    index, r = np.zeros(1 << BITS, np.int32), np.zeros(len(best) + 1)
     for k, row in enumerate(best, 1):
         index[row.bucket], r[k] = k, row.r
-    held = spark.sparkContext.broadcast(index)
+    return index, r, (d0, d1)
 
-    def make():
-        table_ = held.value
 
-        def run(texts):
-            out = []
-            for t in texts:
-                found = [k[k > 0] for b in buckets(t or b"") for k in (table_[b],)]
-                out.append(np.unique(np.concatenate(found)).astype(np.int32).tobytes() if found else b"")
-            return [pa.array(out, pa.binary())]
+def held_features(text: bytes | None, index: np.ndarray) -> np.ndarray:
+    """The distinct features of a whole text."""
+    found = [k[k > 0] for b in buckets(text or b"") for k in (index[b],)]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)
 
-        return run
 
+def sampled(rows: DataFrame, index: np.ndarray, docs: tuple[int, int], sample: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The feature sets and labels of about ``sample`` rows, half a class."""
+    held = rows.sparkSession.sparkContext.broadcast(index)
+    make = lambda: lambda texts: [pa.array([held_features(t, held.value).astype(np.int32).tobytes() for t in texts], pa.binary())]
     span = 1 << 30
-    share = F.when(F.col("y") == 1, F.lit(sample / 2 / d1)).otherwise(F.lit(sample / 2 / d0))
+    share = F.when(F.col("y") == 1, F.lit(sample / 2 / docs[1])).otherwise(F.lit(sample / 2 / docs[0]))
     chosen = rows.where(F.pmod(F.xxhash64("i", F.lit(1)), F.lit(span)) < share * span)
     got = map_text(chosen, F.col("t"), make, "f binary", {"y": F.col("y")}).collect()
-    sets = [np.frombuffer(row.f, np.int32) for row in got]
-    y = np.array([row.y for row in got], float)
+    return [np.frombuffer(row.f, np.int32) for row in got], np.array([row.y for row in got], float)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 12_000, features: int = 16384, sample: int = 4000, min_docs: int = 3, ratios: tuple = RATIOS, l2: float = 1e-3, rounds: int = 80) -> dict | None:
+    """The model: a bucket-to-feature table, a weight a feature and an intercept; None without rows of both classes.
+
+    The fit takes a bounded sample of the labelled rows: ``per_class`` ids a class for the ratios, about ``sample`` of those rows, half
+    a class, for the weights. The ``features`` buckets of largest gain are kept, which bounds the model's size."""
+    known = agreed(labels, id_col, label_col).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
+    odds = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    rows = materialize(picked(docs, known, odds, id_col, text_col, per_class))
+    counts = materialize(count_classes(rows))
+    least = _least_ratio(rows, counts, features, sample, min_docs, ratios, l2, rounds)
+    found = features_of(counts.groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), features, min_docs, least)
+    if found is None:
+        return None
+    index, r, docs_ = found
+    sets, y = sampled(rows, index, docs_, sample)
     w, b = _logistic(sets, y, r, l2, rounds)
     shift = np.log(odds[1] / odds[0]) - np.log(max(y.sum(), 0.5) / max(len(y) - y.sum(), 0.5))
     return {"index": index, "weight": w * r, "bias": float(b + shift)}
 
 
+def _least_ratio(rows: DataFrame, counts: DataFrame, features: int, sample: int, min_docs: int, ratios: tuple, l2: float, rounds: int) -> float:
+    """The ratio whose model, learnt outside the inner fold, has the least log loss on it; both classes weigh the same."""
+    found = features_of(counts.where("not inner"), features, min_docs, min(ratios)) if len(ratios) > 1 else None
+    if found is None:
+        return ratios[0]
+    index, r, docs = found
+    sets, y = sampled(rows.where("not inner"), index, docs, sample)
+    weights, bias = [], []
+    for least in ratios:
+        kept = np.abs(r) >= least
+        w, b = _logistic([s[kept[s]] for s in sets], y, r, l2, rounds)
+        weights.append(w * r * kept)
+        bias.append(b)
+    held = rows.sparkSession.sparkContext.broadcast((index, np.array(weights), np.array(bias)))
+
+    def make():
+        index_, w_, b_ = held.value
+        return lambda texts: [pa.array([(b_ + w_[:, held_features(t, index_)].sum(1)).tolist() for t in texts], pa.list_(pa.float64()))]
+
+    z = map_text(rows.where("inner"), F.col("t"), make, "z array<double>", {"y": F.col("y")})
+    loss = lambda k: F.avg(F.log1p(F.exp(F.least(F.lit(50.0), F.when(F.col("y") == 1, -F.get("z", F.lit(k))).otherwise(F.get("z", F.lit(k)))))))
+    of = z.groupBy("y").agg(*(loss(k).alias(f"l{k}") for k in range(len(ratios)))).collect()
+    return ratios[int(np.argmin([sum(row[f"l{k}"] for row in of) for k in range(len(ratios))]))] if of else ratios[0]
+
+
 def _logistic(sets: list[np.ndarray], y: np.ndarray, r: np.ndarray, l2: float, rounds: int) -> tuple[np.ndarray, float]:
     """Full-batch Adam on the scaled presence features; weights start at the naive Bayes solution's direction."""
     if not sets:
@@ -154,10 +194,7 @@ def score(docs: DataFrame, model: dict | None, keep: dict, text_col: str = "text
         index, weight, bias = m["index"], m["weight"], m["bias"]
 
         def run(texts):
-            z = np.empty(len(texts))
-            for i, t in enumerate(texts):
-                found = [k[k > 0] for b in buckets(t or b"") for k in (index[b],)]
-                z[i] = bias + (weight[np.unique(np.concatenate(found))].sum() if found else 0.0)
+            z = np.array([bias + weight[held_features(t, index)].sum() for t in texts])
             return [pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))]
 
         return run
@@ -167,7 +204,7 @@ def score(docs: DataFrame, model: dict | None, keep: dict, text_col: str = "text
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic is not null")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     held_out = fold(F.col("doc_id"), 5) == 0
     model = fit(docs, labels.where(~held_out))
     scored = score(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out})
