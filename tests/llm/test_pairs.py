@@ -54,6 +54,7 @@ def test_minhash_blocks_of_large_buckets(spark, monkeypatch):
     """Small limits send the same input through the block path."""
     monkeypatch.setattr(minhash, "SMALL", 3)
     monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr("graphloom.llm.common.HOT", 20)
     docs = near_copies(random.Random(9), 2, 120)
     want, _ = brute(docs, 2)
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), k=2).collect()}
@@ -231,6 +232,131 @@ def test_rewrapped_items(spark, item, text, exact):
     assert (row.contaminated, row.exact) == (True, exact)
 
 
+SLOTTED = "tell me what 5 times 7 plus one makes"
+
+
+@pytest.mark.parametrize(
+    ("item", "text", "found", "exact"),
+    [
+        (SLOTTED, SLOTTED, True, True),
+        (SLOTTED, SLOTTED.replace("7", "9"), True, False),  # every slot is compared
+        (SLOTTED, SLOTTED.replace("7", "5"), False, False),
+        ("5 minus 5", "so 5 minus 5 it is", True, True),
+        ("5 minus 5", "so 6 minus 9 it is", False, False),
+        ("Anna has some apples and gives most of them to a friend", "Peter has some apples and gives most of them to a friend", True, False),
+        ("Anna has some apples and gives them all", "Peter has some apples and gives them all", True, False),
+        ("Anna had six pears. Ben had two more pears. Who had most?", "Eve had six pears. Tom had two more pears. Who had most?", True, False),
+        ("Anna had six pears. Anna had two more pears. Who had most?", "Eve had six pears. Tom had two more pears. Who had most?", False, False),
+        ("what is 12 plus 30 plus 45 plus 60 minus 7 times 8 kg", "what is 12 plus 30 plus 45 plus 60 minus 7 times 8 kg", True, True),
+        ("If 3 kg cost 12 dollars and 5 kg cost 20 dollars, then 9 kg cost how many dollars?", "If 3 kg cost 12 dollars and 5 kg cost 20 dollars, then 9 kg cost how many dollars?", True, True),
+    ],
+)
+def test_all_slots_and_sentence_starts(spark, item, text, found, exact):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = decontaminate.scan(docs, spark.createDataFrame([(5, item)], "item_id long, text string"), {"doc_id": F.col("doc_id")}).first()
+    assert (row.contaminated, row.exact) == (found, exact)
+
+
+def read_tokens(text):
+    """(kind, plain word) of each token: 1 name, 2 number, 3 unit, 4 a capitalised word at a sentence's start, 0 another word."""
+    import regex
+
+    out = []
+    for m in regex.finditer(r"(?<![\p{L}\d.,])\d+(?:[.,]\d+)*|[\p{L}\d]+", text):
+        word, before = m.group(), text[: m.start()]
+        kind = 0
+        if word[0].isdigit():
+            kind = 2
+        elif word.lower() in decontaminate.UNITS and regex.search(r"\d\s*$", before):
+            kind = 3
+        elif regex.match(r"\p{Lu}\p{Ll}", word):
+            kind = 1 if regex.search(r"[^.!?:\s]\s+$", before) else 4
+        out.append((kind, word.lower()))
+    return out
+
+
+def brute_leaks(text, item):
+    """None, or (windows, exact), by comparing every alignment token by token."""
+    d, e = read_tokens(text), read_tokens(item)
+    size, found = min(8, len(e)), None
+    of = len(e) - size + 1
+    as_words = lambda ts: [(0 if k == 4 else k, w) for k, w in ts]
+    as_names = lambda ts: [(1 if k == 4 else k, w) for k, w in ts]
+    for at in range(-len(e) + 1, len(d)):
+        pad = lambda ts: [ts[at + i] if 0 <= at + i < len(ts) else None for i in range(len(e))]
+        plain = [x is not None and x[1] == y[1] for x, y in zip(pad(d), e)]
+        ok_plain = [all(plain[j : j + size]) for j in range(of)]
+        proposed = any(ok_plain)
+        judged = []
+        for reading in (as_words, as_names):
+            dd, ee = pad(reading(d)), reading(e)
+            lit = [sum(k == 0 for k, _ in ee[j : j + size]) for j in range(of)]
+            few = sum(2 * n >= size for n in lit) < min(7, of)
+            pure = [x is not None and (x == y if y[0] == 0 else x[0] == y[0]) for x, y in zip(pad(as_words(d)), ee)]
+            proposed |= any(all(pure[j : j + size]) and (lit[j] > 0 if few else 2 * lit[j] >= size) for j in range(of))
+            match = [x is not None and (x[1] == y[1] or (x[0] > 0 and x[0] == y[0])) for x, y in zip(dd, ee)]
+            ok = [all(match[j : j + size]) for j in range(of)]
+            most, some = (sum(o and f(n) for o, n in zip(ok, lit)) for f in (lambda n: 2 * n >= size, lambda n: n > 0))
+            whole = few and sum(k == 0 for k, _ in ee) >= 4 and some >= sum(n > 0 for n in lit)
+            pairs = {(ee[i][1], dd[i][1]) for j in range(of) if ok[j] for i in range(j, j + size) if ee[i][0] or dd[i][0]}
+            good = len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
+            judged.append(((most >= min(7, of) or whole) and good, some, all(a == b for a, b in pairs)))
+        start = lambda i, k: any(t == 4 for t, _ in e[i : i + k])
+        free = [i for i in range(len(e) - 3) if not start(i, 4)]
+        if size >= 4 and free and all(start(j, size) for j in range(of)):  # looked up by four tokens without a sentence's start
+            i = max(free, key=lambda i: (sum(k == 0 for k, _ in e[i : i + 4]), -i))
+            proposed |= all(x is not None and (x == y if y[0] == 0 else x[0] == y[0]) for x, y in list(zip(pad(as_words(d)), as_words(e)))[i : i + 4])
+        valued = sum(ok_plain) >= min(7, of)
+        if proposed and (valued or any(x[0] for x in judged)):
+            n = max([sum(ok_plain), *(x[1] for x in judged if x[0])])
+            exact = any(x[0] and x[2] for x in judged) or (valued and sum(ok_plain) >= max(x[1] for x in judged))
+            found = (n, exact) if found is None else (max(n, found[0]), exact or found[1])
+    return found
+
+
+def test_decontamination_by_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    pick = lambda xs: rng.choice(xs.split())
+
+    def word(kind):
+        return {"w": lambda: pick("the shop sold red some more than every day for"), "n": lambda: pick("Tom Ann Bob Eve"), "d": lambda: pick("3 5 7 12.5 900"), "u": lambda: rng.choice("357") + " " + pick("kg lb km")}[kind]()
+
+    def spell(kinds):
+        out, start = [], True
+        for k in kinds:
+            w = word(k)
+            out.append(w.capitalize() if start and rng.random() < 0.7 else w)
+            start = rng.random() < 0.12
+            out[-1] += pick(". ? !") if start else ""
+        return rng.choice([" ", " ", "\n"]).join(out)
+
+    items = [spell(rng.choices("wnud", (6, 2, 1, 1), k=rng.choice([3, 6, 8, 9, 12, 20, 26]))) for _ in range(40)]
+    docs = []
+    for _ in range(400):
+        text = rng.choice(items)
+        for _ in range(rng.choice([0, 0, 1, 2, 4])):  # other names and numbers, other words, another case
+            a, b = rng.choice([("Tom", "Eve"), ("Ann", "Bob"), ("3", "5"), ("7", "900"), ("kg", "lb"), ("red", "blue"), ("The ", "Some "), ("shop", "Shop")])
+            text = text.replace(a, b) if rng.random() < 0.6 else text.replace(a, b, 1)
+        text = rng.choice([text, text.lower(), text[: len(text) * 3 // 4], f"{text} {text}"])
+        docs.append(f"{spell('ww')} {text} {spell('wnw')}" if rng.random() < 0.5 else text)
+    df = spark.createDataFrame(list(enumerate(docs)), "uid long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.uid, r.item_id): (r.n_windows, r.exact) for r in decontaminate.leaks(df, bench).collect()}
+    want = {(i, j): f for i, t in enumerate(docs) for j, x in enumerate(items) if (f := brute_leaks(t, x))}
+    assert {k: (docs[k[0]], items[k[1]], got.get(k), want.get(k)) for k in got.keys() | want.keys() if got.get(k) != want.get(k)} == {}
+    assert len(want) > 200 and any(not x for _, x in want.values())
+    monkey = pytest.MonkeyPatch()
+    monkey.setattr(decontaminate, "PIECE", 37)  # texts in pieces give the same
+    try:
+        assert {(r.uid, r.item_id): (r.n_windows, r.exact) for r in decontaminate.leaks(df, bench).collect()} == got
+    finally:
+        monkey.undo()
+
+
 def test_decontamination_edges(spark, tmp_path):
     bench = spark.createDataFrame([(1, "the small dog went over the hill and saw a large bird"), (2, "word")], "item_id long, text string")
     rows = decontaminate.query(spark, edges.sf_dir(spark, tmp_path / "a", documents=edges.documents(spark), benchmark=bench)).collect()
