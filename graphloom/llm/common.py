@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -45,14 +46,45 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(paths: list[str]) -> None:
+    """Through the file system that holds them, as the folder need not be a local one."""
+    spark = SparkSession.getActiveSession()
+    for path in paths:
+        if path.startswith(("file:", "/")):
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+        elif spark is not None:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written inside are deleted at the end, but for the last one. What is lazy beyond must read that one alone."""
+    begin = len(_written)
+    yield
+    _delete(_written[begin:-1])
+    del _written[begin:-1]
+
+
+@atexit.register
+def _sweep() -> None:
+    """Leave nothing in the shared folder when the driver ends."""
+    with contextlib.suppress(Exception):  # the session may be gone, and with it the way to a remote folder
+        _delete(_written)
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
@@ -102,7 +134,23 @@ def by_bytes(batch: pa.RecordBatch, most: int = 8_000_000) -> Iterator[pa.Record
         yield batch.slice(begin)
 
 
-def components(links: DataFrame, shuffle: int | None = None) -> DataFrame:
+#: Rows of one key that one task of a spread join gets, about; keys above it that may be broadcast.
+HOT, MOST_HOT = 1_000, 1_000_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, n: str, by: str) -> DataFrame:
+    """``left`` joined with ``right``, one row a key, whose column ``n`` is the key's rows on the left. Keys of more than ``HOT`` rows are
+    dealt by ``by`` over as many tasks as they need; their list is broadcast if it is short, and else AQE splits skewed partitions."""
+    parts = F.ceil(F.col(n) / HOT).cast("int")
+    hot = materialize(right.where(F.col(n) > HOT).select(key, parts.alias("__parts")))
+    if not 0 < hot.count() <= MOST_HOT:
+        return left.join(right, key)
+    salted = left.join(F.broadcast(hot), key, "left").withColumn("__salt", F.pmod(F.xxhash64(by), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    every = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    return salted.join(every, [key, "__salt"]).drop("__salt")
+
+
+def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b: long): the smallest node reachable.
 
     Alternating large-star and small-star steps, each written to the shared folder; only a count reaches the driver."""
@@ -113,8 +161,8 @@ def components(links: DataFrame, shuffle: int | None = None) -> DataFrame:
     )
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = spread_join(both, low, "a", "n", "b").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = materialize(large)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(

@@ -1,8 +1,10 @@
 """Embedding near-duplicates by an epsilon grid order join.
 
 Unit vectors at cosine >= c are at Euclidean distance <= eps = sqrt(2 - 2c), and so in any orthonormal projection. Vectors are rotated
-onto leading principal dimensions and sorted by their grid cells of width eps there, first dimension first. The sequence is cut into
-blocks of bounded size; two blocks meet unless their boxes are provably more than eps apart. Inside a task the two intervals are halved
+onto leading principal dimensions and sorted by their grid cells of width eps there, first dimension first. The length of what is left of
+a vector beyond those dimensions is one more coordinate: lengths differ by at most the distance. The sequence is cut into
+blocks of bounded size; two blocks meet unless their boxes are provably more than eps apart. Strips of ``STRIP`` neighbouring parts of the
+sequence meet in one task, so a block is sent once for all of a strip. Inside a task two intervals are halved
 recursively, skipping distant halves, down to leaves that are compared in double precision. A task hands on a count a vector and a
 spanning forest of its links, never its pairs.
 
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import components, materialize, table
 
-BLOCK, LEAF, LEADING, SAMPLE = 4096, 128, 16, 4096
+BLOCK, LEAF, LEADING, SAMPLE, STRIP = 4096, 128, 16, 4096, 4
 #: Components in a block: longer vectors make shorter blocks.
 CELLS = 1 << 18
 
@@ -49,6 +51,12 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
+def coordinates(u: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Leading coordinates of unit vectors, and the length of the rest: no two are further apart than the vectors."""
+    y = u @ axes
+    return np.c_[y, np.sqrt(np.maximum(0, 1 - (y * y).sum(1)))]
+
+
 def projected(vectors: DataFrame, axes: np.ndarray, eps: float, kind: str) -> DataFrame:
     """(id, m, x, y, cells): the vector in its own precision and its leading coordinates as bytes, and its grid cells."""
     held = vectors.sparkSession.sparkContext.broadcast(axes)
@@ -56,7 +64,7 @@ def projected(vectors: DataFrame, axes: np.ndarray, eps: float, kind: str) -> Da
     def run(batches):
         for batch in batches:
             x = np.array(batch.column(2).to_pylist(), kind).reshape(batch.num_rows, len(held.value))
-            y = unit(x) @ held.value
+            y = coordinates(unit(x), held.value)
             cells = np.floor(y / eps).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([v.tobytes() for v in x]), pa.array([v.tobytes() for v in y]), pa.array(cells.tolist(), pa.list_(pa.int32()))], names=["id", "m", "x", "y", "cells"])
 
@@ -161,31 +169,49 @@ def links(vectors: DataFrame, dim: int, count: int, least: float, kind: str) ->
     spark = vectors.sparkSession
     eps = math.sqrt(2 - 2 * least) + 1e-9
     axes = rotation(vectors, dim, count)
-    width = axes.shape[1]
+    width = axes.shape[1] + 1
     block = max(LEAF, min(BLOCK, CELLS // dim))
     parts = max(1, -(-count // block))
     # the id ends the key, so that a vector that fills many rows is still dealt out
     ordered = projected(vectors, axes, eps, kind).repartitionByRange(parts, "cells", "id").sortWithinPartitions("cells", "id").select("id", "m", "x", "y")
     blocks = materialize(cut(ordered, width, block))
     boxes = blocks.select("block", "lo", "hi")
-    cell = lambda c: F.floor(F.element_at(c, 1) / eps)
-    near = boxes.select(F.col("block").alias("p"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.explode(F.sequence(cell("lo") - 1, cell("hi") + 1)).alias("cell"))
-    own = boxes.select(F.col("block").alias("q"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.explode(F.sequence(cell("lo"), cell("hi"))).alias("cell"))
+    cells = lambda lo, hi, k, more: F.sequence(F.floor(F.element_at(lo, k) / eps) - more, F.floor(F.element_at(hi, k) / eps) + more)
+    near = boxes.select(F.col("block").alias("p"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
+    own = boxes.select(F.col("block").alias("q"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    for k in (1, 2):  # a dimension has 2 / eps cells at most
+        near = near.withColumn(f"cell{k}", F.explode(cells("lo1", "hi1", k, 1)))
+        own = own.withColumn(f"cell{k}", F.explode(cells("lo2", "hi2", k, 0)))
     gaps = F.transform(F.arrays_zip("lo1", "hi1", "lo2", "hi2"), lambda x: F.greatest(F.lit(0.0), x["lo1"] - x["hi2"], x["lo2"] - x["hi1"]))
-    pairs = near.join(own, "cell").where("p <= q").where(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x * x) <= eps * eps).select("p", "q").distinct()
-    sides = pairs.select("p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("block"))
+    pairs = near.join(own, ["cell1", "cell2"]).where("p <= q").where(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x * x) <= eps * eps).select("p", "q")
+    strip = lambda c: F.floor(F.shiftright(c, 32) / STRIP)
+    sides = pairs.select(strip("p").alias("p"), strip("q").alias("q"), F.explode(F.array_distinct(F.array("p", "q"))).alias("block")).distinct()
     rows = sides.join(blocks.select("block", "ids", "m", "x"), "block")
     held = spark.sparkContext.broadcast(axes)
 
     def task(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("block")
-        ids, m = (tuple(np.frombuffer(x, np.int64) for x in group[c]) for c in ("ids", "m"))
-        u = tuple(unit(np.frombuffer(x, kind).reshape(-1, dim)) for x in group.x)
-        y = tuple(v @ held.value for v in u)
-        counts, forest = meet(ids, m, u, y, least, eps)
-        every = np.concatenate(ids)
-        some = counts > 0
-        return pd.DataFrame({"a": np.r_[every[some], np.array([x for x, _ in forest], np.int64)].astype("int64"), "b": pd.array([None] * int(some.sum()) + [x for _, x in forest], dtype="Int64"), "n": np.r_[counts[some], np.zeros(len(forest), np.int64)].astype("int64")})
+        strips = (group.block.to_numpy() >> 32) // STRIP
+        first, last = int(group.p.iloc[0]), int(group.q.iloc[0])
+        ids, m = ([np.frombuffer(x, np.int64) for x in group[c]] for c in ("ids", "m"))
+        u = [unit(np.frombuffer(x, kind).reshape(-1, dim)) for x in group.x]
+        y = [coordinates(v, held.value) for v in u]
+        counts, forest = [np.zeros(len(i), np.int64) for i in ids], []
+        for i in np.flatnonzero(strips == first).tolist():
+            for j in np.flatnonzero(strips == last).tolist():
+                if i == j:
+                    n, links_ = meet((ids[i],), (m[i],), (u[i],), (y[i],), least, eps)
+                    counts[i] += n
+                elif i < j:
+                    n, links_ = meet((ids[i], ids[j]), (m[i], m[j]), (u[i], u[j]), (y[i], y[j]), least, eps)
+                    counts[i] += n[: len(ids[i])]
+                    counts[j] += n[len(ids[i]) :]
+                else:
+                    continue
+                forest += links_
+        every, total = np.concatenate(ids), np.concatenate(counts)
+        some = total > 0
+        return pd.DataFrame({"a": np.r_[every[some], np.array([x for x, _ in forest], np.int64)].astype("int64"), "b": pd.array([None] * int(some.sum()) + [x for _, x in forest], dtype="Int64"), "n": np.r_[total[some], np.zeros(len(forest), np.int64)].astype("int64")})
 
     return rows.groupBy("p", "q").applyInPandas(task, "a long, b long, n long")
 

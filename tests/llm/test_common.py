@@ -34,6 +34,30 @@ def test_components(spark, seed):
     assert got == want
 
 
+def test_hot_keys_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 4)
+    rng = random.Random(3)
+    links = [(0, i) for i in range(1, 90)] + [(rng.randrange(100, 140), rng.randrange(100, 140)) for _ in range(40)]
+    got = {r.node: r.component for r in common.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == roots([x for x in links if x[0] != x[1]])
+    left = spark.createDataFrame([(i % 3 if i % 5 else 9, i) for i in range(200)], "k long, i long")
+    right = left.groupBy("k").agg(common.F.count("*").alias("n"))
+    assert sorted(map(tuple, common.spread_join(left, right, "k", "n", "i").collect())) == sorted(map(tuple, left.join(right, "k").collect()))
+    monkeypatch.setattr(common, "MOST_HOT", 1)  # too many hot keys to broadcast
+    assert common.spread_join(left, right, "k", "n", "i").count() == 200
+
+
+def test_scratch_deletes_all_but_the_last_table(spark):
+    import os
+
+    place = lambda p: p.removeprefix("file://")
+    with common.scratch():
+        common.materialize(spark.range(3))
+        first = common._written[-1]
+        last_df = common.materialize(spark.range(5))
+    assert not os.path.exists(place(first)) and os.path.exists(place(common._written[-1])) and last_df.count() == 5
+
+
 def test_components_of_nothing(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
