@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -89,8 +91,8 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def map_text(df: DataFrame, text: Column, make: Callable[[], Callable[[list], list]], schema: str, keep: dict[str, Column]) -> DataFrame:
-    """Add columns computed from each whole text. ``make()`` runs once a task and gives a function from a list of
+def map_text(df: DataFrame, text: Column, make: Callable[[], Callable[[list], list]], schema: str, keep: dict[str, Column], most: int = 2_000_000) -> DataFrame:
+    """Add columns computed from each whole text, about ``most`` bytes of them at a time. ``make()`` runs once a task and gives a function from a list of
     UTF-8 texts (bytes or None) to one Arrow array a column of ``schema``. ``keep`` passes through untouched."""
     names = list(keep)
     source = df.select(*(c.alias(n) for n, c in keep.items()), text.cast("string").alias("__text"))
@@ -99,15 +101,24 @@ def map_text(df: DataFrame, text: Column, make: Callable[[], Callable[[list], li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            for part in by_bytes(batch):
-                values = part.column(len(names)).cast(pa.binary()).to_pylist()
-                out = fn(values)
+            for part in by_bytes(batch, most):
+                out = fn(part.column(len(names)).cast(pa.binary()).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), *out], names=[*names, *out_names])
+        del fn
+        release()
 
     out_names = [f.strip().split(" ")[0] for f in split_top(schema)]
     return source.mapInArrow(run, f"{kept}, {schema}" if kept else schema)
 
 
+def release() -> None:
+    """Give a worker's free memory back: idle workers stay, and each kind of task would leave its peak behind."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def split_top(schema: str) -> list[str]:
     """Fields of a DDL schema, not split inside <>."""
     out, depth = [""], 0

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import components, map_text, materialize, table
+from graphloom.llm.common import components, map_text, materialize, numbered, spread_join, table
 
 BANDS, ROWS, BATCH, MISS = 26, 5, 26, 1e-5
 #: Members of a bucket whose open pairs are listed; members of a block beyond that; pairs of ids that may be broadcast (32 MB).
@@ -105,8 +105,8 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def sketch(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(uid, id, n, key, sig): one row a document; key is null for the empty set. Only short columns: no set is carried."""
+def sketch(docs: DataFrame, k: int) -> DataFrame:
+    """docs (uid, id, t) -> (uid, id, n, key, sig): one row a document; key is null for the empty set. Only short columns: no set is carried."""
 
     def make():
         shingler = Shingler(k)
@@ -122,7 +122,7 @@ def sketch(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
 
         return run
 
-    return map_text(docs, F.col(text_col), make, "n long, key binary, sig binary", {"uid": F.monotonically_increasing_id(), "id": F.col(id_col).cast("long")})
+    return map_text(docs, F.col("t"), make, "n long, key binary, sig binary", {"uid": F.col("uid"), "id": F.col("id")})
 
 
 def pruned(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
@@ -144,54 +144,53 @@ def pruned(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def sets_of(docs: DataFrame, uids: DataFrame, k: int, text_col: str) -> DataFrame:
+def sets_of(docs: DataFrame, uids: DataFrame, k: int) -> DataFrame:
     """(id, items) for the rows of ``uids`` (uid, id). The ids are broadcast if few enough, so that texts stay where they are."""
-    texts = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(text_col).cast("string").alias("t"))
-    wanted = texts.join(F.broadcast(uids) if uids.count() <= MOST_IDS else uids, "uid")
+    wanted = docs.select("uid", "t").join(F.broadcast(uids) if uids.count() <= MOST_IDS else uids, "uid")
 
     def make():
         shingler = Shingler(k)
-        return lambda texts: [pa.array([shingler.set_of(t).tobytes() for t in texts], pa.binary())]
 
-    return map_text(wanted, F.col("t"), make, "items binary", {"id": F.col("id")})
+        def run(texts):
+            sets = [shingler.set_of(t).view(np.int64) for t in texts]
+            return [pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32), np.concatenate(sets))]
+
+        return run
+
+    return map_text(wanted, F.col("t"), make, "items array<long>", {"id": F.col("id")})
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int, text_col: str) -> DataFrame:
-    """The pairs whose full sets meet the threshold."""
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs whose full sets meet the threshold. Sets are compared row by row, as a batch of pairs of long ones would not fit."""
     left = materialize(pruned(pairs, reps, percent))
     wanted = left.select(F.col("a").alias("id")).union(left.select(F.col("b").alias("id"))).distinct()
     uids = materialize(reps.join(wanted, "id", "left_semi").select("uid", "id"))
-    sets = materialize(sets_of(docs, uids, k, text_col))
-
-    def run(batches):
-        for batch in batches:
-            x, y = (batch.column(i).to_pylist() for i in (2, 3))
-            ok = [similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
-
+    sets = materialize(sets_of(docs, uids, k))
     side = lambda c: sets.select(F.col("id").alias(c), F.col("items").alias(f"items_{c}"))
-    return left.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long")
+    x, y, both = F.size("items_a"), F.size("items_b"), F.size(F.array_intersect("items_a", "items_b"))
+    paired = left.join(side("a"), "a").join(side("b"), "b").where(100 * F.least(x, y) >= percent * F.greatest(x, y))
+    return paired.where(100 * both >= percent * (x + y - both)).select("a", "b")
 
 
-def blocks(large: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int, text_col: str) -> DataFrame:
+def blocks(large: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """Links across components inside large buckets: (bucket, id, comp, n) -> (a, b), a spanning forest a pair of blocks.
 
     Members outside a bucket's largest component are few after the star step; they alone meet all members, block by block."""
     least = least_matches(percent)
     sizes = large.groupBy("bucket", "comp").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), (F.sum("m") - F.max("m")).alias("others"))
+    main = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), (F.sum("m") - F.max("m")).alias("others"), F.sum("m").alias("held"))
     wanted = materialize(large.select("id").distinct().join(reps, "id").select("uid", "id", "sig"))
-    sets = materialize(sets_of(docs, wanted.select("uid", "id"), k, text_col))
+    sets = materialize(sets_of(docs, wanted.select("uid", "id"), k))
     block = lambda n: F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int") - 1))
-    placed = large.join(main, "bucket")
+    placed = spread_join(large, main, "bucket", "held", "id").drop("held")
     members = placed.select("bucket", "id", "comp", F.lit(False).alias("other"), block(F.col("n")).alias("p"), every(F.col("others")).alias("q"))
     others = placed.where("comp != main").select("bucket", "id", "comp", F.lit(True).alias("other"), every(F.col("n")).alias("p"), block(F.col("others")).alias("q"))
     rows = members.unionByName(others).join(wanted.select("id", "sig"), "id").join(sets, "id")
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(group.sig), np.uint32).reshape(-1, BANDS * ROWS)
-        items = [np.frombuffer(x, np.uint64) for x in group["items"]]
+        items = list(group["items"])
         ids, comp, side = group.id.to_numpy(), group.comp.to_numpy(), group.other.to_numpy()
         inside = np.flatnonzero(~side)
         root = {c: c for c in comp.tolist()}
@@ -218,9 +217,12 @@ def blocks(large: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent:
     return rows.groupBy("bucket", "p", "q").applyInPandas(meet, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(uid, doc_id, n_shingles, component_id, kept, first): one row a row of ``docs``; ``first`` is true for one row a component."""
-    sketched = materialize(sketch(docs, k, id_col, text_col))
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", uid_col: str | None = None) -> DataFrame:
+    """(uid, doc_id, n_shingles, component_id, kept, first): one row a row of ``docs``; ``first`` is true for one row a component.
+    ``uid_col``: row numbers that hold at every run of the plan, if the rows have them."""
+    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), *([F.col(uid_col).alias("uid")] if uid_col else []))
+    docs = named if uid_col else numbered(named)
+    sketched = materialize(sketch(docs, k))
     some = sketched.where("key is not null")
     # the struct's order puts rows without an id last
     by_key = materialize(some.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("m"), F.min_by("sig", F.struct(F.col("id").isNull(), "id", "uid")).alias("sig")).select("key", F.col("m.id").alias("doc"), "m.uid", "sig"))
@@ -233,20 +235,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(out)], names=["id", "bucket"])
 
     banded = reps.select("id", "sig").mapInArrow(cut, "id long, bucket long")
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("center")).where("n > 1")
-    members = materialize(banded.join(shared, "bucket"))
+    shared = materialize(banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("center")).where("n > 1"))
+    members = materialize(spread_join(banded, shared, "bucket", "n", "id"))
     star = materialize(members.where("id != center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct())
-    links = materialize(verified(star, docs, reps, k, percent, text_col))
+    links = materialize(verified(star, docs, reps, k, percent))
     comps = components(links)
     labelled = materialize(members.where("n > 2").join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("comp")))
-    open_ = materialize(labelled.join(labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket"), "bucket", "left_semi"))
+    several = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("held")).where("lo < hi").select("bucket", "held")
+    open_ = materialize(spread_join(labelled, several, "bucket", "held", "id").drop("held"))
     few = open_.where(F.col("n") <= SMALL)
     x, y = few.select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca")), few.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb"))
     rest = x.join(y, "bucket").where("a > b and ca != cb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    links = links.union(materialize(verified(materialize(rest), docs, reps, k, percent, text_col)))
+    links = links.union(materialize(verified(materialize(rest), docs, reps, k, percent)))
     many = open_.where(F.col("n") > SMALL)
     if many.limit(1).count():
-        links = links.union(materialize(blocks(many, docs, reps, k, percent, text_col)))
+        links = links.union(materialize(blocks(many, docs, reps, k, percent)))
     ids = by_key.where("doc is not null").select("doc", "uid")
     repeated = ids.join(ids.groupBy("doc").agg(F.min("uid").alias("b"), F.count("*").alias("n")).where("n > 1"), "doc")
     comps = components(links.union(repeated.where("uid != b").select(F.col("uid").alias("a"), "b")))
