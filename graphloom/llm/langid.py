@@ -13,7 +13,6 @@ to the first language in sorted order; repeated rows are predicted each on its o
 from __future__ import annotations
 
 import functools
-import math
 import re
 import unicodedata
 from collections import Counter
@@ -29,7 +28,7 @@ from graphloom.llm.common import by_bytes, fold, map_text, materialize, most_fre
 from graphloom.llm.pieces import Automaton, codepoints
 
 #: Longest grams; entries that a task holds before it hands its counts on; characters whose grams are looked up at once.
-ORDER, FLUSH, CHUNK = 4, 100_000, 200_000
+ORDER, FLUSH, CHUNK = 4, 100_000, 50_000
 
 
 @functools.cache
@@ -101,7 +100,7 @@ def count_grams(words: DataFrame) -> DataFrame:
     return words.mapInArrow(run, "key string, lang string, n long").groupBy("key", "lang").agg(F.sum("n").alias("n"))
 
 
-def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", words: int = 60_000, grams: int = 30_000, total: int = 600_000) -> dict:
+def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", words: int = 30_000, grams: int = 15_000, total: int = 250_000) -> dict:
     """The model: languages; rows of log frequencies, one a known word and gram."""
     counted = materialize(count_words(train, text_col, lang_col))
     counted_grams = materialize(count_grams(counted))
@@ -113,16 +112,15 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", words:
     def gathered(rows: DataFrame, most: int, of) -> tuple[list[str], np.ndarray]:
         """Kept keys and their rows; ``of(key, language)``: (tokens, types) that the counts are shares of."""
         kept = rows.where(most_frequent_each(rows, "n", min(most, total // max(1, len(langs))), "key", "lang")).select("key").distinct()
-        counts: dict[str, list] = {}
-        for r in rows.join(kept, "key", "left_semi").collect():  # a row a kept key and language
-            counts.setdefault(r.key, [0] * len(langs))[at[r.lang]] = r.n
-        keys = sorted(counts)
-        log = np.empty((len(keys), len(langs)))
-        for i, k in enumerate(keys):
-            for j, lang in enumerate(langs):
-                n, v = of(k, lang)
-                log[i, j] = math.log((counts[k][j] + 0.5) / (n + 0.5 * v + 1))
-        return keys, log
+        got = rows.join(kept, "key", "left_semi").select("key", "lang", "n").toArrow()  # a row a kept key and language
+        keys = sorted(set(got.column(0).to_pylist()))
+        place = {k: i for i, k in enumerate(keys)}
+        counts = np.zeros((len(keys), len(langs)))
+        for batch in got.to_batches(10_000):
+            for k, lang, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                counts[place[k], at[lang]] = n
+        sizes = np.array([[n + 0.5 * v + 1 for n, v in (of(k, lang) for lang in langs)] for k in keys]).reshape(counts.shape)
+        return keys, np.log((counts + 0.5) / sizes)
 
     known, known_rows = gathered(counted, words, lambda _, lang: totals[lang])
     back, back_rows = gathered(counted_grams, grams, lambda g, lang: of_order.get((lang, len(g)), (0, 0)))
