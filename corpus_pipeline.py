@@ -6,35 +6,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontaminate, langid, minhash, quality, sentencepiece
-from graphloom.llm.common import materialize, table
+from graphloom.llm.common import materialize, numbered, scratch, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document is rejected below these scores.
-QUALITY, LANGUAGE = quality.GOOD, 0.5
-
+#: A document is rejected below these scores, and below this share of words that the language model knows.
+QUALITY, LANGUAGE, KNOWN = quality.GOOD, 0.5, 0.1
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores at least ``QUALITY``; it learns from the labelled ones among them."""
-    ids = quality.scored(spark, docs, sf_dir, {"uid": F.monotonically_increasing_id()}).where(F.col("score") < QUALITY).select("uid")
-    return without(docs, ids)
+    rows = numbered(docs)
+    return without(rows, quality.scored(spark, rows, sf_dir, {"uid": F.col("uid")}).where(F.col("score") < QUALITY).select("uid"))
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: at least one letter, and a most likely language of probability ``LANGUAGE`` or more."""
-    scored = langid.predict(docs, langid.fit(docs), {"row": F.struct(*COLUMNS)})
-    return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE)).select("row.*")
+    """Documents with a language: a letter, a most likely language of probability ``LANGUAGE`` or more, and a share of ``KNOWN`` of known words,
+    which text of no learnt language doesn't have."""
+    rows = numbered(docs)
+    scored = langid.predict(rows, langid.fit(docs), {"uid": F.col("uid")})
+    good = (F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE) & (F.col("known") >= KNOWN)
+    return without(rows, scored.where(~good).select("uid"))
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates on five-word shingles: the one of least doc_id."""
-    return without(docs, minhash.near_duplicates(docs).where(~F.col("first")).select("uid"))
+    rows = numbered(docs)
+    return without(rows, minhash.near_duplicates(rows, uid_col="uid").where(~F.col("first")).select("uid"))
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no benchmark item."""
-    numbered = docs.withColumn("uid", F.monotonically_increasing_id())
-    return without(docs, decontaminate.leaks(numbered, table(spark, sf_dir, "benchmark")).select("uid").distinct())
+    rows = numbered(docs)
+    return without(rows, decontaminate.leaks(rows, table(spark, sf_dir, "benchmark")).select("uid").distinct())
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,12 +46,10 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").alias("n_pieces"), "ids")
 
 
-def without(docs: DataFrame, uids: DataFrame) -> DataFrame:
-    """``docs`` without the rows of these numbers, which are those that the scan deals out. They are broadcast if few enough, so that
-    texts stay where they are."""
+def without(rows: DataFrame, uids: DataFrame) -> DataFrame:
+    """The numbered rows but those of these numbers, which are broadcast if few enough, so that texts stay where they are."""
     uids = materialize(uids)
-    numbered = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("uid"))
-    return numbered.join(F.broadcast(uids) if uids.count() <= minhash.MOST_IDS else uids, "uid", "left_anti").select(*COLUMNS)
+    return rows.join(F.broadcast(uids) if uids.count() <= minhash.MOST_IDS else uids, "uid", "left_anti").select(*COLUMNS)
 
 
 STAGES = [
@@ -66,7 +67,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs)
-    return docs
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with scratch():  # a stage's own tables end with it; its documents stay for the next one
+            docs = materialize(stage(spark, docs, sf_dir))
