@@ -171,7 +171,8 @@ def test_pipeline_stages(spark, stages):
     scored = quality.scored(spark, docs, SF, {"doc_id": F.col("doc_id")})
     assert ids(good) == ids(scored.where(F.col("score") >= corpus_pipeline.QUALITY))
     predicted = langid.predict(good, langid.fit(good), {"doc_id": F.col("doc_id")})
-    assert ids(spoken) == ids(predicted.where(F.col("lang_pred") != "und"))
+    sure = (F.col("lang_pred") != "und") & (F.col("score") >= corpus_pipeline.LANGUAGE) & (F.col("known") >= corpus_pipeline.KNOWN)
+    assert ids(spoken) == ids(predicted.where(sure)) == ids(predicted.where(F.col("lang_pred") != "und"))
     from tests.llm.test_pairs import brute
 
     want, _ = brute([(r.doc_id, r.text) for r in spoken.collect()], 5)
@@ -190,6 +191,12 @@ def test_pipeline_keeps_what_op8_calls_good(spark, monkeypatch):
     assert sorted(r.doc_id for r in corpus_pipeline.keep_quality(spark, docs, SF).collect()) == [7, 8, 9]
 
 
+def test_pipeline_drops_text_of_no_learnt_language(spark):
+    rows = [(i, "the dog and the cat went home with the small bird", "en") for i in range(20)] + [(20, "zqxv wkkq jjxz vvkw qzzx", None), (21, "the dog vvkw home", None)]
+    docs = spark.createDataFrame([(*r, "src0", 4) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_language(spark, docs, SF).collect()) == [*range(20), 21]
+
+
 def test_pipeline_edges(spark, tmp_path):
     bench = spark.createDataFrame([(1, "the small dog went over the hill and saw a large bird")], "item_id long, text string")
     at = edges.sf_dir(spark, tmp_path / "a", documents=edges.documents(spark), benchmark=bench)
