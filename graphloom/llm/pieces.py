@@ -29,7 +29,7 @@ SEGMENT = re.compile(" *[^ ]+| +")
 #: Distance of the byte fallback below the least piece score.
 UNKNOWN_PENALTY = 10.0
 #: Characters whose arcs are held at once; longer segments go in parts, their paths along one frontier.
-CHUNK = 200_000
+CHUNK = 50_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -358,7 +358,7 @@ class Pieces:
 
     # -- texts
 
-    def encode(self, texts: list[str | None], held: dict[str, tuple[bytes, bytes]], most: int = 200_000) -> list[tuple[list[bytes], list[bytes]] | None]:
+    def encode(self, texts: list[str | None], held: dict[str, tuple[bytes, bytes]], most: int = 50_000) -> list[tuple[list[bytes], list[bytes]] | None]:
         """For each text the ids of its segments, as bytes of 32-bit integers, and the UTF-8 bytes that these ids spell. Segments are
         looked up once a batch; ``held``, a task's own, remembers up to ``most`` of them."""
         cut = [self.segments(t) if t is not None else None for t in texts]

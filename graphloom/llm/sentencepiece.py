@@ -38,7 +38,7 @@ def encode(docs: DataFrame, keep: dict, text_col: str = "text", model_path: str
         pieces, seen = Pieces.of(held.value), {}
         return lambda texts: [_lists([x[0] if x is not None else None for x in pieces.encode([t.decode("utf-8", "replace") if t is not None else None for t in texts], seen)])]
 
-    return map_text(docs, F.col(text_col), make, "ids array<int>", keep)
+    return map_text(docs, F.col(text_col), make, "ids array<int>", keep, most=1_000_000)
 
 
 def decode(encoded: DataFrame, keep: list[str], ids_col: str = "ids", model_path: str = MODEL) -> DataFrame:
@@ -80,7 +80,7 @@ def digest(docs: DataFrame, keep: dict, text_col: str = "text", model_path: str
 
         return run
 
-    return map_text(docs, F.col(text_col), make, "n_pieces long, n_bytes long, ids_crc32 long, round_trip boolean", keep)
+    return map_text(docs, F.col(text_col), make, "n_pieces long, n_bytes long, ids_crc32 long, round_trip boolean", keep, most=1_000_000)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
