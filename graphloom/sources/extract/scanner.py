@@ -61,6 +61,7 @@ class Text:
         keep = re.compile(f"(?P<s>{strings})|{comments.pattern}", re.S | re.M)
         self.uncommented = keep.sub(lambda m: m.group() if m.group("s") is not None else blank(m), source)
         self.starts = [0, *(m.end() for m in re.finditer("\n", source))]
+        self.rows = source.split("\n")
 
     def line(self, at: int) -> int:
         return bisect.bisect_right(self.starts, at)
@@ -73,6 +74,9 @@ class Text:
         return len(self.bare) if end < 0 else end
 
 
+OPENED = re.compile(r"\s*\{")
+
+
 def _brace_end(text: Text, at: int, newline: bool = False) -> int:
     """The end of the block that opens at or after ``at``, or of the statement if a ; or blank line comes first. With ``newline`` a
     line's end outside parentheses ends the statement too, unless a brace follows."""
@@ -82,7 +86,7 @@ def _brace_end(text: Text, at: int, newline: bool = False) -> int:
     while i < len(bare):
         c = bare[i]
         paren += (c == "(") - (c == ")")
-        if newline and c == "\n" and not depth and paren <= 0 and not bare[i:].lstrip().startswith("{"):
+        if newline and c == "\n" and not depth and paren <= 0 and not OPENED.match(bare, i):
             return i
         if c == "{":
             depth += 1
@@ -99,18 +103,20 @@ def _brace_end(text: Text, at: int, newline: bool = False) -> int:
 def _end_end(text: Text, at: int, openers: str) -> int:
     """The end of a block closed by ``end``; openers count at the start of a statement, and ``do`` and ``then``-less forms where named."""
     depth = 1
-    for m in re.finditer(rf"\bend\b|{openers}", text.bare[at:], re.M):
+    for m in re.compile(rf"\bend\b|{openers}", re.M).finditer(text.bare, at):
         depth += -1 if m.group() == "end" else 1
         if not depth:
-            return at + m.end()
+            return m.end()
     return len(text.bare)
 
 
 def _indent_end(text: Text, start: int) -> int:
-    lines = text.bare[text.starts[text.line(start) - 1] :].split("\n")
-    own = len(lines[0]) - len(lines[0].lstrip())
-    size = last = len(lines[0])
-    for row in lines[1:]:
+    first = text.line(start) - 1
+    head = text.bare[text.starts[first] : text.line_end(text.starts[first])]
+    own = len(head) - len(head.lstrip())
+    size = last = len(head)
+    for at in text.starts[first + 1 :]:
+        row = text.bare[at : text.line_end(at)]
         if row.strip() and len(row) - len(row.lstrip()) <= own:
             break
         size += 1 + len(row)
@@ -123,9 +129,8 @@ def _docstring(text: Text, start: int, language: Language) -> str | None:
     """The first line of the comment block right above."""
     line = text.line(start) - 2
     found = None
-    rows = text.source.split("\n")
     while line >= 0:
-        row = rows[line].strip()
+        row = text.rows[line].strip()
         m = re.match(language.doc, row)
         if not row or not m:
             break
@@ -135,6 +140,31 @@ def _docstring(text: Text, start: int, language: Language) -> str | None:
     return found
 
 
+class Ranges:
+    """Ranges (begin, end, scope, symbol) sorted by begin, longer first; finds those around a place without a look at all of them: each
+    range knows the one that holds it."""
+
+    def __init__(self, ranges: list) -> None:
+        self.ranges = [r for r in ranges if r[2]]
+        self.begins = [r[0] for r in self.ranges]
+        self.up: list[int] = []
+        open_: list[int] = []
+        for i, (begin, _, _, _) in enumerate(self.ranges):
+            while open_ and self.ranges[open_[-1]][1] <= begin:
+                open_.pop()
+            self.up.append(open_[-1] if open_ else -1)
+            open_.append(i)
+
+    def around(self, begin: int, end: int) -> list:
+        """The ranges that hold [begin, end), outermost first."""
+        out, i = [], bisect.bisect_right(self.begins, begin) - 1
+        while i >= 0:
+            if end <= self.ranges[i][1] and self.ranges[i][0] <= begin < self.ranges[i][1]:
+                out.append(self.ranges[i])
+            i = self.up[i]
+        return out[::-1]
+
+
 def extract(source: str, name: str) -> Result:
     from graphloom.sources.extract.rules import LANGUAGES
 
@@ -173,8 +203,9 @@ def extract(source: str, name: str) -> Result:
                     out.references.append(Reference(base, rule.reference, text.line(begin), label))
     found.sort(key=lambda x: (x[0], -x[1]))
     ranges = [(b, e, r.scope or ("function" if r.kind in ("function", "method") else ""), s) for b, e, r, s in found if r.body == "block"]
+    held_by = Ranges(ranges)
     for b, e, rule, symbol in found:
-        around = [x for x in ranges if x[0] <= b and e <= x[1] and x[3] is not symbol and x[2]]
+        around = [x for x in held_by.around(b, e) if x[3] is not symbol]
         inner = around[-1] if around else None
         if rule.top and any(x[2] == "function" for x in around):
             continue
@@ -194,7 +225,7 @@ def extract(source: str, name: str) -> Result:
                 continue
             caller = None
             if language.caller != "none":
-                held = [x for x in ranges if x[0] <= at < x[1] and x[2] == language.caller]
+                held = [x for x in held_by.around(at, at + 1) if x[2] == language.caller]
                 caller = held[-1][3].name if held else None
             out.references.append(Reference("".join(callee.split()), "call", text.line(at), caller))
     for pattern, kind in language.imports:

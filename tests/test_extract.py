@@ -228,3 +228,33 @@ def test_tables_and_reindex(spark, tmp_path):
     assert after["refs"].count() == 0 and after["files"].count() == 1
     registry.register_udtf(spark)
     assert spark.sql("SELECT name FROM extract_symbols('def q(): pass', 'python')").first()[0] == "q"
+
+
+def test_scan_sees_every_name_and_opens_no_skipped_file(spark, tmp_path):
+    from graphloom.sources import scan
+
+    for at in ("a.py", "__init__.py", "_private/c.py", "__pkg/b.py", "pkg/__main__.py", "node_modules/big.js", "with space/d%20e.py", "notes.xyz"):
+        (tmp_path / at).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / at).write_text(f"# {at}\n")
+    (tmp_path / "node_modules/big.js").chmod(0)
+    rows = {r.path: r.text for r in scan.scan(spark, str(tmp_path)).collect()}
+    want = {"a.py", "__init__.py", "_private/c.py", "__pkg/b.py", "pkg/__main__.py"}
+    assert want <= set(rows) and not any("node_modules" in p or p.endswith("xyz") for p in rows)
+    assert all(rows[p] == f"# {p}\n" for p in want)
+
+
+def test_long_files_take_linear_time():
+    import time
+
+    from graphloom.sources.extract import scanner
+
+    def took(n):
+        source = "".join(f"// step {i}\nfunction f{i}(a) {{\n  return f{max(0, i - 1)}(a);\n}}\n" for i in range(n))
+        began = time.time()
+        out = scanner.extract(source, "javascript")
+        assert sum(s.kind == "function" for s in out.symbols) == n
+        assert {r.caller for r in out.references if r.kind == "call"} == {f"f{i}" for i in range(n)}
+        return time.time() - began
+
+    took(200)
+    assert took(8000) < 10 * max(took(2000), 0.02)
