@@ -68,7 +68,7 @@ def digest(docs: DataFrame, keep: dict, text_col: str = "text", model_path: str
         def run(texts):
             strings = [t.decode("utf-8", "replace") if t is not None else None for t in texts]
             rows = []
-            for text, found in zip(strings, pieces.encode(strings, seen), strict=True):
+            for text, found in zip(strings, pieces.encode(strings, seen, 200_000), strict=True):
                 if found is None:
                     rows.append((None,) * 4)
                 else:
@@ -80,7 +80,7 @@ def digest(docs: DataFrame, keep: dict, text_col: str = "text", model_path: str
 
         return run
 
-    return map_text(docs, F.col(text_col), make, "n_pieces long, n_bytes long, ids_crc32 long, round_trip boolean", keep, most=1_000_000)
+    return map_text(docs, F.col(text_col), make, "n_pieces long, n_bytes long, ids_crc32 long, round_trip boolean", keep, most=8_000_000)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
