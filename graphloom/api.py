@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from graphloom import output, schema
 from graphloom.functions import budget, scoring, text
 from graphloom.functions.language import of_extension
 from graphloom.operators import graph, incremental, matching, relational
-from graphloom.sources import scan
+from graphloom.sources import scan, store
 from graphloom.sources.extract import registry
 
 #: Methods whose answers are cached.
@@ -27,7 +28,7 @@ class CodeGraph:
         self.tables.setdefault("ranks", spark.createDataFrame([], schema.RANKS))
         self.tables.setdefault("overrides", spark.createDataFrame([], schema.OVERRIDES))
         self.cache = incremental.ResultCache(ttl_ms)
-        self.language = None
+        self.language, self.form = None, "json"
 
     @classmethod
     def index(cls, spark: SparkSession, root: str) -> CodeGraph:
@@ -35,13 +36,12 @@ class CodeGraph:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> CodeGraph:
-        return cls(spark, {n: spark.read.parquet(f"{path}/{n}") for n in ("symbols", "refs", "imports", "literals", "files")})
+        return cls(spark, store.load(spark, path))
 
-    def save(self, path: str) -> None:
-        """Symbols are partitioned by language, so that one language is written and read alone."""
-        for n in ("refs", "imports", "literals", "files"):
-            self.tables[n].write.mode("overwrite").parquet(f"{path}/{n}")
-        self.tables["symbols"].write.mode("overwrite").partitionBy("language").parquet(f"{path}/symbols")
+    def save(self, path: str, *names: str) -> None:
+        """Write the named tables, all by default, promote them, and go on from what was written: plans don't grow with each save."""
+        store.save(self.spark, path, {n: self.tables[n] for n in names or store.SCHEMAS})
+        self.tables |= store.load(self.spark, path)
 
     def __getattr__(self, name: str) -> DataFrame:
         try:
@@ -64,10 +64,11 @@ class CodeGraph:
     def stats(self) -> DataFrame:
         return relational.stats(self.files, self.symbols, self.refs)
 
-    def search(self, query: str, kind: str | None = None, limit: int = 20, use_like: bool = False, min_score: float = 0.3, compat: bool = True) -> DataFrame:
+    def search(self, query: str, kind: str | None = None, limit: int = 20, use_like: bool = False, min_score: float = 0.3, compat: bool = True, language: str | None = None) -> DataFrame:
+        symbols = self.symbols.where(F.col("language") == language) if language else self.symbols
         if use_like:
-            return relational.search_ranked(self.symbols, self.ranks, query, limit)
-        return relational.search_fuzzy(self.symbols, self.ranks, query, kind, min_score, limit, compat=compat)
+            return relational.search_ranked(symbols, self.ranks, query, limit)
+        return relational.search_fuzzy(symbols, self.ranks, query, kind, min_score, limit, compat=compat)
 
     def neighbors(self, symbol: str) -> DataFrame:
         return relational.neighbors(self.refs, symbol)
@@ -114,9 +115,9 @@ class CodeGraph:
     def dot(self, symbol: str | None = None) -> DataFrame:
         return output.ego_dot(self.neighbors(symbol), symbol) if symbol else output.full_dot(self.symbols, self.stats())
 
-    def add_override(self, caller: str, callee: str, confidence: float = 0.9, reason: str | None = None) -> int:
+    def add_override(self, caller: str, callee: str, confidence: float = 0.9, reason: str | None = None, kind: str = "override") -> int:
         top = self.overrides.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] + 1
-        row = self.spark.createDataFrame([(top, caller, callee, "override", confidence, reason)], schema.OVERRIDES)
+        row = self.spark.createDataFrame([(top, caller, callee, kind, confidence, reason)], schema.OVERRIDES)
         self.tables["overrides"] = self.overrides.unionByName(row)
         return top
 
@@ -143,20 +144,39 @@ class CodeGraph:
                 self.cache.set(method, params, value)
         return budget.budgeted(value, token_budget) or value
 
-    def serve(self, request: dict) -> dict:
-        """A JSON-RPC request: initialize, ping, tools/list, tools/call, or a method by its name."""
-        rid, method, params = request.get("id"), request.get("method"), request.get("params") or {}
+    def tools(self) -> list[dict]:
+        """Each method with the JSON schema of its parameters, from its signature."""
+        kinds = {"str": "string", "int": "integer", "float": "number", "bool": "boolean"}
+
+        def one(method: str) -> dict:
+            args = {n: p for n, p in inspect.signature(getattr(self, method)).parameters.items() if n != "commits"}
+            shape = lambda p: {"type": kinds.get(str(p.annotation).removesuffix(" | None"), "array")}
+            properties = {n: shape(p) for n, p in args.items()} | {"token_budget": {"type": "integer"}, "preferredFormat": {"type": "string"}}
+            return {"name": method, "inputSchema": {"type": "object", "properties": properties, "required": [n for n, p in args.items() if p.default is p.empty]}}
+
+        return [one(m) for m in self.METHODS]
+
+    def serve(self, request: dict) -> dict | None:
+        """A JSON-RPC request: initialize, ping, tools/list, tools/call, or a method by its name, with or without a dotted name space.
+
+        Notifications have no answer. A client's preferred format holds for its later calls that name none."""
+        rid, method, params = request.get("id"), str(request.get("method") or ""), request.get("params") or {}
+        if method.startswith("notifications/") or method == "logging/message":
+            return None
         try:
             if method == "initialize":
-                result = {"capabilities": {"tools": {}}, "formats": ["json", "toon", "text"]}
+                self.form = (params.get("capabilities") or {}).get("preferredFormat", self.form)
+                result = {"protocolVersion": "2024-11-05", "capabilities": {"tools": {"listChanged": False}}, "serverInfo": {"name": "graphloom"}, "formats": ["json", "toon", "text"]}
             elif method == "ping":
                 result = {}
             elif method == "tools/list":
-                result = {"tools": [{"name": m} for m in self.METHODS]}
+                result = {"tools": self.tools()}
             else:
-                name, args = (params.get("name"), params.get("arguments") or {}) if method == "tools/call" else (method, params)
+                name, args = (params.get("name"), params.get("arguments") or {}) if method == "tools/call" else (method.rsplit(".", 1)[-1], params)
+                if name not in self.METHODS:
+                    return {"jsonrpc": "2.0", "id": rid, "error": {"code": -32601, "message": f"Method not found: {name}"}}
                 args = dict(args)
-                form, most = args.pop("preferredFormat", "json"), args.pop("token_budget", None)
+                form, most = args.pop("preferredFormat", self.form), args.pop("token_budget", None)
                 value = self.call(name, args, most)
                 result = {"content": output.to_toon(value) if form == "toon" else value}
             return {"jsonrpc": "2.0", "id": rid, "result": result}

@@ -25,7 +25,9 @@ COMMANDS = {
     "cross-module-move": ["symbol", "module"],
     "signature-migration-check": ["symbol", "new_signature"],
     "daemon": ["path", "events"],
+    "override": ["action", "first?", "second?"],
     "serve": [],
+    "serve-http": [],
 }
 
 
@@ -48,6 +50,13 @@ def parser() -> argparse.ArgumentParser:
         if name == "impact-deep":
             sub.add_argument("--depth", type=int, default=3)
             sub.add_argument("--include-tests", action="store_true")
+        if name == "override":
+            sub.add_argument("--kind", default="override")
+            sub.add_argument("--confidence", type=float, default=0.9)
+            sub.add_argument("--reason")
+        if name == "serve-http":
+            sub.add_argument("--host", default="127.0.0.1")
+            sub.add_argument("--port", type=int, default=8080)
         if name == "read":
             sub.add_argument("--level", default="critical_branches")
     return top
@@ -61,6 +70,25 @@ def shown(value, form: str) -> str:
     return output.to_json(value)
 
 
+def override(g, index: str, action: str, first: str | None, second: str | None, kind: str, confidence: float, reason: str | None) -> dict:
+    """add CALLER CALLEE, remove ID, list, for-symbol SYMBOL; changes are saved."""
+    from graphloom.operators.relational import overrides_of
+
+    wanted = {"add": 2, "remove": 1, "list": 0, "for-symbol": 1}
+    if action not in wanted or sum(x is not None for x in (first, second)) != wanted[action]:
+        raise SystemExit("override: add CALLER CALLEE | remove ID | list | for-symbol SYMBOL")
+    if action == "add":
+        added = g.add_override(first, second, confidence, reason, kind)
+        g.save(index, "overrides")
+        return {"id": added}
+    if action == "remove":
+        g.remove_override(int(first))
+        g.save(index, "overrides")
+        return {"removed": int(first)}
+    rows = g.overrides.orderBy("id") if action == "list" else overrides_of(g.overrides, first)
+    return {"results": [r.asDict() for r in rows.collect()]}
+
+
 def main(argv: list[str] | None = None, spark=None) -> int:
     args = vars(parser().parse_args(argv))
     command, index, form, most = args.pop("command"), args.pop("index"), args.pop("format"), args.pop("token_budget")
@@ -81,10 +109,13 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     g = CodeGraph.load(spark, index)
     if command == "reindex":
         g.reindex(args["path"])
-        g.save(index + ".next")  # the tables read from the old folder until they are written
-        print(shown(CodeGraph.load(spark, index + ".next").call("stats"), form))
+        g.save(index)
+        print(shown(g.call("stats"), form))
+    elif command == "override":
+        print(shown(override(g, index, **args), form))
     elif command == "rank":
         g.rank()
+        g.save(index, "ranks")
         print(shown({"results": [r.asDict() for r in g.call_ranks()]}, form))
     elif command == "graph":
         for row in g.dot(args["symbol"]).toLocalIterator():
@@ -94,13 +125,18 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 
         def process(_paths) -> None:
             g.reindex(args["path"])
-            g.save(index + ".next")
+            g.save(index)
 
         Watcher(spark, args["events"], index + ".events", process).start().awaitTermination()
     elif command == "serve":
         for line in sys.stdin:
-            if line.strip():
-                print(json.dumps(g.serve(json.loads(line)), ensure_ascii=False, default=str), flush=True)
+            answer = g.serve(json.loads(line)) if line.strip() else None
+            if answer is not None:
+                print(json.dumps(answer, ensure_ascii=False, default=str), flush=True)
+    elif command == "serve-http":
+        from graphloom.server import server
+
+        server(g, args["host"], args["port"]).serve_forever()
     else:
         print(shown(g.call(command.replace("-", "_"), {k: v for k, v in args.items() if v is not None}, most), form))
     return 0

@@ -143,7 +143,75 @@ def test_service(code):
     assert small["truncated"] and small["budget_requested"] == 20
     assert ask("tools/call", name="stats", arguments={"preferredFormat": "toon"})["result"]["content"].startswith("results[1]{files,symbols,refs}:")
     assert ask("impact_deep", symbol="parse")["result"]["content"]["layers"][0]["symbols"] == ["load"]
-    assert ask("nonsense")["error"]["code"] == -32008
+    assert ask("nonsense")["error"]["code"] == -32601 and ask("any.space.stats")["result"]["content"]["count"] == 1
+    assert g.serve({"method": "notifications/initialized"}) is None
+    shape = {t["name"]: t["inputSchema"] for t in ask("tools/list")["result"]["tools"]}["search"]
+    assert shape["required"] == ["query"] and shape["properties"]["limit"] == {"type": "integer"} and shape["properties"]["language"] == {"type": "string"}
+    ask("initialize", capabilities={"preferredFormat": "toon"})
+    assert isinstance(ask("stats")["result"]["content"], str)
+    ask("initialize", capabilities={"preferredFormat": "json"})
+
+
+def test_http(code):
+    import threading
+    from urllib.error import HTTPError
+    from urllib.request import Request, urlopen
+
+    from graphloom.server import server
+
+    held = server(code[0])
+    threading.Thread(target=held.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{held.server_address[1]}"
+
+    def ask(path, body=None):
+        try:
+            with urlopen(Request(at + path, body), timeout=120) as r:
+                return r.status, r.read().decode()
+        except HTTPError as e:
+            return e.code, e.read().decode()
+
+    try:
+        assert ask("/health") == (200, "OK")
+        assert json.loads(ask("/stats")[1])["files"] == 3
+        found = json.loads(ask("/search?q=load&limit=1&language=javascript")[1])
+        assert (found["count"], found["mode"], found["results"][0]["file_path"]) == (1, "fuzzy", "web.js")
+        assert json.loads(ask("/search?q=load&use_like=true")[1])["mode"] == "like"
+        assert json.loads(ask("/neighbors?symbol=parse")[1])["neighbors"][0]["caller_symbol"] == "load"
+        assert [ask(p)[0] for p in ("/neighbors", "/search", "/search?q=a&limit=x", "/none")] == [400, 400, 400, 404]
+        rpc = lambda body: json.loads(ask("/jsonrpc", body)[1])
+        assert rpc(b'{"id": 7, "method": "stats"}')["id"] == 7 and rpc(b"{")["error"]["code"] == -32700 and rpc(b"[]")["error"]["code"] == -32600
+        assert ask("/other", b"{}")[0] == 404
+    finally:
+        held.shutdown()
+        held.server_close()
+
+
+def test_index_life_cycle(spark, tmp_path):
+    from graphloom.sources import store
+
+    root, at = tmp_path / "tree", str(tmp_path / "index")
+    root.mkdir()
+    (root / "a.py").write_text("def first():\n    second()\n")
+    with pytest.raises(FileNotFoundError):
+        api.CodeGraph.load(spark, at)
+    g = api.CodeGraph.index(spark, str(root))
+    g.save(at)
+    g.rank(max_iter=3)
+    g.add_override("first", "second")
+    g.save(at, "ranks", "overrides")
+    before = store.manifest(spark, at)
+    for i in range(3):
+        (root / f"b{i}.py").write_text(f"def fresh{i}():\n    pass\n")
+        (root / "a.py").unlink(missing_ok=True)
+        g.reindex(str(root))
+        g.save(at)
+    held = api.CodeGraph.load(spark, at)
+    assert {r.name for r in held.symbols.collect()} == {"fresh0", "fresh1", "fresh2"} and held.refs.count() == 0
+    assert held.overrides.count() == 1 and {r.symbol_name for r in held.ranks.collect()} == {"first"}
+    assert {r.status for r in held.verify(str(root)).collect()} == {"clean"}
+    kept = {p.name for p in (tmp_path / "index").iterdir() if not p.name.startswith(".")}
+    assert len([n for n in kept if n.startswith("manifest")]) == 2 and not set(before.values()) & kept
+    assert len(g.symbols._jdf.queryExecution().toString()) < 20000
 
 
 def test_command_line(spark, code, tmp_path, capsys):
@@ -159,7 +227,17 @@ def test_command_line(spark, code, tmp_path, capsys):
     assert "digraph" in run("graph", "parse")[1] and "digraph" in run("graph")[1]
     assert len(json.loads(run("rank")[1])["results"]) >= 4
     assert run("--format", "text", "stats")[1].split() == ["3", "6", "5"] or run("--format", "text", "stats")[1].split()[0] == "3"
-    assert json.loads(run("reindex", root)[1])["results"][0]["files"] == 3
+    assert json.loads(run("search", "load", "--limit", "1")[1])["results"][0]["page_rank"] > 0  # ranks outlive the process that made them
+    (tmp_path / "copy").mkdir()
+    (tmp_path / "copy" / "app.py").write_text("def fresh():\n    pass\n")
+    assert json.loads(run("reindex", str(tmp_path / "copy"))[1])["results"][0]["files"] == 1
+    assert json.loads(run("search", "fresh")[1])["count"] == 1 and json.loads(run("search", "load")[1])["count"] == 0
+    assert json.loads(run("override", "add", "a", "b", "--reason", "seen")[1]) == {"id": 1} and json.loads(run("override", "add", "c", "d")[1]) == {"id": 2}
+    assert [r["id"] for r in json.loads(run("override", "list")[1])["results"]] == [1, 2]
+    assert json.loads(run("override", "remove", "1")[1]) == {"removed": 1} and json.loads(run("override", "for-symbol", "a")[1])["results"] == []
+    assert [r["callee_symbol"] for r in json.loads(run("override", "for-symbol", "c")[1])["results"]] == ["d"]
+    with pytest.raises(SystemExit):
+        cli.main(["--index", at, "override", "add", "a"], spark)
     with pytest.raises(SystemExit):
         cli.main(["unknown"], spark)
 
