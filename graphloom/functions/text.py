@@ -94,7 +94,7 @@ SIDE_EFFECT = _holds(
     # processes
     "std::process", "subprocess", "Command::", "spawn", "fork",
     # locks
-    ".lock()", "Atomic", "Mutex", "RwLock",
+    ".lock()", ".unwrap().lock", "Atomic", "Mutex", "RwLock",
 )
 ASSIGNMENT = _starts("let ", "const ", "var ") + "|:="
 NO_ASSIGNMENT = _starts("if ", "for ", "while ", "def ", "class ", "fn ", "pub ", "//", "#", "return ", "}")

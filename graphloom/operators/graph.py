@@ -64,11 +64,11 @@ def combined_rank(symbols: DataFrame, refs: DataFrame, ranks: DataFrame) -> Data
 def impact_layers(symbols: DataFrame, refs: DataFrame, symbol: str, depth: int = 3, include_tests: bool = False, cap: int | None = 50) -> DataFrame:
     """(depth, name, pos): the names that reach ``symbol`` in that many calls, first seen at that depth.
 
-    A join a layer over the whole frontier. ``cap`` bounds the caller rows a name, in the order of their ids, as the single-node tool
+    A join a layer over the whole frontier; edges are made distinct only after it, so that a layer shuffles what the frontier touches. ``cap`` bounds the caller rows a name, in the order of their ids, as the single-node tool
     does; None lifts it."""
     spark = symbols.sparkSession
     by_qualified = symbols.groupBy(F.col("qualified_name").alias("asked")).agg(F.min_by("name", "id").alias("of"))
-    edges = refs.where("caller_symbol is not null").select("callee_symbol", "caller_symbol").distinct()
+    edges = refs.where("caller_symbol is not null").select("callee_symbol", "caller_symbol")
     # a name's place is the path of ids by which it was first seen: layers sort by it without being numbered in one task
     visited = spark.createDataFrame([(0, symbol, [])], "depth int, name string, pos array<bigint>")
     frontier = visited
@@ -76,7 +76,7 @@ def impact_layers(symbols: DataFrame, refs: DataFrame, symbol: str, depth: int =
         asked = frontier.select(F.col("name").alias("asked"), "pos")
         dotted = asked.where(F.contains("asked", F.lit("."))).join(by_qualified, "asked", "left").select(F.coalesce("of", "asked").alias("callee_symbol"), "pos")
         plain = asked.where(~F.contains("asked", F.lit("."))).select(F.col("asked").alias("callee_symbol"), "pos")
-        hit = edges.join(dotted.union(plain), "callee_symbol").select("callee_symbol", "pos", F.col("caller_symbol").alias("name"))
+        hit = edges.join(dotted.union(plain), "callee_symbol").select("callee_symbol", "pos", F.col("caller_symbol").alias("name")).distinct()
         rows = symbols.select("id", "name", "file_path").join(hit, "name")
         if cap:
             rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("callee_symbol", "pos").orderBy("id"))).where(F.col("place") <= cap)

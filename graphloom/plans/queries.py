@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions import language, scoring, text
+from graphloom.functions import budget, language, scoring, text
 from graphloom.functions.blake3 import content_hash
 from graphloom.operators import graph, incremental, matching, relational
 from graphloom.plans.views import sql, view
@@ -252,11 +254,14 @@ _REACH = f"""e AS (SELECT DISTINCT callee_symbol AS dst, caller_symbol AS src FR
 l0 AS (SELECT {TARGET} AS name), l1 AS (SELECT DISTINCT src AS name FROM e JOIN l0 ON dst = name WHERE src NOT IN (SELECT name FROM l0)),
 l2 AS (SELECT DISTINCT src AS name FROM e JOIN l1 ON dst = name WHERE src NOT IN (SELECT name FROM l0 UNION SELECT name FROM l1)),
 reach AS (SELECT 1 AS depth, name FROM l1 UNION ALL SELECT 2, name FROM l2)"""
+_DEEP = _REACH + """,
+l3 AS (SELECT DISTINCT src AS name FROM e JOIN l2 ON dst = name WHERE src NOT IN (SELECT name FROM l0 UNION SELECT name FROM l1 UNION SELECT name FROM l2)),
+deep AS (SELECT depth, name FROM reach UNION ALL SELECT 3, name FROM l3)"""
 
 
-@register("impact_deep", _with(_REACH, "SELECT depth, name FROM reach", "symbols", "refs"))
+@register("impact_deep", _with(_DEEP, "SELECT depth, name FROM deep", "symbols", "refs"))
 def impact_deep(spark, sf):
-    return graph.impact_layers(view(spark, sf, "symbols"), view(spark, sf, "refs"), _target(spark, sf), depth=2, cap=None).select("depth", "name")
+    return graph.impact_layers(view(spark, sf, "symbols"), view(spark, sf, "refs"), _target(spark, sf), depth=3, cap=None).select("depth", "name")
 
 
 @register("impact_deep_capped", None)
@@ -285,18 +290,31 @@ def edit_plan(spark, sf):
     return graph.edit_plan(view(spark, sf, "symbols"), view(spark, sf, "refs"), _target(spark, sf), [{"change_type": "add_param", "details": {"param": "x"}}])
 
 
-@register("dead_code_static", sql("SELECT id, name FROM symbols WHERE name NOT IN (SELECT callee_symbol FROM refs WHERE caller_symbol IN (SELECT name FROM symbols))", "symbols", "refs"))
+@register("dead_code_static", sql("SELECT id, name FROM entities WHERE name NOT IN (SELECT callee_symbol FROM uses WHERE caller_symbol IN (SELECT name FROM entities))", "entities", "uses"))
 def dead_code_static(spark, sf):
-    return graph.static_dead_code(view(spark, sf, "symbols"), view(spark, sf, "refs")).select("id", "name")
+    return graph.static_dead_code(view(spark, sf, "entities"), view(spark, sf, "uses")).select("id", "name")
+
+
+_STRINGS = "SELECT 'string_refs' AS stage, CASE WHEN count(*) > 0 THEN 'warn' ELSE 'pass' END AS status, coalesce(string_agg(name || ' in ' || file_path, ',' ORDER BY name || ' in ' || file_path), '') AS found FROM (SELECT name, file_path FROM (SELECT * FROM symbols WHERE name ILIKE '%' || {0} || '%' OR qualified_name ILIKE '%' || {0} || '%' ORDER BY kind, name, id LIMIT 50) WHERE name <> {0} ORDER BY kind, name, id LIMIT 10)"
+_HISTORY = "SELECT 'git_history', CASE WHEN contains(lower(message), 'deprecat') THEN 'warn' ELSE 'info' END, last_commit || ',' || message FROM commits JOIN (SELECT file_path FROM symbols WHERE name ILIKE '%' || {0} || '%' OR qualified_name ILIKE '%' || {0} || '%' ORDER BY kind, name, id LIMIT 1) ON file_path = path"
 
 
 @register("dead_code_verify", _with(_USED, f"""SELECT 'static_refs' AS stage, CASE WHEN count(*) > 0 THEN 'fail' ELSE 'pass' END AS status, coalesce(string_agg(name, ',' ORDER BY name), '') AS found FROM used
 UNION ALL SELECT 'dynamic_refs', CASE WHEN count(*) > 0 THEN 'fail' ELSE 'pass' END, coalesce(string_agg(caller_file || ' (confidence: 0.7)', ',' ORDER BY caller_file), '') FROM near WHERE is_dynamic
-UNION ALL SELECT 'string_refs', 'pass', '' UNION ALL SELECT 'test_refs', CASE WHEN count(*) > 0 THEN 'warn' ELSE 'pass' END, coalesce(string_agg(name, ',' ORDER BY name), '') FROM used WHERE contains(file_path, 'test') OR contains(file_path, '_spec')""", "symbols", "refs"))
+UNION ALL ({_STRINGS.format(TARGET)}) UNION ALL {_HISTORY.format(TARGET)} UNION ALL SELECT 'test_refs', CASE WHEN count(*) > 0 THEN 'warn' ELSE 'pass' END, coalesce(string_agg(name, ',' ORDER BY name), '') FROM used WHERE contains(file_path, 'test') OR contains(file_path, '_spec')""", "symbols", "refs", "commits"))
 def dead_code_verify(spark, sf):
-    out = graph.dead_code(view(spark, sf, "symbols"), view(spark, sf, "refs"), _target(spark, sf), ("static_refs", "dynamic_refs", "test_refs"))
-    none = out.limit(1).select(F.lit("string_refs").alias("stage"), F.lit("pass").alias("status"), F.array().cast("array<string>").alias("found"))
-    return out.union(none).select("stage", "status", F.array_join("found", ",").alias("found"))
+    return _dead_code(spark, sf, _target(spark, sf), ("static_refs", "dynamic_refs", "string_refs", "git_history", "test_refs"))
+
+
+@register("dead_code_strings", sql(f"({_STRINGS.format(repr(PATTERN))}) UNION ALL {_HISTORY.format(repr(PATTERN))}", "symbols", "commits"))
+def dead_code_strings(spark, sf):
+    """The same for a word that many names hold: the warning stages."""
+    return _dead_code(spark, sf, PATTERN, ("string_refs", "git_history"))
+
+
+def _dead_code(spark, sf, symbol: str, stages: tuple[str, ...]) -> DataFrame:
+    out = graph.dead_code(view(spark, sf, "symbols"), view(spark, sf, "refs"), symbol, stages, view(spark, sf, "commits"))
+    return out.select("stage", "status", F.array_join("found", ",").alias("found"))
 
 
 @register("module_move", _with(f"{_USED}, hit AS (SELECT name, file_path FROM symbols WHERE contains(name, {TARGET}) ORDER BY kind, name, id LIMIT 1)", f"""SELECT 'modify' AS part, file_path AS path, 'delete_symbol' AS action, {TARGET} AS symbol, NULL::VARCHAR AS moved_from, NULL::VARCHAR AS moved_to FROM hit
@@ -307,6 +325,12 @@ def module_move(spark, sf):
     return graph.module_move(view(spark, sf, "symbols"), view(spark, sf, "refs"), _target(spark, sf), "core.util", "python")
 
 
+@register("target_paths", sql("SELECT id, CASE language WHEN 'python' THEN 'core/util/util.py' WHEN 'javascript' THEN 'core/util/util.js' WHEN 'go' THEN 'core/util/util.go' WHEN 'rust' THEN 'src/core/util/mod.rs' ELSE 'core/util/util.java' END AS path FROM symbols", "symbols"))
+def target_paths(spark, sf):
+    """Where each symbol would go, by its language's conventions."""
+    return view(spark, sf, "symbols").select("id", language.target_path(F.lit("core.util"), F.col("language")).alias("path"))
+
+
 @register("signature_check", _with(f"{_USED}, hit AS (SELECT coalesce(signature, '') AS old FROM symbols WHERE contains(name, {TARGET}) ORDER BY kind, name, id LIMIT 1), had AS (SELECT CASE WHEN old = '' THEN 0 ELSE 1 END AS n FROM hit)", "SELECT name AS symbol, name || '()' AS call_site, 'New signature requires 3 params, old required ' || n || ' — caller may need update' AS issue FROM used, had", "symbols", "refs"))
 def signature_check(spark, sf):
     return graph.signature_check(view(spark, sf, "symbols"), view(spark, sf, "refs"), _target(spark, sf), "def f(a, b, c)")
@@ -413,16 +437,37 @@ def _simple(x: str) -> str:
     return f"regexp_replace({ends}, '\\s+', ' ', 'g')"
 
 
+def _any(function: str, *words: str) -> str:
+    """SQL: the line x begins with, or holds, one of the words. The words are written out here, apart from the engine's patterns."""
+    return "(" + " OR ".join(f"{function}(x, {_quoted(w)})" for w in words) + ")"
+
+
 def _listed(column: str) -> str:
     return f"array_to_string({column}, chr(10))"
 
 
-@register("signature_line", sql(f"SELECT path, coalesce(list_filter(ls, lambda x: x <> '' AND NOT regexp_matches(x, {_quoted(text.NO_SIGNATURE)}))[1], ls[1], '') AS signature FROM (SELECT path, {_LINES} AS ls FROM files)", "files"))
+# How a line of each sort begins, or what it holds.
+_NO_SIGNATURE = ("//", "#", "/*", "*", "'''", '"""', "@")
+_CONDITION = _any("starts_with", "if ", "if(", "elif ", "elif(", "else if ", "else if(", "else ", "match ", "switch ", "case ") + " OR x IN ('else', 'else:')"
+_LOOPS = _any("starts_with", "for ", "for(", "while ", "while(", "loop ", "foreach ", "do ")
+_ERRORS = _any("starts_with", "try ", "try{", "catch ", "catch(", "except ", "except(", "finally", "raise ", "panic!", "throw ", "err.") + " OR " + _any("contains", ".unwrap()", ".expect(", ".unwrap_or(", ".unwrap_or_else(")
+_EFFECTS = _any(
+    "contains", ".insert(", ".update(", ".delete(", ".save(", ".execute(", ".query(", ".commit(", ".rollback(", "db.", "DB.", ".add(",
+    "http", "fetch(", "axios", "requests.", "reqwest", "HttpClient",
+    "File::", "fs::", "open(", "read_to_string", "write_all", ".read(", ".write(",
+    "log.", "println!", "print(", "eprint", "console.log", "console.error", "console.warn", "tracing::", "info!", "debug!", "warn!", "error!", "trace!",
+    ".push(", ".extend(", ".remove(", ".clear()", ".sort(", "mut ",
+    "std::process", "subprocess", "Command::", "spawn", "fork",
+    ".lock()", ".unwrap().lock", "Atomic", "Mutex", "RwLock",
+)
+
+
+@register("signature_line", sql(f"SELECT path, coalesce(list_filter(ls, lambda x: x <> '' AND NOT {_any('starts_with', *_NO_SIGNATURE)})[1], ls[1], '') AS signature FROM (SELECT path, {_LINES} AS ls FROM files)", "files"))
 def signature_line(spark, sf):
     return view(spark, sf, "files").select("path", text.extract_signature(F.col("text")).alias("signature"))
 
 
-_BRANCH = f"list_filter(ls, lambda x: x <> '' AND NOT contains(x, '*/') AND NOT regexp_matches(x, '^(?://|#)') AND (regexp_matches(x, {_quoted(text.CONDITIONAL + '|' + text.LOOP + '|' + text.ERROR)}) OR (contains(x, ' =>') AND NOT regexp_matches(x, '^(?:fn |let )')) OR (starts_with(x, 'case ') AND ends_with(x, ':'))))"
+_BRANCH = f"list_filter(ls, lambda x: x <> '' AND NOT contains(x, '*/') AND NOT regexp_matches(x, '^(?://|#)') AND ({_CONDITION} OR {_LOOPS} OR {_ERRORS} OR (contains(x, ' =>') AND NOT regexp_matches(x, '^(?:fn |let )')) OR (starts_with(x, 'case ') AND ends_with(x, ':'))))"
 
 
 @register("critical_branches", sql(f"SELECT path, {_listed(f'list_transform({_BRANCH}, lambda x: {_simple("x")})')} AS branches FROM (SELECT path, {_LINES.replace('text', 'bare')} AS ls FROM (SELECT path, regexp_replace(regexp_replace(text, {_quoted(text.BOTH)}, '*/', 'g'), {_quoted(text.BLOCK)}, '', 'g') AS bare FROM files))", "files"))
@@ -433,12 +478,12 @@ def critical_branches(spark, sf):
 _CODE = f"list_filter(ls, lambda x: x <> '' AND NOT regexp_matches(x, '^(?://|#)') AND %s)"
 
 
-@register("side_effects", sql(f"SELECT path, {_listed(f'list_transform({_CODE % f"regexp_matches(x, {_quoted(text.SIDE_EFFECT)})"}, lambda x: {_simple("x")})')} AS effects FROM (SELECT path, {_LINES} AS ls FROM files)", "files"))
+@register("side_effects", sql(f"SELECT path, {_listed(f'list_transform({_CODE % _EFFECTS}, lambda x: {_simple("x")})')} AS effects FROM (SELECT path, {_LINES} AS ls FROM files)", "files"))
 def side_effects(spark, sf):
     return view(spark, sf, "files").select("path", F.array_join(text.extract_side_effects(F.col("text")), "\n").alias("effects"))
 
 
-_ASSIGNED = f"(regexp_matches(x, {_quoted(text.ASSIGNMENT)}) OR (contains(x, '=') AND NOT regexp_matches(x, {_quoted(text.NO_ASSIGNMENT)})))"
+_ASSIGNED = f"({_any('starts_with', 'let ', 'const ', 'var ')} OR contains(x, ':=') OR (contains(x, '=') AND NOT {_any('starts_with', 'if ', 'for ', 'while ', 'def ', 'class ', 'fn ', 'pub ', '//', '#', 'return ', '}')}))"
 
 
 @register("key_assignments", sql(f"SELECT path, {_listed(f'list_transform({_CODE % _ASSIGNED}, lambda x: {_simple("x")})')} AS assignments FROM (SELECT path, {_LINES} AS ls FROM files)", "files"))
@@ -446,7 +491,10 @@ def key_assignments(spark, sf):
     return view(spark, sf, "files").select("path", F.array_join(text.extract_key_assignments(F.col("text")), "\n").alias("assignments"))
 
 
-@register("return_statement", sql(f"SELECT path, {_simple(f'list_filter(ls, lambda x: regexp_matches(x, {_quoted(text.RETURN)}))[-1]')} AS returned FROM (SELECT path, {_LINES} AS ls FROM files)", "files"))
+_RETURNED = _any("starts_with", "return ", "return{", "yield ") + " OR x = 'return'"
+
+
+@register("return_statement", sql(f"SELECT path, {_simple(f'list_filter(ls, lambda x: {_RETURNED})[-1]')} AS returned FROM (SELECT path, {_LINES} AS ls FROM files)", "files"))
 def return_statement(spark, sf):
     return view(spark, sf, "files").select("path", text.extract_return_statement(F.col("text")).alias("returned"))
 
@@ -536,6 +584,34 @@ def cache_stats(spark, sf):
     return incremental.cache_stats(view(spark, sf, "cache").withColumn("expires_at", F.col("ttl")), F.lit(40))
 
 
+@register("cache_key", sql("SELECT id, 'search:{kind=\"' || kind || '\",limit=20,query=[\"' || name || '\",{a=null,z=true}]}' AS query_key FROM symbols", "symbols"))
+def cache_key(spark, sf):
+    """The key of one search a symbol; parameters are given out of order."""
+
+    @F.pandas_udf("string")
+    def key(name: pd.Series, kind: pd.Series) -> pd.Series:
+        return pd.Series([incremental.cache_key("search", {"query": [n, {"z": True, "a": None}], "limit": 20, "kind": k}) for n, k in zip(name, kind, strict=True)])
+
+    return view(spark, sf, "symbols").select("id", key("name", "kind").alias("query_key"))
+
+
+@register("budget_strategies", sql("SELECT id, '{\"results\":[{\"name\":\"' || name || '\",\"kind\":\"' || kind || '\"}]}' AS reduced, 'RemoveDetails' AS strategy FROM symbols", "symbols"))
+def budget_strategies(spark, sf):
+    """An answer a symbol, reduced to what its names alone take: docstring, signature and details go, in this order."""
+
+    @F.pandas_udf("reduced string, strategy string")
+    def reduced(name: pd.Series, kind: pd.Series) -> pd.DataFrame:
+        def one(n: str, k: str) -> tuple:
+            bare = {"results": [{"name": n, "kind": k}]}
+            full = {"results": [bare["results"][0] | {"docstring": n * 9, "signature": f"def {n}(a, b)", "path": "src/" + n, "notes": [n, n]}]}
+            value, _, strategy = budget.enforce_budget(full, budget.tokens_of(bare))
+            return json.dumps(value, separators=(",", ":")), strategy
+
+        return pd.DataFrame([one(n, k) for n, k in zip(name, kind, strict=True)], columns=["reduced", "strategy"])
+
+    return view(spark, sf, "symbols").select("id", reduced("name", "kind").alias("r")).select("id", "r.*")
+
+
 @register("cache_purge", sql("SELECT id, query_key FROM cache WHERE ttl > 40", "cache"))
 def cache_purge(spark, sf):
     return incremental.purge(view(spark, sf, "cache").withColumn("expires_at", F.col("ttl")), F.lit(40)).select("id", "query_key")

@@ -42,7 +42,7 @@ FROM documents""",
 SELECT e.event_id AS id, 'src/u' || e.user_id || '.py' AS file_path, e.user_id AS line_number,
   CASE e.event_id % 5 WHEN 0 THEN {_of(_NAME, "p")} WHEN 1 THEN {_of(_MODULE, "p")} || '.' || {_of(_NAME, "p")} WHEN 2 THEN 'pkg.mod.' || {_of(_NAME, "p")} WHEN 3 THEN 'x.' || {_of(_NAME, "p")} || '.y' ELSE 'v1.2/' || e.user_id END AS string_value,
   CASE e.event_type WHEN 'click' THEN 'function_arg' WHEN 'view' THEN 'kwarg' WHEN 'error' THEN 'sequence_element' ELSE 'unknown' END AS context
-FROM events e JOIN part p ON p.p_partkey = e.event_id % 2000""",
+FROM events e JOIN (SELECT count(*) AS n FROM part) c ON true JOIN part p ON p.p_partkey = CAST(floor(e.event_id / 5) AS BIGINT) % c.n""",
     "file_events": """
 SELECT event_id AS id, 'src/u' || user_id || CASE WHEN user_id % 9 = 0 THEN '.log' ELSE '.py' END AS path, ts,
   CASE event_type WHEN 'click' THEN 'modify_data' WHEN 'signup' THEN 'modify_name' WHEN 'purchase' THEN 'create' WHEN 'error' THEN 'remove' ELSE 'access' END AS event_type
@@ -50,6 +50,13 @@ FROM events""",
     "overrides": f"""
 SELECT s.s_suppkey AS id, {_of(_NAME, "a")} AS caller_symbol, {_of(_NAME, "b")} AS callee_symbol, 'override' AS ref_kind, 0.9e0 AS confidence
 FROM supplier s JOIN part a ON a.p_partkey = s.s_suppkey JOIN part b ON b.p_partkey = s.s_suppkey + 1""",
+    "entities": f"""
+SELECT p.p_partkey AS id, {_of(_NAME, "p")} AS name FROM part p UNION ALL SELECT 1000000000 + s_suppkey, 'supplier_' || s_suppkey FROM supplier""",
+    "uses": f"""
+SELECT {_of(_NAME, "p")} AS caller_symbol, {_of(_NAME, "p")} AS callee_symbol FROM part p WHERE p.p_type <> 'PROMO'
+UNION ALL SELECT CASE WHEN c_nationkey % 2 = 0 THEN 'supplier_' || c_nationkey ELSE 'outside' END, 'supplier_' || (c_nationkey + 1) FROM customer""",
+    "commits": f"""
+SELECT {_of(_FILE, "p")} AS path, '2024-01-0' || (count(*) % 9 + 1) AS last_commit, CASE WHEN count(*) % 2 = 0 THEN 'Deprecate the old form' ELSE 'Change it' END AS message FROM part p GROUP BY 1""",
     "stored": "SELECT 'f' || doc_id AS path, doc_id, text AS content, doc_id % 3 AS verify_count FROM documents WHERE doc_id % 10 <> 3",
     "disk": "SELECT 'f' || doc_id AS path, doc_id, CASE WHEN doc_id % 8 = 0 THEN text || ' changed' ELSE text END AS content FROM documents WHERE doc_id % 10 <> 7",
     "dirty": """
