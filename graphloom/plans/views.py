@@ -42,7 +42,7 @@ FROM documents""",
 SELECT e.event_id AS id, 'src/u' || e.user_id || '.py' AS file_path, e.user_id AS line_number,
   CASE e.event_id % 5 WHEN 0 THEN {_of(_NAME, "p")} WHEN 1 THEN {_of(_MODULE, "p")} || '.' || {_of(_NAME, "p")} WHEN 2 THEN 'pkg.mod.' || {_of(_NAME, "p")} WHEN 3 THEN 'x.' || {_of(_NAME, "p")} || '.y' ELSE 'v1.2/' || e.user_id END AS string_value,
   CASE e.event_type WHEN 'click' THEN 'function_arg' WHEN 'view' THEN 'kwarg' WHEN 'error' THEN 'sequence_element' ELSE 'unknown' END AS context
-FROM events e JOIN (SELECT count(*) AS n FROM part) c ON true JOIN part p ON p.p_partkey = CAST(floor(e.event_id / 5) AS BIGINT) % c.n""",
+FROM (SELECT event_id, user_id, event_type, CAST(floor(event_id / 5) AS BIGINT) % (SELECT count(*) FROM part) AS k FROM events) e JOIN part p ON p.p_partkey = e.k""",
     "file_events": """
 SELECT event_id AS id, 'src/u' || user_id || CASE WHEN user_id % 9 = 0 THEN '.log' ELSE '.py' END AS path, ts,
   CASE event_type WHEN 'click' THEN 'modify_data' WHEN 'signup' THEN 'modify_name' WHEN 'purchase' THEN 'create' WHEN 'error' THEN 'remove' ELSE 'access' END AS event_type
