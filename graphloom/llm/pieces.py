@@ -358,32 +358,22 @@ class Pieces:
 
     # -- texts
 
-    def encode(self, texts: list[str | None], held: dict[str, tuple[bytes, bytes]], most: int = 50_000) -> list[tuple[list[bytes], list[bytes]] | None]:
-        """For each text the ids of its segments, as bytes of 32-bit integers, and the UTF-8 bytes that these ids spell. Segments are
-        looked up once a batch; ``held``, a task's own, remembers up to ``most`` of them."""
+    def encode(self, texts: list[str | None], held: dict[str, bytes], most: int = 50_000) -> list[list[bytes] | None]:
+        """For each text the ids of its segments, as bytes of 32-bit integers. Segments are looked up once a batch; ``held``, a task's own,
+        remembers up to ``most`` of them."""
         cut = [self.segments(t) if t is not None else None for t in texts]
         new = [s for s in dict.fromkeys(s for c in cut if c for s in c) if s not in held]
         if len(held) + len(new) > most:
             held.clear()
             new = list(dict.fromkeys(s for c in cut if c for s in c))
-        spell = self.spell
-        for s, raw in zip(new, self.paths(new), strict=True):
-            held[s] = raw, b"".join([spell[i] for i in memoryview(raw).cast("i")])
-        out: list = []
-        for c in cut:
-            found = [held[s] for s in c] if c is not None else None
-            out.append(([f[0] for f in found], [f[1] for f in found]) if found is not None else None)
-        return out
+        held.update(zip(new, self.paths(new), strict=True))
+        return [[held[s] for s in c] if c is not None else None for c in cut]
 
-    def decoded(self, spelled: list[bytes]) -> str:
-        """The text of the bytes that ids spell."""
-        text = b"".join(spelled).decode("utf-8", "replace")
+    def decoded(self, spelled: bytes) -> str:
+        """The text of the bytes that all ids of a text spell."""
+        text = spelled.decode("utf-8", "replace")
         return text[1:] if self.normalise.prefix and text.startswith(" ") else text
 
-    def decode(self, ids: list[int]) -> str:
-        spell = self.spell
-        return self.decoded([spell[i] for i in ids])
-
     # -- sums over all paths
 
     def weighted(self) -> None:

@@ -5,20 +5,22 @@ normaliser. Decoding gives back every text exactly under a normaliser without ru
 file: U+2581 of the input itself goes by the byte fallback, where the original library would turn it into a space.
 
 Defined results: a null text has null ids, an empty text has none; texts of any length are encoded whole; repeated rows are encoded
-each on its own; an empty table gives an empty result.
+each on its own; an empty table gives an empty result. Bytes that are no UTF-8 are encoded as U+FFFD, so such a text does not come back.
 """
 
 from __future__ import annotations
 
 import zlib
+from itertools import pairwise
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import map_text, table
+from graphloom.llm.common import by_bytes, map_text, release, table
 from graphloom.llm.pieces import Pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -30,15 +32,26 @@ def _lists(parts: list[list[bytes] | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), np.int32)), mask=pa.array([p is None for p in parts]))
 
 
-def encode(docs: DataFrame, keep: dict, text_col: str = "text", model_path: str = MODEL) -> DataFrame:
-    """``keep`` columns plus ids: array<int>."""
+def _texts(pieces: Pieces, ids: pa.ListArray) -> list[str | None]:
+    """The text that each row's ids spell, looked up id by id."""
+    spelled = pa.array(pieces.spell, pa.large_binary()).take(ids.flatten())
+    _, offsets, data = spelled.buffers()
+    ends = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))]
+    cut = np.frombuffer(offsets, np.int64)[ends].tolist()
+    data = memoryview(data) if data is not None else b""
+    return [pieces.decoded(bytes(data[a:b])) if some else None for (a, b), some in zip(pairwise(cut), ids.is_valid().to_pylist(), strict=True)]
+
+
+def encode(docs: DataFrame, keep: dict, text_col: str = "text", model_path: str = MODEL, most: int = 1_000_000, remembered: int = 50_000) -> DataFrame:
+    """``keep`` columns plus ids: array<int>. About ``most`` bytes of text are encoded at a time, and a task remembers up to
+    ``remembered`` segments; neither changes the ids."""
     held = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
 
     def make():
         pieces, seen = Pieces.of(held.value), {}
-        return lambda texts: [_lists([x[0] if x is not None else None for x in pieces.encode([t.decode("utf-8", "replace") if t is not None else None for t in texts], seen)])]
+        return lambda texts: [_lists(pieces.encode([t.decode("utf-8", "replace") if t is not None else None for t in texts], seen, remembered))]
 
-    return map_text(docs, F.col(text_col), make, "ids array<int>", keep, most=1_000_000)
+    return map_text(docs, F.col(text_col), make, "ids array<int>", keep, most=most)
 
 
 def decode(encoded: DataFrame, keep: list[str], ids_col: str = "ids", model_path: str = MODEL) -> DataFrame:
@@ -50,37 +63,44 @@ def decode(encoded: DataFrame, keep: list[str], ids_col: str = "ids", model_path
     def run(batches):
         pieces = Pieces.of(held.value)
         for batch in batches:
-            texts = [pieces.decode(ids) if ids is not None else None for ids in batch.column(len(keep)).to_pylist()]
+            texts = _texts(pieces, batch.column(len(keep)))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(texts, pa.string())], names=[*keep, "text"])
 
     return source.mapInArrow(run, f"{kept}, text string" if kept else "text string")
 
 
-def digest(docs: DataFrame, keep: dict, text_col: str = "text", model_path: str = MODEL) -> DataFrame:
+def judged(encoded: DataFrame, keep: list[str], ids_col: str = "ids", text_col: str = "text", model_path: str = MODEL) -> DataFrame:
     """``keep`` columns plus what stands for the ids without carrying them: n_pieces, n_bytes (byte-fallback ids), ids_crc32 (of the
-    little-endian 32-bit ids) and round_trip (decoding gives the text)."""
-    held = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
+    little-endian 32-bit ids) and round_trip (these ids, decoded, give the text byte by byte). All four are read off the ids alone."""
+    held = encoded.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
+    source = encoded.select(*keep, F.col(ids_col).cast("array<int>").alias("__ids"), F.col(text_col).cast("string").alias("__text"))
+    kept = "".join(f"`{n}` {source.schema[n].dataType.simpleString()}, " for n in keep)
 
-    def make():
-        pieces, seen = Pieces.of(held.value), {}
-        low, high = int(pieces.byte_id.min()), int(pieces.byte_id.max())
-
-        def run(texts):
-            strings = [t.decode("utf-8", "replace") if t is not None else None for t in texts]
-            rows = []
-            for text, found in zip(strings, pieces.encode(strings, seen, 200_000), strict=True):
-                if found is None:
-                    rows.append((None,) * 4)
-                else:
-                    raw = b"".join(found[0])
-                    ids = np.frombuffer(raw, np.int32)
-                    rows.append((len(ids), int(((ids >= low) & (ids <= high)).sum()), zlib.crc32(raw), pieces.decoded(found[1]) == text))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-            return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]
-
-        return run
-
-    return map_text(docs, F.col(text_col), make, "n_pieces long, n_bytes long, ids_crc32 long, round_trip boolean", keep, most=8_000_000)
+    def run(batches):
+        pieces = Pieces.of(held.value)
+        fallback = np.zeros(len(pieces.text), np.int64)
+        fallback[pieces.byte_id] = 1
+        for batch in batches:
+            for part in by_bytes(batch):
+                ids, texts = part.column(len(keep)), part.column(len(keep) + 1).cast(pa.binary()).to_pylist()
+                flat, some = ids.flatten().to_numpy(), ids.is_valid()
+                sizes = pc.list_value_length(ids)
+                ends = np.r_[0, np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False))]
+                raw, cut = memoryview(flat.tobytes()), (ends * 4).tolist()
+                n_bytes = np.diff(np.r_[0, np.cumsum(fallback[flat])][ends])
+                crc = [zlib.crc32(raw[a:b]) if s else None for (a, b), s in zip(pairwise(cut), some.to_pylist(), strict=True)]
+                same = [d.encode() == t if d is not None else None for d, t in zip(_texts(pieces, ids), texts, strict=True)]
+                out = [sizes.cast(pa.int64()), pa.array(n_bytes, pa.int64(), mask=~some.to_numpy(zero_copy_only=False)), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *out], names=[*keep, "n_pieces", "n_bytes", "ids_crc32", "round_trip"])
+        release()
+
+    return source.mapInArrow(run, f"{kept}n_pieces long, n_bytes long, ids_crc32 long, round_trip boolean")
+
+
+def digest(docs: DataFrame, keep: dict, text_col: str = "text", model_path: str = MODEL) -> DataFrame:
+    """``keep`` columns plus those of ``judged``: every text encoded, and its ids decoded again."""
+    encoded = encode(docs, {**keep, "__source": F.col(text_col)}, text_col, model_path, most=8_000_000, remembered=200_000)
+    return judged(encoded, list(keep), "ids", "__source", model_path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,6 +116,19 @@ def test_round_trip(spark):
             assert d.round_trip and d.n_pieces == len(r.ids) and d.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in r.ids))
 
 
+def test_digest_decodes_the_ids(spark):
+    """What is said of a text comes from its ids: those of another text, or of bytes that are no UTF-8, do not give it back."""
+    from pyspark.sql import functions as F
+
+    df = spark.sql("select * from values (1, X'6120e282ac'), (2, X'ff61'), (3, X''), (4, null), (5, X'e296812078') as t(doc_id, raw)").selectExpr("doc_id", "cast(raw as string) text")
+    digest = {r.doc_id: r.round_trip for r in own.digest(df, {"doc_id": F.col("doc_id")}).collect()}
+    assert digest == {1: True, 2: False, 3: True, 4: None, 5: True}
+    coded = own.encode(df, {"doc_id": F.col("doc_id"), "text": F.col("text")}).where("doc_id in (1, 5)")
+    swapped = coded.withColumn("ids", F.when(F.col("doc_id") == 1, F.slice("ids", 1, 1)).otherwise(F.col("ids")))
+    rows = {r.doc_id: r for r in own.judged(swapped, ["doc_id"]).collect()}
+    assert not rows[1].round_trip and rows[1].n_pieces == 1 and rows[5].round_trip and rows[5].n_bytes == 3
+
+
 def test_query_edges(spark, tmp_path):
     at = edges.sf_dir(spark, tmp_path, documents=edges.documents(spark))
     rows = own.query(spark, at).collect()
