@@ -17,7 +17,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +32,14 @@ ORDER, FLUSH, CHUNK = 4, 100_000, 50_000
 
 
 @functools.cache
-def letters() -> re.Pattern:
-    """A letter, then letters and marks."""
-    kinds = [unicodedata.category(chr(c))[0] for c in range(0x110000)]
+def letters(most: int = 0x10FFFF) -> re.Pattern:
+    """A letter, then letters and marks, of characters up to ``most``."""
+    kinds = [unicodedata.category(chr(c))[0] for c in range(most + 1)]
 
     def ranges(of: str) -> str:
         out, begin = [], None
-        for c in range(0x110001):
-            inside = c < 0x110000 and kinds[c] in of
+        for c in range(most + 2):
+            inside = c <= most and kinds[c] in of
             if inside and begin is None:
                 begin = c
             elif not inside and begin is not None:
@@ -50,8 +50,17 @@ def letters() -> re.Pattern:
     return re.compile(f"[{ranges('L')}][{ranges('LM')}]*")
 
 
+#: The first byte of a character beyond 16 bits.
+WIDE = re.compile(b"[\xf0-\xf4]")
+
+
 def words_of(text: bytes | None) -> list[str]:
-    return letters().findall(text.decode("utf-8", "replace").lower()) if text else []
+    """The words of a text. A set with characters beyond 16 bits is searched range by range for each character that isn't in it, so it
+    is used for texts that hold such characters alone."""
+    if not text:
+        return []
+    lowered = text.decode("utf-8", "replace").lower()
+    return letters(0x7F if lowered.isascii() else 0x10FFFF if WIDE.search(text) else 0xFFFF).findall(lowered)
 
 
 def grams_of(word: str) -> list[str]:
@@ -153,33 +162,38 @@ class Scorer:
             out[:, j] = np.add.reduceat(column[row], starts) / np.maximum(found, 1)
         return out
 
-    def rows_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """A row a word, and whether it is known."""
-        at = np.array([self.known.get(w, -1) for w in words], np.int64).reshape(-1)
-        rows = np.zeros((len(words), len(self.langs)))
-        rows[at >= 0] = self.known_rows[at[at >= 0]]
-        new = np.flatnonzero(at < 0)
-        rows[new] = self.backed_off([words[i] for i in new.tolist()])
-        return rows, at >= 0
+    def rows_of(self, at: np.ndarray, new_rows: np.ndarray) -> np.ndarray:
+        """A row a word: that of a known word from 0 on, and of the new ones at -1, -2, ..."""
+        rows, new = np.empty((len(at), len(self.langs))), at < 0
+        rows[~new], rows[new] = self.known_rows[at[~new]], new_rows[-1 - at[new]]
+        return rows
 
     def __call__(self, texts: list[bytes | None]) -> tuple[list[str], list[float], list[float]]:
-        """(language, its probability, share of known words) of each text. Distinct words are scored once for all of them."""
+        """(language, its probability, share of known words) of each text. Distinct new words are scored once for all of them."""
         cut = [words_of(t) for t in texts]
-        index = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(cut)))}
-        rows, is_known = self.rows_of(list(index))
+        flat = list(chain.from_iterable(cut))
+        places = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        new = np.flatnonzero(places < 0)
+        unseen = [flat[i] for i in new.tolist()]
+        index = {w: i for i, w in enumerate(dict.fromkeys(unseen))}
+        places[new] = -1 - np.fromiter(map(index.__getitem__, unseen), np.int64, len(unseen))
+        new_rows = self.backed_off(list(index))
+        del flat, unseen
         pred, score, known = [], [], []
+        end = 0
         for words in cut:
+            at = places[end : end + len(words)]
+            end += len(words)
             if not words or not self.langs:
                 pred.append("und")
                 score.append(0.0)
                 known.append(0.0)
                 continue
-            at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-            s = sum(rows[at[i : i + CHUNK]].sum(0) for i in range(0, len(at), CHUNK))
+            s = sum(self.rows_of(at[i : i + CHUNK], new_rows).sum(0) for i in range(0, len(at), CHUNK))
             k = int(s.argmax())
             pred.append(self.langs[k])
             score.append(float(1 / np.exp(s - s[k]).sum()))
-            known.append(float(is_known[at].mean()))
+            known.append(float((at >= 0).mean()))
         return pred, score, known
 
 

@@ -1,5 +1,7 @@
 """Toxicity, quality and language: held-out accuracy, the contract's columns, and edge cases."""
 
+import random
+import time
 import unicodedata
 import zlib
 
@@ -110,6 +112,37 @@ def test_letters_and_marks():
     assert langid.words_of("हिन्दी में x".encode()) == ["हिन्दी", "में", "x"]
 
 
+def test_words_of_narrow_and_wide_texts():
+    """Texts of ASCII, of 16 bits and of wider characters have the words that the categories give, and of the first two a blank costs about
+    as much as a letter."""
+    rng = random.Random(3)
+    narrow = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    wide = [chr(c) for c in range(0x10000, 0x110000) if unicodedata.category(chr(c))[0] in "LMNS"]
+    for pool in (narrow[:128], narrow, narrow[:128] + wide):
+        text = "".join(rng.choices(pool, k=20_000) + pool[:1000] + [c + d for c in rng.choices(pool, k=5000) for d in "aé "[: 3 if pool is not narrow[:128] else 1]])
+        lowered, split = text.lower(), []
+        for i, c in enumerate(lowered):
+            kind = unicodedata.category(c)[0]
+            if kind in "LM" and i and inside:
+                split[-1] += c
+            elif kind == "L":
+                split.append(c)
+            inside = kind == "L" or kind == "M" and i > 0 and inside
+        assert langid.words_of(text.encode()) == split
+
+    def cost(text):
+        langid.words_of(text)
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            langid.words_of(text)
+            took.append(time.process_time() - began)
+        return min(took)
+
+    for c in ("a", "é"):
+        assert cost(b"  " * 200_000 + c.encode()) < 10 * cost(c.encode() * 400_000)
+
+
 def test_labels_both_ways_teach_nothing(spark):
     labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (2, 1), (3, None), (None, 1), (4, 7)], "doc_id long, toxic int")
     assert [tuple(r) for r in common.agreed(labels, "doc_id", "toxic").collect()] == [(2, 1)]
