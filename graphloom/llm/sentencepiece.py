@@ -32,26 +32,48 @@ def _lists(parts: list[list[bytes] | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), np.int32)), mask=pa.array([p is None for p in parts]))
 
 
+def _encoder(pieces: Pieces, remembered: int):
+    """A function from texts, as UTF-8, to their ids. It remembers up to ``remembered`` segments."""
+    seen: dict[str, bytes] = {}
+    return lambda texts: _lists(pieces.encode([t.decode("utf-8", "replace") if t is not None else None for t in texts], seen, remembered))
+
+
+def _bounds(ids: pa.ListArray) -> np.ndarray:
+    """Where each row's ids begin among all, and the end."""
+    return np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))]
+
+
 def _texts(pieces: Pieces, ids: pa.ListArray) -> list[str | None]:
     """The text that each row's ids spell, looked up id by id."""
-    spelled = pa.array(pieces.spell, pa.large_binary()).take(ids.flatten())
-    _, offsets, data = spelled.buffers()
-    ends = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))]
-    cut = np.frombuffer(offsets, np.int64)[ends].tolist()
+    _, offsets, data = pa.array(pieces.spell, pa.large_binary()).take(ids.flatten()).buffers()
+    cut = np.frombuffer(offsets, np.int64)[_bounds(ids)].tolist()
     data = memoryview(data) if data is not None else b""
     return [pieces.decoded(bytes(data[a:b])) if some else None for (a, b), some in zip(pairwise(cut), ids.is_valid().to_pylist(), strict=True)]
 
 
-def encode(docs: DataFrame, keep: dict, text_col: str = "text", model_path: str = MODEL, most: int = 1_000_000, remembered: int = 50_000) -> DataFrame:
-    """``keep`` columns plus ids: array<int>. About ``most`` bytes of text are encoded at a time, and a task remembers up to
-    ``remembered`` segments; neither changes the ids."""
+JUDGED = "n_pieces long, n_bytes long, ids_crc32 long, round_trip boolean"
+
+
+def _judged(pieces: Pieces, ids: pa.ListArray, texts: list[bytes | None]) -> list[pa.Array]:
+    """The columns ``JUDGED`` of these ids, all read off the ids alone; the texts are only compared with what the ids decode to."""
+    fallback = np.zeros(len(pieces.text), bool)
+    fallback[pieces.byte_id] = True
+    flat = ids.flatten().to_numpy()
+    raw, is_byte, rows = memoryview(flat.astype("<i4", copy=False)), fallback[flat], []
+    for (a, b), text, back in zip(pairwise(_bounds(ids).tolist()), texts, _texts(pieces, ids), strict=True):
+        rows.append((b - a, int(np.count_nonzero(is_byte[a:b])), zlib.crc32(raw[a:b]), back.encode() == text) if back is not None else (None,) * 4)
+    return [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_()))]
+
+
+def encode(docs: DataFrame, keep: dict, text_col: str = "text", model_path: str = MODEL) -> DataFrame:
+    """``keep`` columns plus ids: array<int>."""
     held = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
 
     def make():
-        pieces, seen = Pieces.of(held.value), {}
-        return lambda texts: [_lists(pieces.encode([t.decode("utf-8", "replace") if t is not None else None for t in texts], seen, remembered))]
+        encoder = _encoder(Pieces.of(held.value), 50_000)
+        return lambda texts: [encoder(texts)]
 
-    return map_text(docs, F.col(text_col), make, "ids array<int>", keep, most=most)
+    return map_text(docs, F.col(text_col), make, "ids array<int>", keep, most=1_000_000)
 
 
 def decode(encoded: DataFrame, keep: list[str], ids_col: str = "ids", model_path: str = MODEL) -> DataFrame:
@@ -71,36 +93,34 @@ def decode(encoded: DataFrame, keep: list[str], ids_col: str = "ids", model_path
 
 def judged(encoded: DataFrame, keep: list[str], ids_col: str = "ids", text_col: str = "text", model_path: str = MODEL) -> DataFrame:
     """``keep`` columns plus what stands for the ids without carrying them: n_pieces, n_bytes (byte-fallback ids), ids_crc32 (of the
-    little-endian 32-bit ids) and round_trip (these ids, decoded, give the text byte by byte). All four are read off the ids alone."""
+    little-endian 32-bit ids) and round_trip (these ids, decoded, give the text byte by byte)."""
     held = encoded.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
     source = encoded.select(*keep, F.col(ids_col).cast("array<int>").alias("__ids"), F.col(text_col).cast("string").alias("__text"))
     kept = "".join(f"`{n}` {source.schema[n].dataType.simpleString()}, " for n in keep)
 
     def run(batches):
         pieces = Pieces.of(held.value)
-        fallback = np.zeros(len(pieces.text), np.int64)
-        fallback[pieces.byte_id] = 1
         for batch in batches:
             for part in by_bytes(batch):
-                ids, texts = part.column(len(keep)), part.column(len(keep) + 1).cast(pa.binary()).to_pylist()
-                flat, some = ids.flatten().to_numpy(), ids.is_valid()
-                sizes = pc.list_value_length(ids)
-                ends = np.r_[0, np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False))]
-                raw, cut = memoryview(flat.tobytes()), (ends * 4).tolist()
-                n_bytes = np.diff(np.r_[0, np.cumsum(fallback[flat])][ends])
-                crc = [zlib.crc32(raw[a:b]) if s else None for (a, b), s in zip(pairwise(cut), some.to_pylist(), strict=True)]
-                same = [d.encode() == t if d is not None else None for d, t in zip(_texts(pieces, ids), texts, strict=True)]
-                out = [sizes.cast(pa.int64()), pa.array(n_bytes, pa.int64(), mask=~some.to_numpy(zero_copy_only=False)), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *out], names=[*keep, "n_pieces", "n_bytes", "ids_crc32", "round_trip"])
+                *same, ids, texts = part.columns
+                out = _judged(pieces, ids, texts.cast(pa.binary()).to_pylist())
+                yield pa.RecordBatch.from_arrays([*same, *out], names=[*keep, *(f.split()[0] for f in JUDGED.split(", "))])
         release()
 
-    return source.mapInArrow(run, f"{kept}n_pieces long, n_bytes long, ids_crc32 long, round_trip boolean")
+    return source.mapInArrow(run, kept + JUDGED)
 
 
 def digest(docs: DataFrame, keep: dict, text_col: str = "text", model_path: str = MODEL) -> DataFrame:
-    """``keep`` columns plus those of ``judged``: every text encoded, and its ids decoded again."""
-    encoded = encode(docs, {**keep, "__source": F.col(text_col)}, text_col, model_path, most=8_000_000, remembered=200_000)
-    return judged(encoded, list(keep), "ids", "__source", model_path)
+    """``keep`` columns plus those of ``judged``: every text encoded to its ids as by ``encode``, and these decoded as by ``decode``, within
+    one worker a task; a second one for the ids would double the memory that all workers take."""
+    held = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
+
+    def make():
+        pieces = Pieces.of(held.value)
+        encoder = _encoder(pieces, 200_000)
+        return lambda texts: _judged(pieces, encoder(texts), texts)
+
+    return map_text(docs, F.col(text_col), make, JUDGED, keep, most=4_000_000)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
