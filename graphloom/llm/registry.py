@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from graphloom.llm import decontaminate, egojoin, langid, licenses, lm, minhash, quality, sentencepiece, sharding, toxicity
+from graphloom.llm import decontaminate, egojoin, langid, licenses, lm, minhash, packing, quality, sentencepiece, sharding, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_quality": quality.query,
         "op9_lm_score": lm.query,
         "op10_minhash_near_dedup": minhash.query,
+        "op11_best_fit_packing": packing.query,
         "pipeline": corpus_pipeline.run,
     }
 

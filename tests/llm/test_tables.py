@@ -211,7 +211,7 @@ def test_pipeline_edges(spark, tmp_path):
 
 def test_registry():
     names = registry.queries()
-    assert sorted(n.split("_")[0] for n in names) == sorted([f"op{i}" for i in range(1, 11)] + ["pipeline"])
+    assert sorted(n.split("_")[0] for n in names) == sorted([f"op{i}" for i in range(1, 14)] + ["pipeline"])
     assert set(registry.oracle_sql()) <= set(names) and minhash.BANDS * minhash.ROWS % minhash.BATCH == 0
 
 
