@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from graphloom.llm import decontaminate, egojoin, langid, lexical, licenses, lm, minhash, packing, quality, sentencepiece, sharding, toxicity
+from graphloom.llm import decontaminate, divergence, egojoin, langid, lexical, licenses, lm, minhash, packing, quality, sentencepiece, sharding, toxicity
 
 
 def queries() -> dict:
@@ -20,9 +20,10 @@ def queries() -> dict:
         "op10_minhash_near_dedup": minhash.query,
         "op11_best_fit_packing": packing.query,
         "op12_lexical_search": lexical.query,
+        "op13_source_divergence": divergence.query,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_near_dedup": egojoin.oracle(), "op7_license_scan": licenses.oracle(), "op10_minhash_near_dedup": minhash.oracle(), "op12_lexical_search": lexical.oracle()}
+    return {"op3_embedding_near_dedup": egojoin.oracle(), "op7_license_scan": licenses.oracle(), "op10_minhash_near_dedup": minhash.oracle(), "op12_lexical_search": lexical.oracle(), "op13_source_divergence": divergence.oracle()}
