@@ -13,6 +13,7 @@ from graphloom.functions import budget, language, scoring, text
 from graphloom.functions.blake3 import content_hash
 from graphloom.operators import graph, incremental, matching, relational
 from graphloom.plans.views import sql, view
+from graphloom.plans.storage import folder
 from graphloom.sources import scan
 from graphloom.streaming import events as stream
 
@@ -764,3 +765,25 @@ def full_dot(spark, sf):
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Ranked, fuzzy symbol search."""
     return search_fuzzy(spark, sf)
+
+
+# -- source trees
+
+#: A tree of files made of the documents: names like patterns, hidden folders, blanks, skipped folders, unknown endings, bytes that are no UTF-8.
+_TREE = """SELECT coalesce(lang, 'xx') || CASE doc_id % 7 WHEN 0 THEN '/[' || doc_id || '].tsx' WHEN 1 THEN '/b{' || doc_id || '}.py' WHEN 2 THEN '/node_modules/x' || doc_id || '.js'
+    WHEN 3 THEN '/_p/.h/' || doc_id || '.md' WHEN 4 THEN '/t' || doc_id || '.txt' WHEN 5 THEN '/latin ' || doc_id || '.go' ELSE '/deep/' || doc_id % 10 || '/' || doc_id % 3 || '/m*' || doc_id || '.rs' END AS path,
+  doc_id % 7 = 5 AS latin, coalesce(text, '') AS text FROM documents"""
+
+
+@register(
+    "tree_scan",
+    f"""SELECT path, CASE regexp_extract(path, '[a-z]+$') WHEN 'tsx' THEN 'typescript' WHEN 'py' THEN 'python' WHEN 'md' THEN 'markdown' WHEN 'go' THEN 'go' ELSE 'rust' END AS language,
+  CAST(strlen(text) + CASE WHEN latin THEN 1 ELSE 0 END AS BIGINT) AS size, md5(CASE WHEN latin THEN '�' ELSE '' END || text) AS digest FROM ({_TREE}) t WHERE NOT contains(path, 'node_modules') AND NOT path LIKE '%.txt'""",
+)
+def tree_scan(spark, sf):
+    """Every document is written as a file and the tree scanned."""
+    files = spark.sql(_TREE.replace("{", "{{").replace("}", "}}").replace("FROM documents", "FROM {documents}"), documents=spark.read.parquet(f"{sf}/documents.parquet"))
+    root = folder(spark)
+    content = F.concat(F.when(F.col("latin"), F.unhex(F.lit("E9"))).otherwise(F.lit(b"")), F.col("text").cast("binary"))
+    scan.write_files(files.select("path", content.alias("content")), root)
+    return scan.scan(spark, root).select("path", "language", "size", F.md5("text").alias("digest"))

@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees; a temporary one is set only where the session names none, as in tests."""
+    """The folder that every executor sees. A temporary one is set only where a local session names none, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="graphloom-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         at = f"file://{own}"
@@ -21,11 +27,46 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def folder(spark: SparkSession) -> str:
+    """A new place in the shared folder, which is deleted when the driver ends."""
+    at = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    _written.append(at)
+    return at
+
+
 def written(df: DataFrame) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Through the file system that holds it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def rounds(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end, but for the last one, which is all that may be read beyond."""
+    begin = len(_written)
+    yield
+    for path in _written[begin:-1]:
+        delete(spark, path)
+    del _written[begin:-1]
+
+
+@atexit.register
+def _sweep() -> None:
+    """Leave nothing in the shared folder when the driver ends; the session may be gone by then, and with it the way to a remote folder."""
+    spark = SparkSession.getActiveSession()
+    for path in _written:
+        with contextlib.suppress(Exception):
+            if path.startswith(("file:", "/")):
+                shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+            elif spark is not None:
+                delete(spark, path)
+
+
 #: Rows below which a side may be broadcast.
 MOST_ROWS = 2_000_000

@@ -2,80 +2,59 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from urllib.parse import quote
+import json
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.functions import language
+from graphloom.sources import tree
 
 
-#: Files whose names may be broadcast.
-MOST_FILES = 500_000
+def loaded(spark: SparkSession, root: str, languages: tuple[str, ...] | None = None, skipped: tuple[str, ...] = language.SKIPPED, content: bool = True) -> DataFrame:
+    """(path, size, modified, text, error): files of known languages below the root, outside skipped directories, listed and read by the executors."""
+    tree.register(spark)
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    at = top.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(top).toString()
+    wanted = [e for e, lang in language.extensions() if not languages or lang in languages]
+    options = {"skipped": json.dumps(skipped), "extensions": json.dumps(wanted), "partitions": str(4 * spark.sparkContext.defaultParallelism), "content": str(content).lower()}
+    return spark.read.format("source_tree").options(**options).load(at)
 
 
-def listed(spark: SparkSession, root: str, skipped: tuple[str, ...]) -> DataFrame:
-    """(uri, path, size) of all files below the root, names with a leading underscore or dot included, which Spark's own listing hides.
+def scan(spark: SparkSession, root: str, languages: tuple[str, ...] | None = None, skipped: tuple[str, ...] = language.SKIPPED) -> DataFrame:
+    """(path, text, language, size) of the files that could be read. Paths are relative to the root; what can't be read is in ``failed``."""
+    held = loaded(spark, root, languages, skipped).where("error is null").withColumn("language", language.language_of(F.col("path"))).where("language is not null")
+    return held.select("path", "text", "language", "size")
 
-    Folders are listed level by level, each level's in parallel on the driver through the file system that holds them, and skipped ones are not
-    entered; names and sizes alone reach the driver, no content."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    top = jvm.org.apache.hadoop.fs.Path(root)
-    fs = top.getFileSystem(conf)
-    base = fs.makeQualified(top).toString().rstrip("/") + "/"
-    out: list[tuple[str, str, int]] = []
 
-    def entries(folder: str) -> list[tuple[str, str, bool, int]]:
-        found = fs.listStatus(jvm.org.apache.hadoop.fs.Path(folder))
-        return [(x.getPath().toString(), x.getPath().getName(), x.isDirectory(), x.getLen()) for x in found]
+def failed(spark: SparkSession, root: str, languages: tuple[str, ...] | None = None, skipped: tuple[str, ...] = language.SKIPPED) -> DataFrame:
+    """(path, error) of files and folders that can't be read."""
+    return loaded(spark, root, languages, skipped).where("error is not null").select("path", "error")
 
-    level = [base]
-    with ThreadPoolExecutor(16) as pool:
-        while level:
-            below = []
-            for held in pool.map(entries, level):
-                for uri, name, is_folder, size in held:
-                    if not is_folder:
-                        out.append((uri, uri.removeprefix(base), size))
-                    elif name not in skipped:
-                        below.append(uri)
-            level = below
-    return spark.createDataFrame(out, "uri string, path string, size long")
 
+def write_files(files: DataFrame, root: str) -> int:
+    """Write (path, content) rows as files below the root, from the executors; a file that is there is replaced. Gives their number."""
 
-def scan(spark: SparkSession, root: str, languages: tuple[str, ...] | None = None, skipped: tuple[str, ...] = language.SKIPPED) -> DataFrame:
-    """(path, text, language, size): files of known languages below the root, outside skipped directories.
-
-    Paths are relative to the root. Only what the filters on paths leave is opened."""
-    files = listed(spark, root, skipped)
-    kept = files.where(~language.ignored(F.col("path"), names=skipped)).withColumn("language", language.language_of(F.col("path"))).where("language is not null")
-    if languages:
-        kept = kept.where(F.col("language").isin(*languages))
-    rows = kept.select("uri").collect()
-    hidden = F.substring_index("uri", "/", -1).rlike("^[_.]")
-    named = [r.uri for r in rows if r.uri.rsplit("/", 1)[-1][0] not in "_."]
-    plain = lambda c: F.regexp_replace(c, "^([a-z0-9]+:)/+", "$1/")
-    other = kept.where(hidden).repartition(max(1, min(1000, (len(rows) - len(named)) // 50))).mapInArrow(_read, "path string, text string, language string, size long")
-    if not named:
-        return other
-    content = spark.read.format("binaryFile").load(named).select(F.col("path").alias("uri"), F.decode("content", "UTF-8").alias("text"))
-    at = kept.where(~hidden).withColumn("at", plain("uri")).drop("uri")
-    return content.withColumn("at", plain("uri")).drop("uri").join(F.broadcast(at) if len(named) <= MOST_FILES else at, "at").select("path", "text", "language", "size").union(other)
-
-
-def _read(batches):
-    """Files that Spark's readers leave out by their names, read by the executors one by one."""
-    import pyarrow as pa
-    from pyarrow import fs
-
-    for batch in batches:
-        for row in batch.to_pylist():
-            held, place = fs.FileSystem.from_uri(quote(row["uri"].replace("file:/", "file:///").replace("file://///", "file:///"), safe=":/"))
-            with held.open_input_stream(place) as f:
-                text = f.read().decode("utf-8", "replace")
-            yield pa.RecordBatch.from_pylist([{"path": row["path"], "text": text, "language": row["language"], "size": row["size"]}], schema=pa.schema([("path", pa.string()), ("text", pa.string()), ("language", pa.string()), ("size", pa.int64())]))
+    def run(batches):
+        for batch in batches:
+            store, base = tree.opened(root)
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if path.startswith("/") or ".." in path.split("/"):
+                    raise ValueError(f"{path} is outside of the root")
+                store.write(f"{base}/{path}", content or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return files.select("path", F.col("content").cast("binary")).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def changes(spark: SparkSession, root: str, listings: str, skipped: tuple[str, ...] = language.SKIPPED, buckets: int = 64) -> DataFrame:
+    """A stream of (path, ts, event_type, size): what is created, changed and removed below the root from one listing to the next. ``listings`` is a
+    shared folder of this stream alone. A change that keeps both size and time isn't seen."""
+    tree.register(spark)
+    options = {"skipped": json.dumps(skipped), "extensions": json.dumps([e for e, _ in language.extensions()]), "listings": listings, "buckets": str(buckets)}
+    return spark.readStream.format("source_tree_changes").options(**options).load(root)
 
 
 def scan_all(spark: SparkSession, root: str, tool_dirs: tuple[str, ...] = ()) -> DataFrame:
