@@ -39,6 +39,8 @@ from graphloom.llm.common import LOWER, UPPER, by_bytes, materialize, release, t
 LEAST_DOCS, TOP, SCALE, PRIOR = 30, 50, 1_000_000_000, 5
 #: Share of a block's groups from which a term is heavy; groups a block; postings a tile, about; counts a task holds before it writes them.
 HEAVY, BLOCK, TILE, FLUSH = 0.25, 256, 200_000, 1_000_000
+#: Bytes of kept terms that may be broadcast; beyond them counts meet their terms by a shuffle.
+MOST_BYTES = 32_000_000
 #: Everything but ASCII letters and bytes beyond ASCII becomes a blank, and A-Z are lower-cased.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -156,7 +158,8 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, heavy:
     """(lang, source, part, item, value, rank)."""
     raw = counted(docs)
     kept = materialize(raw.where("term is not null").groupBy("lang", "term").agg(F.sum("df").alias("df")).where(F.col("df") >= least_docs).select("lang", "term"))
-    each = raw.where("term is not null").join(kept, ["lang", "term"]).select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("x"))
+    size = kept.agg(F.coalesce(F.sum(F.octet_length("term") + F.octet_length("lang") + 64), F.lit(0))).first()[0]
+    each = raw.where("term is not null").join(F.broadcast(kept) if size <= MOST_BYTES else kept, ["lang", "term"]).select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("x"))
     counts = materialize(each.groupBy("lang", F.col("x.sources").alias("source"), "term").agg(F.sum("x.counts").alias("n")))
     v = kept.groupBy("lang").agg(F.count("*").alias("v"))
     sizes = counts.groupBy("lang", "source").agg(F.sum("n").alias("size"), F.count("*").alias("postings"))
