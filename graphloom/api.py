@@ -40,9 +40,20 @@ class CodeGraph:
 
     def save(self, path: str, *names: str) -> None:
         """Write the named tables, all by default, promote them, and go on from what was written: plans don't grow with each save."""
-        store.save(self.spark, path, {n: self.tables[n] for n in names or store.SCHEMAS})
+        store.save(self.spark, path, {n: self.tables[n] for n in names or store.SCHEMAS if n in self.tables})
         self.tables |= store.load(self.spark, path)
 
+    def update(self, path: str, root: str, paths: DataFrame | None = None) -> dict[str, dict]:
+        """Bring the index saved at ``path`` up to the tree, or to the state of the given paths in it alone: only buckets of files that are new,
+        changed or gone are rewritten. Gives what was written, by table; nothing if nothing changed."""
+        stored = store.load(self.spark, path)
+        now = scan.scan_all(self.spark, root) if paths is None else scan.read(self.spark, root, paths)
+        changed, fresh = registry.changes(stored, now, paths)
+        out = store.update(self.spark, path, changed, fresh) if not changed.isEmpty() else {}
+        self.tables |= store.load(self.spark, path)
+        self.cache.held.clear()
+        return out
+
     def __getattr__(self, name: str) -> DataFrame:
         try:
             return self.__dict__["tables"][name]

@@ -108,8 +108,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         return 0
     g = CodeGraph.load(spark, index)
     if command == "reindex":
-        g.reindex(args["path"])
-        g.save(index)
+        g.update(index, args["path"])
         print(shown(g.call("stats"), form))
     elif command == "override":
         print(shown(override(g, index, **args), form))

@@ -94,6 +94,20 @@ def reindex(stored: dict[str, DataFrame], scanned: DataFrame) -> dict[str, DataF
     return out | {"files": now}
 
 
+def changes(stored: dict[str, DataFrame], now: DataFrame, asked: DataFrame | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(paths, fresh): the files that are new, changed or gone, and the index rows of the first two, for ``store.update``. ``now`` is the scan; with
+    ``asked`` (path) it holds these paths alone, and others are left as they are."""
+    from graphloom.plans.storage import written
+
+    known = stored["files"].select("path", "hash")
+    known = known.join(asked.select("path").distinct(), "path", "left_semi") if asked is not None else known
+    changed = written(incremental.changed_files(known, now.withColumn("hash", content_hash(F.col("text")))))
+    gone = known.select("path").join(now.select("path"), "path", "left_anti")
+    fresh = index(changed.drop("hash")) | {"files": changed}
+    fresh["checksums"] = changed.select("path", "hash", F.lit(0).alias("verify_count"), F.lit(0).alias("mismatch_count"), F.lit("synced").alias("status"))
+    return written(changed.select("path").union(gone)), fresh
+
+
 def register_udtf(spark: SparkSession) -> None:
     """SQL: SELECT * FROM extract_symbols(text, language)."""
     from pyspark.sql.functions import udtf

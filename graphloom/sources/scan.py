@@ -13,11 +13,16 @@ from graphloom.functions import language
 from graphloom.sources import tree
 
 
+def _qualified(spark: SparkSession, root: str) -> str:
+    """The root with its store; a plain path is one of the default store."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return top.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(top).toString()
+
+
 def loaded(spark: SparkSession, root: str, languages: tuple[str, ...] | None = None, skipped: tuple[str, ...] = language.SKIPPED, content: bool = True) -> DataFrame:
     """(path, size, modified, text, error): files of known languages below the root, outside skipped directories, listed and read by the executors."""
     tree.register(spark)
-    top = spark._jvm.org.apache.hadoop.fs.Path(root)
-    at = top.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(top).toString()
+    at = _qualified(spark, root)
     wanted = [e for e, lang in language.extensions() if not languages or lang in languages]
     options = {"skipped": json.dumps(skipped), "extensions": json.dumps(wanted), "partitions": str(4 * spark.sparkContext.defaultParallelism), "content": str(content).lower()}
     return spark.read.format("source_tree").options(**options).load(at)
@@ -29,6 +34,24 @@ def scan(spark: SparkSession, root: str, languages: tuple[str, ...] | None = Non
     return held.select("path", "text", "language", "size")
 
 
+def read(spark: SparkSession, root: str, paths: DataFrame, skipped: tuple[str, ...] = language.SKIPPED) -> DataFrame:
+    """(path, text, language, size) of those of these paths (path, below the root) that are there and can be read, without a listing."""
+    at = _qualified(spark, root)
+
+    def run(batches):
+        for batch in batches:
+            store, base = tree.opened(at)
+            for path in batch.column(0).to_pylist():
+                try:
+                    data = store.read(f"{base}/{path}")
+                except (OSError, pa.ArrowException):
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([data.decode("utf-8", "replace")]), pa.array([len(data)], pa.int64())], names=["path", "text", "size"])
+
+    wanted = paths.select("path").distinct().where(~language.ignored(F.col("path"), names=skipped)).withColumn("language", language.language_of(F.col("path"))).where("language is not null")
+    return wanted.select("path").mapInArrow(run, "path string, text string, size long").withColumn("language", language.language_of(F.col("path"))).select("path", "text", "language", "size")
+
+
 def failed(spark: SparkSession, root: str, languages: tuple[str, ...] | None = None, skipped: tuple[str, ...] = language.SKIPPED) -> DataFrame:
     """(path, error) of files and folders that can't be read."""
     return loaded(spark, root, languages, skipped).where("error is not null").select("path", "error")
