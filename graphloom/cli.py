@@ -24,7 +24,7 @@ COMMANDS = {
     "dead-code-verify": ["symbol"],
     "cross-module-move": ["symbol", "module"],
     "signature-migration-check": ["symbol", "new_signature"],
-    "daemon": ["path", "events"],
+    "daemon": ["path", "events?"],
     "override": ["action", "first?", "second?"],
     "serve": [],
     "serve-http": [],
@@ -122,11 +122,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     elif command == "daemon":
         from graphloom.streaming.events import Watcher
 
-        def process(_paths) -> None:
-            g.reindex(args["path"])
-            g.save(index)
-
-        Watcher(spark, args["events"], index + ".events", process).start().awaitTermination()
+        # without a folder of events the tree is listed again and again, and compared with the listing before
+        source = args["events"] or scan.changes(spark, args["path"], index + ".listings")
+        Watcher(spark, source, index + ".events", lambda paths: g.update(index, args["path"], paths)).start().awaitTermination()
     elif command == "serve":
         for line in sys.stdin:
             answer = g.serve(json.loads(line)) if line.strip() else None

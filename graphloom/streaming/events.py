@@ -1,10 +1,11 @@
-"""File events as a stream: classification, debounce by session windows, bounded batches that lose nothing.
+"""File events: classification, debounce and bounded batches that lose nothing, for tables of events and for streams.
 
-The single-node tool debounces by processing time; here sessions are cut by event time, which gives the same releases when events
-arrive in order, and a watermark bounds the state when they don't."""
+Tables are debounced by session windows over the events' own times. The watcher's stream keeps state by path and timers instead
+(``debounce``): it waits until a path is quiet, as the single-node tool does, and caps its batches itself."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql.window import Window
 
 from graphloom.functions import language
 from graphloom.schema import EVENTS
+from graphloom.streaming import debounce
 
 
 def classify(event_type: Column) -> Column:
@@ -54,44 +56,53 @@ def actions(events: DataFrame, disk: DataFrame) -> DataFrame:
 
 
 class Watcher:
-    """Runs a stream of file events through filter and debounce, and hands each micro-batch of paths to ``process``.
+    """Runs a stream of file events through filter, debounce and capped batches, and hands the paths of each batch to ``process`` (path, last_type).
 
-    States follow the stream: Idle, Dirty (work has arrived), Parsing, Persist; Recover after an error, whose batch is kept and tried again
-    by the stream's checkpoint; Shutdown after ``stop``, which drains first."""
+    ``source`` is a folder of JSON events or a streaming frame of (path, ts, event_type), such as ``scan.changes``. A batch whose ``process`` fails
+    ends the query; a start from the same checkpoint gives it the same paths again."""
 
-    def __init__(self, spark: SparkSession, source: str, checkpoint: str, process: Callable[[DataFrame], None], files_per_trigger: int = 50, gap: str = "200 milliseconds", watermark: str = "10 seconds") -> None:
+    def __init__(self, spark: SparkSession, source: str | DataFrame, checkpoint: str, process: Callable[[DataFrame], None], gap_ms: int = 200, most: int = 50, lanes: int = 1, files_per_trigger: int = 50) -> None:
         self.spark, self.source, self.checkpoint, self.process = spark, source, checkpoint, process
-        self.files_per_trigger, self.gap, self.watermark = files_per_trigger, gap, watermark
-        self.state, self.processed, self.query = "Idle", 0, None
+        self.gap_ms, self.most, self.lanes, self.files_per_trigger = gap_ms, most, lanes, files_per_trigger
+        self.processed, self.query, self._busy = 0, None, False
+
+    @property
+    def state(self) -> str:
+        """By what the query says: Idle, Dirty (something waits), Parsing (a batch is being processed), Recover (it failed), Shutdown."""
+        if self.query is None:
+            return "Idle"
+        if not self.query.isActive:
+            return "Recover" if self.query.exception() else "Shutdown"
+        return "Parsing" if self._busy else "Dirty" if debounce.pending(self.query) else "Idle"
+
+    def _batch_id(self) -> int:
+        held = self.query.lastProgress
+        return held["batchId"] if held else -1
 
     def _batch(self, df: DataFrame, _epoch: int) -> None:
-        paths = df.select("path", "last_type").dropDuplicates(["path"]).persist()
-        try:
-            n = paths.count()
-            if not n:
-                self.state = "Idle"
-                return
-            self.state = "Parsing"
-            self.process(paths)
-            self.state = "Persist"
-            self.processed += n
-            self.state = "Idle"
-        except Exception:
-            self.state = "Recover"
-            raise
-        finally:
-            paths.unpersist()
-
-    def start(self, available_now: bool = False, interval: str = "1 second") -> StreamingQuery:
-        events = self.spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", self.files_per_trigger).json(self.source)
-        bursts = debounced(relevant(events), self.gap, self.watermark)
-        trigger = {"availableNow": True} if available_now else {"processingTime": interval}
-        self.query = bursts.writeStream.outputMode("append").option("checkpointLocation", self.checkpoint).trigger(**trigger).foreachBatch(self._batch).start()
+        rows = df.select("path", "last_type").collect()  # most * lanes at most, taken once, as each look runs the timers again
+        if rows:
+            self._busy = True
+            try:
+                self.process(self.spark.createDataFrame(sorted(rows), "path string, last_type string"))
+                self.processed += len(rows)
+            finally:
+                self._busy = False
+
+    def start(self, interval: str = "1 second") -> StreamingQuery:
+        events = self.source if isinstance(self.source, DataFrame) else self.spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", self.files_per_trigger).json(self.source)
+        batches_ = debounce.capped(debounce.debounce(relevant(events), self.gap_ms), self.most, self.lanes)
+        with debounce.rocks(self.spark):
+            self.query = batches_.writeStream.outputMode("append").option("checkpointLocation", self.checkpoint).trigger(processingTime=interval).foreachBatch(self._batch).start()
         return self.query
 
-    def stop(self) -> None:
-        if self.query is not None:
-            if self.query.isActive:
-                self.query.processAllAvailable()
+    def stop(self, drain_seconds: float = 60.0) -> None:
+        """Ends the query once all that has arrived is read, released and processed, or after ``drain_seconds``; what waits then stays in the checkpoint."""
+        if self.query is not None and self.query.isActive:
+            until, begun = time.time() + drain_seconds, self._batch_id()
+            # a micro-batch that began after this call has read what had arrived; this kind of query always has a next one, so waiting for all that is available would not end
+            while self.query.isActive and time.time() < until and (self._batch_id() < begun + 2 or self.query.lastProgress["numInputRows"] or debounce.pending(self.query) or self._busy):
+                time.sleep(0.05)
+            while self.query.isActive and time.time() < until and self.query.status["isTriggerActive"]:
+                time.sleep(0.01)  # between two micro-batches, so that none is cut off
             self.query.stop()
-        self.state = "Shutdown"

@@ -71,21 +71,6 @@ def test_batches_lose_nothing(spark):
     assert len(rows) == 120 and sorted({r.batch for r in rows}) == [0, 1, 2] and sum(r.batch == 2 for r in rows) == 20
 
 
-def test_watcher(spark, tmp_path):
-    source = tmp_path / "events"
-    source.mkdir()
-    line = lambda path, second, kind: json.dumps({"path": path, "ts": f"2024-01-01T00:00:{second:02d}Z", "event_type": kind})
-    (source / "1.json").write_text("\n".join([line("a.py", 0, "create"), line("a.py", 1, "modify_data"), line("b.log", 1, "create")]) + "\n")
-    (source / "2.json").write_text(line("z.py", 59, "create") + "\n")
-    (source / "3.json").write_text(line("y.py", 59, "create") + "\n")
-    seen = []
-    w = stream.Watcher(spark, str(source), str(tmp_path / "check"), lambda df: seen.extend(r.path for r in df.collect()), files_per_trigger=1, gap="2 seconds", watermark="3 seconds")
-    w.start(available_now=True).awaitTermination(120)
-    assert seen == ["a.py"] and w.state == "Idle" and w.processed == 1
-    w.stop()
-    assert w.state == "Shutdown"
-
-
 def test_toon():
     assert output.to_toon({"rows": [{"a": 1, "b": "x, y"}, {"a": None, "b": True}], "n": []}) == 'rows[2]{a,b}:\n  1,"x, y"\n  null,true\nn[0]:'
     assert json.loads(output.to_json({"a": 1})) == {"a": 1}
