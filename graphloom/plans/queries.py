@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import budget, language, scoring, text
+from graphloom import schema
 from graphloom.functions.blake3 import content_hash
 from graphloom.operators import graph, incremental, matching, relational
 from graphloom.plans.views import sql, view
 from graphloom.plans.storage import folder
-from graphloom.sources import scan
+from graphloom.sources import scan, store
 from graphloom.streaming import events as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -787,3 +788,107 @@ def tree_scan(spark, sf):
     content = F.concat(F.when(F.col("latin"), F.unhex(F.lit("E9"))).otherwise(F.lit(b"")), F.col("text").cast("binary"))
     scan.write_files(files.select("path", content.alias("content")), root)
     return scan.scan(spark, root).select("path", "language", "size", F.md5("text").alias("digest"))
+
+
+# -- saved indexes
+
+
+def _full(df: DataFrame, name: str) -> DataFrame:
+    """A view as an index table: columns that it lacks are null, 0 or false."""
+    empty = {"string": F.lit(None), "boolean": F.lit(False)}
+    of = store.SCHEMAS[name]
+    return df.select(*((F.col(f.name) if f.name in df.columns else F.lit("") if not f.nullable and f.dataType.simpleString() == "string" else empty.get(f.dataType.simpleString(), F.lit(0))).cast(f.dataType).alias(f.name) for f in of))
+
+
+def _saved(spark: SparkSession, sf: str) -> str:
+    """Symbols, references, literals and files of the views, saved in buckets. A reference's callee is in the first file that defines the name."""
+    symbols = view(spark, sf, "symbols")
+    at = symbols.groupBy(F.col("name").alias("callee_symbol")).agg(F.min("file_path").alias("callee_file"))
+    refs = view(spark, sf, "refs").join(at, "callee_symbol", "left").withColumn("callee_file", F.coalesce("callee_file", F.lit("")))
+    files = symbols.select(F.col("file_path").alias("path")).distinct()
+    path = folder(spark)
+    store.save(spark, path, {"symbols": _full(symbols, "symbols"), "refs": _full(refs, "refs"), "literals": _full(view(spark, sf, "literals"), "literals"), "files": _full(files, "files")}, buckets=16)
+    return path
+
+
+def _rows_of(tables: dict[str, DataFrame], keys: dict[str, str]) -> DataFrame:
+    out = None
+    for name, key in keys.items():
+        rows = tables[name].select(F.lit(name).alias("tab"), F.col(key).cast("string").alias("item"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_GONE = "path IN (SELECT file_path FROM symbols WHERE id % 9 = 4)"
+_CALLED = "(SELECT r.*, coalesce(m.f, '') AS callee_file FROM refs r LEFT JOIN (SELECT name, min(file_path) AS f FROM symbols GROUP BY name) m ON m.name = r.callee_symbol)"
+
+
+@register(
+    "delete_files_saved",
+    sql(
+        f"""SELECT 'symbols' AS tab, CAST(id AS VARCHAR) AS item FROM symbols WHERE file_path NOT IN (SELECT file_path FROM symbols WHERE id % 9 = 4)
+UNION ALL SELECT 'refs', CAST(id AS VARCHAR) FROM {_CALLED} r WHERE caller_file NOT IN (SELECT file_path FROM symbols WHERE id % 9 = 4) AND callee_file NOT IN (SELECT file_path FROM symbols WHERE id % 9 = 4)
+UNION ALL SELECT 'literals', CAST(id AS VARCHAR) FROM literals WHERE file_path NOT IN (SELECT file_path FROM symbols WHERE id % 9 = 4)
+UNION ALL SELECT DISTINCT 'files', file_path FROM symbols WHERE file_path NOT IN (SELECT file_path FROM symbols WHERE id % 9 = 4)""",
+        "symbols", "refs", "literals",
+    ),
+)
+def delete_files_saved(spark, sf):
+    """All tables of a saved index after files are deleted, references by either side."""
+    at = _saved(spark, sf)
+    store.update(spark, at, view(spark, sf, "symbols").where("id % 9 = 4").select(F.col("file_path").alias("path")), {}, either_side=True)
+    return _rows_of(store.load(spark, at), {"symbols": "id", "refs": "id", "literals": "id", "files": "path"})
+
+
+@register(
+    "reindex_files_saved",
+    sql(
+        """SELECT 'symbols' AS tab, CAST(CASE WHEN file_path IN (SELECT file_path FROM symbols WHERE id % 9 = 4) THEN -id ELSE id END AS VARCHAR) AS item FROM symbols
+UNION ALL SELECT 'refs', CAST(id AS VARCHAR) FROM refs WHERE caller_file NOT IN (SELECT file_path FROM symbols WHERE id % 9 = 4)
+UNION ALL SELECT 'literals', CAST(id AS VARCHAR) FROM literals WHERE file_path NOT IN (SELECT file_path FROM symbols WHERE id % 9 = 4)""",
+        "symbols", "refs", "literals",
+    ),
+)
+def reindex_files_saved(spark, sf):
+    """All tables of a saved index after files are indexed again: new symbols, no literals, references by the caller's file alone."""
+    at = _saved(spark, sf)
+    gone = view(spark, sf, "symbols").where("id % 9 = 4").select("file_path").distinct()
+    fresh = _full(view(spark, sf, "symbols").join(gone, "file_path", "left_semi").withColumn("id", -F.col("id")), "symbols")
+    store.update(spark, at, gone.select(F.col("file_path").alias("path")), {"symbols": fresh})
+    return _rows_of(store.load(spark, at), {"symbols": "id", "refs": "id", "literals": "id"})
+
+
+@register(
+    "checksum_upsert",
+    sql(
+        """SELECT coalesce(d.path, s.path) AS path, md5(CASE WHEN d.path IS NULL THEN s.content ELSE d.content END) AS hash, strlen(CASE WHEN d.path IS NULL THEN s.content ELSE d.content END) AS size,
+  coalesce(s.verify_count, 0) AS verify_count, CASE WHEN d.path IS NULL THEN 'mismatch' ELSE 'synced' END AS status FROM stored s FULL JOIN disk d ON d.path = s.path""",
+        "stored", "disk",
+    ),
+)
+def checksum_upsert(spark, sf):
+    """Hashes of all files on disk put into the files and the checksums of a saved index, which move together."""
+    was = view(spark, sf, "stored").select("path", F.md5("content").alias("hash"), F.octet_length("content").alias("size"), "verify_count", F.lit("mismatch").alias("status"))
+    at = folder(spark)
+    store.save(spark, at, {"files": _full(was, "files"), "checksums": _full(was, "checksums")}, buckets=16)
+    store.upsert_checksums(spark, at, view(spark, sf, "disk").select("path", F.md5("content").alias("hash"), F.octet_length("content").cast("long").alias("size")))
+    held = store.load(spark, at)
+    return held["files"].select("path", "hash", "size").join(held["checksums"].select("path", "hash", "verify_count", "status"), ["path", "hash"])
+
+
+@register(
+    "clear_before_reindex",
+    sql(
+        """SELECT 'symbols' AS tab, CAST(id AS VARCHAR) AS item FROM symbols WHERE file_path NOT IN (SELECT file_path FROM literals WHERE id % 7 = 3)
+UNION ALL SELECT 'literals', CAST(id AS VARCHAR) FROM literals WHERE file_path NOT IN (SELECT file_path FROM literals WHERE id % 7 = 3)
+UNION ALL SELECT 'matches', l.id || ':' || s.id FROM literals l JOIN symbols s ON s.name = l.string_value WHERE l.file_path NOT IN (SELECT file_path FROM literals WHERE id % 7 = 3)""",
+        "symbols", "literals",
+    ),
+)
+def clear_before_reindex(spark, sf):
+    """What files gave is dropped from symbols, literals and the matches of dropped literals."""
+    symbols, literals = view(spark, sf, "symbols"), view(spark, sf, "literals")
+    matches = literals.select(F.col("id").alias("literal_id"), F.col("string_value").alias("name")).join(symbols.select("name", F.col("id").alias("symbol_id")), "name").select("literal_id", "symbol_id", F.concat_ws(":", "literal_id", "symbol_id").alias("pair"))
+    gone = literals.where("id % 7 = 3").select(F.col("file_path").alias("path")).distinct()
+    out = incremental.clear_before_reindex(gone, symbols, view(spark, sf, "refs"), literals, matches)
+    return _rows_of(out, {"symbols": "id", "literals": "id", "matches": "pair"})
