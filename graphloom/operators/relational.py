@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.functions import scoring
+from graphloom.operators import approximate
 
 LIMIT = 50
 SYMBOL = ("id", "file_path", "name", "kind", "start_line", "end_line", "qualified_name")
@@ -44,15 +45,25 @@ def search_fuzzy(symbols: DataFrame, ranks: DataFrame, query: str, kind: str | N
     return scored.orderBy(F.desc("score"), F.desc_nulls_last("page_rank"), "kind", "name", "id").limit(limit)
 
 
-def search_batch(symbols: DataFrame, ranks: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """Many queries (qid, query) at once: candidates meet by shared identifier tokens, an equi-join; the best of each query stay."""
+def search_batch(symbols: DataFrame, ranks: DataFrame, queries: DataFrame, limit: int = 10, edits: int = approximate.EDITS) -> DataFrame:
+    """Many queries (qid, query) at once, each as a text: the best of the symbols that share an identifier token with it or are within the edits of it.
+
+    Equal names are scored once a query, and each of them gives its first symbols alone, so neither many equal names nor many equal queries
+    multiply the pairs."""
     tokens = lambda c: F.explode(F.array_distinct(scoring.split_identifier(F.lower(c))))
-    wanted = queries.select("qid", "query", tokens(F.col("query")).alias("token"))
-    held = symbols.select("id", "name", "kind", tokens(F.col("name")).alias("token"))
-    pairs = wanted.join(held, "token").drop("token").distinct()
-    scored = pairs.join(ranks.select(F.col("symbol_name").alias("name"), "page_rank"), "name", "left").withColumn("score", scoring.combined_score(scoring.fuzzy_score(F.col("query"), F.col("name")), F.lit(True), F.col("page_rank")))
+    asked, names = queries.select("query").where("query is not null").distinct(), symbols.select("name").where("name is not null").distinct()
+    shared = asked.select("query", tokens(F.col("query")).alias("token")).join(names.select("name", tokens(F.col("name")).alias("token")), "token").select("query", "name")
+    low = approximate.within(asked.select(F.lower("query").alias("query")), names.select(F.lower("name").alias("name")), edits)
+    near = asked.withColumn("__q", F.lower("query")).join(low.select(F.col("query").alias("__q"), F.col("name").alias("__n")), "__q").join(names.withColumn("__n", F.lower("name")), "__n").select("query", "name")
+    pairs = shared.unionByName(near).distinct()
+    by_name = ranks.groupBy(F.col("symbol_name").alias("name")).agg(F.max("page_rank").alias("page_rank"))
+    scored = pairs.join(by_name, "name", "left").withColumn("score", scoring.combined_score(scoring.fuzzy_score(F.col("query"), F.col("name")), F.lit(True), F.col("page_rank")))
+    top = Window.partitionBy("query").orderBy(F.desc("score"), "name")
+    few = scored.withColumn("__k", F.row_number().over(top)).where(F.col("__k") <= limit).drop("__k")
+    first = Window.partitionBy("name").orderBy("id")
+    held = symbols.select("id", "name", "kind").withColumn("__k", F.row_number().over(first)).where(F.col("__k") <= limit).drop("__k")
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "name", "id")
-    return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit)
+    return queries.select("qid", "query").join(few, "query").join(held, "name").withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit)
 
 
 def file_symbols(symbols: DataFrame, path: str) -> DataFrame:

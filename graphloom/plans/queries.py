@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from graphloom.functions import budget, language, scoring, text
 from graphloom import schema
 from graphloom.functions.blake3 import content_hash
-from graphloom.operators import graph, incremental, matching, relational
-from graphloom.plans.views import sql, view
+from graphloom.operators import approximate, graph, incremental, matching, relational
+from graphloom.plans.views import _NAME, _of, sql, view
 from graphloom.plans.storage import folder
 from graphloom.sources import scan, store
 from graphloom.streaming import events as stream
@@ -892,3 +892,21 @@ def clear_before_reindex(spark, sf):
     gone = literals.where("id % 7 = 3").select(F.col("file_path").alias("path")).distinct()
     out = incremental.clear_before_reindex(gone, symbols, view(spark, sf, "refs"), literals, matches)
     return _rows_of(out, {"symbols": "id", "literals": "id", "matches": "pair"})
+
+
+# -- approximate names
+
+#: Each part's name with a typo: a character lost, two swapped, one replaced, or a long run of changes that nothing is near to.
+_TYPOS = f"""SELECT p_partkey AS qid, CASE p_partkey % 4 WHEN 0 THEN substr(name, 1, 2) || substr(name, 4) WHEN 1 THEN substr(name, 1, 3) || substr(name, 5, 1) || substr(name, 4, 1) || substr(name, 6)
+  WHEN 2 THEN upper(substr(name, 1, 5)) || 'z' || substr(name, 7) ELSE 'qq' || substr(name, 5) END AS query FROM (SELECT p_partkey, {_of(_NAME, "p")} AS name FROM part p) n"""
+
+
+@register(
+    "nearest_names",
+    _with(f"typos AS ({_TYPOS})", """SELECT qid, id, distance, place FROM (SELECT qid, id, distance, CAST(row_number() OVER (PARTITION BY qid ORDER BY distance, name, id) AS INTEGER) AS place
+  FROM (SELECT qid, id, name, levenshtein(lower(query), lower(name)) AS distance FROM typos JOIN symbols ON abs(length(query) - length(name)) <= 2) x WHERE distance <= 2) WHERE place <= 10""", "symbols"),
+)
+def nearest_names(spark, sf):
+    """The ten nearest symbols of every part's misspelt name."""
+    typos = spark.sql(_TYPOS.replace("FROM part p", "FROM {part} p"), part=spark.read.parquet(f"{sf}/part.parquet"))
+    return approximate.nearest(typos, view(spark, sf, "symbols")).select("qid", "id", F.col("distance").cast("long").alias("distance"), "place")
