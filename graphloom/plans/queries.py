@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import budget, language, scoring, text
 from graphloom import schema
 from graphloom.functions.blake3 import content_hash
-from graphloom.operators import approximate, graph, incremental, matching, relational
+from graphloom.operators import approximate, graph, incremental, matching, relational, trigrams
 from graphloom.plans.views import _NAME, _of, sql, view
 from graphloom.plans.storage import folder
 from graphloom.sources import scan, store
@@ -910,3 +910,30 @@ def nearest_names(spark, sf):
     """The ten nearest symbols of every part's misspelt name."""
     typos = spark.sql(_TYPOS.replace("FROM part p", "FROM {part} p"), part=spark.read.parquet(f"{sf}/part.parquet"))
     return approximate.nearest(typos, view(spark, sf, "symbols")).select("qid", "id", F.col("distance").cast("long").alias("distance"), "place")
+
+
+# -- substrings
+
+#: Pieces of texts of one to fourteen characters, whole and in upper case, and some that no text holds.
+_NEEDLES = """SELECT doc_id AS nid, CASE doc_id % 60 WHEN 0 THEN substr(text, 3, 12) WHEN 20 THEN upper(substr(text, 7, 8)) ELSE substr(text, 2, 14) || 'qz' END AS needle FROM documents WHERE doc_id % 20 = 0
+UNION ALL SELECT -1, 'th' UNION ALL SELECT -2, 'z' UNION ALL SELECT -3, '.'"""
+
+
+@register("substring_search", f"SELECT nid, doc_id AS key FROM ({_NEEDLES}) n JOIN documents d ON contains(d.text, n.needle)")
+def substring_search(spark, sf):
+    """Many needles at once in all whole texts, by an index of trigrams."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    at = folder(spark)
+    trigrams.save(docs.select(F.col("doc_id").alias("key"), "text"), at)
+    needles = spark.sql(_NEEDLES.replace("FROM documents", "FROM {documents}"), documents=docs)
+    return trigrams.search(trigrams.load(spark, at), needles).select("nid", "key")
+
+
+@register("like_many", _with(f"asked AS (SELECT p_partkey AS nid, substr({_of(_NAME, 'p')}, 3, 6) AS needle FROM part p)", "SELECT nid, id AS key FROM asked JOIN symbols ON contains(lower(name), lower(needle))", "symbols"))
+def like_many(spark, sf):
+    """A LIKE search a part, all at once: the symbols whose names hold a piece of the part's name in any case."""
+    symbols = view(spark, sf, "symbols")
+    at = folder(spark)
+    trigrams.save(symbols.select(F.col("id").alias("key"), F.col("name").alias("text")), at)
+    needles = spark.sql(f"SELECT p_partkey AS nid, substr({_of(_NAME, 'p')}, 3, 6) AS needle FROM {{part}} p", part=spark.read.parquet(f"{sf}/part.parquet"))
+    return trigrams.search(trigrams.load(spark, at), needles, fold=True).select("nid", "key")
