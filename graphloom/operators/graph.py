@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from graphloom.functions import language, scoring
 from graphloom.operators import relational
-from graphloom.plans.storage import MOST_ROWS, written
+from graphloom.plans.storage import MOST_ROWS, bucketed, drop_tables, rounds, written
 
 
 def edge_list(refs: DataFrame) -> DataFrame:
@@ -23,32 +23,47 @@ def degrees(symbols: DataFrame, refs: DataFrame) -> DataFrame:
     return symbols.select("id", "name").join(counted, "name", "left").select("id", "name", F.coalesce("i", F.lit(0)).alias("in_degree"), F.coalesce("o", F.lit(0)).alias("out_degree"))
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, max_iter: int = 100, tolerance: float = 1e-6) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = 0.85, max_iter: int = 100, tolerance: float = 1e-6, few_rows: int = MOST_ROWS) -> DataFrame:
     """(name, rank): ranks sum to one; the mass of nodes without out-edges is spread over all.
 
     Parallel edges are folded into weights once. Each round is written to the shared folder, which cuts the lineage, and one action
-    brings its change and its dangling mass; ranks are joined by a broadcast only while they are few."""
-    weights = edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
-    out = weights.groupBy("src").agg(F.sum("n").alias("of"))
-    weights = written(weights.join(out, "src").select("src", "dst", (F.col("n") / F.col("of")).alias("w")))
-    sources = out.select(F.col("src").alias("name"), F.lit(True).alias("sends"))
-    nodes = written(weights.select(F.explode(F.array("src", "dst")).alias("name")).distinct().join(sources, "name", "left").select("name", F.coalesce("sends", F.lit(False)).alias("sends")))
-    n = nodes.count()
-    if not n:
-        return nodes.select("name", F.lit(0.0).alias("rank"))
-    few = n <= MOST_ROWS
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
-    dangling = nodes.where(~F.col("sends")).count() / n
-    for _ in range(max_iter):
-        held = ranks.select(F.col("name").alias("src"), "rank")
-        sent = weights.join(F.broadcast(held) if few else held, "src").groupBy(F.col("dst").alias("name")).agg(F.sum(F.col("rank") * F.col("w")).alias("got"))
-        base = (1 - damping) / n + damping * dangling / n
-        ranks = written(ranks.select("name", "sends", F.col("rank").alias("was")).join(sent, "name", "left").select("name", "sends", "was", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")))
-        delta, dangling = ranks.agg(F.sum(F.abs(F.col("rank") - F.col("was"))), F.coalesce(F.sum(F.when(~F.col("sends"), F.col("rank"))), F.lit(0.0))).first()
-        ranks = ranks.drop("was")
-        if delta <= tolerance:
-            break
-    return ranks.select("name", "rank")
+    brings its change and its dangling mass; the tables of the rounds before are deleted at the end. Ranks are joined by a broadcast only
+    while they are few. Beyond that edges and ranks are kept in buckets of the node, as many as a shuffle has partitions, so that a round moves
+    its contributions alone, once."""
+    spark = edges.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with rounds(spark):
+        weights = edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
+        out = weights.groupBy("src").agg(F.sum("n").alias("of"))
+        weights = written(weights.join(out, "src").select("src", "dst", (F.col("n") / F.col("of")).alias("w")))
+        sources = out.select(F.col("src").alias("name"), F.lit(True).alias("sends"))
+        nodes = written(weights.select(F.explode(F.array("src", "dst")).alias("name")).distinct().join(sources, "name", "left").select("name", F.coalesce("sends", F.lit(False)).alias("sends")))
+        n = nodes.count()
+        few = n <= few_rows
+        if not few:
+            weights = bucketed(weights, "src", buckets)
+        ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
+        ranks = ranks if few else bucketed(ranks, "name", buckets)
+        dangling = nodes.where(~F.col("sends")).count() / max(n, 1)
+        for _ in range(max_iter if n else 0):
+            base = (1 - damping) / n + damping * dangling / n
+            ranks = pagerank_round(weights, ranks, base, damping, few)
+            ranks = written(ranks) if few else bucketed(ranks, "name", buckets)
+            delta, dangling = ranks.agg(F.sum(F.abs(F.col("rank") - F.col("was"))), F.coalesce(F.sum(F.when(~F.col("sends"), F.col("rank"))), F.lit(0.0))).first()
+            if delta <= tolerance:
+                break
+        ranks = written(ranks.select("name", "rank"))
+        drop_tables(spark)
+    return ranks
+
+
+def pagerank_round(weights: DataFrame, ranks: DataFrame, base: float, damping: float, few: bool) -> DataFrame:
+    """(name, sends, was, rank) after one round."""
+    held = ranks.select(F.col("name").alias("src"), "rank")
+    sent = weights.join(F.broadcast(held) if few else held.hint("merge"), "src").select(F.col("dst").alias("name"), (F.col("rank") * F.col("w")).alias("part"))
+    got = sent.groupBy("name").agg(F.sum("part").alias("got"))
+    before = ranks.select("name", "sends", F.col("rank").alias("was"))
+    return before.join(got if few else got.hint("merge"), "name", "left").select("name", "sends", "was", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
 
 
 def combined_rank(symbols: DataFrame, refs: DataFrame, ranks: DataFrame) -> DataFrame:

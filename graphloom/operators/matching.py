@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphloom.functions import scoring
+from graphloom.plans.storage import written
 
 
 def string_matches(literals: DataFrame, symbols: DataFrame, least: float = 0.5) -> DataFrame:
@@ -57,3 +59,47 @@ def cross_language(symbols: DataFrame) -> DataFrame:
 
 def cross_language_refs(pairs: DataFrame, limit: int = 200) -> DataFrame:
     return pairs.orderBy(F.desc("confidence"), "name", "id_a", "id_b").limit(limit)
+
+
+def cross_language_classes(symbols: DataFrame) -> DataFrame:
+    """The same pairs by classes of equal name, language and kind: (name, language_a, kind_a, n_a, language_b, kind_b, n_b, pairs, confidence, reasons).
+
+    A name has as many rows as languages and kinds allow, however many symbols bear it, so the result is linear in the symbols."""
+    classes = symbols.where("language is not null and name is not null").groupBy("name", "language", "kind").agg(F.count("*").alias("n"))
+    side = lambda x: classes.select("name", *(F.col(c).alias(f"{c}_{x}") for c in ("language", "kind", "n")))
+    args = (F.col("name"), F.col("kind_a"), F.col("kind_b"))
+    pairs = side("a").join(side("b"), "name").where("language_a < language_b")
+    return pairs.select("name", "language_a", "kind_a", "n_a", "language_b", "kind_b", "n_b", (F.col("n_a") * F.col("n_b")).alias("pairs"), scoring.cross_language_confidence(*args).alias("confidence"), scoring.match_reasons(*args).alias("reasons"))
+
+
+def expanded(classes: DataFrame, symbols: DataFrame, most: int | None = None) -> DataFrame:
+    """The pairs of symbols of some classes, with ids; of each class its ``most`` least ids alone."""
+    held = symbols.select("name", "language", "kind", "id")
+    if most is not None:
+        order = Window.partitionBy("name", "language", "kind").orderBy("id")
+        held = held.join(F.broadcast(classes.select("name").distinct()), "name", "left_semi").withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= most).drop("__k")
+    out = classes
+    for x in ("a", "b"):
+        of = held.select("name", F.col("language").alias(f"language_{x}"), F.col("kind").alias("__kind"), F.col("id").alias(f"id_{x}"))
+        out = out.join(of, ["name", f"language_{x}"]).where(F.col(f"kind_{x}").eqNullSafe(F.col("__kind"))).drop("__kind")
+    return out
+
+
+def cross_language_top(symbols: DataFrame, limit: int = 200) -> DataFrame:
+    """The first ``limit`` pairs by falling confidence, name and ids, expanding no more classes than hold them.
+
+    Each group of equal confidence and name has a pair at least, so ``limit`` groups are enough; the first of them that hold ``limit`` pairs are."""
+    classes = cross_language_classes(symbols)
+    groups = classes.groupBy("confidence", "name").agg(F.sum("pairs").alias("pairs")).orderBy(F.desc("confidence"), "name").limit(limit).collect()
+    total, taken = 0, []
+    for g in groups:
+        if total >= limit:
+            break
+        taken.append((g.confidence, g.name))
+        total += g.pairs
+    if not taken:
+        return cross_language(symbols).limit(0)
+    wanted = symbols.sparkSession.createDataFrame(taken, "confidence double, name string")
+    some = written(classes.join(F.broadcast(wanted), ["confidence", "name"], "left_semi"))
+    found = expanded(some, symbols, limit).select("name", "id_a", "id_b", "language_a", "language_b", "kind_a", "kind_b", "confidence", "reasons")
+    return cross_language_refs(found, limit)

@@ -697,7 +697,7 @@ def symbol_like_literals(spark, sf):
 
 @register("cross_language_refs", sql(f"SELECT a.name, a.id AS id_a, b.id AS id_b FROM symbols a JOIN symbols b ON a.name = b.name AND a.language < b.language ORDER BY CASE WHEN {_COMPAT} THEN 0.7e0 ELSE 0.4e0 END DESC, a.name, a.id, b.id LIMIT 20", "symbols"))
 def cross_language_refs(spark, sf):
-    return matching.cross_language_refs(matching.cross_language(view(spark, sf, "symbols")), 20).select("name", "id_a", "id_b")
+    return matching.cross_language_top(view(spark, sf, "symbols"), 20).select("name", "id_a", "id_b")
 
 
 @register("edit_plan_summary", _with(_USED, f"SELECT (SELECT count(*) FROM (SELECT name FROM used UNION SELECT callee_symbol FROM near UNION SELECT {TARGET})) AS affected, (SELECT count(DISTINCT file_path) FROM used) AS files, (SELECT count(*) FROM used) AS breaking, (SELECT count(*) FROM used) = 0 AS safe_to_proceed, 50 * (SELECT count(*) FROM (SELECT name FROM used UNION SELECT callee_symbol FROM near UNION SELECT {TARGET})) AS estimated_tokens", "symbols", "refs"))
@@ -937,3 +937,21 @@ def like_many(spark, sf):
     trigrams.save(symbols.select(F.col("id").alias("key"), F.col("name").alias("text")), at)
     needles = spark.sql(f"SELECT p_partkey AS nid, substr({_of(_NAME, 'p')}, 3, 6) AS needle FROM {{part}} p", part=spark.read.parquet(f"{sf}/part.parquet"))
     return trigrams.search(trigrams.load(spark, at), needles, fold=True).select("nid", "key")
+
+
+@register(
+    "cross_language_classes",
+    sql(f"""SELECT a.name, a.language AS language_a, a.kind AS kind_a, b.language AS language_b, b.kind AS kind_b, count(*) AS pairs, any_value(CASE WHEN {_COMPAT} THEN 0.7e0 ELSE 0.4e0 END) AS confidence
+FROM symbols a JOIN symbols b ON a.name = b.name AND a.language < b.language GROUP BY a.name, a.language, a.kind, b.language, b.kind""", "symbols"),
+)
+def cross_language_classes(spark, sf):
+    """All pairs of equal names in two languages, as counts of classes."""
+    out = matching.cross_language_classes(view(spark, sf, "symbols"))
+    return out.select("name", "language_a", "kind_a", "language_b", "kind_b", "pairs", F.round("confidence", 6).alias("confidence"))
+
+
+@register("pagerank_buckets", _with(_pagerank_sql(), f"SELECT name, round(rank, 8) AS rank FROM r{ROUNDS}", "refs"))
+def pagerank_buckets(spark, sf):
+    """The ranks with edges and ranks kept in buckets, as for graphs whose ranks can't be broadcast."""
+    ranks = graph.pagerank(graph.edge_list(view(spark, sf, "refs")), max_iter=ROUNDS, tolerance=0.0, few_rows=0)
+    return ranks.select("name", F.round("rank", 8).alias("rank"))

@@ -40,6 +40,25 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_tables: list[str] = []
+
+
+def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """The rows in ``buckets`` files by the hash of a column, sorted by it: a join on the column with another such table, or with rows hashed to as
+    many partitions, moves none of them."""
+    spark = df.sparkSession
+    name, path = f"graphloom_{uuid.uuid4().hex}", folder(spark)
+    df.repartition(buckets, column).write.bucketBy(buckets, column).sortBy(column).option("path", path).format("parquet").saveAsTable(name)
+    _tables.append(name)
+    return spark.table(name)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Forget the bucketed tables; their files go when the driver ends, or with ``rounds``."""
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Through the file system that holds it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
