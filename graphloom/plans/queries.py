@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import budget, language, scoring, text
 from graphloom import schema
 from graphloom.functions.blake3 import content_hash
-from graphloom.operators import approximate, graph, incremental, matching, relational, trigrams
+from graphloom.operators import approximate, digests, graph, incremental, matching, relational, trigrams
 from graphloom.plans.views import _NAME, _of, sql, view
 from graphloom.plans.storage import folder
 from graphloom.sources import scan, store
@@ -955,3 +955,24 @@ def pagerank_buckets(spark, sf):
     """The ranks with edges and ranks kept in buckets, as for graphs whose ranks can't be broadcast."""
     ranks = graph.pagerank(graph.edge_list(view(spark, sf, "refs")), max_iter=ROUNDS, tolerance=0.0, few_rows=0)
     return ranks.select("name", F.round("rank", 8).alias("rank"))
+
+
+# -- digests
+
+_DEEP_PATH = "'r' || {0} % 3 || '/' || CASE WHEN {0} % 4 = 0 THEN '' ELSE 'd' || {0} % 20 || '/e/' END || {1}"
+
+
+@register(
+    "tree_differences",
+    sql(
+        f"""SELECT path, status FROM (SELECT CASE WHEN s.path IS NULL THEN {_DEEP_PATH.format("d.doc_id", "d.path")} ELSE {_DEEP_PATH.format("s.doc_id", "s.path")} END AS path,
+  CASE WHEN s.path IS NULL THEN 'unknown' WHEN d.path IS NULL THEN 'missing' WHEN s.content IS NOT DISTINCT FROM d.content THEN 'clean' ELSE 'dirty' END AS status FROM stored s FULL JOIN disk d ON d.path = s.path) WHERE status <> 'clean'""",
+        "stored", "disk",
+    ),
+)
+def tree_differences(spark, sf):
+    """What differs between the stored state of all files and the one on disk, by digests of folders."""
+    at = folder(spark)
+    for name in ("stored", "disk"):
+        digests.save(view(spark, sf, name).select(F.expr(_DEEP_PATH.format("doc_id", "path")).alias("path"), F.md5("content").alias("hash")), f"{at}/{name}")
+    return digests.differences(spark, f"{at}/stored", f"{at}/disk")
