@@ -15,7 +15,7 @@ from graphloom.functions.blake3 import content_hash
 from graphloom.operators import approximate, digests, graph, incremental, matching, relational, trigrams
 from graphloom.plans.views import _NAME, _of, sql, view
 from graphloom.plans.storage import folder
-from graphloom.sources import scan, store
+from graphloom.sources import operations, scan, store
 from graphloom.streaming import events as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -976,3 +976,14 @@ def tree_differences(spark, sf):
     for name in ("stored", "disk"):
         digests.save(view(spark, sf, name).select(F.expr(_DEEP_PATH.format("doc_id", "path")).alias("path"), F.md5("content").alias("hash")), f"{at}/{name}")
     return digests.differences(spark, f"{at}/stored", f"{at}/disk")
+
+
+@register("recover_log", _with(_HASHED, "SELECT s.path, CASE WHEN d.hash IS NULL THEN 'skip_missing' WHEN d.hash = s.hash THEN 'skip_same' ELSE 'reindex' END AS action FROM s LEFT JOIN d USING (path)", "stored", "disk"))
+def recover_log(spark, sf):
+    """Recovery from a log of operations that was written in two commits, the first of them twice under one token."""
+    held = _hashed(spark, sf, "stored").select(F.col("path").alias("file_path"), F.lit("Enqueue").alias("op"), F.col("hash").alias("file_hash"), "doc_id")
+    at = folder(spark)
+    for part, token in (("doc_id % 2 = 0", "first"), ("doc_id % 2 = 0", "first"), ("doc_id % 2 = 1", None)):
+        operations.append(held.where(part), at, token)
+    operations.append(held.withColumn("status", F.lit("Committed")).where("doc_id % 5 = 0"), at)
+    return incremental.recover(operations.read(spark, at), _hashed(spark, sf, "disk"))

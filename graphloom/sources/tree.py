@@ -78,6 +78,9 @@ class LocalFiles:
             f.write(content)
         os.replace(draft, path)
 
+    def remove(self, path: str) -> None:
+        os.remove(path)
+
     def real(self, path: str) -> str:
         return os.path.realpath(path)
 
@@ -101,6 +104,9 @@ class RemoteFiles:
         with self.store.open_output_stream(path) as f:
             f.write(content)
 
+    def remove(self, path: str) -> None:
+        self.store.delete_file(path)
+
     def real(self, path: str) -> str:
         return path
 
