@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,7 +101,9 @@ def _entry(spark: SparkSession, path: str, folder: str, rows: int) -> dict:
 def save(spark: SparkSession, path: str, tables: dict[str, DataFrame], buckets: int = BUCKETS) -> None:
     """Write these tables whole and promote them beside those that are there already."""
     now = manifest(spark, path) or {"buckets": buckets, "tables": {}}
-    now["tables"] |= {name: _write(spark, path, name, df, now["buckets"], now["buckets"]) for name, df in tables.items()}
+    with ThreadPoolExecutor(4) as pool:
+        written = pool.map(lambda item: (item[0], _write(spark, path, *item, now["buckets"], now["buckets"])), tables.items())
+        now["tables"] |= dict(written)
     _promote(spark, path, now)
 
 
@@ -116,10 +119,8 @@ def update(spark: SparkSession, path: str, changed: DataFrame, fresh: dict[str,
     paths = changed.select("path").distinct()
     gone = lambda c: paths.withColumnRenamed("path", c)
     touched = {r.b for r in paths.select(bucket_of(F.col("path"), n).alias("b")).distinct().collect()}  # n at most
-    out = {}
-    for name in tables:
-        if name not in now["tables"] and name not in fresh:
-            continue
+
+    def one(name: str) -> tuple[str, dict, dict]:
         key, held, hit = KEYS[name], now["tables"].get(name, {}), set(touched)
         called = name == "refs" and either_side
         if called:
@@ -130,8 +131,13 @@ def update(spark: SparkSession, path: str, changed: DataFrame, fresh: dict[str,
         if name in fresh:
             rows = rows.unionByName(fresh[name].select(*(F.col(f.name).cast(f.dataType) for f in SCHEMAS[name])))
         written = _write(spark, path, name, rows, n, len(hit)) if hit else {}
-        now["tables"][name] = {b: x for b, x in held.items() if int(b) not in hit} | written
-        out[name] = {"buckets": len(hit), "rows": sum(x["rows"] for x in written.values()), "bytes": sum(x["bytes"] for x in written.values())}
+        report = {"buckets": len(hit), "rows": sum(x["rows"] for x in written.values()), "bytes": sum(x["bytes"] for x in written.values())}
+        return name, {b: x for b, x in held.items() if int(b) not in hit} | written, report
+
+    out = {}
+    with ThreadPoolExecutor(len(KEYS)) as pool:  # small jobs side by side
+        for name, entries, report in pool.map(one, [t for t in tables if t in now["tables"] or t in fresh]):
+            now["tables"][name], out[name] = entries, report
     _promote(spark, path, now)
     return out
 
