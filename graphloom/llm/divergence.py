@@ -40,7 +40,7 @@ LEAST_DOCS, TOP, SCALE, PRIOR = 30, 50, 1_000_000_000, 5
 #: Share of a block's groups from which a term is heavy; groups a block; postings a tile, about; counts a task holds before it writes them.
 HEAVY, BLOCK, TILE, FLUSH = 0.25, 256, 200_000, 1_000_000
 #: Bytes of kept terms that may be broadcast; beyond them counts meet their terms by a shuffle.
-MOST_BYTES = 32_000_000
+MOST_BYTES = 8_000_000
 #: Everything but ASCII letters and bytes beyond ASCII becomes a blank, and A-Z are lower-cased.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
