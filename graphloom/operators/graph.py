@@ -167,6 +167,20 @@ def edit_plan(symbols: DataFrame, refs: DataFrame, symbol: str, changes: list[di
     return out
 
 
+def edit_order(symbols: DataFrame, refs: DataFrame, symbol: str) -> DataFrame:
+    """(part, item, place): an edit plan's affected symbols and its files, each in the order of first sight: the symbol itself, its callers, what is
+    beside it; files by their callers. All lists are limited, so the order is one of few rows."""
+    used = relational.callers(symbols, refs, symbol)
+    near = relational.neighbors(refs, symbol)
+    at = lambda g, k, line, i: F.struct(F.lit(g).alias("g"), k.alias("k"), line.cast("long").alias("l"), i.cast("long").alias("i")).alias("at")
+    no, zero = F.lit(""), F.lit(0)
+    itself = symbols.sparkSession.createDataFrame([(symbol,)], "item string").select(F.lit("affected").alias("part"), "item", at(0, no, zero, zero))
+    seen = lambda df, part, item, *place: df.select(F.lit(part).alias("part"), F.col(item).alias("item"), at(*place, F.col("id")))
+    every = itself.unionByName(seen(used, "affected", "name", 1, no, zero)).unionByName(seen(near, "affected", "callee_symbol", 2, F.col("ref_kind"), F.col("line"))).unionByName(seen(used, "file", "file_path", 1, no, zero))
+    first = every.groupBy("part", "item").agg(F.min("at").alias("at"))
+    return first.select("part", "item", F.row_number().over(Window.partitionBy("part").orderBy("at")).alias("place"))
+
+
 def edit_plan_summary(plan: DataFrame) -> DataFrame:
     """One row: counts, safe_to_proceed (nothing breaks, or renames alone) and 50 tokens an affected symbol."""
     return plan.agg(

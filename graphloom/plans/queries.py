@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphloom.functions import budget, language, scoring, text
 from graphloom import schema
@@ -987,3 +988,56 @@ def recover_log(spark, sf):
         operations.append(held.where(part), at, token)
     operations.append(held.withColumn("status", F.lit("Committed")).where("doc_id % 5 = 0"), at)
     return incremental.recover(operations.read(spark, at), _hashed(spark, sf, "disk"))
+
+
+# -- more lookups
+
+
+@register(
+    "edit_order",
+    _with(_USED, f"""SELECT part, item, CAST(row_number() OVER (PARTITION BY part ORDER BY g, k, l, i) AS INTEGER) AS place FROM (
+  SELECT part, item, g, k, l, i, row_number() OVER (PARTITION BY part, item ORDER BY g, k, l, i) AS n FROM (
+    SELECT 'affected' AS part, {TARGET} AS item, 0 AS g, '' AS k, 0 AS l, 0 AS i UNION ALL SELECT 'affected', name, 1, '', 0, id FROM used
+    UNION ALL SELECT 'affected', callee_symbol, 2, ref_kind, line, id FROM near UNION ALL SELECT 'file', file_path, 1, '', 0, id FROM used)) WHERE n = 1""", "symbols", "refs"),
+)
+def edit_order(spark, sf):
+    """Affected symbols and files of an edit plan in the order of first sight."""
+    return graph.edit_order(view(spark, sf, "symbols"), view(spark, sf, "refs"), _target(spark, sf))
+
+
+@register("rank_of_symbol", _with(RANKS, f"SELECT symbol_name, round(page_rank, 6) AS page_rank FROM ranks WHERE symbol_name = {TARGET}", "symbols", "refs"))
+def rank_of_symbol(spark, sf):
+    return relational.rank_of(_ranks(spark, sf), _target(spark, sf)).select("symbol_name", F.round("page_rank", 6).alias("page_rank"))
+
+
+@register("file_status", sql("SELECT path, CASE WHEN path = 'f8' THEN 'dirty' ELSE 'valid' END AS status FROM disk", "disk"))
+def file_status(spark, sf):
+    return incremental.set_file_status(view(spark, sf, "disk").select("path", F.lit("valid").alias("status")), "f8", "dirty")
+
+
+@register("cache_listing", sql("SELECT id, hit_count, CAST(row_number() OVER (ORDER BY hit_count DESC, id) AS INTEGER) AS place FROM cache ORDER BY hit_count DESC, id LIMIT 100", "cache"))
+def cache_listing(spark, sf):
+    """The hundred most used answers, in order."""
+    held = incremental.cache_listing(view(spark, sf, "cache")).limit(100)
+    return held.select("id", "hit_count", F.row_number().over(Window.orderBy(F.desc("hit_count"), "id")).alias("place"))
+
+
+#: A literal's form: what stands before and after the text.
+_QUOTES = {0: ('"', '"'), 1: ('f"', '"'), 2: ("b'", "'"), 3: ("'", "'"), 4: ('"' * 3, '"' * 3), 5: ("'" * 3, "'" * 3), 6: ('"', "")}
+_LITERAL_SQL = (
+    "SELECT doc_id, part, form IN (1, 2) AS noise, CASE form WHEN 1 THEN 'f\"' || body || '\"' WHEN 2 THEN 'b''' || body || '''' WHEN 6 THEN '\"' || body ELSE body END AS value "
+    "FROM (SELECT doc_id, part, form, substr(text, 1 + part * 7, 9) AS body FROM (SELECT doc_id, text, part, (doc_id + part) % 7 AS form FROM (SELECT doc_id, text, CAST(unnest([0, 1, 2, 3, 4, 5, 6]) AS INTEGER) AS part FROM documents))) "
+    "WHERE body <> '' AND NOT contains(body, '\"') AND NOT contains(body, '''')"
+)
+
+
+@register("literal_text", _LITERAL_SQL)
+def literal_text(spark, sf):
+    """Pieces of texts as string literals of every form: which are noise, and what stands between the quotes."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.select("doc_id", "text", F.explode(F.array(*(F.lit(i) for i in range(7)))).alias("part"))
+    body = F.substring(F.col("text"), F.lit(1) + F.col("part") * 7, F.lit(9))
+    rows = rows.select("doc_id", "part", F.pmod(F.col("doc_id") + F.col("part"), F.lit(7)).alias("form"), body.alias("body"))
+    rows = rows.where((F.col("body") != "") & ~F.contains("body", F.lit('"')) & ~F.contains("body", F.lit("'")))
+    literal = F.coalesce(*(F.when(F.col("form") == k, F.concat(F.lit(a), F.col("body"), F.lit(b))) for k, (a, b) in _QUOTES.items()))
+    return rows.select("doc_id", "part", scoring.is_noise_string(literal).alias("noise"), scoring.strip_quotes(literal).alias("value"))
