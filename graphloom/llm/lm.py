@@ -14,7 +14,7 @@ with N, V, n1 and n2 the training tokens, distinct tokens, and those seen once a
 Counts cover all training rows. The tokens that occur most in all rows (about ``frequent_tokens`` at most) are resolved in place; each
 of the others is rare, in training rows or not, so joining on the token meets no hot key; every token of every text is counted exactly.
 
-Defined results: null and empty texts have the end token alone; with nothing to learn from, base_score is 0.0 and the adapted score is
+Defined results: tokens are compared byte by byte, and bytes that are no UTF-8 go through the lattice as U+FFFD; null and empty texts have the end token alone; with nothing to learn from, base_score is 0.0 and the adapted score is
 the lattice's; repeated rows are scored each on its own; an empty table gives an empty result.
 """
 
@@ -53,7 +53,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
             words = list(counts[0].keys() | counts[1].keys())
             c = np.fromiter((counts[1][w] for w in words), np.int64, len(words))
             other = np.fromiter((counts[0][w] for w in words), np.int64, len(words))
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(c), pa.array(c + other)], names=["token", "c", "t"])
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c), pa.array(c + other)], names=["token", "c", "t"])
 
         for batch in batches:
             for part in by_bytes(batch):
@@ -65,7 +65,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
                         held.clear()
         yield out()
 
-    return docs.select("train", "text").mapInArrow(run, "token string, c long, t long").groupBy("token").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+    return docs.select("train", "text").mapInArrow(run, "token binary, c long, t long").groupBy("token").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
 
 
 def with_lattice(counts: DataFrame, model_path: str) -> DataFrame:
@@ -76,11 +76,11 @@ def with_lattice(counts: DataFrame, model_path: str) -> DataFrame:
         pieces = Pieces.of(held.value)
         for batch in batches:
             words = batch.column(0).to_pylist()
-            lat = pieces.marginals([w or "" for w in words])
+            lat = pieces.marginals([w.decode("utf-8", "replace") for w in words])
             lat[[not w for w in words]] = pieces.end_log / math.log(10)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lat)], names=["token", "c", "t", "lat"])
 
-    return counts.mapInArrow(run, "token string, c long, t long, lat double")
+    return counts.mapInArrow(run, "token binary, c long, t long, lat double")
 
 
 def score(docs: DataFrame, train, keep: dict, text_col: str = "text", model_path: str = MODEL, frequent_tokens: int = 60_000) -> DataFrame:
@@ -93,7 +93,7 @@ def score(docs: DataFrame, train, keep: dict, text_col: str = "text", model_path
     floor = n + 0.1 * (v + 1)
     weight = math.log10(discount * v / n) if n else 0.0
     often = most_frequent(vocabulary, "t", frequent_tokens, "token")
-    common = {r.token.encode(): (int(r.c), r.lat) for r in vocabulary.where(often).collect()}  # about frequent_tokens rows at most
+    common = {bytes(r.token): (int(r.c), r.lat) for r in vocabulary.where(often).collect()}  # about frequent_tokens rows at most
 
     def both(c: int, lat: float) -> tuple[float, float, float]:
         adapted = weight + lat if c <= discount else math.log10((c - discount) / n + 10 ** max(weight + lat, -320.0))
@@ -126,11 +126,11 @@ def score(docs: DataFrame, train, keep: dict, text_col: str = "text", model_path
                             a += times_ * of[2]
                     # a text's own row has a token that no text holds, so it joins nothing and is dealt out evenly
                     put(u, b" %d" % u, 0, len(words), k, b, m, a)
-                arrays = [pa.array(uid, pa.int64()), pa.array(word, pa.binary()).cast(pa.string()), *(pa.array(x, pa.int64()) for x in (times, n_tokens, n_known)), *(pa.array(x, pa.float64()) for x in (base, model, adapted))]
+                arrays = [pa.array(uid, pa.int64()), pa.array(word, pa.binary()), *(pa.array(x, pa.int64()) for x in (times, n_tokens, n_known)), *(pa.array(x, pa.float64()) for x in (base, model, adapted))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["uid", "token", "times", "n_tokens", "n_known", "base", "model", "adapted"])
 
     numbered_ = numbered(rows)
-    parts = numbered_.select("uid", "text").mapInArrow(run, "uid long, token string, times long, n_tokens long, n_known long, base double, model double, adapted double")
+    parts = numbered_.select("uid", "text").mapInArrow(run, "uid long, token binary, times long, n_tokens long, n_known long, base double, model double, adapted double")
     rare = vocabulary.where(~often)
     c, lat = F.coalesce("c", F.lit(0)), F.coalesce("lat", F.lit(0.0))
     rare_base = F.log10((c + 0.1) / F.lit(floor))

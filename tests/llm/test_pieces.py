@@ -184,6 +184,14 @@ def test_lm_hot_token_of_held_out_rows(spark):
     assert flat(rows) == pytest.approx(flat(few))
 
 
+@pytest.mark.parametrize("frequent", [0, 100])
+def test_lm_takes_bytes_that_are_no_utf8(spark, frequent):
+    df = spark.sql("select 1L as doc_id, cast(X'6162FF63206162' as string) as text union all select 2L, 'ab ab\u00e9' union all select 3L, cast(X'6162FE63' as string) union all select 4L, 'ab\ufffdc'")
+    rows = {r.doc_id: r for r in lm.score(df, lm.F.col("doc_id") < 3, {"doc_id": lm.F.col("doc_id")}, frequent_tokens=frequent).collect()}
+    assert {i: (r.n_tokens, r.n_known, r.train_tokens) for i, r in rows.items()} == {1: (3, 3, 6), 2: (3, 3, 6), 3: (2, 1, 6), 4: (2, 1, 6)}
+    assert rows[3].score == pytest.approx(rows[4].score) and rows[3].base_score == pytest.approx(rows[4].base_score)
+
+
 def test_lm_edges(spark, tmp_path):
     rows = lm.query(spark, edges.sf_dir(spark, tmp_path, documents=edges.documents(spark))).collect()
     assert len(rows) == 12
