@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from graphloom import output, schema
 from graphloom.functions import budget, scoring, text
 from graphloom.functions.language import of_extension
-from graphloom.operators import graph, incremental, matching, relational
+from graphloom.operators import graph, incremental, matching, relational, trigrams
 from graphloom.sources import scan, store
 from graphloom.sources.extract import registry
 
@@ -123,6 +123,18 @@ class CodeGraph:
         """The raw text, for what the index doesn't know."""
         return scan.grep(self.files, needle)
 
+    def search_many(self, queries: DataFrame, limit: int = 10) -> DataFrame:
+        """(qid, place, id, ...) of many queries (qid, query) at once, misspelt ones too."""
+        return relational.search_batch(self.symbols, self.ranks, queries, limit)
+
+    def index_text(self, path: str) -> None:
+        """Write an index of all files' texts below ``path``, for ``find``."""
+        trigrams.save(self.files.select(F.col("path").alias("key"), "text"), path)
+
+    def find(self, path: str, needles: DataFrame, fold: bool = False) -> DataFrame:
+        """(nid, needle, key): the files that hold each of many strings (nid, needle), by the index at ``path``."""
+        return trigrams.search(trigrams.load(self.spark, path), needles, fold)
+
     def dot(self, symbol: str | None = None) -> DataFrame:
         return output.ego_dot(self.neighbors(symbol), symbol) if symbol else output.full_dot(self.symbols, self.stats())
 

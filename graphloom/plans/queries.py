@@ -510,7 +510,7 @@ def token_estimate(spark, sf):
 @register("compress_budget")
 def compress_budget(spark, sf):
     df = view(spark, sf, "files").select("path", "text")
-    return text.compress(df, F.col("text"), F.lit(1), F.lit(40), "budget(300)").select("path", "compressed.signature", "compressed.estimated_tokens", "compressed.compression_used")
+    return text.compress(df, F.col("text"), F.lit(1), F.size(F.split("text", "\n")), "budget(300)").select("path", "compressed.signature", "compressed.estimated_tokens", "compressed.compression_used")
 
 
 @register("content_hash")

@@ -118,6 +118,15 @@ def test_facade(code):
     assert g.overrides.count() == 0
 
 
+def test_many_searches_at_once(spark, code, tmp_path):
+    g, _ = code
+    found = g.search_many(spark.createDataFrame([(1, "laod"), (2, "pasre"), (3, "zzz")], "qid int, query string"))
+    assert {(r.qid, r.name) for r in found.where("place = 1").collect()} == {(1, "load"), (2, "parse")}
+    g.index_text(str(tmp_path / "grams"))
+    held = g.find(str(tmp_path / "grams"), spark.createDataFrame([(1, "db.save"), (2, "LOAD("), (3, "nowhere")], "nid int, needle string"), fold=True)
+    assert {(r.nid, r.key) for r in held.collect()} == {(1, "app.py"), (2, "app.py"), (2, "test_app.py"), (2, "web.js")}
+
+
 def test_service(code):
     g, _ = code
     ask = lambda method, **params: g.serve({"id": 1, "method": method, "params": params})
