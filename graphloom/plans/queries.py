@@ -733,7 +733,18 @@ def recover(spark, sf):
     return incremental.recover(journal, _hashed(spark, sf, "disk"))
 
 
-@register("search_batch")
+_BATCH = """asked AS (SELECT p_partkey AS qid, replace(p_name, ' ', '_') AS query FROM part),
+q AS (SELECT DISTINCT query, list_filter(string_split(lower(query), '_'), lambda x: x <> '') AS w FROM asked), s AS (SELECT DISTINCT name, list_filter(string_split(lower(name), '_'), lambda x: x <> '') AS h FROM symbols),
+pairs AS (SELECT query, name, CASE WHEN lower(query) = lower(name) THEN 1.0e0 WHEN contains(lower(name), lower(query)) THEN 0.9e0 + 0.1e0 * strlen(query) / strlen(name)
+  WHEN len(w) > 0 AND list_has_any(w, h) THEN 0.9e0 * len(list_filter(w, lambda x: list_contains(h, x))) / len(w) ELSE (1 - levenshtein(lower(query), lower(name))::DOUBLE / greatest(strlen(query), strlen(name))) * CASE WHEN strlen(query) <= 2 THEN 0.5e0 ELSE 1 END END AS fuzzy
+  FROM q JOIN s ON list_has_any(w, h) OR (abs(length(query) - length(name)) <= 2 AND levenshtein(lower(query), lower(name)) <= 2)),
+scored AS (SELECT query, name, 0.5e0 * fuzzy + 0.2e0 + 0.3e0 * coalesce(page_rank, 0) AS score FROM pairs LEFT JOIN ranks ON symbol_name = name)"""
+
+
+@register(
+    "search_batch",
+    _with(f"{RANKS},\n{_BATCH}", "SELECT qid, place, id FROM (SELECT qid, symbols.id, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, name, symbols.id) AS INTEGER) AS place FROM asked JOIN scored USING (query) JOIN symbols USING (name)) WHERE place <= 10", "symbols", "refs"),
+)
 def search_batch(spark, sf):
     """A query a part: the ten best symbols for each of all part names."""
     queries = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("qid"), F.translate("p_name", " ", "_").alias("query"))
