@@ -760,7 +760,18 @@ def extract_files(spark, sf):
     return found.select("path", "language", *(F.size(c).alias(f"n_{c}") for c in ("symbols", "refs", "imports", "literals")))
 
 
-@register("ego_dot")
+_DOT_HEAD = "'digraph code {' || chr(10) || '  rankdir=LR;' || chr(10) || '  node [shape=box, style=filled, fillcolor=lightblue];' || chr(10) || chr(10)"
+_DOT_NODE = """CASE WHEN {0} <> t THEN '  "' || replace({0}, ' ', '_') || '" [label="' || {0} || '"];' || chr(10) ELSE '' END"""
+_EGO = f"""ends AS (SELECT n.*, coalesce(caller_symbol, '?') AS caller, {TARGET} AS t FROM near n),
+rows AS (SELECT ref_kind, line, id, {_DOT_NODE.format("caller")} || {_DOT_NODE.format("callee_symbol")} AS n,
+  '  "' || replace(caller, ' ', '_') || '" -> "' || replace(callee_symbol, ' ', '_') || '" [label="' || ref_kind || '", ' || CASE ref_kind WHEN 'call' THEN 'color=green' WHEN 'import' THEN 'color=blue' WHEN 'inherit' THEN 'color=red, style=dashed' ELSE 'color=gray' END || '];' || chr(10) AS e FROM ends)"""
+
+
+@register(
+    "ego_dot",
+    _with(f"{_USED},\n{_EGO}", f"""SELECT {_DOT_HEAD} || '  "' || replace({TARGET}, ' ', '_') || '" [fillcolor=gold, label="' || {TARGET} || '\\n(target)"];' || chr(10) || string_agg(n, '' ORDER BY ref_kind, line, id)
+  || chr(10) || '  // Edges' || chr(10) || string_agg(e, '' ORDER BY ref_kind, line, id) || '}}' || chr(10) AS dot FROM rows""", "symbols", "refs"),
+)
 def ego_dot(spark, sf):
     from graphloom.output import ego_dot as dot
 
@@ -768,7 +779,14 @@ def ego_dot(spark, sf):
     return dot(relational.neighbors(view(spark, sf, "refs"), target), target)
 
 
-@register("full_dot")
+@register(
+    "full_dot",
+    sql(
+        f"""SELECT 0 AS part, {_DOT_HEAD} || '  "project" [shape=ellipse, label="Project\\n' || (SELECT count(*) FROM files) || ' files, ' || (SELECT count(*) FROM symbols) || ' symbols, ' || (SELECT count(*) FROM refs) || ' refs", fillcolor=lightyellow];' AS line
+UNION ALL SELECT 1, '  "' || replace(file_path, ' ', '_') || '::' || replace(name, ' ', '_') || '" [label="' || name || '\\n[' || kind || '] L' || start_line || '"];' FROM symbols UNION ALL SELECT 2, '}}'""",
+        "symbols", "refs", "files",
+    ),
+)
 def full_dot(spark, sf):
     from graphloom.output import full_dot as dot
 
