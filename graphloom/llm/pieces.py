@@ -393,25 +393,27 @@ class Pieces:
             self.log = np.log(weight / total)
         self.end_log = math.log(last / total)
 
-    def _byte_logs(self, points: np.ndarray) -> np.ndarray:
+    def _byte_logs(self, points: np.ndarray, logs: np.ndarray) -> np.ndarray:
         """Log weights of the fallback arcs of these characters."""
         raw = [(SPACE if c == ord(ESCAPED) else chr(c)).encode("utf-8", "replace") for c in points.tolist()]
-        of = self.log[self.byte_id[np.frombuffer(b"".join(raw), np.uint8)]]
+        of = logs[self.byte_id[np.frombuffer(b"".join(raw), np.uint8)]]
         return np.add.reduceat(of, np.r_[0, np.cumsum([len(r) for r in raw])[:-1]])
 
-    def marginals(self, words: list[str]) -> np.ndarray:
-        """log10 of the summed probability of all segmentations of each word with its space in front: the forward recursion in log space."""
+    def marginals(self, words: list[str], log: np.ndarray | None = None) -> np.ndarray:
+        """log10 of the summed probability of all segmentations of each word with its space in front: the forward recursion in log space.
+        ``log``: log weights by piece in place of the file's."""
+        log = self.log if log is None else log
         out = np.empty(len(words))
         segments = [f" {w}" for w in words]
         for at in self._batches(segments):
             if len(segments[at[0]]) > CHUNK:
-                out[at[0]] = self._long_marginal(segments[at[0]])
+                out[at[0]] = self._long_marginal(segments[at[0]], log)
                 continue
             points, first, ends, start, end, piece, bounds = self._lattice([segments[i] for i in at])
-            weight = self.log[piece]
+            weight = log[piece]
             lone = np.flatnonzero(piece < 0)
             if len(lone):
-                weight[lone] = self._byte_logs(points[start[lone]])
+                weight[lone] = self._byte_logs(points[start[lone]], log)
             a = np.full(len(points), -np.inf)
             a[first] = 0.0
             for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -420,12 +422,12 @@ class Pieces:
             out[at] = a[ends]
         return out / math.log(10)
 
-    def _long_marginal(self, segment: str) -> float:
+    def _long_marginal(self, segment: str, logs: np.ndarray) -> float:
         a = array("d", [-math.inf]) * (len(segment) + 1)
-        a[0], log = 0.0, self.log.tolist()
+        a[0], log = 0.0, logs.tolist()
         for i, arcs in self._frontier(segment):
             for j, k in arcs:
-                w = a[i] + (log[k] if k >= 0 else float(self._byte_logs(codepoints(segment[i].replace(SPACE, ESCAPED).replace(" ", SPACE)))[0]))
+                w = a[i] + (log[k] if k >= 0 else float(self._byte_logs(codepoints(segment[i].replace(SPACE, ESCAPED).replace(" ", SPACE)), logs)[0]))
                 low, high = min(a[j], w), max(a[j], w)
                 a[j] = high + math.log1p(math.exp(low - high)) if low > -math.inf else high
         return a[len(segment)]

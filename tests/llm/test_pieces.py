@@ -199,3 +199,35 @@ def test_lm_edges(spark, tmp_path):
     assert by[1].n_tokens == by[2].n_tokens == by[3].n_tokens == 1 and by[1].score == by[2].score
     assert all(math.isfinite(r.score) and r.score <= 0 for r in rows)
     assert lm.query(spark, edges.sf_dir(spark, tmp_path / "none")).count() == 0
+
+
+def test_lm_learned_score_by_brute_force(spark):
+    texts = ["the cat sat the cat", "the dog sat, the dog barked", "a cat barked " * 40, "zyx zyx the cat", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = Counter(w for t in texts[:3] for w in lm.tokens(t.encode()))
+    n, v, n1, n2 = sum(counts.values()), len(counts), *(sum(c == k for c in counts.values()) for k in (1, 2))
+    discount = n1 / (n1 + 2 * n2)
+    pieces = Pieces(RAW)
+    ids = Counter(struct.unpack(f"<{len(p) // 4}I", p)[i] for p in pieces.paths([f" {w.decode()}" for w in counts if w]) for i in range(len(p) // 4))
+    own, total = [math.exp(x) if x > -math.inf else 0.0 for x in pieces.log], sum(ids.values())
+    weight = [(1 - lm.OWN) * sum(own) * ids[i] / total + lm.OWN * x for i, x in enumerate(own)]
+
+    def prob(w: bytes) -> float:
+        lattice = sum(math.prod(weight[k] for k in p) for p in enumerate_paths(pieces, SPACE + w.decode())) if w else math.exp(pieces.end_log)
+        return max(counts[w] - discount, 0) / n + discount * v / n * lattice
+
+    for frequent in (0, 100):
+        rows = {r.doc_id: r.learned_score for r in lm.score(df, lm.F.col("doc_id") < 3, {"doc_id": lm.F.col("doc_id")}, frequent_tokens=frequent).collect()}
+        for i, t in enumerate(texts):
+            seen, log = Counter(), 0.0
+            for at, w in enumerate(lm.tokens((t or "").encode())):
+                log += math.log10((seen[w] + lm.URN * prob(w)) / (at + lm.URN))
+                seen[w] += 1
+            assert rows[i] == pytest.approx(log)
+
+
+def test_lm_held_out_rows_score_near_base(spark):
+    """The query's score learns: on rows that taught nothing it stays near the count model, which owes no word its letters."""
+    rows = [r for r in lm.query(spark, "/root/testdata/sf0.01").collect() if r.held_out]
+    assert rows and all(math.isfinite(r.score) for r in rows)
+    assert sum(r.score for r in rows) > 1.15 * sum(r.base_score for r in rows)
