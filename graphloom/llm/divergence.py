@@ -5,7 +5,8 @@ group with count c of a kept term and N of all V kept terms gives it p = 1 + flo
 the same way. Two groups are as far apart as the sum of abs(p - p') over all kept terms; a term stands out in a group by p - q.
 
 Counting: tasks count in Arrow batches and write a row a (lang, term) with the counts of its sources. Document frequencies, a small
-column of that, decide what is kept, and only counts of kept terms are shuffled by source.
+column of that, decide what is kept, and only counts of kept terms are shuffled by source: rows whose hash no kept term has are dropped where
+they are read, the rest is summed and meets the kept terms themselves.
 
 Pairs: kept terms are dealt by hash into tiles of bounded postings. In a tile the terms are split. Heavy ones, present in at least a
 share ``heavy`` of the groups, are dense numpy columns, and all pairs of groups are compared column block by column block. For a light
@@ -39,7 +40,7 @@ from graphloom.llm.common import LOWER, UPPER, by_bytes, materialize, release, t
 LEAST_DOCS, TOP, SCALE, PRIOR = 30, 50, 1_000_000_000, 5
 #: Share of a block's groups from which a term is heavy; groups a block; postings a tile, about; counts a task holds before it writes them.
 HEAVY, BLOCK, TILE, FLUSH = 0.25, 256, 200_000, 1_000_000
-#: Bytes of kept terms that may be broadcast; beyond them counts meet their terms by a shuffle.
+#: Bytes of the kept terms' 64-bit hashes that may be broadcast; beyond them counts meet their terms by a shuffle.
 MOST_BYTES = 8_000_000
 #: Everything but ASCII letters and bytes beyond ASCII becomes a blank, and A-Z are lower-cased.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -56,10 +57,15 @@ def counted(docs: DataFrame) -> DataFrame:
             by: dict = defaultdict(list)
             for (lang, source), held in counts.items():
                 by[lang].append((source, held))
+            counts.clear()
             for lang, groups in by.items():
                 code: dict = {}
-                rows = [(code.setdefault(t, len(code)), k, c) for k, (_, held) in enumerate(groups) for t, c in held.items()]
-                t, k, c = np.array(rows, np.int64).reshape(-1, 3).T
+                sizes = [len(held) for _, held in groups]
+                t = np.fromiter((code.setdefault(w, len(code)) for _, held in groups for w in held), np.int64, sum(sizes))
+                c = np.fromiter((n for _, held in groups for n in held.values()), np.int64, sum(sizes))
+                k = np.repeat(np.arange(len(groups)), sizes)
+                for _, held in groups:
+                    held.clear()
                 order = np.argsort(t, kind="stable")
                 ends = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=len(code)))]).astype(np.int32)
                 names = pa.array([s for s, _ in groups], pa.string()).take(pa.array(k[order]))
@@ -71,7 +77,7 @@ def counted(docs: DataFrame) -> DataFrame:
                     + [pa.concat_arrays([pa.array([first], x.type), x]) for first, x in (([s for s, _ in groups], lists(names)), ([0] * len(groups), lists(pa.array(c[order]))))],
                     names=["lang", "term", "df", "sources", "counts"],
                 )
-            counts.clear()
+                del df[lang]
             df.clear()
 
         n = 0
@@ -158,9 +164,13 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, heavy:
     """(lang, source, part, item, value, rank)."""
     raw = counted(docs)
     kept = materialize(raw.where("term is not null").groupBy("lang", "term").agg(F.sum("df").alias("df")).where(F.col("df") >= least_docs).select("lang", "term"))
-    size = kept.agg(F.coalesce(F.sum(F.octet_length("term") + F.octet_length("lang") + 64), F.lit(0))).first()[0]
-    each = raw.where("term is not null").join(F.broadcast(kept) if size <= MOST_BYTES else kept, ["lang", "term"]).select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("x"))
-    counts = materialize(each.groupBy("lang", F.col("x.sources").alias("source"), "term").agg(F.sum("x.counts").alias("n")))
+    terms, hashed = raw.where("term is not null"), F.xxhash64("lang", "term").alias("h")
+    few = 8 * kept.count() <= MOST_BYTES
+    # hashes alone are broadcast; one that another term shares lets that through, and the join below drops it
+    some = terms.withColumn("h", hashed).join(F.broadcast(kept.select(hashed).distinct()), "h", "left_semi") if few else terms.join(kept, ["lang", "term"])
+    each = some.select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("x"))
+    summed = each.groupBy("lang", F.col("x.sources").alias("source"), "term").agg(F.sum("x.counts").alias("n"))
+    counts = materialize(summed.join(kept, ["lang", "term"], "left_semi").select("lang", "source", "term", "n") if few else summed)
     v = kept.groupBy("lang").agg(F.count("*").alias("v"))
     sizes = counts.groupBy("lang", "source").agg(F.sum("n").alias("size"), F.count("*").alias("postings"))
     named = raw.where("term is null").select("lang", F.explode("sources").alias("source")).distinct().join(sizes, ["lang", "source"], "left").join(v, "lang", "left")

@@ -88,3 +88,15 @@ def test_edges(spark, tmp_path):
     assert divergence.query(spark, edges.sf_dir(spark, tmp_path / "none")).count() == 0
     odd = spark.sql("select cast(X'65FF' as string) as lang, 's' as source, cast(X'6162FF63' as string) as text from range(40)")
     assert [(r.part, r.value) for r in divergence.audit(odd).collect()] == []
+
+
+def test_dropped_terms_are_not_shuffled_with_their_counts(spark, monkeypatch):
+    """Kept terms whose own bytes are beyond the bound: rows without one are dropped where they are read, by hashes."""
+    docs = [("en", f"s{i % 3}", "kept also " + " ".join(f"rare{chr(97 + i % 26)}{chr(97 + j)}" for j in range(i % 20))) for i in range(60)]
+    plans = []
+    written = divergence.materialize
+    monkeypatch.setattr(divergence, "materialize", lambda df: plans.append(df._jdf.queryExecution().toString()) or written(df))
+    monkeypatch.setattr(divergence, "MOST_BYTES", 64)
+    df = spark.createDataFrame(docs, "lang string, source string, text string")
+    assert rows(divergence.audit(df, least_docs=10, top=7)) == brute(docs, 10, 7)
+    assert any("BroadcastHashJoin [h#" in p and "LeftSemi" in p for p in plans)
