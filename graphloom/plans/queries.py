@@ -359,7 +359,9 @@ def string_ref_match(spark, sf):
 
 @register("string_ref_lookup", _with(_MATCHES, f"SELECT literal_id, symbol_id, round(confidence, 4) AS confidence FROM matches JOIN symbols s ON s.id = symbol_id WHERE s.name = {TARGET} AND confidence >= 0.6", "literals", "symbols"))
 def string_ref_lookup(spark, sf):
-    out = matching.string_refs_of(_matches(spark, sf), view(spark, sf, "literals"), view(spark, sf, "symbols"), _target(spark, sf), 0.6)
+    target, literals, symbols = _target(spark, sf), view(spark, sf, "literals"), view(spark, sf, "symbols")
+    asked = symbols.where((F.col("name") == target) | (F.col("qualified_name") == target))  # matches of other symbols would be dropped
+    out = matching.string_refs_of(matching.string_matches(literals, asked), literals, symbols, target, 0.6)
     return out.select("literal_id", "symbol_id", F.round("confidence", 4).alias("confidence"))
 
 
