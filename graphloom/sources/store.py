@@ -75,17 +75,17 @@ def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {n: _read(spark, path, n, held) for n, held in found["tables"].items()}
 
 
-def _write(spark: SparkSession, path: str, name: str, df: DataFrame, buckets: int, touched: int) -> dict:
-    """Write rows into a new folder, a folder a bucket; gives the entries of those buckets that have rows."""
+def _write(spark: SparkSession, path: str, name: str, df: DataFrame, buckets: int) -> dict:
+    """Write rows into a new folder, a folder a bucket; gives the entries of those buckets that have rows.
+
+    Buckets are rebalanced, not dealt by path: a task holds about ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` however many rows a path has."""
     folder, parted = f"{name}-{uuid.uuid4().hex}", name in KEYS
     rows = df.select(*(F.col(f.name).cast(f.dataType) for f in SCHEMAS[name]))
     if not parted:
         rows.write.parquet(f"{path}/{folder}")
         return {"0": _entry(spark, path, folder, spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{folder}").count())}
     key = F.col(KEYS[name])
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    share = max(1, tasks // max(1, touched))  # files a bucket, so that all tasks write
-    dealt = rows.withColumn("bucket", bucket_of(key, buckets)).repartition("bucket", F.pmod(F.hash(key), F.lit(share)))
+    dealt = rows.withColumn("bucket", bucket_of(key, buckets)).hint("rebalance", F.col("bucket"))
     dealt.sortWithinPartitions("bucket", *SORTED.get(name, []), KEYS[name]).write.partitionBy("bucket").parquet(f"{path}/{folder}")
     if not any(n.startswith("bucket=") for n in _names(spark, f"{path}/{folder}")):
         return {}
@@ -102,7 +102,7 @@ def save(spark: SparkSession, path: str, tables: dict[str, DataFrame], buckets:
     """Write these tables whole and promote them beside those that are there already."""
     now = manifest(spark, path) or {"buckets": buckets, "tables": {}}
     with ThreadPoolExecutor(4) as pool:
-        written = pool.map(lambda item: (item[0], _write(spark, path, *item, now["buckets"], now["buckets"])), tables.items())
+        written = pool.map(lambda item: (item[0], _write(spark, path, *item, now["buckets"])), tables.items())
         now["tables"] |= dict(written)
     _promote(spark, path, now)
 
@@ -130,7 +130,7 @@ def update(spark: SparkSession, path: str, changed: DataFrame, fresh: dict[str,
         rows = (rows.join(gone("callee_file"), "callee_file", "left_anti") if called else rows).select(*SCHEMAS[name].names)
         if name in fresh:
             rows = rows.unionByName(fresh[name].select(*(F.col(f.name).cast(f.dataType) for f in SCHEMAS[name])))
-        written = _write(spark, path, name, rows, n, len(hit)) if hit else {}
+        written = _write(spark, path, name, rows, n) if hit else {}
         report = {"buckets": len(hit), "rows": sum(x["rows"] for x in written.values()), "bytes": sum(x["bytes"] for x in written.values())}
         return name, {b: x for b, x in held.items() if int(b) not in hit} | written, report
 

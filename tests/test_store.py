@@ -125,3 +125,18 @@ def test_an_index_follows_its_files(spark, tmp_path):
     for name in ("symbols", "refs", "imports", "literals", "files"):
         assert rows(g.tables[name].select(sorted(g.tables[name].columns))) == rows(whole.tables[name].select(sorted(g.tables[name].columns))), name
     assert g.tables["checksums"].where(F.col("path") == "pkg/m5.py").first().status == "synced"
+
+
+def test_a_path_of_many_rows_is_written_by_many_tasks(spark, tmp_path):
+    at, conf = str(tmp_path / "index"), "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    many = spark.range(0, 40_000, 1, 8).selectExpr("id", "'src/main.py' as caller_file", "'' as callee_file", "cast(null as string) as caller_symbol", "sha2(cast(id as string), 256) as callee_symbol", "'call' as ref_kind", "1 as line", "1.0D as confidence", "false as is_dynamic")
+    spark.conf.set(conf, "128k")
+    try:
+        store.save(spark, at, {"refs": many}, buckets=4)
+        (entry,) = store.manifest(spark, at)["tables"]["refs"].values()
+        files = [n for n in store._names(spark, f"{at}/{entry['folder']}") if n.startswith("part-")]
+        assert len(files) > 4 and entry["rows"] == 40_000
+        store.update(spark, at, spark.createDataFrame([("other.py",)], "path string"), {}, either_side=True)
+        assert store.load(spark, at)["refs"].agg(F.count("id"), F.count_distinct("id")).first()[:] == (40_000, 40_000)
+    finally:
+        spark.conf.unset(conf)
