@@ -8,8 +8,11 @@ from pyspark.sql.window import Window
 
 from graphloom.functions import scoring
 from graphloom.operators import approximate
+from graphloom.plans.storage import written
 
 LIMIT = 50
+#: Distinct texts of a batch search whose lists of symbols may be broadcast; beyond it they meet their queries by a shuffle.
+MOST_LISTS = 50_000
 SYMBOL = ("id", "file_path", "name", "kind", "start_line", "end_line", "qualified_name")
 
 
@@ -62,8 +65,15 @@ def search_batch(symbols: DataFrame, ranks: DataFrame, queries: DataFrame, limit
     few = scored.withColumn("__k", F.row_number().over(top)).where(F.col("__k") <= limit).drop("__k")
     first = Window.partitionBy("name").orderBy("id")
     held = symbols.select("id", "name", "kind").withColumn("__k", F.row_number().over(first)).where(F.col("__k") <= limit).drop("__k")
+    # a text is ranked once and its queries share the list, so that no task holds the candidates of all queries of a text
+    once = Window.partitionBy("query").orderBy(F.desc("score"), "name", "id")
+    ranked = few.join(held, "name").withColumn("__k", F.row_number().over(once)).where(F.col("__k") <= limit).drop("__k")
+    rest = [c for c in ranked.columns if c not in ("name", "query")]
+    lists = written(ranked.groupBy("query").agg(F.collect_list(F.struct("name", *rest)).alias("f")))
+    lists = F.broadcast(lists) if lists.count() <= MOST_LISTS else lists
+    found = queries.select("qid", "query").join(lists, "query").select("query", "qid", F.explode("f").alias("f")).select("f.name", "query", "qid", *(f"f.{c}" for c in rest))
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "name", "id")
-    return queries.select("qid", "query").join(few, "query").join(held, "name").withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit)
+    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit)
 
 
 def file_symbols(symbols: DataFrame, path: str) -> DataFrame:

@@ -41,3 +41,19 @@ def test_search_batch_finds_typos(spark):
     queries = spark.createDataFrame([(1, "prase_confg"), (2, "config"), (3, "zzz")], "qid int, query string")
     assert {(r.qid, r.id) for r in relational.search_batch(symbols, ranks, queries, edits=3).collect()} == {(1, 1), (2, 1)}
     assert relational.search_batch(symbols, ranks, queries.where(F.lit(False))).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 10])
+def test_search_batch_ranks_a_repeated_text_once(spark, monkeypatch, most):
+    kept, written = [], relational.written
+    monkeypatch.setattr(relational, "written", lambda df: kept.append(df) or written(df))
+    monkeypatch.setattr(relational, "MOST_LISTS", most)
+    symbols = spark.createDataFrame([(i, f"load_{i % 5}", "function") for i in range(100)], "id long, name string, kind string")
+    ranks = spark.createDataFrame([("load_3", 0.5)], "symbol_name string, page_rank double")
+    queries = spark.range(300).selectExpr("id as qid", "'load_x' as query").union(spark.createDataFrame([(1, "load_3"), (400, None)], "qid long, query string"))
+    out = relational.search_batch(symbols, ranks, queries, limit=3)
+    assert out.columns == ["name", "query", "qid", "page_rank", "score", "id", "kind", "place"]
+    got = sorted((r.qid, r.place, r.id) for r in out.collect())
+    want = [(q, k + 1, 3 + 5 * k) for q in range(300) for k in range(3)]
+    assert got == want
+    assert [df.count() for df in kept] == [2]  # a list a text, not one a query
