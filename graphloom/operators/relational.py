@@ -71,7 +71,9 @@ def search_batch(symbols: DataFrame, ranks: DataFrame, queries: DataFrame, limit
     rest = [c for c in ranked.columns if c not in ("name", "query")]
     lists = written(ranked.groupBy("query").agg(F.collect_list(F.struct("name", *rest)).alias("f")))
     lists = F.broadcast(lists) if lists.count() <= MOST_LISTS else lists
-    found = queries.select("qid", "query").join(lists, "query").select("query", "qid", F.explode("f").alias("f")).select("f.name", "query", "qid", *(f"f.{c}" for c in rest))
+    # dealt by number before rows multiply: AQE would merge these short rows into few tasks, and the sort by qid needs no other shuffle
+    dealt = queries.select("qid", "query").repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "qid")
+    found = dealt.join(lists, "query").select("query", "qid", F.explode("f").alias("f")).select("f.name", "query", "qid", *(f"f.{c}" for c in rest))
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "name", "id")
     return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit)
 
