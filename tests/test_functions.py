@@ -245,3 +245,13 @@ def test_blake3_side_by_side():
     texts = [data[:n] for n in (0, 1, 64, 65, 1023, 1024, 1025, 2048, 3073, 5 * 1024, 6 * 1024 + 1, 7 * 1024, 20_000)]
     assert blake3_many(texts) == [blake3_hex(t) for t in texts] and blake3_many([]) == []
     assert blake3_hex(data[:7168]) == "61da957ec2499a95d6b8023e2b0e604ec7f6b50e80a9678b89d2628e99ada77a"
+
+
+def test_compress_splits_and_trims_a_text_once(spark):
+    from graphloom.functions import text
+
+    df = spark.createDataFrame([(1, "fn f() {\n/* a\nif x\n*/ b\n  db.add(1);\nlet z = 2;\nreturn z\n}\n"), (2, None), (3, "")], "id int, t string")
+    out = text.compress(df, F.col("t"), F.lit(1), F.lit(99), "critical_branches").select("id", "compressed.*")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("^\\s+|\\s+$") <= 15
+    got = {r.id: (r.signature, r.critical_branches, r.side_effects, r.key_assignments, r.return_statement, r.compression_used) for r in out.collect()}
+    assert got == {1: ("fn f() {", None, ["db.add(1)"], ["let z = 2"], "return z", "critical_branches"), 2: ("", None, None, None, None, "empty"), 3: ("", None, None, None, None, "empty")}
