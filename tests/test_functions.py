@@ -255,3 +255,14 @@ def test_compress_splits_and_trims_a_text_once(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("^\\s+|\\s+$") <= 15
     got = {r.id: (r.signature, r.critical_branches, r.side_effects, r.key_assignments, r.return_statement, r.compression_used) for r in out.collect()}
     assert got == {1: ("fn f() {", None, ["db.add(1)"], ["let z = 2"], "return z", "critical_branches"), 2: ("", None, None, None, None, "empty"), 3: ("", None, None, None, None, "empty")}
+
+
+def test_hashes_read_texts_from_the_arrow_batch(monkeypatch):
+    import pyarrow as pa
+
+    from graphloom.functions import blake3
+
+    monkeypatch.setattr(blake3, "BATCH", 3000)
+    texts = [None, "", "é" * 1500, "abc", None, "x" * 5000]
+    got = blake3.content_hash.func(pa.array(["skipped", *texts]).slice(1))
+    assert got.to_pylist() == [None if t is None else blake3_hex(t.encode()) for t in texts]
