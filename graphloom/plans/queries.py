@@ -367,7 +367,7 @@ def string_ref_lookup(spark, sf):
 
 @register("string_ref_search", _with(_MATCHES, f"SELECT literal_id, symbol_id, round(confidence, 4) AS confidence FROM matches JOIN symbols s ON s.id = symbol_id JOIN literals l ON l.id = literal_id WHERE contains(lower(name), '{PATTERN}') OR contains(lower(qualified_name), '{PATTERN}') OR contains(lower(string_value), '{PATTERN}') ORDER BY matches.confidence DESC, literal_id, symbol_id LIMIT 50", "literals", "symbols"))
 def string_ref_search(spark, sf):
-    out = matching.string_search(_matches(spark, sf), view(spark, sf, "literals"), view(spark, sf, "symbols"), PATTERN)
+    out = matching.string_search_top(view(spark, sf, "literals"), view(spark, sf, "symbols"), PATTERN)
     return out.select("literal_id", "symbol_id", F.round("confidence", 4).alias("confidence"))
 
 

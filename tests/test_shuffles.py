@@ -55,3 +55,15 @@ def test_matched_pairs_are_not_shuffled_and_a_hot_name_is_dealt(spark, monkeypat
     assert len({r.p for r in rows}) > 4
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan[: plan.index("Join")]
+
+
+def test_a_search_makes_no_pairs_of_equal_texts(spark, monkeypatch):
+    literals, symbols = _frames(spark)
+    for pattern, limit in (("hot", 7), ("hot", 500), ("m.h", 50), ("Y", 9), ("none", 5)):
+        of = []
+        monkeypatch.setattr(matching, "_string_pairs", lambda a, b, was=matching._string_pairs, of=of: of.append((a.count(), b.count())) or was(a, b))
+        got = [(r.literal_id, r.symbol_id, round(r.confidence, 4)) for r in matching.string_search_top(literals, symbols, pattern, limit).collect()]
+        monkeypatch.undo()
+        assert of == [(12, 8)]
+        every = matching.string_search(matching.string_matches(literals, symbols), literals, symbols, pattern, limit)
+        assert got == [(r.literal_id, r.symbol_id, round(r.confidence, 4)) for r in every.collect()]
